@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from osseo.llm.bpe import op5_bpe
 from osseo.llm.language import op1_language_id
+from osseo.llm.licenses import op10_license_scan
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_bpe": op5_bpe,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -60,7 +60,7 @@ def map_texts(df: DataFrame, added: dict[str, T.DataType], fn: Callable[[list],
             for lo, hi, texts in chunks(batch.column(text).to_pylist()):
                 got = fn(texts)
                 own = [batch.column(n).slice(lo, hi - lo) for n in names]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(got[k], arrow.field(k).type) for k in added)], names=[*names, *added])
+                yield pa.RecordBatch.from_arrays([*own, *(got[k].cast(arrow.field(k).type) if isinstance(got[k], pa.Array) else pa.array(got[k], arrow.field(k).type) for k in added)], names=[*names, *added])
 
     return df.mapInArrow(run, schema)
 
