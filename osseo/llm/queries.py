@@ -5,10 +5,14 @@ from __future__ import annotations
 from osseo.llm.bpe import op5_bpe
 from osseo.llm.language import op1_language_id
 from osseo.llm.licenses import op10_license_scan
+from osseo.llm.repeats import op9_substring_dedup
+from osseo.llm.simhash import op3_simhash
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_simhash": op3_simhash,
     "op5_bpe": op5_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
