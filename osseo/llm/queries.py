@@ -7,13 +7,15 @@ from osseo.llm.language import op1_language_id
 from osseo.llm.licenses import op10_license_scan
 from osseo.llm.repeats import op9_substring_dedup
 from osseo.llm.simhash import op3_simhash
+from osseo.llm.topk import OP4_SQL, op4_topk
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
+    "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL}
