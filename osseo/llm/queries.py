@@ -7,10 +7,12 @@ from osseo.llm.language import op1_language_id
 from osseo.llm.licenses import op10_license_scan
 from osseo.llm.repeats import op9_substring_dedup
 from osseo.llm.simhash import op3_simhash
+from osseo.llm.toxicity import op2_toxicity
 from osseo.llm.topk import OP4_SQL, op4_topk
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
