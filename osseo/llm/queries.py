@@ -5,6 +5,7 @@ from __future__ import annotations
 from osseo.llm.bpe import op5_bpe
 from osseo.llm.language import op1_language_id
 from osseo.llm.licenses import op10_license_scan
+from osseo.llm.pii import op7_pii
 from osseo.llm.quality import op8_quality
 from osseo.llm.repeats import op9_substring_dedup
 from osseo.llm.simhash import op3_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
