@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from osseo.llm.bpe import op5_bpe
+from osseo.llm.decontaminate import op6_decontamination
 from osseo.llm.language import op1_language_id
 from osseo.llm.licenses import op10_license_scan
 from osseo.llm.pii import op7_pii
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
+    "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
