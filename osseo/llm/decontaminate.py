@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from osseo.llm.rows import saved, small, table
+from osseo.llm.rows import packed, saved, small, table
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -83,8 +83,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    found = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("rk").alias("_rk"))
-    return docs.withColumn("_rk", F.xxhash64("doc_id", "text")).join(found, "_rk", "left_anti").select(*docs.columns)
+    found = contaminated(docs.select("doc_id", "text"), benchmark).select("rk")
+    return packed(docs).select("rk", "row").join(found, "rk", "left_anti").select("row.*")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from osseo.llm.rows import saved, table
+from osseo.llm.rows import packed, saved, table
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns; a card is matched only where its whole run of digits has 16 to 19, an e-mail's local part
@@ -102,15 +102,14 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     spans = find(docs.select("doc_id", "text")).where("size(base) + size(found) > 0").dropDuplicates(["rk"])
     listed = F.expr("array_sort(concat(transform(base, x -> struct(x.start AS s, x.end AS e, x.kind AS k)), transform(found, x -> struct(x.start AS s, x.end AS e, 'id' AS k))))")
-    joined = docs.withColumn("_rk", F.xxhash64("doc_id", "text")).join(spans.select(F.col("rk").alias("_rk"), listed.alias("_spans")), "_rk", "left")
+    joined = packed(docs).join(spans.select("rk", listed.alias("spans")), "rk", "left")
     masked = F.expr("""
-      aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.e), 'out',
+      aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.e), 'out',
         CASE WHEN x.s >= a.at THEN concat(a.out, substr(text, a.at + 1, x.s - a.at), '[', upper(x.k), ']') ELSE a.out END),
         a -> concat(a.out, substr(text, a.at + 1)))""")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    out = joined.select("row", "spans", F.when(F.col("spans").isNotNull(), masked).alias("masked"))
+    new = {"text": F.col("masked"), "n_chars": F.char_length("masked").cast("long")}
+    return out.select(*(F.when(F.col("spans").isNull(), F.col(f"row.`{c}`")).otherwise(new[c]).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

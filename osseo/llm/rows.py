@@ -28,6 +28,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share, for tables a job writes and reads again."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``row`` with all columns of ``docs``, so that no column of theirs can clash, beside ``rk`` (a hash of doc_id and text), doc_id and text."""
+    return docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to hold at most ``most_rows`` rows, else unchanged (a shuffle join)."""
     return F.broadcast(df) if df.count() <= most_rows else df

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from osseo.llm.rows import map_texts, saved, table
+from osseo.llm.rows import map_texts, packed, saved, table
 
 SHINGLE = 4
 SEED = 42
@@ -194,16 +194,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints`` (distinct fp and more) with ``root``, one fingerprint for all that links reach."""
+    roots = components(links(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without text, with ``fp`` and component_id, the smallest doc_id within reach of links."""
     known = saved(fingerprints(docs, shingle))
-    prints = saved(known.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(prints.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
-    classes = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = _rooted(saved(known.groupBy("fp").agg(F.min("doc_id").alias("first"))), radius)
     named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return known.join(named, "fp")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each component (null last; one, if rows are repeated)."""
+    rows = packed(docs)
+    known = fingerprints(rows.select("doc_id", "rk", "text"), shingle)
+    prints = saved(known.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "rk")).alias("first")))
+    kept = _rooted(prints, radius).groupBy("root").agg(F.min("first").alias("first")).select("first.rk")
+    return rows.select("rk", "row").join(kept, "rk").dropDuplicates(["rk"]).select("row.*")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
