@@ -78,6 +78,7 @@ class Encoder(dict):
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: raw(t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in merges])
+        self.longest = max(map(len, self.bytes_of.values()))
         self.pre_token = regex.compile(PRE_TOKEN)
         self.splits = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -93,7 +94,7 @@ class Encoder(dict):
         """Ids of one pre-token, each as soon as it is stable."""
         at = 0
         while at < len(data):
-            end = min(at + STEP + self.lookahead, len(data))
+            end = min(at + max(STEP, self.longest) + self.lookahead, len(data))
             stable = end if end == len(data) else end - self.lookahead
             for token in self.merged(data[at:end]):
                 if at + len(self.bytes_of[token]) > stable:
