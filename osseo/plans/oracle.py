@@ -57,7 +57,66 @@ def _q(prelude: str, select: str, *doubles: str, digits: int = 6) -> str:
     return f"SELECT * REPLACE ({', '.join(f'round({d}, {digits}) AS {d}' for d in doubles)}) FROM (\n{sql})" if doubles else sql
 
 
+PEAKS = "pk AS (SELECT frame_id, y FROM (SELECT *, lag(zsum) OVER w AS a, lead(zsum) OVER w AS b FROM rw WINDOW w AS (PARTITION BY frame_id ORDER BY y)) WHERE zsum >= a AND zsum > b)"
+
 SQL = {
+    "frame_offset": _q(MASK, "SELECT frame_id, avg(x) FILTER (m) / max(x) - 0.5 AS cx_rel, abs(avg(x) FILTER (m) / max(x) - 0.5) AS cx_abs FROM mk GROUP BY 1", "cx_rel", "cx_abs"),
+    "gaussian_profile": _q(
+        ROWS,
+        """, nb AS (SELECT frame_id, y, zsum, row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i FROM rw)
+SELECT a.frame_id, a.y, sum(b.zsum * exp(-(b.i - a.i) * (b.i - a.i) / 4.5::DOUBLE)) / sum(exp(-(b.i - a.i) * (b.i - a.i) / 4.5::DOUBLE)) AS smooth FROM nb a JOIN nb b ON a.frame_id = b.frame_id AND b.i BETWEEN a.i - 4 AND a.i + 4 GROUP BY 1, 2""",
+        "smooth",
+    ),
+    "disc_spacing": _q(
+        ROWS + ",\n" + PEAKS,
+        """, gp AS (SELECT *, y - lag(y) OVER (PARTITION BY frame_id ORDER BY y) AS g FROM pk), ex AS (SELECT frame_id, min(y) AS y0, max(y) AS y1 FROM rw GROUP BY 1)
+SELECT frame_id, count(*) AS disc_n, avg(g) / (any_value(y1) - any_value(y0)) AS disc_step_norm, stddev_pop(g) / avg(g) AS disc_step_cv, (min(y) - any_value(y0)) / avg(g) AS disc_top_gap, (any_value(y1) - max(y)) / avg(g) AS disc_bot_gap
+FROM gp JOIN ex USING (frame_id) GROUP BY 1 HAVING count(*) >= 2""",
+        "disc_step_norm", "disc_step_cv", "disc_top_gap", "disc_bot_gap",
+    ),
+    "nearest_peak": _q(ROWS + ",\n" + PEAKS, ", tg AS (SELECT frame_id, max(y) * 0.6::DOUBLE AS t FROM rw GROUP BY 1) SELECT frame_id, y, abs(y - t) AS distance FROM pk JOIN tg USING (frame_id) QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY abs(y - t), y) = 1", "distance"),
+    "vertebra_levels": _q(
+        ROWS,
+        """, lv4 AS (SELECT *, ntile(4) OVER (PARTITION BY frame_id ORDER BY y) AS level FROM rw),
+l AS (SELECT frame_id, level, min(y) AS top, max(y) AS bottom, max(y) - min(y) + 1 AS height, median(n) AS width, sum(cx * n) / sum(n) AS cx, sum(y * n) / sum(n) AS cy FROM lv4 GROUP BY 1, 2 HAVING sum(n) >= 50),
+g AS (SELECT frame_id, count(*) AS k, avg(height) AS unit, min(top) AS top, max(bottom) AS bottom, median(width / height) AS asp, arg_min(cx, level) AS ax, arg_min(cy, level) AS ay, arg_max(cx, level) AS bx, arg_max(cy, level) AS b_y, regr_slope(width, level) AS ws FROM l GROUP BY 1),
+h AS (SELECT frame_id, max(y) + 1 AS h FROM rw GROUP BY 1)
+SELECT frame_id, CASE WHEN k >= 2 THEN top / unit ELSE -1.0 END AS vl_gap_top_bodies, CASE WHEN k >= 2 THEN (h - 1 - bottom) / unit ELSE -1.0 END AS vl_gap_bot_bodies, CASE WHEN k >= 2 THEN degrees(atan((bx - ax) / (b_y - ay))) ELSE -1.0 END AS vl_tilt_ends,
+ CASE WHEN k >= 2 THEN asp ELSE -1.0 END AS vl_aspect_med, CASE WHEN k > 2 THEN ws ELSE -1.0 END AS vl_width_slope, CASE WHEN k >= 2 THEN unit ELSE -1.0 END AS vl_body_h_px FROM g JOIN h USING (frame_id)""",
+        "vl_gap_top_bodies", "vl_gap_bot_bodies", "vl_tilt_ends", "vl_aspect_med", "vl_width_slope", "vl_body_h_px",
+    ),
+    "femur_shape": _q(
+        ROWS,
+        """, sp AS (SELECT frame_id, min(y) AS y0, max(y) - min(y) AS span FROM rw GROUP BY 1), a AS (SELECT rw.*, (y - y0) / span AS rel, x_max - x_min + 1 AS width FROM rw JOIN sp USING (frame_id)),
+l AS (SELECT frame_id, regr_slope((x_min + x_max) / 2, y) FILTER (rel >= 0.6::DOUBLE) AS ax, median(width) FILTER (rel >= 0.7::DOUBLE) AS sw, regr_slope(x_min, y) FILTER (rel >= 0.7::DOUBLE) AS k, regr_intercept(x_min, y) FILTER (rel >= 0.7::DOUBLE) AS c,
+  stddev_pop(width) AS ws, max(width) FILTER (rel < 0.3::DOUBLE) AS px FROM a GROUP BY 1),
+o AS (SELECT frame_id, max(greatest(0, k * y + c - x_min)) AS mx, avg(greatest(0, k * y + c - x_min)) AS mn FROM a JOIN l USING (frame_id) WHERE rel > 0.3::DOUBLE AND rel < 0.7::DOUBLE GROUP BY 1)
+SELECT frame_id, degrees(atan(ax)) AS shaft_angle_deg, sw AS shaft_width_px, mx AS lt_protrusion_px, mn AS lt_protrusion_mean, mx / sw AS lt_index, px / sw AS prox_width_ratio, ws AS width_profile_std FROM l JOIN o USING (frame_id)""",
+        "shaft_angle_deg", "shaft_width_px", "lt_protrusion_px", "lt_protrusion_mean", "lt_index", "prox_width_ratio", "width_profile_std",
+    ),
+    "period_phase": _q(
+        ROWS + ",\n" + PERIOD,
+        ", c AS (SELECT frame_id, sum(zsum * cos(2 * pi() * y / period)) AS re, sum(-zsum * sin(2 * pi() * y / period)) AS im FROM rw JOIN pd USING (frame_id) GROUP BY 1) SELECT frame_id, atan2(im, re) AS phase, sqrt(re * re + im * im) AS amplitude FROM c",
+        "phase", "amplitude",
+    ),
+    "region_guess": _q(
+        MASK + ",\n" + SHAPE,
+        """, q AS (SELECT frame_id, (y1 - y0 + 1) / (x1 - x0 + 1) AS a, (x1 - x0 + 1) / w AS cs FROM sh JOIN sz USING (frame_id))
+SELECT frame_id, CASE WHEN a > 1.2 THEN 'spine' WHEN cs > 0.8 THEN 'hip_both' ELSE 'hip_single' END AS guess, round(CASE WHEN a > 1.2 THEN least(a / 2, 0.99) ELSE least(cs, 0.99) END, 2) AS confidence FROM q""",
+    ),
+    "area_resize": _q(PX, "SELECT frame_id, CAST(y // 4 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, avg(v) AS v FROM px GROUP BY 1, 2, 3", "v"),
+    "legacy_score": _q(VERDICT, f"SELECT study, region, greatest(least(greatest(tilt / {2 * RULES.max_spine_tilt_deg}, 0), 1), least(greatest(kp_art_frac_mean / {2 * RULES.artifact_threshold}, 0), 1)) AS score FROM vr", "score"),
+    "landmark_rules": _q(
+        "e AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)) * 200) AS e FROM embeddings)",
+        """SELECT vec_id, e[2] * 0.73::DOUBLE AS lmk_above_gt_mm, CAST(e[2] * 0.73::DOUBLE >= 30 AS DOUBLE) AS lmk_above_gt_ok, CASE WHEN vec_id % 3 <> 0 THEN (63 - e[8]) * 0.73::DOUBLE END AS lmk_below_isch_mm,
+ CASE WHEN vec_id % 3 <> 0 THEN CAST((63 - e[8]) * 0.73::DOUBLE >= 30 AS DOUBLE) END AS lmk_below_isch_ok, sqrt(((e[3] - e[5]) * 0.6::DOUBLE) ** 2 + ((e[4] - e[6]) * 0.73::DOUBLE) ** 2) AS lmk_neck_len_mm FROM e""",
+        "lmk_above_gt_mm", "lmk_below_isch_mm", "lmk_neck_len_mm",
+    ),
+    "head_contributions": _q(
+        "e AS (SELECT vec_id, i, [1.0, -2.0, 0.5, 3.0, -1.5, 0.25, 2.5, -0.75][i + 1]::DOUBLE * (CAST(embedding[i + 1] AS DOUBLE) - 0.01::DOUBLE * i) AS impact FROM embeddings, range(8) t(i))",
+        "SELECT vec_id, 'f' || i AS feature, impact FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(impact) DESC, i) <= 3",
+        "impact",
+    ),
     "pixel_normalize": _q(
         NORM,
         """, ends AS (SELECT frame_id, min(v) a, max(v) b FROM px GROUP BY 1),

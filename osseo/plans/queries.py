@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from osseo.config import Rules
 from osseo.functions.columns import resolved
-from osseo.operators import evaluation as E, manifests as M, neighbourhood as N, pixels as P, studies as S
+from osseo.operators import evaluation as E, manifests as M, measures as Q, neighbourhood as N, pixels as P, studies as S
 from osseo.plans.registry import features_long
 from osseo.sources import surrogates as V
 
@@ -220,7 +220,77 @@ def ml_heads(spark: SparkSession, sf: str) -> DataFrame:
     return out_of_fold(rows, "embedding", "y", "fold", 2).select("vec_id", "y", F.round("p", 6).alias("p"))
 
 
+def gaussian_profile(rows: DataFrame) -> DataFrame:
+    return Q.smoothed(rows, "zsum", 1.5, 4).select(P.FRAME, "y", "smooth")
+
+
+def disc_spacing(rows: DataFrame) -> DataFrame:
+    return Q.spacing(P.peaks(rows), rows.groupBy(P.FRAME).agg(F.min("y").alias("y0"), F.max("y").alias("y1")))
+
+
+def nearest_peak(rows: DataFrame) -> DataFrame:
+    return Q.nearest(P.peaks(rows), rows.groupBy(P.FRAME).agg((F.max("y") * 0.6).alias("t")))
+
+
+def bright_arcs(masked: DataFrame) -> DataFrame:
+    hat = P.top_hat(masked, 2)
+    bright = hat.join(hat.groupBy(P.FRAME).agg(F.percentile("hat", F.lit(0.8)).alias("cut")), P.FRAME).withColumn("m", F.col("hat") > F.col("cut"))
+    return Q.bright_arcs(N.components(bright), masked.groupBy(P.FRAME).agg((F.max("x") + 1).alias("w")))
+
+
+def vertebra_levels(rows: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    return Q.vertebra_levels(rows.withColumn("level", F.ntile(4).over(Window.partitionBy(P.FRAME).orderBy("y"))))
+
+
+def period_phase(rows: DataFrame) -> DataFrame:
+    return Q.phase(rows, P.period(rows))
+
+
+def rotated_box(masked: DataFrame) -> DataFrame:
+    return Q.rotated(masked, F.lit(10.0)).where("m").groupBy(P.FRAME).agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+
+
+def legacy_score(spark: SparkSession, sf: str) -> DataFrame:
+    score = Q.legacy_score(F.col("tilt"), F.col("kp_art_frac_mean"), F.lit(None).cast("double"), (RULES.max_spine_tilt_deg, RULES.artifact_threshold, 0.524754))
+    return rounded(_verdicts(spark, sf).select("study", "region", score.alias("score")))
+
+
+def landmark_rules(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.transform("embedding", lambda v: F.abs(v.cast("double")) * 200)
+    point = lambda i: F.struct(e[i].alias("x"), e[i + 1].alias("y"), F.lit(1.0).alias("conf"))
+    points = F.create_map(F.lit("greater_trochanter"), point(0), F.lit("head"), point(2), F.lit("neck_base"), point(4))
+    points = F.when(F.col("vec_id") % 3 == 0, points).otherwise(F.map_concat(points, F.create_map(F.lit("ischium"), point(6))))
+    return rounded(V.table(spark, sf, "embeddings").select("vec_id", Q.landmark_rules(points, F.lit(64)).alias("r")).select("vec_id", "r.*"))
+
+
+def embedding_pca(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.components_of_embedding(V.table(spark, sf, "embeddings"))
+
+
+def head_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    e = V.table(spark, sf, "embeddings").select("vec_id", F.struct(*(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8))).alias("f"))
+    c = Q.linear_contributions(F.col("f"), [f"f{i}" for i in range(8)], [1.0, -2.0, 0.5, 3.0, -1.5, 0.25, 2.5, -0.75], [0.01 * i for i in range(8)], top=3)
+    return rounded(e.select("vec_id", F.explode(c).alias("c")).select("vec_id", "c.feature", "c.impact"))
+
+
 QUERIES = {
+    "frame_offset": _on_mask(Q.frame_offset),
+    "gaussian_profile": _on_rows(gaussian_profile),
+    "disc_spacing": _on_rows(disc_spacing),
+    "nearest_peak": _on_rows(nearest_peak),
+    "bright_arcs": _on_mask(bright_arcs),
+    "vertebra_levels": _on_rows(vertebra_levels),
+    "femur_shape": _on_rows(Q.femur_shape),
+    "period_phase": _on_rows(period_phase),
+    "region_guess": _on_mask(lambda m: Q.region_guess(P.silhouette(m))),
+    "area_resize": _on_pixels(lambda px: Q.area_resized(px, 4)),
+    "rotated_box": _on_mask(rotated_box),
+    "legacy_score": legacy_score,
+    "landmark_rules": landmark_rules,
+    "embedding_pca": embedding_pca,
+    "head_contributions": head_contributions,
     "pixel_normalize": _on_pixels(pixel_normalize),
     "fix_polarity": _on_pixels(lambda px: P.fix_polarity(px, monochrome1=True).groupBy("frame_id").agg(F.avg("v").alias("v_mean"), F.max("inverted").alias("inverted"))),
     "otsu_threshold": _on_pixels(P.multi_otsu),
