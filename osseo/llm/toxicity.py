@@ -1,6 +1,6 @@
 """Operator 2, toxicity: a counterfactual-regularised classifier.
 
-Words are hashed to buckets. Over the labelled rows Spark counts, per bucket, the toxic and other documents that hold it;
+Words and word beginnings are hashed to buckets. Over the labelled rows Spark counts, per bucket, the toxic and other documents that hold it;
 the buckets that tell most (by signed log-odds) and those of all identity terms become features. A logistic model is fitted
 to a bounded sample of labelled rows with a second loss: each labelled sentence with an identity term is repeated with that
 term swapped for each other of its group, and the squared change of the score is penalised. Mentions of a group as such so
@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from osseo.llm.rows import bounded_sample, byte_class, chunks, map_texts, pieces, small, span_hashes, table, word_spans
+from osseo.llm.rows import bounded_sample, byte_class, chunks, map_texts, mix, pieces, small, span_hashes, table, word_spans
 
 BUCKETS = 1 << 20
 FEATURES = 2048
@@ -29,6 +29,8 @@ TRAIN_ROWS = 20_000
 #: A bucket is a candidate feature from so many labelled documents on.
 LEAST_DOCS = 5
 PENALTY = 4.0
+#: Bytes of word beginnings that are features too: they catch stems whose endings vary.
+BEGINNINGS = (4, 6)
 THRESHOLD = 0.7
 # Identity terms by group; a term may be swapped for any other of its group.
 IDENTITY = [
@@ -49,17 +51,20 @@ _SENTENCE = regex.compile(r"[^.!?\n]+")
 
 
 def word_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of each different word of each text (lower case; whole texts)."""
+    """Text number and bucket of each different word, and each different word beginning, of each text (lower case; whole texts)."""
     parts, owner = pieces([t.lower() for t in texts])
     data, starts, ends, at = word_spans(parts, _WORD_BYTE)
-    key = np.unique(owner[at] * BUCKETS + (span_hashes(data, starts, ends) >> np.uint64(44)).astype(np.int64)) if len(starts) else np.zeros(0, np.int64)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = [owner[at] * BUCKETS + (span_hashes(data, starts, ends) >> np.uint64(44)).astype(np.int64)]
+    for size in BEGINNINGS:
+        longer = ends - starts > size
+        h = mix(span_hashes(data, starts[longer], starts[longer] + size) + np.uint64(size))
+        keys.append(owner[at[longer]] * BUCKETS + (h >> np.uint64(44)).astype(np.int64))
+    key = np.unique(np.concatenate(keys))
     return key // BUCKETS, key % BUCKETS
 
 
-def bucket_of(word: str) -> int:
-    return int(word_buckets([word])[1][0])
-
-
 def swaps(text: str) -> Iterator[tuple[str, str]]:
     """Sentences of the text that hold identity terms, each with every swapped version."""
     groups = {t: g for g in IDENTITY for t in g}
@@ -94,22 +99,22 @@ def chosen_buckets(counts: DataFrame, docs: int, toxic: int, features: int) -> n
     gain = part(a, n * toxic / docs) + part(n - a, n * (docs - toxic) / docs) + part(toxic - a, (docs - n) * toxic / docs) + part(docs - toxic - n + a, (docs - n) * (docs - toxic) / docs)
     # beyond chance for the number of buckets tried: twice the gain is a chi-square of one degree
     best = counts.where(n >= LEAST_DOCS).select("bucket", gain.alias("gain")).where("gain > 8").orderBy(F.col("gain").desc(), "bucket").limit(features).toPandas()
-    return np.unique(np.concatenate([best.bucket.to_numpy(np.int64), [bucket_of(t) for g in IDENTITY for t in g]]))
+    return np.unique(np.concatenate([best.bucket.to_numpy(np.int64), word_buckets([" ".join(t for g in IDENTITY for t in g)])[1]]))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], n: int, penalty: float = PENALTY, l2: float = 2e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss + l2 + penalty * mean squared change of the score over the swapped pairs."""
+def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], n: int, penalty: float = PENALTY, l2: float = 3e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise log loss (both classes weigh the same) + l2 + penalty * mean squared change of the score over the swapped pairs."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64) if len(at) else np.zeros(0, np.int64)
     diff_at = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
     diff_col = np.concatenate([np.concatenate(p) for p in pairs]).astype(np.int64) if pairs else np.zeros(0, np.int64)
     sign = np.concatenate([np.concatenate([np.ones(len(a)), -np.ones(len(b))]) for a, b in pairs]) if pairs else np.zeros(0)
-    share = y.mean()
-    w, bias, v, vb = np.zeros(n), float(np.log(share / (1 - share))), np.zeros(n), 0.0
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    w, bias, v, vb = np.zeros(n), 0.0, np.zeros(n), 0.0
     gw, gb = np.full(n, 1e-8), 1e-8  # sums of squares, for steps of each weight's own size
     for _ in range(rounds):
         z = np.bincount(at, w[col], len(rows)) + bias
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
+        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         grad = np.bincount(col, r[at], n) + l2 * w
         if pairs:
             change = np.bincount(diff_at, sign * w[diff_col], len(pairs))
