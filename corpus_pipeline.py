@@ -16,11 +16,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from osseo.llm import bpe, decontaminate, pii, quality, simhash
-from osseo.llm.rows import packed, shared_folder, table
+from osseo.llm.rows import shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score(packed(docs).select("row", "text"), *quality.train(docs))
+    scored = quality.score(docs.select(F.struct("*").alias("row")), *quality.train(docs), text="row.text")
     return scored.where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 

@@ -192,8 +192,8 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.astype(np.int32).ravel()))
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """Adds score (0 to 1, higher is better) to ``docs`` and drops its text."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text") -> DataFrame:
+    """Adds score (0 to 1, higher is better) to ``docs`` and drops its text (a field of a struct stays)."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def batch(texts: list) -> dict:
@@ -203,7 +203,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
         some = np.bincount(of, minlength=len(own)) > 0
         return {"score": np.where(some, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)}
 
-    return map_texts(docs, {"score": T.DoubleType()}, batch)
+    return map_texts(docs, {"score": T.DoubleType()}, batch, text)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

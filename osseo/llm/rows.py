@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Characters that one vectorised step looks at; texts beyond it are cut into pieces or stand alone.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,8 @@ def map_texts(df: DataFrame, added: dict[str, T.DataType], fn: Callable[[list],
     """Adds to each row the columns that ``fn`` makes of the whole texts of a group of rows.
 
     ``fn`` gets a list of texts (null: None) of about CHUNK_CHARS characters at most, or one longer text, and returns lists
-    or arrays by column. Other columns pass through as Arrow data, so integers with nulls keep their exact values.
+    or arrays by column. Other columns pass through as Arrow data, so integers with nulls keep their exact values. ``text`` may
+    be a field of a struct column (``row.text``), which then passes through whole and holds the only copy of the text.
     """
     kept = [f for f in df.schema.fields if not (drop_text and f.name == text)]
     schema = T.StructType(kept + [T.StructField(k, v) for k, v in added.items()])
@@ -71,7 +73,9 @@ def map_texts(df: DataFrame, added: dict[str, T.DataType], fn: Callable[[list],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in chunks(batch.column(text).to_pylist()):
+            column, *field = text.split(".")
+            values = batch.column(column)
+            for lo, hi, texts in chunks((pc.struct_field(values, field) if field else values).to_pylist()):
                 got = fn(texts)
                 own = [batch.column(n).slice(lo, hi - lo) for n in names]
                 yield pa.RecordBatch.from_arrays([*own, *(got[k].cast(arrow.field(k).type) if isinstance(got[k], pa.Array) else pa.array(got[k], arrow.field(k).type) for k in added)], names=[*names, *added])
