@@ -96,8 +96,12 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[
             if ones_r[b + len(y) - 1] < ones_l[a] - radius:
                 continue
             near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
-            if near.any():
-                for i, j in np.argwhere(near).tolist():
+            # each round joins every row to one neighbour of another tree, so a dense group takes a few rounds, not all its pairs
+            while near.any():
+                tops = [np.array([forest.top(k) for k in range(first, first + len(z))]) for first, z in ((a, x), (shift + b, y))]
+                near &= tops[0][:, None] != tops[1][None, :]
+                rows = np.flatnonzero(near.any(1))
+                for i, j in zip(rows.tolist(), near[rows].argmax(1).tolist(), strict=True):
                     if forest.join(a + i, shift + b + j):
                         out.append((both[a + i], both[shift + b + j]))
     return out
