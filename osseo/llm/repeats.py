@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from osseo.llm.rows import byte_class, chunks, map_texts, mix, powers, saved, span_hashes, table, word_spans
+from osseo.llm.rows import byte_class, chunks, map_texts, mix, powers, saved, span_hashes, table, word_spans, written
 
 LENGTH = 50
 GRAM = 10
@@ -154,13 +154,13 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     seeds = long_rows.select("rk", "seq1", F.explode("anchors").alias("anchor"))
     shared = seeds.groupBy("anchor").agg(F.min("seq1").alias("a"), F.max("seq1").alias("b")).where("a < b").select("anchor")
     at = seeds.select("rk", "anchor").join(shared, "anchor").groupBy("rk").agg(F.collect_set("anchor").alias("shared"))  # no more than a text has
-    wanted = saved(long_rows.select("rk", "doc_id").distinct().join(at, "rk").join(copies, "rk", "left_anti"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
-    runs = texts.join(wanted.hint("merge"), "rk").mapInArrow(_runs(length, gram), "doc_id long, rk long, h1 long, h2 int, start int")
-    runs = saved(runs)
+    wanted = long_rows.select("rk", "doc_id").distinct().join(at, "rk").join(copies, "rk", "left_anti")
+    # the one time that texts are dealt; what follows reads the rows with shared anchors only
+    texts = written(docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text").join(wanted.hint("merge"), "rk"))
+    runs = saved(texts.mapInArrow(_runs(length, gram), "doc_id long, rk long, h1 long, h2 int, start int"))
     least = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     found = runs.join(least, ["h1", "h2"]).where("doc_id > lo").groupBy("rk").agg(F.collect_set("start").alias("starts"))  # no more than a text has
-    cut = texts.join(found.hint("merge"), "rk").mapInArrow(_cut(length), "rk long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["rk"])
+    cut = texts.select("rk", "text").join(found.hint("merge"), "rk").mapInArrow(_cut(length), "rk long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["rk"])
     out = seen.select("rk", "doc_id", "n_words", "all_sha256").join(copies.withColumn("copy", F.lit(True)), "rk", "left").join(cut, "rk", "left")
     whole = F.coalesce("copy", F.lit(False))
     return out.select(

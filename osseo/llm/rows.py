@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` by way of Parquet in the shared folder: compressed, unlike a checkpoint, so fit for texts."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``row`` with all columns of ``docs``, so that no column of theirs can clash, beside ``rk`` (a hash of doc_id and text), doc_id and text."""
     return docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
