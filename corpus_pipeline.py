@@ -1,7 +1,7 @@
 """A training-corpus pipeline: five stages, each written as Parquet and read again by the next.
 
 quality     documents that the weak-label classifier rejects go
-near_dedup  one document (the smallest doc_id) of each group of SimHash near-duplicates stays
+near_dedup  one document (the smallest doc_id) stays of each group that Jaccard similarities of 0.8 of word shingles link
 decontam    documents that hold a benchmark item go
 pii         personal data is replaced by its kind
 bpe         texts become token ids, which decode to the text again
@@ -15,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from osseo.llm import bpe, decontaminate, pii, quality, simhash
+from osseo.llm import bpe, decontaminate, pii, quality, similar
 from osseo.llm.rows import shared_folder, table
 
 
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return similar.one_of_each(docs)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,16 @@ def similar_items(text: str | None, items: dict[int, str], k: int = 5, least: fl
                 out.add(item)
                 break
     return out
+
+
+def first_alike(texts: list[str | None], k: int = 5) -> list[int]:
+    """The first position of each one's component of exact Jaccard similarities of 0.8 at least."""
+    words = [re.findall(SPACE_WORD, (t or "").translate(LOWER)) for t in texts]
+    sets = [{tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set() for w in words]
+    first = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if first[i] != first[j] and 5 * len(a & b) >= 4 * len(a | b):
+                lo, hi = sorted((first[i], first[j]))
+                first = [lo if x == hi else x for x in first]
+    return first

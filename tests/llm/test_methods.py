@@ -178,3 +178,43 @@ def test_pipeline(spark, odd, empty):
     clean = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept if not brute.base_spans(t)}
     assert sum(got[i].decoded_sha256 == h for i, h in clean.items()) > 0.9 * len(clean)
     assert all(got[i].decoded_sha256 != hashlib.sha256(t.encode()).hexdigest() for i, t in kept if brute.base_spans(t))
+
+
+def edited(text: str, r: random.Random, n: int) -> str:
+    w = text.split()
+    for i in r.sample(range(len(w)), n):
+        w[i] = f"changed{r.random()}"
+    return " ".join(w)
+
+
+def test_near_dedup_finds_all_pairs_of_similarity_four_fifths(spark):
+    """Against brute-force Jaccard: copies with 1 to 6 edited words of 150, a chain, common passages, short and odd texts, and real ones."""
+    import corpus_pipeline
+
+    r = random.Random(7)
+    texts = [edited(prose(100 + k, 150), r, n) for k in range(25) for n in range(7)]
+    link = prose(200, 150)
+    for _ in range(12):
+        texts.append(link := edited(link, r, 2))
+    texts += [f"{prose(300 + k, 40)} {prose(299, 60)} {prose(400 + k, 40)}" for k in range(30)]
+    texts += [prose(500, 160).upper(), prose(500, 160).replace(" ", " \t\n"), " ".join(prose(500, 160).split()[:130]), " ".join(prose(500, 160).split()[:120])]
+    texts += [None, "", " \n ", "one", "ONE", "one two three four", "one two three four five", "é a b c d e f", "É a b c d e f", "It " * 40, "It " * 90]
+    texts += [x.text for x in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = brute.first_alike(texts)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    assert sorted(x.doc_id for x in got) == sorted(set(first)) and len(set(first)) < len(texts) - 60
+
+
+def test_pipeline_against_jaccard(spark):
+    """The documents that the pipeline keeps, near-duplicates being those of brute-force Jaccard similarity."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = dict(docs.collect())
+    good = sorted((r.doc_id, texts[r.doc_id]) for r in quality.score(docs, *quality.train(docs)).collect() if r.score >= quality.THRESHOLD)
+    first = brute.first_alike([t for _, t in good])
+    kept = [i for k, (i, t) in enumerate(good) if first[k] == k and not any(x in t for x in items)]
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == kept
