@@ -9,12 +9,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 
-def heads(label: str = "y") -> list[Pipeline]:
-    """The three models whose probabilities are averaged (forest: the nearest MLlib has to extremely randomised trees)."""
-    boosted = GBTClassifier(labelCol=label, featuresCol="x", maxDepth=2, maxIter=20, stepSize=0.06, minInstancesPerNode=8, seed=1)
+def heads(label: str = "y", weight: float = 1.0) -> list[Pipeline]:
+    """The three models whose probabilities are averaged (forest: the nearest MLlib has to extremely randomised trees).
+
+    ``weight``: the sum of the training rows' weights, by which C = 0.3, a factor of summed losses, becomes MLlib's penalty of mean ones.
+    """
+    boosted = GBTClassifier(labelCol=label, featuresCol="x", maxDepth=2, maxIter=150, stepSize=0.06, minInstancesPerNode=8, seed=1)
     scaled = StandardScaler(inputCol="x", outputCol="xs", withMean=True)
-    linear = LogisticRegression(labelCol=label, featuresCol="xs", weightCol="w", regParam=0.01, standardization=False)
-    forest = RandomForestClassifier(labelCol=label, featuresCol="x", numTrees=20, minInstancesPerNode=5, weightCol="w", seed=1)
+    linear = LogisticRegression(labelCol=label, featuresCol="xs", weightCol="w", regParam=1 / (0.3 * weight), standardization=False)
+    forest = RandomForestClassifier(labelCol=label, featuresCol="x", numTrees=300, featureSubsetStrategy="0.5", minInstancesPerNode=5, weightCol="w", seed=1)
     return [Pipeline(stages=[boosted]), Pipeline(stages=[scaled, linear]), Pipeline(stages=[forest])]
 
 
@@ -26,7 +29,7 @@ def out_of_fold(rows: DataFrame, features: str, label: str, fold: str, folds: in
     out = None
     for k in range(folds):
         train, test = data.where(F.col(fold) != k), data.where(F.col(fold) == k).withColumn("p", F.lit(0.0))
-        for pipeline in heads(label):
+        for pipeline in heads(label, train.agg(F.sum("w")).first()[0] or 1.0):
             scored = pipeline.fit(train).transform(test)
             test = scored.withColumn("p", F.col("p") + vector_to_array("probability")[1] / 3).select(*data.columns, "p")
         out = test if out is None else out.unionByName(test)

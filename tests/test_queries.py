@@ -148,3 +148,11 @@ def test_reconcile(spark):
     pick = lambda q, types, a, b: S.reconcile(F.lit(q), types, ("x", F.lit(a)), ("y", F.lit(b)))
     row = spark.range(1).select(pick(0, some, 1.0, 2.0), pick(1, some, 1.0, 2.0), pick(1, empty, 2.0, 2.0), pick(1, empty, 1.0, 2.0)).first()
     assert list(row) == [[], ["t"], ["x"], ["y"]]
+
+
+def test_heads_have_the_reference_sizes(spark):
+    from osseo.operators.heads import heads
+
+    boosted, linear, forest = (p.getStages()[-1] for p in heads("y", 200.0))
+    assert boosted.getMaxIter() == 150 and forest.getNumTrees() == 300 and forest.getFeatureSubsetStrategy() == "0.5"
+    assert abs(linear.getRegParam() - 1 / 60) < 1e-12
