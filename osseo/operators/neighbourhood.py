@@ -91,10 +91,10 @@ def distance(mask: np.ndarray) -> np.ndarray:
 
 
 def bone_mask(normal: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """frame_id, y, x, z, m: the top class after closing, hole filling and opening; thresholds has t2 in 256ths."""
+    """frame_id, y, x, z, m: the top class after closing, hole filling and opening; thresholds has t2, the last bin of 256 below it."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _image(pdf.assign(top=pdf.z * 256 > pdf.t2), "top", bool)
+        m = _image(pdf.assign(top=np.minimum(np.floor(pdf.z * 256), 255) > pdf.t2), "top", bool)
         tall = [(dy, dx) for dy in range(-10, 11) for dx in range(-1, 2)]
         m = eroded(dilated(m, tall), tall)
         m = filled(eroded(dilated(m, ellipse(9)), ellipse(9)))

@@ -51,18 +51,19 @@ def bright_mask(pixels: DataFrame, share: float = 0.8) -> DataFrame:
 def multi_otsu(pixels: DataFrame, bins: int = 256) -> DataFrame:
     """frame_id, t1, t2: the bins that separate three classes with the greatest between-class variance (first wins).
 
+    With two occupied bins both are the two-class threshold, the lower bin; a constant frame has its one bin (nothing above it).
     The search runs over the histogram, bins * bins / 2 pairs a frame, not over pixels.
     """
     counts = normalise(pixels).groupBy(FRAME, F.least(F.floor(F.col("z") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(FRAME).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cumulated = counts.select(FRAME, "bin", F.sum("n").over(w).cast("double").alias("cn"), F.sum(F.col("n") * F.col("bin")).over(w).cast("double").alias("cs"))
-    whole = cumulated.groupBy(FRAME).agg(F.max("cn").alias("tn"), F.max("cs").alias("ts"), F.max("bin").alias("last"))
+    whole = cumulated.groupBy(FRAME).agg(F.max("cn").alias("tn"), F.max("cs").alias("ts"), F.max("bin").alias("last"), F.min("bin").alias("first"))
     a = cumulated.select(FRAME, F.col("bin").alias("t1"), F.col("cn").alias("n1"), F.col("cs").alias("s1"))
     b = cumulated.select(FRAME, F.col("bin").alias("t2"), F.col("cn").alias("n2"), F.col("cs").alias("s2"))
     pairs = a.join(b, FRAME).join(whole, FRAME).where("t1 < t2 AND t2 < last")
     between = F.expr("s1 * s1 / n1 + (s2 - s1) * (s2 - s1) / (n2 - n1) + (ts - s2) * (ts - s2) / (tn - n2)")
     best = pairs.groupBy(FRAME).agg(F.min(F.struct((-F.round(between, 6)).alias("score"), "t1", "t2")).alias("b"))
-    return best.select(FRAME, F.col("b.t1").alias("t1"), F.col("b.t2").alias("t2"))
+    return whole.join(best, FRAME, "left").select(FRAME, *(F.coalesce(f"b.{t}", "first").alias(t) for t in ("t1", "t2")))
 
 
 def row_profile(masked: DataFrame) -> DataFrame:
@@ -77,19 +78,19 @@ def column_profile(masked: DataFrame) -> DataFrame:
 
 
 def silhouette(masked: DataFrame) -> DataFrame:
-    """Bounding box, fill, aspect, margins, border contact and intensities of each frame's mask."""
+    """Bounding box, fill, aspect, margins, border contact and intensities of each frame's mask; empty is 1 (and the rest null or 0) without mask pixels."""
     size = masked.groupBy(FRAME).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.avg(F.when(~F.col("m"), F.col("z"))).alias("bg_mean"))
     box = masked.where("m").groupBy(FRAME).agg(
         *(f(c).alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, 0), (F.max, 1))),
         F.count("*").alias("n"), F.avg("z").alias("int_mean"), F.stddev_pop("z").alias("int_std"), F.percentile("z", F.lit(0.95)).alias("int_p95"), F.avg((F.col("z") >= 0.999).cast("double")).alias("saturated_frac"),
     )
-    both = box.join(size, FRAME)
+    both = size.join(box, FRAME, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     bw, bh = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     one = lambda c: c.cast("double")
     return both.select(
         FRAME, (F.col("n") / (F.col("w") * F.col("h"))).alias("area_frac"), (bh / bw).alias("bbox_aspect"), (F.col("n") / (bw * bh)).alias("fill"), (bw / F.col("w")).alias("col_span"), (bh / F.col("h")).alias("row_span"),
         (F.col("y0") / F.col("h")).alias("margin_top_frac"), ((F.col("h") - 1 - F.col("y1")) / F.col("h")).alias("margin_bottom_frac"), (F.col("x0") / F.col("w")).alias("margin_left_frac"), ((F.col("w") - 1 - F.col("x1")) / F.col("w")).alias("margin_right_frac"),
-        one(F.col("y0") <= 1).alias("touch_top"), one(F.col("y1") >= F.col("h") - 2).alias("touch_bottom"), "int_mean", "int_std", "int_p95", (F.col("int_mean") - F.col("bg_mean")).alias("contrast"), "saturated_frac", "bg_mean",
+        one(F.col("y0") <= 1).alias("touch_top"), one(F.col("y1") >= F.col("h") - 2).alias("touch_bottom"), "int_mean", "int_std", "int_p95", (F.col("int_mean") - F.col("bg_mean")).alias("contrast"), "saturated_frac", "bg_mean", one(F.col("n") == 0).alias("empty"),
     )
 
 
@@ -102,13 +103,17 @@ def axis_orientation(masked: DataFrame) -> DataFrame:
     return c.select(FRAME, F.when(angle > 90, 180 - angle).otherwise(angle).alias("axis_deg"), (4 * F.sqrt(lam)).alias("length"))
 
 
-def centre_line(rows: DataFrame, least_rows: int = 40) -> DataFrame:
-    """Tilt, bend and width statistics of the line through the row centres; empty_spine where there are too few rows."""
+def centre_line(rows: DataFrame, least_rows: int = 40, frames: DataFrame | None = None) -> DataFrame:
+    """Tilt, bend and width statistics of the line through the row centres; empty_spine where there are too few rows.
+
+    ``frames``: the frame_ids to give a row each, as frames with an empty mask have no rows at all.
+    """
     line = rows.groupBy(FRAME).agg(F.regr_slope("cx", "y").alias("slope"), F.regr_intercept("cx", "y").alias("icpt"), F.count("*").alias("n"), F.median(F.col("x_max") - F.col("x_min") + 1).alias("width"))
     cells = rows.join(line, FRAME).withColumn("res", F.col("cx") - F.col("slope") * F.col("y") - F.col("icpt")).withColumn("third", F.ntile(3).over(Window.partitionBy(FRAME).orderBy("y")))
     thirds = cells.groupBy(FRAME, "third").agg(F.regr_slope("cx", "y").alias("s")).groupBy(FRAME).agg((F.max("s") - F.min("s")).alias("spread"), (F.max(F.sign("s")) - F.min(F.sign("s"))).alias("signs"))
     bend = cells.groupBy(FRAME).agg(F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rms"), F.max(F.abs("res")).alias("most"))
     out = line.join(bend, FRAME).join(thirds, FRAME)
+    out = out if frames is None else frames.select(FRAME).distinct().join(out, FRAME, "left")
     enough = F.col("n") >= least_rows
     return out.select(
         FRAME, F.when(enough, 0.0).otherwise(1.0).alias("empty_spine"), F.when(enough, F.abs(F.degrees(F.atan("slope")))).alias("tilt_deg"), F.when(enough, F.col("rms") / (F.col("width") + 1e-6)).alias("curv_rms_norm"),

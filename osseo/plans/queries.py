@@ -296,9 +296,9 @@ QUERIES = {
     "otsu_threshold": _on_pixels(P.multi_otsu),
     "row_profile": _on_rows(lambda r: r),
     "col_profile": _on_mask(P.column_profile),
-    "silhouette_geometry": _on_mask(P.silhouette),
+    "silhouette_geometry": _on_mask(lambda m: P.silhouette(m).drop("empty")),  # columns of the SQL
     "axis_orientation": _on_mask(P.axis_orientation),
-    "centerline_regression": _on_rows(P.centre_line),
+    "centerline_regression": _on_mask(lambda m: P.centre_line(P.row_profile(m), frames=m)),
     "column_tilt": _on_rows(P.column_tilt),
     "anatomy_visibility": _on_mask(P.visibility),
     "masked_fov": _on_mask(P.field_of_view),

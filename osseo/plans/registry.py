@@ -59,7 +59,7 @@ def features_long(masked: DataFrame, region: str) -> DataFrame:
     return out
 
 
-register(FeatureSet("geometry", lambda d: P.silhouette(d["masked"])))
+register(FeatureSet("geometry", lambda d: P.silhouette(d["masked"]).drop("empty")))
 register(FeatureSet("axis", lambda d: P.axis_orientation(d["masked"])))
 register(FeatureSet("visibility", lambda d: P.visibility(d["masked"])))
 register(FeatureSet("spine_axis", lambda d: P.centre_line(d["rows"]), ("spine",), ("rows",)))

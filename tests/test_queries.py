@@ -156,3 +156,17 @@ def test_heads_have_the_reference_sizes(spark):
     boosted, linear, forest = (p.getStages()[-1] for p in heads("y", 200.0))
     assert boosted.getMaxIter() == 150 and forest.getNumTrees() == 300 and forest.getFeatureSubsetStrategy() == "0.5"
     assert abs(linear.getRegParam() - 1 / 60) < 1e-12
+
+
+def test_frames_without_three_levels_stay(spark):
+    two = np.zeros((64, 64))
+    two[20:44, 20:44] = 1
+    ramp = np.add.outer(np.arange(64), np.arange(64)).astype(float)
+    frames = image(spark, np.full((64, 64), 7.0), 1).union(image(spark, two, 2)).union(image(spark, ramp, 3))
+    assert {(r.frame_id, r.t1, r.t2) for r in P.multi_otsu(frames).collect() if r.frame_id < 3} == {(1, 0, 0), (2, 0, 0)}
+    n = {r.frame_id: r.n for r in queries.bone_mask_stats(frames).collect()}
+    assert n[1] == 0 and abs(n[2] - 24 * 24) < 30 and n[3] > 0
+    masked = P.bright_mask(frames)
+    shape = {r.frame_id: (r.empty, r.area_frac) for r in P.silhouette(masked).collect()}
+    assert shape[1] == (1, 0) and shape[2][0] == shape[3][0] == 0
+    assert {r.frame_id: r.empty_spine for r in P.centre_line(P.row_profile(masked), 20, masked).collect()} == {1: 1, 2: 0, 3: 0}
