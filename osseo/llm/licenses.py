@@ -1,9 +1,10 @@
 """Operator 10, license scans: fuzzy search for short notices.
 
-A notice of length n may have n // 12 edits (6 at most). Split into one piece more than that, it leaves one piece unchanged
-in every place that matches, so an automaton over all pieces finds every candidate place; there the regex library's
-bounded-error matching verifies the notice and gives its span and edits. Texts are compared as their words (lower case,
-joined by single spaces), so spans are counted in words.
+A notice may have one edit per 12 letters (6 at most), but its naming words, those that tell one license from another, must
+stand exactly. Split into one piece more than it may have edits, it leaves one piece unchanged in every place that matches, so
+an automaton over all pieces finds every candidate place; there the regex library's bounded-error matching verifies the words
+between the naming ones and gives the span and its edits. Texts are compared as their words (lower case, joined by single
+spaces), so spans are counted in words.
 
 Defined results: null and empty texts have no words, no labels and score 0; texts of any length are searched whole; a notice
 that occurs again and again is one label; repeated rows get equal results; further columns are ignored.
@@ -19,21 +20,29 @@ from osseo.llm.rows import map_texts, table
 
 # The phrases that the contract names, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Short notices as words, by label.
+# Short notices as words, by label; naming words in braces.
 NOTICES = [
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
+    ("mit", "released under the {mit} license"),
+    ("mit", "licensed under the {mit} license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "licensed under the gnu general public license"),
-    ("gpl", "under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license"),
+    ("apache", "licensed under the {apache} license version {2 0}"),
+    ("apache-1.1", "licensed under the {apache} license version {1 1}"),
+    ("gpl", "licensed under the {gnu general public} license"),
+    ("gpl", "under the terms of the {gnu general public} license as published by the free software foundation"),
+    ("lgpl", "licensed under the {gnu lesser general public} license"),
+    ("agpl", "licensed under the {gnu affero general public} license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "subject to the terms of the mozilla public license"),
+    ("mpl", "subject to the terms of the {mozilla public} license"),
+    ("mpl", "released under the {mpl} license"),
+    ("mpl", "licensed under the {mpl} license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by", "licensed under {cc by 4 0}"),
+    ("cc-by", "licensed under a creative commons {attribution 4 0} international license"),
+    ("cc-by-nc", "licensed under {cc by nc 4 0}"),
+    ("cc-by-sa", "licensed under {cc by sa 4 0}"),
+    ("cc-by-nd", "licensed under {cc by nd 4 0}"),
+    ("cc-by-nc-sa", "licensed under {cc by nc sa 4 0}"),
+    ("cc-by-nc-nd", "licensed under {cc by nc nd 4 0}"),
     ("unlicense", "free and unencumbered software released into the public domain"),
 ]
 LETTERS_PER_EDIT = 12
@@ -52,9 +61,13 @@ class Scanner:
     def __init__(self, notices: list[tuple[str, str]]):
         self.notices = []
         seeds: dict[str, list[tuple[int, int]]] = {}
-        for k, (label, notice) in enumerate(notices):
+        for k, (label, marked) in enumerate(notices):
+            notice = marked.translate({ord("{"): None, ord("}"): None})
             edits = min(MOST_EDITS, len(notice) // LETTERS_PER_EDIT)
-            self.notices.append((label, notice, edits, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")))
+            # odd parts are naming words; each other part has the notice's edits, and all of them together no more
+            parts = regex.split("[{}]", marked)
+            made = "".join(rf"(?<![^ ]){p}(?![^ ])" if i % 2 else f"(?:{p}){{e<={edits}}}" if p else "" for i, p in enumerate(parts))
+            self.notices.append((label, notice, edits, regex.compile(f"(?b){made}")))
             cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(notice[a:b], []).append((k, a))
@@ -73,7 +86,7 @@ class Scanner:
             if done[0] == k and at + len(notice) <= done[1]:  # within a place of the same notice that is verified
                 continue
             lo, hi = max(0, at - edits), min(len(words), at + len(notice) + edits)
-            if hi - lo >= len(notice) - edits and (m := pattern.search(words, lo, hi)):
+            if hi - lo >= len(notice) - edits and (m := pattern.search(words, lo, hi)) and sum(m.fuzzy_counts) <= edits:
                 found.setdefault((label, m.start(), m.end()), sum(m.fuzzy_counts))
                 done = (k, m.end())
         return [(*span, e) for span, e in sorted(found.items(), key=lambda x: (x[0][1], x[0]))]
@@ -128,4 +141,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("base.label")).alias("base_labels"),
         joined(F.concat("base.label", "spans.label")).alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("spans.score"), F.lit(0.0))).alias("score"),
+        F.expr("array_join(transform(spans, s -> concat_ws(':', s.label, s.first_word, s.last_word, s.edits)), ',')").alias("spans"),
     )
