@@ -1,10 +1,11 @@
 """Operator 4, exact top-k inner products by the threshold algorithm.
 
-Candidates are cut into blocks. A block sorts its rows once per dimension; for a query the lists are read from the end that
-the sign of the query's component favours, step by step and all dimensions side by side. Rows met are scored whole. No unmet
-row can exceed the bound, the sum of the query's components times the values at the reading positions; reading stops once
-the k-th score is above the bound (not merely equal: an unmet row might tie with a smaller id).
-Every block meets every block of queries as one task of bounded size; a query's k best of each block meet in a window.
+Candidates are cut into blocks and stay there; queries come by as a stream. A block sorts its rows once per dimension; for a
+query the lists are read from the end that the sign of the query's component favours, in steps whose length follows the size
+of that component. Rows met are scored whole. No unmet row can exceed the bound: the greatest product with the query of any
+vector whose components are at most the values at the reading positions and whose length is at most that of the block's
+longest row. Reading stops once the k-th score is above the bound (not merely equal: an unmet row might tie with a smaller
+id) or no row is unmet. A query's k best of each block meet in a window, with the number of rows that were scored for it.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; only vectors of one length are
 compared; repeated rows (same vec_id and vector) count once; rows with the query's vec_id are not its candidates; ties go to
@@ -13,15 +14,16 @@ the smaller vec_id; a query without candidates gives no row; a null vec_id takes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from osseo.llm.rows import table
 
-#: Rows of a block of candidates, and of queries (in expectation; rows are dealt by a hash).
+#: Rows of a block of candidates (in expectation; rows are dealt by a hash).
 BLOCK = 8192
-QUERIES = 2048
 
 
 class Block:
@@ -32,29 +34,42 @@ class Block:
         self.ids, self.v = ids[by_id], vectors[by_id]
         self.order = np.argsort(self.v, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.v, self.order, 0)
-        self.exact = float(np.abs(self.v).max(initial=0))
         self.f = self.v.astype(np.float64)
+        self.longest = float(np.sqrt((self.f * self.f).sum(1).max(initial=0)))
+        self.exact = float(np.abs(self.v).max(initial=0))
 
-    def best(self, query: np.ndarray, own: int, k: int, step: int = 32) -> tuple[np.ndarray, np.ndarray, int]:
+    def bound(self, weight: np.ndarray, caps: np.ndarray) -> float:
+        """The greatest sum of weight * x over vectors x of length ``longest`` with x <= caps; weights are positive.
+
+        With caps from 0 on, the best x is min(caps, s * weight) for one s; a negative cap is paid in full, the rest is as if alone.
+        """
+        below = float(weight @ np.minimum(caps, 0))
+        free = np.maximum(caps, 0)
+        order = np.argsort(free / weight)
+        w, c = weight[order], free[order]
+        capped = np.concatenate([[0.0], np.cumsum(c * c)])
+        left = np.concatenate([np.cumsum((w * w)[::-1])[::-1], [0.0]])
+        reach = np.concatenate([[0.0], np.cumsum(w * c)])
+        # with the first j components at their caps, the others share what length is left
+        rest = np.sqrt(np.maximum(self.longest**2 - capped, 0) * left)
+        return below + float((reach + rest).min() if capped[-1] > self.longest**2 else min(reach[-1], (reach + rest).min()))
+
+    def best(self, query: np.ndarray, own: int, k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the k best candidates for the query (not ``own``), and how many rows were scored."""
         n, dims = self.v.shape
         fast = self.exact * float(np.abs(query).max(initial=0)) * max(1, dims) < 2**53
         live = np.flatnonzero(query)
-        down = query[live] > 0
+        down, weight = query[live] > 0, np.abs(query[live]).astype(np.float64)
+        pace = weight / weight.max(initial=1)
         seen = np.zeros(n, bool)
         top_ids, top_scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth, scored, q = 0, 0, query.astype(np.float64)
+        depth, scored, q = np.zeros(len(live), np.int64), 0, query.astype(np.float64)
         while True:
-            upto = min(n, depth + step) if len(live) else n
-            if len(live):
-                met = np.zeros(n, bool)
-                met[self.order[n - upto : n - depth, live[down]]] = True
-                met[self.order[depth:upto, live[~down]]] = True
-                new = np.flatnonzero(met & ~seen)
-            else:
-                new = np.arange(n)
-            if 2 * len(new) + 2 * scored > n and upto < n:  # most rows are met anyway: score the rest as well
-                new, upto = np.flatnonzero(~seen), n
+            upto = np.minimum(n, depth + np.ceil(step * pace).astype(np.int64))
+            met = np.full(n, not len(live))  # a query of zeros has no list: all rows score 0
+            for d, high, a, b in zip(live.tolist(), down.tolist(), depth.tolist(), upto.tolist()):
+                met[self.order[n - b : n - a, d] if high else self.order[a:b, d]] = True
+            new = np.flatnonzero(met & ~seen)
             seen[new] = True
             scored += len(new)
             s = np.rint(self.f[new] @ q).astype(np.int64) if fast else self.v[new] @ query
@@ -63,13 +78,12 @@ class Block:
             top_ids, top_scores = np.concatenate([top_ids, ids[keep]]), np.concatenate([top_scores, s[keep]])
             at = np.lexsort((top_ids, -top_scores))[:k] if len(top_ids) <= 4 * k else _first(top_ids, top_scores, k)
             top_ids, top_scores = top_ids[at], top_scores[at]
-            if upto == n:
+            if scored == n:
                 return top_ids, top_scores, scored
-            at_high, at_low = self.sorted[n - upto, live[down]], self.sorted[upto - 1, live[~down]]
-            bound = int(at_high @ query[live[down]]) + int(at_low @ query[live[~down]])
-            if len(top_ids) == k and top_scores[-1] > bound:
+            caps = np.where(down, self.sorted[np.maximum(n - upto, 0), live], -self.sorted[np.minimum(upto, n) - 1, live])
+            if len(top_ids) == k and top_scores[-1] > self.bound(weight, caps.astype(np.float64)) + 1e-6 * self.longest * (1 + weight.sum()):
                 return top_ids, top_scores, scored
-            depth, step = upto, step * 2
+            depth, step = upto, step * 4
 
 
 def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -79,28 +93,44 @@ def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score; both inputs have vec_id and v, an array of long without nulls."""
-    rows = vectors.dropDuplicates(["vec_id", "v"]).withColumn("dims", F.size("v"))
-    asked = queries.dropDuplicates(["vec_id", "v"]).withColumn("dims", F.size("v"))
-    blocks, groups = (max(1, -(-n // size)) for n, size in ((vectors.count(), block), (queries.count(), query_block)))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    # each candidate goes to every block of queries and each query to every block of candidates; a task holds one of each
-    left = rows.withColumn("b", deal(blocks)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("g", deal(groups)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(cands: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(cands) and len(asks):
-            held = Block(cands.vec_id.to_numpy(), np.stack(cands.v.to_numpy()).astype(np.int64))
-            for own, q in zip(asks.vec_id.tolist(), asks.v, strict=True):
-                ids, scores, _ = held.best(np.asarray(q, np.int64), own, k)
-                out += zip([own] * len(ids), ids.tolist(), scores.tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    best = left.groupBy("b", "g", "dims").cogroup(right.groupBy("b", "g", "dims")).applyInPandas(search, "query_id long, vec_id long, score long")
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score, and how many rows were scored for the query; both inputs have vec_id and v, an array of long without nulls."""
+    asked = queries.dropDuplicates(["vec_id", "v"])
+    blocks = max(1, -(-vectors.count() // block))
+    # a candidate goes to its block only, after which the queries (which every candidate must meet) stream by
+    left = vectors.dropDuplicates(["vec_id", "v"]).select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("asks"), "vec_id", "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("asks"), "vec_id", "v")
+    both = left.unionByName(right).withColumn("dims", F.size("v"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, lists = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("b", "dims", "asks")], 1)
+            ids = batch.column("vec_id").to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            out: list[tuple] = []
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if hi == lo:
+                    continue
+                b, dims, asks = keys[lo].tolist()
+                if key != (b, dims):
+                    key, held, lists = (b, dims), [], None
+                v = batch.column("v").slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, dims)
+                if not asks:
+                    held.append((ids[lo:hi], v))
+                elif held:
+                    lists = lists or Block(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]))
+                    for own, q in zip(ids[lo:hi].tolist(), v):
+                        got, scores, scored = lists.best(q, own, k)
+                        out += zip([own] * len(got), got.tolist(), scores.tolist(), [scored] + [0] * (len(got) - 1), strict=True) if len(got) else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["query_id", "vec_id", "score", "scored"])
+
+    dealt = both.repartition("b", "dims").sortWithinPartitions("b", "dims", "asks")
+    best = dealt.mapInArrow(search, "query_id long, vec_id long, score long, scored long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = best.withColumn("rank", F.row_number().over(order)).withColumn("scored", F.sum("scored").over(Window.partitionBy("query_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "scored")
 
 
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
@@ -111,7 +141,7 @@ def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(table(spark, sf_dir, "embeddings"))
-    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0")).drop("scored")
 
 
 OP4_SQL = """
