@@ -4,17 +4,20 @@ Training counts n-grams per language in Spark (partial counts per partition, the
 log-probability matrix, languages x buckets, is broadcast and each batch is scored as a sparse row times that matrix.
 
 Defined results: a null text or one without any letter gets ``und`` and score 0; ties go to the language that sorts first;
-a very long text counts whole, in pieces; repeated rows are predicted alike; without any training row all texts get ``und``;
+a very long text counts whole, in steps that change no result; repeated rows are predicted alike; without any training row all texts get ``und``;
 a null doc_id is neither held out nor learned from; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from osseo.llm import rows
 from osseo.llm.rows import bounded_sample, chunks, map_texts, table
 
 BUCKETS = 1 << 16
@@ -23,47 +26,40 @@ TRAIN_ROWS = 20_000
 #: Bytes that the broadcast matrix may have.
 MODEL_BYTES = 256 << 20
 _LETTER = regex.compile(r"\p{L}")
-_PIECE = 1_000_000
+#: Log-probabilities are kept as integers in this unit, so that sums over a text are exact in any order.
+UNIT = 1 << 20
 
 
-def ngrams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For bigrams and trigrams: the bucket of each position, and first and end position of each text.
+def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bigrams and trigrams by steps of positions: their buckets, and where those of each text begin and end in the step.
 
-    Texts are lower-cased and padded by a space before and two after, so that no n-gram spans two texts.
+    Texts are lower-cased and padded by a space before and two after, so that no n-gram spans two texts. A step holds
+    CHUNK_CHARS positions at most, and n-grams across steps are whole, so the size of a step changes no sum over them.
     """
     blocks = [f" {t.lower()}  " for t in texts]
     c = np.frombuffer("".join(blocks).encode("utf-32-le"), np.uint32)
     off = np.concatenate(([0], np.cumsum([len(b) for b in blocks]))).astype(np.int64)
-    two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)
-    three = two[:-1] + c[2:] * np.uint32(0xC2B2AE3D) + np.uint32(0x27D4EB2F)
-    out = []
-    for h, n in ((two, 2), (three, 3)):
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        out.append(((h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1), off[:-1], off[1:] - n + 1))
-    return out
-
-
-def _cut(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    out, owner = [], []
-    for i, t in enumerate(texts):
-        for k in range(0, max(len(t), 1), _PIECE):
-            out.append(t[k : k + _PIECE])
-            owner.append(i)
-    return out, np.array(owner, np.int64)
+    for lo in range(0, len(c), rows.CHUNK_CHARS):
+        part = c[lo : lo + rows.CHUNK_CHARS + 2]
+        two = part[:-1] * np.uint32(0x9E3779B1) + part[1:] * np.uint32(0x85EBCA77)
+        three = two[:-1] + part[2:] * np.uint32(0xC2B2AE3D) + np.uint32(0x27D4EB2F)
+        for h, n in ((two, 2), (three, 3)):
+            h = h[: rows.CHUNK_CHARS]
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            yield (h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1), np.clip(off[:-1] - lo, 0, len(h)), np.clip(off[1:] - n + 1 - lo, 0, len(h))
 
 
 def train(labelled: DataFrame, alpha: float = 0.1, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and their log-probabilities by bucket with the log prior as the last row; ``labelled`` has doc_id, text, lang."""
-    rows = bounded_sample(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), "doc_id", train_rows).select("lang", "text")
+    """Languages, and their log-probabilities (in UNIT) by bucket with the log prior as the last row; ``labelled`` has doc_id, text, lang."""
+    sample = bounded_sample(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), "doc_id", train_rows).select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lo, hi, texts in chunks(batch.column("text").to_pylist()):
-                parts, owner = _cut(texts)
-                own = [langs[lo + i] for i in owner]
-                for bucket, first, end in ngrams(parts):
+                own = langs[lo:hi]
+                for bucket, first, end in ngrams(texts):
                     for lang in set(own):
                         into = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                         into[:BUCKETS] += np.bincount(np.concatenate([bucket[f:e] for f, e, o in zip(first, end, own, strict=True) if o == lang]), minlength=BUCKETS)
@@ -73,7 +69,7 @@ def train(labelled: DataFrame, alpha: float = 0.1, train_rows: int = TRAIN_ROWS)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     per_lang = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("b"))  # at most BUCKETS + 1 entries each
     got = {r.lang: r.b for r in per_lang.toLocalIterator()}
     langs = sorted(got)
@@ -84,20 +80,18 @@ def train(labelled: DataFrame, alpha: float = 0.1, train_rows: int = TRAIN_ROWS)
         for bucket, times in got[lang]:
             n[bucket, k] = times
     docs, grams = n[BUCKETS], n[:BUCKETS] + alpha
-    return langs, np.vstack([np.log(grams / grams.sum(0)), np.log(docs / docs.sum())[None]]).astype(np.float32) if langs else np.zeros((BUCKETS + 1, 0), np.float32)
+    return langs, np.rint(UNIT * np.vstack([np.log(grams / grams.sum(0)), np.log(docs / docs.sum())[None]])).astype(np.int32) if langs else np.zeros((BUCKETS + 1, 0), np.int32)
 
 
 def score(texts: list, langs: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and its posterior probability for each text."""
-    plain = [t or "" for t in texts]
-    parts, owner = _cut(plain)
-    total = np.repeat(logp[BUCKETS][None].astype(np.float64), len(plain), 0)
-    for bucket, first, end in ngrams(parts):
-        rows = logp[bucket]
-        sums = np.add.reduceat(rows, np.stack([first, end], 1).ravel()[: 2 * len(parts) - (end[-1] == len(bucket))], axis=0, dtype=np.float64)[::2]
-        np.add.at(total, owner, sums)
+    total = np.repeat(logp[BUCKETS][None].astype(np.int64), len(texts), 0)
+    for bucket, first, end in ngrams([t or "" for t in texts]):
+        sums = np.zeros((len(bucket) + 1, len(langs)), np.int64)
+        np.cumsum(logp[bucket], axis=0, out=sums[1:])
+        total += sums[np.maximum(end, first)] - sums[first]
     best = total.argmax(1)
-    p = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1)
+    p = 1 / np.exp((total - total.max(1, keepdims=True)) / UNIT).sum(1)
     known = np.array([bool(t and _LETTER.search(t)) for t in texts])
     return [langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, p, 0.0)
 

@@ -3,7 +3,8 @@
 Base entities (e-mail, ip, card, phone) are the seeds. What stands around a seed, two tokens before and the character after,
 is a lexical pattern. Patterns and the identifier-like strings that they surround form a graph, which Spark scores in turns:
 a pattern is as good as the mean of its instances (smoothed, in need of several seeds), an instance as good as its best
-pattern. Identifier-like strings under a high-confidence pattern are reported as well, as kind ``id``.
+pattern. Identifier-like strings (from six letters, digits, _ or -, a digit among them) under a high-confidence pattern are reported as
+well, as kind ``id``, and serve as seeds of the next round.
 
 The base patterns are written so that the regular expressions run in linear time: runs are taken whole (possessive) and only
 from their start, which leaves the matches as they are.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from osseo.llm.rows import packed, saved, table
+from osseo.llm.rows import packed, row_key, saved, spread_join, table
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns; a card is matched only where its whole run of digits has 16 to 19, an e-mail's local part
@@ -26,7 +27,7 @@ PATTERNS = {
     "ip": r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}",
     "card": r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "id": r"[A-Za-z0-9_](?<![A-Za-z0-9_-][A-Za-z0-9_])(?<=[0-9]|(?=[A-Za-z_-]{0,62}[0-9])[A-Za-z_])[A-Za-z0-9_-]{5,63}+(?![A-Za-z0-9_-])",
+    "id": r"[A-Za-z0-9_](?<![A-Za-z0-9_-][A-Za-z0-9_])(?<=[0-9]|(?=[A-Za-z_-]*+[0-9])[A-Za-z_])[A-Za-z0-9_-]{5,}+(?![A-Za-z0-9_-])",
 }
 # Texts without this have no match.
 NEEDS = {"email": "text LIKE '%@%'", "ip": "text RLIKE '[0-9][.][0-9]'", "card": "text RLIKE '[0-9]'", "phone": "text LIKE '%+%'", "id": "text RLIKE '[0-9]'"}
@@ -43,7 +44,8 @@ VALID = {
 #: A pattern needs so many different seeds, and this smoothed share of seeds among its instances.
 LEAST_SEEDS = 3
 CONFIDENT = 0.8
-ROUNDS = 3
+#: Rounds at most; they end when a round finds no new confident pattern.
+ROUNDS = 20
 
 
 def _spans(kind: str) -> str:
@@ -51,7 +53,9 @@ def _spans(kind: str) -> str:
 
     The fold keeps the position in code points; start and end, the matched value and its context come out.
     """
-    context = f"""concat(translate(lower(regexp_extract(right({kind}_p[i - 1], 40), '((?:\\\\S+\\\\s+)?\\\\S*)\\\\z', 1)), '123456789', '000000000'), '|', left({kind}_p[i], 1))"""
+    # white space counts as one space; a context of more than 80 characters stands as its hash, so no context is cut
+    words = f"translate(lower(substring_index(regexp_replace({kind}_p[i - 1], '[\\\\x20\\\\x09-\\\\x0D]+', ' '), ' ', -2)), '123456789', '000000000')"
+    context = f"concat(CASE WHEN char_length({words}) > 80 THEN sha2({words}, 256) ELSE {words} END, '|', left({kind}_p[i], 1))"
     return f"""
     CASE WHEN size({kind}_m) > 0 THEN filter(aggregate(sequence(1, size({kind}_m)),
       named_struct('pos', 0, 'out', CAST(array() AS array<struct<kind: string, start: int, end: int, value: string, pattern: string>>)),
@@ -63,7 +67,7 @@ def _spans(kind: str) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """rk, doc_id, base (spans by kind and start) and ids (identifier-like strings that touch no base span) of each row."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
     found = []
     for kind, pattern in PATTERNS.items():
         has = F.expr(NEEDS[kind])
@@ -74,23 +78,38 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The patterns (one column) that the graph scores as confident."""
+    """The patterns (one column) that the graph scores as confident.
+
+    What a confident pattern surrounds is a seed of the next round, so patterns around discovered identifiers count as well.
+    Worth and confidence only rise, and the rounds end when the confident patterns stay.
+    """
     of = lambda spans, seed: scanned.select(F.explode(spans).alias("x")).select("x.pattern", "x.value", F.lit(seed).alias("seed"))
     edges = saved(of("base", 1.0).unionByName(of("ids", 0.0)).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    worth = edges.select("value", F.col("seed").alias("worth")).groupBy("value").agg(F.max("worth").alias("worth"))
+    worth = edges.groupBy("value").agg(F.max("seed").alias("worth"), F.count("*").alias("n"))
+    before = -1
     for _ in range(rounds):
-        scored = edges.join(worth, "value").groupBy("pattern").agg((F.sum("worth") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
+        # the hot keys of both joins, a common pattern and a value that stands everywhere, are broadcast
+        scored = spread_join(edges, saved(worth), ["value"]).groupBy("pattern").agg(
+            (F.sum("worth") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("worth") >= CONFIDENT).alias("seeds"), F.count("*").alias("n")
+        )
         scored = saved(scored)
-        worth = edges.join(scored, "pattern", "left").groupBy("value").agg(F.greatest(F.max("seed"), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("worth"))
-    return scored.where(F.col("confidence") >= CONFIDENT).select("pattern")
+        good = scored.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENT))
+        found = good.count()
+        if found == before:
+            break
+        before = found
+        best = F.greatest(F.max("seed"), F.max(F.when(F.col("seeds") >= LEAST_SEEDS, F.col("confidence")).otherwise(0.0)))
+        worth = spread_join(edges, scored, ["pattern"]).groupBy("value").agg(best.alias("worth"), F.count("*").alias("n"))
+    return good.select("pattern")
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """rk, doc_id, base and found (what confident patterns discover) of each row; ``docs`` has doc_id and text."""
     scanned = saved(scan(docs))
     good = confident_patterns(scanned, rounds)
-    loose = scanned.select("rk", F.explode("ids").alias("x"))
-    more = loose.join(good, F.col("x.pattern") == good.pattern).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("x.start", "x.end"))).alias("found"))  # no more than a text has
+    loose = scanned.select("rk", F.explode("ids").alias("x")).select("rk", "x", "x.pattern")
+    counted = saved(loose.groupBy("pattern").agg(F.count("*").alias("n")).join(good, "pattern"))
+    more = spread_join(loose, counted, ["pattern"]).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("x.start", "x.end"))).alias("found"))  # no more than a text has
     none = F.expr("CAST(array() AS array<struct<start: int, end: int>>)")
     return scanned.join(more, "rk", "left").select("rk", "doc_id", "base", F.coalesce("found", none).alias("found"))
 
@@ -108,8 +127,9 @@ def redact(docs: DataFrame) -> DataFrame:
         CASE WHEN x.s >= a.at THEN concat(a.out, substr(text, a.at + 1, x.s - a.at), '[', upper(x.k), ']') ELSE a.out END),
         a -> concat(a.out, substr(text, a.at + 1)))""")
     out = joined.select("row", "spans", F.when(F.col("spans").isNotNull(), masked).alias("masked"))
-    new = {"text": F.col("masked"), "n_chars": F.char_length("masked").cast("long")}
-    return out.select(*(F.when(F.col("spans").isNull(), F.col(f"row.`{c}`")).otherwise(new[c]).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
+    new = {"text": F.col("masked"), "n_chars": F.char_length("masked")}
+    old = lambda f: F.col("row").getField(f.name)
+    return out.select(*(F.when(F.col("spans").isNull(), old(f)).otherwise(new[f.name].cast(f.dataType)).alias(f.name) if f.name in new else old(f).alias(f.name) for f in docs.schema.fields))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from osseo.llm.rows import bounded_sample, byte_class, map_texts, pieces, span_hashes, table, word_spans
+from osseo.llm.rows import bounded_sample, byte_class, map_texts, span_hashes, table, word_spans
 
 BUCKETS = 1 << 14
 #: Documents that the scorer's fit reads at most (in expectation; chosen by a hash of doc_id). The vote counts read all.
@@ -24,7 +24,6 @@ TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
 SMOOTHING = 10
 _WORD_BYTE = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
-_LINE_BYTE = byte_class(lambda b: b != 0x0A)
 _LETTER, _UPPER, _DIGIT, _POINT, _SYMBOL, _SPACE = range(6)
 _KIND = np.array(
     [
@@ -45,10 +44,10 @@ def _per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> n
 
 def statistics(texts: list[str]) -> dict[str, np.ndarray]:
     """Shares and counts that the labellers look at, for each text."""
-    parts, of = pieces(texts)
-    data, starts, ends, at = word_spans(parts, _WORD_BYTE)
-    n, kind, owner = len(texts), _KIND[data], of[at]
-    of_byte = np.repeat(of, [len(p.encode()) + 1 for p in parts])
+    raw = [t.encode() for t in texts]
+    data, starts, ends, owner = word_spans(texts, _WORD_BYTE)
+    n, kind = len(texts), _KIND[data]
+    of_byte = np.repeat(np.arange(n), [len(r) + 1 for r in raw])
     kinds = np.bincount(of_byte * 6 + kind, minlength=n * 6).reshape(n, 6)
     hashes, words = span_hashes(data, starts, ends), _per_text(owner, n)
     same = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])]) if len(hashes) else np.zeros(0, bool)
@@ -57,12 +56,8 @@ def statistics(texts: list[str]) -> dict[str, np.ndarray]:
     letters = np.concatenate([[0], np.cumsum((kind <= _DIGIT).astype(np.int64))])
     bare = letters[ends] == letters[starts]
     tail = (kind[ends - 1] == _SYMBOL) if len(ends) else np.zeros(0, bool)
-    _, line_start, line_end, line_at = word_spans(parts, _LINE_BYTE)
-    line_hash, line_of = span_hashes(data, line_start, line_end), of[line_at]
-    long_line = line_end - line_start >= 20
-    line_by = np.lexsort((line_hash[long_line], line_of[long_line]))
-    lh, lo = line_hash[long_line][line_by], line_of[long_line][line_by]
-    again = np.concatenate([[False], (lh[1:] == lh[:-1]) & (lo[1:] == lo[:-1])]) if len(lh) else np.zeros(0, bool)
+    lines = [[x for x in r.split(b"\n") if len(x) >= 20] for r in raw]
+    again = np.array([len(x) - len({*x}) for x in lines], float)
     ended = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8)) if len(ends) else np.zeros(0, bool)
     shout = (data[ends - 1] == ord("!")) if len(ends) else np.zeros(0, bool)
     shown = np.maximum(kinds[:, :5].sum(1), 1)
@@ -75,7 +70,7 @@ def statistics(texts: list[str]) -> dict[str, np.ndarray]:
         "distinct_words": _per_text(owner[by], n, fresh) / np.sqrt(some),
         "exclamations": _per_text(owner, n, shout) / some,
         "bare_symbols": _per_text(owner, n, bare | tail) / some,
-        "repeated_lines": _per_text(lo, n, again) / np.maximum(_per_text(line_of[long_line], n), 1),
+        "repeated_lines": again / np.maximum([len(x) for x in lines], 1),
         "sentences": _per_text(owner, n, ended) / some,
     }
 
@@ -131,11 +126,10 @@ def shape_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     SMOOTHING words without a shape are added to each text, so that very short ones stay near the prior.
     A word's shape is its bytes by kind, runs collapsed; a word that equals the one before has a shape of its own.
     """
-    parts, of = pieces(texts)
-    data, starts, ends, at = word_spans(parts, _WORD_BYTE)
+    data, starts, ends, owner = word_spans(texts, _WORD_BYTE)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    shape, owner = _SHAPE[data], of[at]
+    shape = _SHAPE[data]
     first = np.zeros(len(data), bool)
     first[starts] = True
     keep = np.concatenate([[True], shape[1:] != shape[:-1]]) | first

@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from osseo.llm.rows import byte_class, chunks, map_texts, mix, powers, saved, span_hashes, table, word_spans, written
+from osseo.llm.rows import byte_class, chunks, map_texts, mix, powers, row_key, saved, span_hashes, spread_join, table, word_spans, written
 
 LENGTH = 50
 GRAM = 10
 _WORD_BYTE = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
+RK = ["doc_id", "t1", "t2"]
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -85,13 +86,13 @@ def _surveyed(length: int, gram: int):
 
 def survey(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, row key, number and hashes of all words, their digest, and the distinct anchors of each text."""
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
+    keyed = docs.select("doc_id", row_key().alias("rk"), "text")
     kinds = {"n_words": T.LongType(), "seq1": T.LongType(), "seq2": T.LongType(), "all_sha256": T.StringType(), "anchors": T.ArrayType(T.LongType())}
     return map_texts(keyed, kinds, _surveyed(length, gram))
 
 
 def _runs(length: int, gram: int):
-    """Rows (doc_id, rk, h1, h2, start) of the runs around the shared anchors of each text."""
+    """Rows (doc_id, t1, t2, h1, h2, start; the first three are the row key) of the runs around the shared anchors of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +116,8 @@ def _runs(length: int, gram: int):
                     of = np.repeat([lo + p[0] for p in parts], [len(p[1]) for p in parts])
                     joined = [np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(of)), batch.column("rk").take(pa.array(of)), pa.array(joined[1].view(np.int64)), pa.array((joined[2] >> np.uint64(33)).astype(np.int32)), pa.array(joined[0].astype(np.int32))],
-                        names=["doc_id", "rk", "h1", "h2", "start"],
+                        [*(batch.column(c).take(pa.array(of)) for c in RK), pa.array(joined[1].view(np.int64)), pa.array((joined[2] >> np.uint64(33)).astype(np.int32)), pa.array(joined[0].astype(np.int32))],
+                        names=[*RK, "h1", "h2", "start"],
                     )
 
     return run
@@ -140,7 +141,7 @@ def _cut(length: int):
                     removed.append(int(gone.sum()))
                     digests.append(sha256(kept).hexdigest())
                     texts.append(kept.decode())
-                yield pa.RecordBatch.from_arrays([part.column("rk"), pa.array(removed, pa.int64()), pa.array(digests), pa.array(texts)], names=["rk", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in RK), pa.array(removed, pa.int64()), pa.array(digests), pa.array(texts)], names=[*RK, "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -152,15 +153,16 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     first = long_rows.groupBy("seq1", "seq2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     copies = long_rows.join(first, ["seq1", "seq2"]).where("doc_id > lo").select("rk").distinct()
     seeds = long_rows.select("rk", "seq1", F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(F.min("seq1").alias("a"), F.max("seq1").alias("b")).where("a < b").select("anchor")
-    at = seeds.select("rk", "anchor").join(shared, "anchor").groupBy("rk").agg(F.collect_set("anchor").alias("shared"))  # no more than a text has
-    wanted = long_rows.select("rk", "doc_id").distinct().join(at, "rk").join(copies, "rk", "left_anti")
+    shared = saved(seeds.groupBy("anchor").agg(F.min("seq1").alias("a"), F.max("seq1").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n"))
+    at = spread_join(seeds.select("rk", "anchor"), shared, ["anchor"]).groupBy("rk").agg(F.collect_set("anchor").alias("shared"))  # no more than a text has
+    wanted = at.join(copies, "rk", "left_anti")
     # the one time that texts are dealt; what follows reads the rows with shared anchors only
-    texts = written(docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text").join(wanted.hint("merge"), "rk"))
-    runs = saved(texts.mapInArrow(_runs(length, gram), "doc_id long, rk long, h1 long, h2 int, start int"))
-    least = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    found = runs.join(least, ["h1", "h2"]).where("doc_id > lo").groupBy("rk").agg(F.collect_set("start").alias("starts"))  # no more than a text has
-    cut = texts.select("rk", "text").join(found.hint("merge"), "rk").mapInArrow(_cut(length), "rk long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["rk"])
+    texts = written(docs.select(row_key().alias("rk"), "text").join(wanted.hint("merge"), "rk").select("rk.*", "text", "shared"))
+    runs = saved(texts.mapInArrow(_runs(length, gram), "doc_id long, t1 long, t2 long, h1 long, h2 int, start int"))
+    least = saved(runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h1", "h2", "lo", "n"))
+    found = spread_join(runs, least, ["h1", "h2"]).where("doc_id > lo").groupBy(*RK).agg(F.collect_set("start").alias("starts"))  # no more than a text has
+    cut = texts.select(*RK, "text").join(found.hint("merge"), RK).mapInArrow(_cut(length), "doc_id long, t1 long, t2 long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(RK)
+    cut = cut.select(F.struct(*RK).alias("rk"), "n_removed", "kept_sha256", "kept_text")
     out = seen.select("rk", "doc_id", "n_words", "all_sha256").join(copies.withColumn("copy", F.lit(True)), "rk", "left").join(cut, "rk", "left")
     whole = F.coalesce("copy", F.lit(False))
     return out.select(

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: Characters that one vectorised step looks at; texts beyond it are cut into pieces or stand alone.
+#: Characters that one vectorised step looks at; texts beyond it stand alone.
 CHUNK_CHARS = 500_000
 
 
@@ -19,36 +19,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share, from the session's ``spark.checkpoint.dir``.
 
-    The folder comes from the session's ``spark.checkpoint.dir``; a temporary one is set only where none is (tests).
+    Where it is unset, a session on one machine (tests) gets a temporary folder; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    if found is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(found)
+    return context.getCheckpointDir()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share, for tables a job writes and reads again."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, an existing folder that is deleted when the application ends."""
+    _files(spark, path).deleteOnExit(_path(spark, path))
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library has written and nothing reads any more."""
+    _files(spark, path).delete(_path(spark, path), True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` by way of Parquet in the shared folder: compressed, unlike a checkpoint, so fit for texts."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(passing(df.sparkSession, path))
+
+
+def row_key() -> F.Column:
+    """doc_id and 128 bits of hash of the text: rows that share it are repeated rows."""
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """``row`` with all columns of ``docs``, so that no column of theirs can clash, beside ``rk`` (a hash of doc_id and text), doc_id and text."""
-    return docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
+    """``row`` with all columns of ``docs``, so that no column of theirs can clash, beside ``rk`` (row_key), doc_id and text."""
+    return docs.select(F.struct("*").alias("row"), row_key().alias("rk"), "doc_id", "text")
 
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:
@@ -61,8 +87,8 @@ def bounded_sample(df: DataFrame, key: str, most_rows: int, seed: int = 17) -> D
     n = df.count()
     if n <= most_rows:
         return df
-    share = int(most_rows / n * 1_000_000)
-    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1_000_000)) < share)
+    share = (most_rows << 62) // n
+    return df.where(F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), 2) < share)
 
 
 def map_texts(df: DataFrame, added: dict[str, T.DataType], fn: Callable[[list], dict], text: str = "text", drop_text: bool = True) -> DataFrame:
@@ -103,18 +129,20 @@ def chunks(texts: list) -> Iterator[tuple[int, int, list]]:
         yield lo, len(texts), texts[lo:]
 
 
-def pieces(texts: list[str], size: int = CHUNK_CHARS) -> tuple[list[str], np.ndarray]:
-    """The texts with very long ones cut at white space (or hard, if there is none), and the text each piece belongs to."""
-    out, owner = [], []
-    for i, t in enumerate(texts):
-        while len(t) > size:
-            cut = max(t.rfind(" ", size // 2, size), t.rfind("\n", size // 2, size)) + 1 or size
-            out.append(t[:cut])
-            owner.append(i)
-            t = t[cut:]
-        out.append(t)
-        owner.append(i)
-    return out, np.asarray(owner, dtype=np.int64)
+#: A key that holds more than one in so many rows of a join is a hot one; there are fewer than so many of them.
+HOT = 2_000
+
+
+def spread_join(big: DataFrame, by_key: DataFrame, keys: list[str], rows: str = "n") -> DataFrame:
+    """The inner join of ``big`` with ``by_key``, one row a key, whose column ``rows`` counts the rows of ``big`` with the key.
+
+    Rows of hot keys stay where they are: their side of ``by_key``, fewer than HOT rows, is broadcast. Others are shuffled.
+    Both inputs are read twice, so they should be saved ones.
+    """
+    total = by_key.agg(F.sum(rows)).first()[0] or 0
+    limit = max(total // HOT, 1_000)
+    hot, cold = by_key.where(F.col(rows) > limit).drop(rows), by_key.where(F.col(rows) <= limit).drop(rows)
+    return big.join(F.broadcast(hot), keys).unionByName(big.join(cold, keys))
 
 
 _P = 0x9E3779B97F4A7C15

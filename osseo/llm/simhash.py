@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from osseo.llm.rows import map_texts, saved, table
+from osseo.llm.rows import map_texts, saved, spread_join, table
 
 SHINGLE = 4
 SEED = 42
@@ -185,12 +185,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = print_of(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")))
         # large star: larger neighbours of u link to the smallest neighbour
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = saved(large)
         # small star: u (the larger end) and its smaller neighbours link to the smallest of them
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        low2 = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, low2, ["u"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = saved(small)
         before, last = print_of(edges), before
         if before == last:
@@ -207,9 +208,10 @@ def _rooted(prints: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without text, with ``fp`` and component_id, the smallest doc_id within reach of links."""
     known = saved(fingerprints(docs, shingle))
-    classes = _rooted(saved(known.groupBy("fp").agg(F.min("doc_id").alias("first"))), radius)
-    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return known.join(named, "fp")
+    classes = saved(_rooted(saved(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))), radius))
+    least = saved(classes.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    named = saved(spread_join(classes, least, ["root"]).select("fp", "rows", "component_id"))
+    return spread_join(known, named, ["fp"], "rows")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,14 +13,15 @@ a null doc_id is neither held out nor learned from; a label row counts for each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from osseo.llm.rows import bounded_sample, byte_class, chunks, map_texts, mix, pieces, small, span_hashes, table, word_spans
+from osseo.llm.rows import bounded_sample, byte_class, chunks, map_texts, mix, small, span_hashes, table, word_spans
 
 BUCKETS = 1 << 20
 FEATURES = 2048
@@ -52,15 +53,14 @@ _SENTENCE = regex.compile(r"[^.!?\n]+")
 
 def word_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Text number and bucket of each different word, and each different word beginning, of each text (lower case; whole texts)."""
-    parts, owner = pieces([t.lower() for t in texts])
-    data, starts, ends, at = word_spans(parts, _WORD_BYTE)
+    data, starts, ends, at = word_spans([t.lower() for t in texts], _WORD_BYTE)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys = [owner[at] * BUCKETS + (span_hashes(data, starts, ends) >> np.uint64(44)).astype(np.int64)]
+    keys = [at * BUCKETS + (span_hashes(data, starts, ends) >> np.uint64(44)).astype(np.int64)]
     for size in BEGINNINGS:
         longer = ends - starts > size
         h = mix(span_hashes(data, starts[longer], starts[longer] + size) + np.uint64(size))
-        keys.append(owner[at[longer]] * BUCKETS + (h >> np.uint64(44)).astype(np.int64))
+        keys.append(at[longer] * BUCKETS + (h >> np.uint64(44)).astype(np.int64))
     key = np.unique(np.concatenate(keys))
     return key // BUCKETS, key % BUCKETS
 
@@ -75,6 +75,18 @@ def swaps(text: str) -> Iterator[tuple[str, str]]:
                     yield sentence, regex.sub(rf"\b{word}\b", other, sentence)
 
 
+def in_turn(items: Iterable, size: int) -> Iterator[list]:
+    """The items in lists of ``size`` at most."""
+    held: list = []
+    for item in items:
+        held.append(item)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def bucket_counts(labelled: DataFrame) -> DataFrame:
     """bucket, docs with label 1 and docs that hold it."""
 
@@ -102,13 +114,25 @@ def chosen_buckets(counts: DataFrame, docs: int, toxic: int, features: int) -> n
     return np.unique(np.concatenate([best.bucket.to_numpy(np.int64), word_buckets([" ".join(t for g in IDENTITY for t in g)])[1]]))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], n: int, penalty: float = PENALTY, l2: float = 3e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss (both classes weigh the same) + l2 + penalty * mean squared change of the score over the swapped pairs."""
+def changes(pairs: Iterable[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """i * n + j and value of the non-zero entries of the sum of d d^T, d the change of the n features in each swapped pair."""
+    total: Counter[int] = Counter()
+    for a, b in pairs:
+        d = [(k, 1) for k in set(a.tolist()) - set(b.tolist())] + [(k, -1) for k in set(b.tolist()) - set(a.tolist())]
+        for i, x in d:
+            for j, y in d:
+                total[i * n + j] += x * y
+    return np.array([*total], np.int64), np.array([*total.values()], np.int64)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, swapped: tuple[np.ndarray, np.ndarray], pairs: int, n: int, penalty: float = PENALTY, l2: float = 3e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise log loss (both classes weigh the same) + l2 + penalty * mean squared change of the score over the swapped pairs.
+
+    ``swapped``: what ``changes`` gives for all ``pairs`` pairs; the mean square is a quadratic form of the weights.
+    """
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-    diff_at = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
-    diff_col = np.concatenate([np.concatenate(p) for p in pairs]).astype(np.int64) if pairs else np.zeros(0, np.int64)
-    sign = np.concatenate([np.concatenate([np.ones(len(a)), -np.ones(len(b))]) for a, b in pairs]) if pairs else np.zeros(0)
+    row, column = swapped[0] // n, swapped[0] % n
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, bias, v, vb = np.zeros(n), 0.0, np.zeros(n), 0.0
     gw, gb = np.full(n, 1e-8), 1e-8  # sums of squares, for steps of each weight's own size
@@ -117,8 +141,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         grad = np.bincount(col, r[at], n) + l2 * w
         if pairs:
-            change = np.bincount(diff_at, sign * w[diff_col], len(pairs))
-            grad += penalty * 2 / len(pairs) * np.bincount(diff_col, sign * change[diff_at], n)
+            grad += penalty * 2 / pairs * np.bincount(row, swapped[1] * w[column], n)
         gw, gb = 0.95 * gw + 0.05 * grad**2, 0.95 * gb + 0.05 * r.sum() ** 2
         v, vb = 0.9 * v + grad / np.sqrt(gw), 0.9 * vb + r.sum() / np.sqrt(gb)
         w, bias = w - 0.01 * v, bias - 0.01 * vb
@@ -142,17 +165,28 @@ def train(labelled: DataFrame, features: int = FEATURES, train_rows: int = TRAIN
 
     def batch(texts: list) -> dict:
         own = [t or "" for t in texts]
-        pairs = [[{"a": a.tolist(), "b": b.tolist()} for a, b in ((held([x])[0], held([y])[0]) for x, y in swaps(t))] for t in own]
-        return {"x": [r.tolist() for r in held(own)], "pairs": pairs}
-
-    ints = T.ArrayType(T.IntegerType())
-    kinds = {"x": ints, "pairs": T.ArrayType(T.StructType([T.StructField("a", ints), T.StructField("b", ints)]))}
-    got = map_texts(bounded_sample(known, "doc_id", train_rows).select("toxic", "text"), kinds, batch).collect()  # a bounded sample, reduced to features
+        return {"x": [r.tolist() for r in held(own)]}
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, pairs = Counter(), 0
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                for some in in_turn(swaps(text or ""), 256):
+                    at = held([t for pair in some for t in pair])
+                    total.update(dict(zip(*map(np.ndarray.tolist, changes(zip(at[::2], at[1::2]), len(buckets))))))
+                    pairs += len(some)
+        keys = [-1, *total]  # the number of pairs goes under -1
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([pairs, *total.values()], pa.int64())], names=["entry", "value"])
+
+    sample = bounded_sample(known, "doc_id", train_rows).select("toxic", "text")
+    got = map_texts(sample, {"x": T.ArrayType(T.IntegerType())}, batch).collect()  # a bounded sample, reduced to features
+    sums = sample.select("text").mapInArrow(swapped, "entry long, value long").groupBy("entry").agg(F.sum("value").alias("value")).toPandas()  # the square of the features at most
+    entry, value = sums.entry.to_numpy(np.int64), sums.value.to_numpy(np.int64)
     y = np.array([r.toxic for r in got], float)
     if not 0 < y.sum() < len(y):
         return np.zeros(0, np.int64), np.zeros(0), float(np.log((total.toxic + 0.5) / (total.n - total.toxic + 0.5)))
-    pairs = [(np.array(p.a, np.int64), np.array(p.b, np.int64)) for r in got for p in r.pairs]
-    w, bias = fit([np.array(r.x, np.int64) for r in got], y, pairs, len(buckets))
+    form = entry >= 0
+    w, bias = fit([np.array(r.x, np.int64) for r in got], y, (entry[form], value[form]), int(value[~form].sum()), len(buckets))
     return buckets, w, bias
 
 
