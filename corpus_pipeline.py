@@ -6,7 +6,9 @@ decontam    documents that hold a benchmark item go
 pii         personal data is replaced by its kind
 bpe         texts become token ids, which decode to the text again
 
-All but the last return the columns of ``documents``. Each handles nulls, empty tables and further columns as its operator does.
+All but the last return the columns of ``documents``. Each handles nulls, empty and very long texts (whole), ties, repeated
+rows, empty tables and further columns as its operator does; of repeated rows near_dedup keeps one. A stage's folder is
+deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from osseo.llm import bpe, decontaminate, pii, quality, similar
-from osseo.llm.rows import shared_folder, table
+from osseo.llm.rows import deleted, passing, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return bpe.coded(docs.select(*kept, "text"), ids="ids", digests=True).select(*kept, "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decontam", decontam_stage), ("pii", pii_stage), ("bpe", bpe_stage)]
@@ -51,7 +53,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        if before:
+            deleted(spark, before)
+        before = passing(spark, f"{folder}/{k}_{name}")
     return docs
