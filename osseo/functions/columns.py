@@ -60,17 +60,35 @@ def resolved(features: Column, name: str, centre: float | None = None) -> Column
     return first_existing(features, name, f"{name}_mean", f"{name}_max", f"{name}_min")
 
 
-def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Adds the global position (from 0) of each row in the order, without moving all rows to one task.
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Rows are dealt by ranges of the key; a row's position is that in its partition plus the sizes of earlier partitions, of
-    which there are as many as partitions.
+    Where it is unset, a session on one machine (tests) gets a temporary folder; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    held = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    sizes = held.groupBy("_part").count()
-    offsets = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return held.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_local") + F.col("_offset")).cast("long")).drop("_part", "_local", "_offset")
+        found = context.getConf().get("spark.checkpoint.dir", None)
+        if found is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds the running sums of ``sums`` (name to value) in a global order, without moving all rows to one task.
+
+    Rows are dealt by ranges of the order; a row's sum is that in its partition plus those of earlier partitions, of which
+    there are as many as partitions. Rows that are equal in the order must not be spread over the sums (group first).
+    """
+    held = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumns({f"_{n}": v for n, v in sums.items()}))
+    parts = held.groupBy("_part").agg(*(F.sum(f"_{n}").alias(n) for n in sums))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}_before") for n in sums))
+    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = held.join(F.broadcast(offsets), "_part").withColumns({n: F.sum(f"_{n}").over(local) + F.col(f"_{n}_before") for n in sums})
+    return out.drop("_part", *(f"_{n}" for n in sums), *(f"_{n}_before" for n in sums))
+
+
+def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Adds the global position (from 0) of each row in the order, without moving all rows to one task."""
+    return running(df, [F.col(c) for c in order], {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)

@@ -5,17 +5,18 @@ Sweeps run over the distinct scores, aggregated first, in range-dealt order; onl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from osseo.functions.columns import positions
+from osseo.functions.columns import positions, running, saved
 
 
 def tallies(scored: DataFrame) -> DataFrame:
     """p, pos, neg per distinct score, with tp and fp at or above it and the totals."""
     per = scored.groupBy("p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
-    w = Window.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores only
-    total = per.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return per.select("p", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp")).crossJoin(F.broadcast(total))
+    total = scored.agg(F.sum("y").cast("long").alias("n_pos"), F.sum(1 - F.col("y")).cast("long").alias("n_neg"))
+    return running(per, [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}).crossJoin(F.broadcast(total))  # one row
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -30,12 +31,21 @@ def pr_auc(scored: DataFrame) -> DataFrame:
     return tallies(scored).agg(F.sum(F.col("pos") / F.col("n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("pr_auc"))
 
 
+def quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+    """One row: the q-quantile of ``value``, linear between neighbours, found by global positions of the distinct values."""
+    per = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    placed = running(per, [F.col(value)], {"upto": F.col("n")})
+    at = q * (df.where(F.col(value).isNotNull()).count() - 1)
+    low, high = (F.min(F.when(F.col("upto") > k, F.col(value))) for k in (math.floor(at), math.ceil(at)))
+    return placed.agg(low.alias("low"), high.alias("high")).select((F.col("low") + (F.col("high") - F.col("low")) * (at - math.floor(at))).alias(value))
+
+
 def threshold_by_rate(scored: DataFrame) -> DataFrame:
     """The score quantile that fires as often as there are positives; 0.5 without enough rows or positives."""
     rate = scored.agg(F.avg("y").alias("r"), F.count("*").alias("n")).first()
     if not rate.n or rate.n < 2 or not rate.r:
         return scored.sparkSession.createDataFrame([(0.5,)], "threshold double")
-    return scored.agg(F.percentile("p", F.lit(1 - float(rate.r))).alias("threshold"))
+    return quantile(scored, "p", 1 - float(rate.r)).withColumnRenamed("p", "threshold")
 
 
 def threshold_by_f1(scored: DataFrame) -> DataFrame:
@@ -54,18 +64,52 @@ def report(scored: DataFrame, threshold: float) -> DataFrame:
     return c.select("*", sens.alias("sensitivity"), spec.alias("specificity"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ((sens + spec) / 2).alias("balanced_accuracy"), ratio(tp + fn, tp + fp + fn + tn).alias("prevalence"), (tp + fn < 15).alias("exploratory"))
 
 
-def bootstrap_mean(scored: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
-    """95 percent interval of sensitivity at p >= 0.5 when whole groups are drawn with replacement.
+def draws_of(groups: DataFrame, draws: int, seed: int) -> DataFrame:
+    """b, g, times: how often draw b holds group number g, when as many groups as there are (numbered from 0) are drawn with replacement."""
+    n = groups.count()
+    b = groups.sparkSession.range(draws).select(F.col("id").alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "k")), 1, 8), 16, 10).cast("long") % max(n, 1)
+    return b.groupBy("b", pick.alias("g")).agg(F.count("*").alias("times"))
+
+
+def _interval(values: DataFrame, value: str) -> DataFrame:
+    return values.agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("c")).select(F.col("c")[0].alias("low"), F.col("c")[1].alias("high"))
+
+
+def bootstrap_mean(scored: DataFrame, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """95 percent interval of sensitivity at p >= 0.5 when whole groups are drawn with replacement; draws of one class are skipped.
 
     Each group's counts are summed first; a draw picks group numbers by a hash, so only group counts are repeated, draws times.
     """
-    hit = F.col("p") >= 0.5
-    per = positions(scored.groupBy("grp").agg(F.count_if((F.col("y") == 1) & hit).alias("tp"), F.count_if(F.col("y") == 1).alias("pos")), ["grp"], "g")
-    n = per.count()
-    b = scored.sparkSession.range(draws).select(F.col("id").alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "k")), 1, 8), 16, 10).cast("long") % max(n, 1)
-    drawn = b.select("b", pick.alias("g")).join(per, "g").groupBy("b").agg(F.sum("tp").alias("tp"), F.sum("pos").alias("pos")).where("pos > 0")
-    return drawn.agg(F.percentile(F.col("tp") / F.col("pos"), F.array(F.lit(0.025), F.lit(0.975))).alias("c")).select(F.col("c")[0].alias("low"), F.col("c")[1].alias("high"))
+    one = F.col("y") == 1
+    per = saved(positions(scored.groupBy("grp").agg(F.count_if(one & (F.col("p") >= 0.5)).alias("tp"), F.count_if(one).alias("pos"), F.count_if(~one).alias("neg")), ["grp"], "g"))
+    total = lambda c: F.sum(F.col(c) * F.col("times")).alias(c)
+    drawn = draws_of(per, draws, seed).join(per, "g").groupBy("b").agg(total("tp"), total("pos"), total("neg")).where("pos > 0 AND neg > 0")
+    return _interval(drawn.withColumn("s", F.col("tp") / F.col("pos")), "s")
+
+
+def bootstrap_auc(scored: DataFrame, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """95 percent interval of the area under the ROC curve when whole groups are drawn with replacement; draws of one class are skipped."""
+    groups = saved(positions(scored.select("grp").distinct(), ["grp"], "g"))
+    per = scored.groupBy("grp", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).join(groups, "grp")
+    drawn = draws_of(groups, draws, seed).join(per, "g").groupBy("b", "p").agg(F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
+    below = F.sum("neg").over(Window.partitionBy("b").orderBy("p")) - F.col("neg") / 2
+    each = drawn.withColumn("above", F.col("pos") * below).groupBy("b").agg(F.sum("above").alias("a"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos > 0 AND neg > 0")
+    return _interval(each.withColumn("auc", F.col("a") / (F.col("pos") * F.col("neg"))), "auc")
+
+
+# Columns that come from labels, from the way of recording and from bookkeeping; none of them is a feature.
+LABEL_COLUMNS = ["study", "region", "quality_class", "flags_or", "verdict_mismatch", "verdict_itog", "violation_type", "comment", "spine_coverage", "spine_axis", "spine_artifact", "hip_r_positioning", "hip_r_roi", "hip_l_positioning", "hip_l_roi", "verdict_spine", "verdict_hip_r", "verdict_hip_l"]
+MODE_COLUMNS = ["rows", "cols", "mm_per_px", "scale_known", "mm_per_px_anat", "period_px"]
+SERVICE_COLUMNS = ["fold", "copy", "n_frames_x", "n_frames_y"]
+
+
+def feature_columns(df: DataFrame, without_prefix: str = "") -> list[str]:
+    """Numeric columns that are neither labels (or made from them), nor modes of recording, nor bookkeeping."""
+    numeric = {"double", "float", "int", "bigint", "smallint", "tinyint"}
+    stem = lambda c: c.rpartition("_")[0]
+    ok = lambda c: not ({c, stem(c)} & {*LABEL_COLUMNS, *MODE_COLUMNS} or c in SERVICE_COLUMNS or any(c.startswith(f"{x}_") for x in LABEL_COLUMNS))
+    return [c for c, kind in df.dtypes if kind in numeric and ok(c) and not (without_prefix and c.startswith(without_prefix))]
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -65,22 +65,6 @@ def vertebra_levels(rows: DataFrame, least_px: int = 50) -> DataFrame:
     )
 
 
-def femur_shape(rows: DataFrame) -> DataFrame:
-    """Shaft angle and width from the lowest rows, and how far the medial edge stands out beyond the shaft's edge line."""
-    span = rows.groupBy(FRAME).agg(F.min("y").alias("y0"), (F.max("y") - F.min("y")).alias("span"))
-    at = rows.join(span, FRAME).withColumn("rel", (F.col("y") - F.col("y0")) / F.col("span")).withColumn("width", F.col("x_max") - F.col("x_min") + 1)
-    low, shaft = F.col("rel") >= 0.6, F.col("rel") >= 0.7
-    on = lambda c, v: F.when(c, v)
-    mid = (F.col("x_min") + F.col("x_max")) / 2
-    line = at.groupBy(FRAME).agg(
-        F.regr_slope(on(low, mid), on(low, F.col("y"))).alias("axis"), F.median(on(shaft, F.col("width"))).alias("shaft_width_px"), F.regr_slope(on(shaft, F.col("x_min")), on(shaft, F.col("y"))).alias("k"), F.regr_intercept(on(shaft, F.col("x_min")), on(shaft, F.col("y"))).alias("c"),
-        F.stddev_pop("width").alias("width_profile_std"), F.max(on(F.col("rel") < 0.3, F.col("width"))).alias("prox"),
-    )
-    out = at.join(line, FRAME).where("rel > 0.30 AND rel < 0.70").withColumn("beyond", F.greatest(F.lit(0.0), F.col("k") * F.col("y") + F.col("c") - F.col("x_min")))
-    stand = out.groupBy(FRAME).agg(F.max("beyond").alias("lt_protrusion_px"), F.avg("beyond").alias("lt_protrusion_mean"))
-    return line.join(stand, FRAME).select(FRAME, F.degrees(F.atan("axis")).alias("shaft_angle_deg"), "shaft_width_px", "lt_protrusion_px", "lt_protrusion_mean", (F.col("lt_protrusion_px") / F.col("shaft_width_px")).alias("lt_index"), (F.col("prox") / F.col("shaft_width_px")).alias("prox_width_ratio"), "width_profile_std")
-
-
 def phase(rows: DataFrame, periods: DataFrame, value: str = "zsum") -> DataFrame:
     """Phase of a profile at its period: the angle of one discrete Fourier coefficient."""
     turn = 2 * math.pi * F.col("y") / F.col("period")
@@ -96,10 +80,12 @@ def legacy_score(tilt: Column, artifact: Column, coverage: Column, limits: tuple
 
 
 def region_guess(shape: DataFrame) -> DataFrame:
-    """The older three-way guess by box aspect and fill, with a rounded confidence."""
-    spine = F.least(F.col("bbox_aspect") / 2, F.lit(0.99))
-    name = F.when(F.col("bbox_aspect") > 1.2, "spine").when(F.col("col_span") > 0.8, "hip_both").otherwise("hip_single")
-    return shape.select(FRAME, name.alias("guess"), F.round(F.when(name == "spine", spine).otherwise(F.least(F.col("col_span"), F.lit(0.99))), 2).alias("confidence"))
+    """The older three-way guess, with a rounded confidence; ``shape`` has strength, bbox_aspect, col_span, profile_dip and lr_symmetry."""
+    score = 0.6 * F.least(F.col("strength") / 0.35, F.lit(1.0)) + 0.4 * F.least(F.col("bbox_aspect") / 1.6, F.lit(1.0))
+    both = (F.col("col_span") > 0.78) & (F.col("profile_dip") > 0.3) & (F.col("lr_symmetry") > 0.55)
+    pick = lambda spine, two, one: F.when(F.col("score") > 0.62, spine).when(both, two).otherwise(one)
+    sure = pick(F.least(F.col("score"), F.lit(1.0)), F.least(F.col("profile_dip") + 0.2, F.lit(1.0)), F.greatest(F.lit(0.3), 1 - F.col("score")))
+    return shape.withColumn("score", score).select(FRAME, pick(F.lit("spine"), F.lit("hip_both"), F.lit("hip_single")).alias("guess"), F.bround(sure, 2).alias("confidence"))
 
 
 def area_resized(pixels: DataFrame, factor: int, value: str = "v") -> DataFrame:
@@ -107,13 +93,18 @@ def area_resized(pixels: DataFrame, factor: int, value: str = "v") -> DataFrame:
     return pixels.groupBy(FRAME, F.expr(f"y div {factor}").cast("int").alias("y"), F.expr(f"x div {factor}").cast("int").alias("x")).agg(F.avg(value).alias(value))
 
 
-def rotated(masked: DataFrame, angle_deg: Column) -> DataFrame:
-    """Coordinates turned about the frame's centre (nearest pixel); several pixels may fall on one, which keeps the largest z."""
-    size = masked.groupBy(FRAME).agg((F.max("x") / 2).alias("mx"), (F.max("y") / 2).alias("my"))
-    a = F.radians(angle_deg)
+def rotated(masked: DataFrame, angles: DataFrame) -> DataFrame:
+    """The frames turned by ``angle_deg`` (frame_id, angle_deg; counter-clockwise) about the middle of the frame.
+
+    Each target pixel takes the source pixel nearest to where it comes from, so there are no holes; outside is dark and unmasked.
+    """
+    size = masked.groupBy(FRAME).agg(((F.max("x") + 1) / 2).alias("mx"), ((F.max("y") + 1) / 2).alias("my")).join(angles, FRAME)
+    a = F.radians("angle_deg")
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    turned = masked.join(size, FRAME).select(FRAME, F.round(F.col("mx") + dx * F.cos(a) - dy * F.sin(a)).cast("int").alias("x"), F.round(F.col("my") + dx * F.sin(a) + dy * F.cos(a)).cast("int").alias("y"), "z", "m")
-    return turned.groupBy(FRAME, "y", "x").agg(F.max("z").alias("z"), F.bool_or("m").alias("m"))
+    near = lambda c: F.floor(F.round(c, 9) + 0.5).cast("int")
+    wanted = masked.select(FRAME, "y", "x").join(size, FRAME).select(FRAME, F.col("y").alias("_y"), F.col("x").alias("_x"), near(F.col("mx") + dx * F.cos(a) - dy * F.sin(a)).alias("x"), near(F.col("my") + dx * F.sin(a) + dy * F.cos(a)).alias("y"))
+    found = wanted.join(masked.select(FRAME, "y", "x", "z", "m"), [FRAME, "y", "x"], "left")
+    return found.select(FRAME, F.col("_y").alias("y"), F.col("_x").alias("x"), F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("m", F.lit(False)).alias("m"))
 
 
 def landmark_rules(points: Column, height: Column, least_mm: float = 30.0) -> Column:

@@ -46,6 +46,33 @@ def components(masked: DataFrame, eight: bool = True) -> DataFrame:
     return masked.select(FRAME, "y", "x", "m").groupBy(FRAME).applyInPandas(one, "frame_id long, y int, x int, component int")
 
 
+def largest(masked: DataFrame) -> DataFrame:
+    """The pixels with the mask reduced to its largest component (the first in scan order among equals)."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = label(_image(pdf, "m", bool))
+        sizes = np.bincount(got.ravel())
+        sizes[0] = 0
+        return pdf.assign(m=(got == sizes.argmax())[pdf.y, pdf.x] & (sizes.max() > 0))
+
+    return masked.select(FRAME, "y", "x", "z", "m").groupBy(FRAME).applyInPandas(one, "frame_id long, y int, x int, z double, m boolean")
+
+
+def shaft_widths(bone: DataFrame) -> DataFrame:
+    """frame_id, shaft_w: twice the median distance to the background in the lowest fifth of the mask, 4 at least."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _image(pdf, "m", bool)
+        rows = np.flatnonzero(m.any(1))
+        if not len(rows):
+            return pd.DataFrame({FRAME: [pdf[FRAME].iloc[0]], "shaft_w": [4.0]})
+        low = m.copy()
+        low[: int(rows[0] + 0.8 * max(1, rows[-1] - rows[0]))] = False
+        return pd.DataFrame({FRAME: [pdf[FRAME].iloc[0]], "shaft_w": [max(4.0, 2 * float(np.median(distance(m)[low])))]})
+
+    return bone.select(FRAME, "y", "x", "m").groupBy(FRAME).applyInPandas(one, "frame_id long, shaft_w double")
+
+
 def shifted(image: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
     out = np.full_like(image, fill)
     h, w = image.shape

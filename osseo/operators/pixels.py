@@ -6,6 +6,8 @@ its rows, which bounds it by the image size. Percentiles are exact within a fram
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from osseo.functions.columns import clip
@@ -176,37 +178,6 @@ def template_response(rows: DataFrame, widths: list[int], value: str = "zsum") -
     return best.select(FRAME, F.col("b.width").alias("width"), F.col("b.y").alias("y"), (-F.col("b.r")).alias("response"))
 
 
-def grid(masked: DataFrame, down: int = 4, across: int = 3) -> DataFrame:
-    """Fill and mean intensity of the cells of the upper three quarters of the mask's box; too small cells hold -1."""
-    box = masked.where("m").groupBy(FRAME).agg(F.min("y").alias("y0"), (F.max("y") - F.min("y") + 1).alias("span"), F.min("x").alias("x0"), (F.max("x") - F.min("x") + 1).alias("width"))
-    i = F.floor((F.col("y") - F.col("y0")) / F.col("span") / 0.75 * down).cast("int")
-    j = F.floor((F.col("x") - F.col("x0")) / F.col("width") * across).cast("int")
-    cells = masked.join(box, FRAME).where("x >= x0 AND y >= y0").withColumn("i", i).withColumn("j", j).where((F.col("i") < down) & (F.col("j") < across))
-    got = cells.groupBy(FRAME, "i", "j").agg(F.count_if("m").alias("n"), F.avg(F.col("m").cast("double")).alias("fill"), F.avg(F.when(F.col("m"), F.col("z"))).alias("z"))
-    small = F.col("n") < 12
-    return got.select(FRAME, "i", "j", F.when(small, -1.0).otherwise(F.col("fill")).alias("fill"), F.when(small, -1.0).otherwise(F.col("z")).alias("intensity"))
-
-
-def medial_contrast(masked: DataFrame) -> DataFrame:
-    """90th percentile and share above one of the z-scores in the medial zone (35 to 72 percent of the span)."""
-    facts = masked.where("m").groupBy(FRAME).agg(F.min("y").alias("y0"), (F.max("y") - F.min("y")).alias("span"), F.avg("x").alias("axis"), F.median("z").alias("mid"), F.stddev_pop("z").alias("sd"))
-    zone = masked.where("m").join(facts, FRAME).where((F.col("x") < F.col("axis")) & ((F.col("y") - F.col("y0")) / F.col("span")).between(0.35, 0.72)).withColumn("s", (F.col("z") - F.col("mid")) / (F.col("sd") + 1e-6))
-    got = zone.groupBy(FRAME).agg(F.count("*").alias("n"), F.percentile("s", F.lit(0.9)).alias("med_prox_contrast"), F.avg((F.col("s") > 1).cast("double")).alias("med_prox_bright_frac"))
-    return got.where("n >= 20").select(FRAME, "med_prox_contrast", "med_prox_bright_frac")
-
-
-def trochanter_density(masked: DataFrame) -> DataFrame:
-    """Peak, mean and gradient of the medial half's density between 25 and 55 percent of the span, over that of the lowest fifth."""
-    facts = masked.where("m").groupBy(FRAME).agg(F.min("y").alias("y0"), (F.max("y") - F.min("y")).alias("span"))
-    at = masked.where("m").join(facts, FRAME).withColumn("rel", (F.col("y") - F.col("y0")) / F.col("span"))
-    mid = at.groupBy(FRAME, "y").agg(((F.min("x") + F.max("x")) / 2).alias("mid"), F.count("*").alias("n")).where("n >= 6")
-    rows = at.where("rel BETWEEN 0.25 AND 0.55").join(mid, [FRAME, "y"]).where("x >= mid").groupBy(FRAME, "y").agg(F.max("z").alias("peak"), F.avg("z").alias("mean"))
-    stepped = rows.withColumn("step", F.abs(F.col("mean") - F.lag("mean").over(Window.partitionBy(FRAME).orderBy("y"))))
-    ref = at.where("rel >= 0.8").groupBy(FRAME).agg(F.median("z").alias("ref"), F.count("*").alias("k")).where("k > 20")
-    got = stepped.groupBy(FRAME).agg(F.avg("peak").alias("peak"), F.avg("mean").alias("mean"), F.avg("step").alias("grad"), F.count("*").alias("rows")).where("rows >= 5").join(ref, FRAME)
-    return got.select(FRAME, (F.col("peak") / F.col("ref")).alias("lt_dens_peak"), (F.col("mean") / F.col("ref")).alias("lt_dens_mean"), F.col("grad").alias("lt_dens_grad"))
-
-
 def side_margins(masked: DataFrame, mm: float = 0.6, least: float = 20.0) -> DataFrame:
     """Distances in mm from the mask to the left and right border, and whether the smaller one suffices."""
     got = masked.groupBy(FRAME).agg((F.min(F.when(F.col("m"), F.col("x"))) * mm).alias("left"), ((F.max("x") - F.max(F.when(F.col("m"), F.col("x")))) * mm).alias("right"))
@@ -222,17 +193,45 @@ def side(masked: DataFrame) -> DataFrame:
 
 
 def route(masked: DataFrame) -> DataFrame:
-    """The region by aspect and periodicity: score, confidence and class, unknown below 0.6 or without 50 mask pixels."""
+    """The region by aspect and periodicity: score, confidence and class; hips by side, unknown below 0.6, without side or 50 mask pixels."""
     shape = silhouette(masked).select(FRAME, "bbox_aspect")
     n = masked.groupBy(FRAME).agg(F.count_if("m").alias("n"))
     p = period(row_profile(masked)).select(FRAME, "strength")
-    both = n.join(shape, FRAME, "left").join(p, FRAME, "left").fillna(0.0, ["bbox_aspect", "strength"])
+    both = n.join(shape, FRAME, "left").join(p, FRAME, "left").fillna(0.0, ["bbox_aspect", "strength"]).join(side(masked).select(FRAME, "side"), FRAME, "left")
     score = 0.6 * F.least(F.col("strength") / 0.35, F.lit(1.0)) + 0.4 * F.least(F.col("bbox_aspect") / 1.6, F.lit(1.0))
     conf = F.when(F.col("score") > 0.62, F.col("score")).otherwise(1 - F.col("score"))
-    found = F.when((F.col("n") < 50) | (F.col("confidence") < 0.6), "unknown").when(F.col("score") > 0.62, "spine").otherwise("hip")
+    hip = F.when(F.col("side") == "right", "hip_right").when(F.col("side") == "left", "hip_left").otherwise("unknown")
+    found = F.when((F.col("n") < 50) | (F.col("confidence") < 0.6), "unknown").when(F.col("score") > 0.62, "spine").otherwise(hip)
     return both.withColumn("score", score).withColumn("confidence", conf).select(FRAME, "score", F.when(F.col("n") < 50, 0.0).otherwise(F.col("confidence")).alias("confidence"), found.alias("region"))
 
 
+def column_shape(masked: DataFrame) -> DataFrame:
+    """profile_dip and lr_symmetry of the number of mask pixels by column, smoothed by 11 Gaussian weights (sigma 2, mirrored ends).
+
+    The dip is one minus the least over the greatest of the middle half; the symmetry is the smaller half's sum over the larger's.
+    """
+    per = masked.groupBy(FRAME, "x").agg(F.count_if("m").cast("double").alias("n")).groupBy(FRAME).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "n"))), lambda s: s.n).alias("p"))  # as long as the image is wide
+    total = sum(math.exp(-k * k / 8) for k in range(-5, 6))
+    # a place beyond an end is mirrored at it, the end itself not repeated
+    at = lambda k: f"p[CASE WHEN i + ({k}) < 0 THEN -(i + ({k})) WHEN i + ({k}) >= size(p) THEN 2 * size(p) - 2 - (i + ({k})) ELSE i + ({k}) END]"
+    smooth = " + ".join(f"{math.exp(-k * k / 8) / total}D * {at(k)}" for k in range(-5, 6))
+    c = per.where("size(p) > 5").select(FRAME, F.expr(f"transform(sequence(0, size(p) - 1), i -> {smooth})").alias("c")).selectExpr(FRAME, "c", "int(floor(0.25 * size(c))) AS a", "int(floor(0.75 * size(c))) AS b", "size(c) div 2 AS half")
+    inner = c.selectExpr(FRAME, "slice(c, a + 1, b - a) AS inner", "aggregate(slice(c, 1, int(half)), 0D, (s, v) -> s + v) AS l", "aggregate(slice(c, int(half) + 1, size(c)), 0D, (s, v) -> s + v) AS r")
+    return inner.selectExpr(FRAME, "CASE WHEN array_max(inner) > 0 THEN 1 - array_min(inner) / array_max(inner) ELSE 0D END AS profile_dip", "CASE WHEN greatest(l, r) > 0 THEN least(l, r) / greatest(l, r) ELSE 0D END AS lr_symmetry")
+
+
+def mask_union(masks: DataFrame, least: int = 60) -> DataFrame:
+    """frame_id, y, x, m: the union of those masks (frame_id, mask, y, x of their pixels) that have at least so many pixels."""
+    sized = masks.withColumn("_n", F.count("*").over(Window.partitionBy(FRAME, "mask")))
+    return sized.where(F.col("_n") >= least).select(FRAME, "y", "x").distinct().withColumn("m", F.lit(True))
+
+
+def first_exceedance(rows: DataFrame, value: str, share: float = 0.15, least: float = 2.0, needed: float = 3.0) -> DataFrame:
+    """frame_id, y of the first row whose value reaches max(least, share of the greatest one); none if the greatest is below ``needed``."""
+    top = rows.groupBy(FRAME).agg(F.max(value).alias("_top")).where(F.col("_top") >= needed)
+    return rows.join(top, FRAME).where(F.col(value) >= F.greatest(F.lit(least), share * F.col("_top"))).groupBy(FRAME).agg(F.min("y").alias("y"))
+
+
 def mirror(pixels: DataFrame) -> DataFrame:
     """Pixels with x counted from the other side."""
     w = pixels.groupBy(FRAME).agg(F.max("x").alias("last"))

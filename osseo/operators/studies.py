@@ -30,8 +30,9 @@ def aggregate_features(long: DataFrame) -> DataFrame:
 
 
 def region_aggregate(frames: DataFrame) -> DataFrame:
-    """One row per study and region: n_frames, mean and largest axis, mean artifact share."""
-    return frames.where("region <> 'error'").groupBy(*KEY).agg(F.count("*").alias("n_frames"), F.avg("axis_deg").alias("axis_deg_mean"), F.max("axis_deg").alias("axis_deg_max"), F.avg("kp_art_frac").alias("kp_art_frac_mean"))
+    """One row per study and region: n_frames, means of the angles, the artifact share and the coverage, and the largest mask axis."""
+    means = [F.avg(c).alias(f"{c}_mean") for c in ("axis_deg", "vb_axis_deg", "col_tilt_deg", "kp_art_frac", "coverage")]
+    return frames.where("region <> 'error'").groupBy(*KEY).agg(F.count("*").alias("n_frames"), F.max("axis_deg").alias("axis_deg_max"), *means)
 
 
 def pair_asymmetry(regions: DataFrame, features: list[str]) -> DataFrame:
@@ -51,21 +52,28 @@ def spine_tilt(*candidates: Column) -> Column:
 
 
 def violations(regions: DataFrame, rules: Rules) -> DataFrame:
-    """Adds tilt, the two spine rules and the list of violation codes; the rules fire strictly above their limits."""
+    """Adds tilt, tilt_limit, the two spine rules and the list of violation codes; the rules fire strictly above their limits.
+
+    The tilt is that of the vertebral bodies, else of the bright column, else of the mask; only the first has a limit of its own.
+    """
     spine = F.col("region") == "spine"
-    tilt = spine_tilt(F.col("axis_deg_max"))
-    axis = F.coalesce(spine & (tilt > rules.max_spine_tilt_deg), F.lit(False))
+    vb = spine_tilt(F.col("vb_axis_deg_mean"))
+    tilt = spine_tilt(F.col("vb_axis_deg_mean"), F.col("col_tilt_deg_mean"), F.col("axis_deg_max"))
+    limit = F.when(vb >= 0, rules.vb_axis_limit_deg).otherwise(rules.max_spine_tilt_deg)
+    axis = F.coalesce(spine & (tilt > limit), F.lit(False))
     art = F.coalesce(spine & ~F.isnan("kp_art_frac_mean") & (F.col("kp_art_frac_mean") > rules.artifact_threshold), F.lit(False))
     codes = F.filter(F.array(F.when(axis, "spine_axis"), F.when(art, "spine_artifact")), lambda c: c.isNotNull())
-    return regions.withColumn("tilt", F.when(spine, tilt).otherwise(-1.0)).withColumn("fires_axis", axis).withColumn("fires_artifact", art).withColumn("codes", codes)
+    return regions.withColumn("tilt", F.when(spine, tilt).otherwise(-1.0)).withColumn("tilt_limit", limit).withColumn("fires_axis", axis).withColumn("fires_artifact", art).withColumn("codes", codes)
 
 
 def quality_score(regions: DataFrame, references: DataFrame, rules: Rules, head: Column) -> DataFrame:
     """Adds score: for spines 0.7 of the rank of the worst ratio to its limit and 0.3 of the head's rank, for hips the head's rank.
 
-    ``references`` is one row with the sorted arrays spine_agg, spine_head, hip_head (a few hundred values each).
+    The ratios are those of tilt, artifacts (absent: 0) and coverage (absent: 0.5). ``references`` is one row with the sorted
+    arrays spine_agg, spine_head, hip_head (a few hundred values each).
     """
-    worst = F.greatest(F.greatest(F.col("tilt"), F.lit(0.0)) / rules.max_spine_tilt_deg, F.coalesce("kp_art_frac_mean", F.lit(0.0)) / rules.artifact_threshold)
+    known = lambda c, other: F.when(F.col(c) >= 0, F.col(c)).otherwise(F.lit(other))
+    worst = F.greatest(F.greatest(F.col("tilt"), F.lit(0.0)) / rules.max_spine_tilt_deg, known("kp_art_frac_mean", 0.0) / rules.artifact_threshold, known("coverage_mean", 0.5) / rules.coverage_threshold)
     both = regions.crossJoin(F.broadcast(references))  # one row: a constant, not a product
     spine = 0.7 * share_below(worst, F.col("spine_agg")) + 0.3 * share_below(head, F.col("spine_head"))
     return both.withColumn("score", F.when(F.col("region") == "spine", spine).otherwise(share_below(head, F.col("hip_head")))).drop("spine_agg", "spine_head", "hip_head")
@@ -90,15 +98,15 @@ def report(frames: DataFrame, verdicts: DataFrame) -> DataFrame:
 def details(regions: DataFrame, rules: Rules) -> DataFrame:
     """Adds the sentences that explain a verdict."""
     tilt = F.format_string("наклон оси %.1f°", F.bround("tilt", 1))
-    limit = F.when(F.col("tilt") > rules.max_spine_tilt_deg, "превышает норму").otherwise("в норме")
+    limit = F.when(F.col("tilt") > F.col("tilt_limit"), "превышает норму").otherwise("в норме")
     art = F.when(F.col("kp_art_frac_mean") >= rules.artifact_threshold, "видны посторонние предметы")
     return regions.withColumn("details", F.when(F.col("region") == "spine", F.concat_ws("; ", F.concat_ws(" ", tilt, limit), art)).otherwise(""))
 
 
 def checks(regions: DataFrame, rules: Rules) -> DataFrame:
     """Adds the array of rule checks: task, value, threshold, fired."""
-    one = lambda task, value, limit: F.struct(F.lit(task).alias("task"), F.lit("rule").alias("kind"), value.alias("value"), F.lit(limit).alias("threshold"), (value > limit).alias("fired"))
-    return regions.withColumn("checks", F.array(one("spine_axis", F.col("tilt"), rules.max_spine_tilt_deg), one("spine_artifact", F.col("kp_art_frac_mean"), rules.artifact_threshold)))
+    one = lambda task, value, limit: F.struct(F.lit(task).alias("task"), F.lit("rule").alias("kind"), value.alias("value"), limit.alias("threshold"), (value > limit).alias("fired"))
+    return regions.withColumn("checks", F.array(one("spine_axis", F.col("tilt"), F.col("tilt_limit")), one("spine_artifact", F.col("kp_art_frac_mean"), F.lit(rules.artifact_threshold))))
 
 
 def run_summary(report_rows: DataFrame) -> DataFrame:

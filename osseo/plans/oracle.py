@@ -32,23 +32,44 @@ ac AS (SELECT lg.frame_id, lg.k, round(sum(a.p * b.p) / (any_value(t.e) + 1e-9),
   JOIN (SELECT frame_id, sum(p * p) AS e FROM pf GROUP BY 1) t ON t.frame_id = lg.frame_id GROUP BY 1, 2),
 pd AS (SELECT frame_id, arg_min(k, struct_pack(r := -r, k := k)) AS period, max(r) AS strength FROM ac GROUP BY 1)"""
 MEAS = """ms AS (SELECT event_id, user_id AS study, CASE WHEN event_type IN ('view', 'signup') THEN 'spine' WHEN event_type = 'click' THEN 'hip_right' WHEN event_type = 'purchase' THEN 'hip_left' ELSE 'error' END AS region,
-  value AS axis_deg, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100000.0 AS kp_art_frac FROM events),
-rg AS (SELECT study, region, count(*) AS n_frames, avg(axis_deg) AS axis_deg_mean, max(axis_deg) AS axis_deg_max, avg(kp_art_frac) AS kp_art_frac_mean FROM ms WHERE region <> 'error' GROUP BY 1, 2)"""
+  value AS axis_deg, k / 100000 AS kp_art_frac, CASE user_id % 3 WHEN 0 THEN value * 0.75::DOUBLE ELSE -1 END AS vb, CASE user_id % 3 WHEN 1 THEN value * 0.875::DOUBLE ELSE -1 END AS col, CASE WHEN event_id % 5 > 0 THEN k / 100 ELSE 0.25::DOUBLE END AS coverage
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)),
+rg AS (SELECT study, region, count(*) AS n_frames, avg(axis_deg) AS axis_deg_mean, max(axis_deg) AS axis_deg_max, avg(kp_art_frac) AS kp_art_frac_mean, avg(vb) AS vb_axis_deg_mean, avg(col) AS col_tilt_deg_mean, avg(coverage) AS coverage_mean
+  FROM ms WHERE region <> 'error' GROUP BY 1, 2)"""
 VERDICT = (
     MEAS
     + f""",
-vd AS (SELECT *, CASE WHEN region = 'spine' THEN CASE WHEN axis_deg_max >= 0 THEN axis_deg_max ELSE -1.0 END ELSE -1.0 END AS tilt FROM rg),
-vr AS (SELECT *, region = 'spine' AND tilt > {RULES.max_spine_tilt_deg} AS fires_axis, region = 'spine' AND kp_art_frac_mean > {RULES.artifact_threshold} AS fires_artifact FROM vd),
+vd AS (SELECT *, CASE WHEN region <> 'spine' THEN -1.0 WHEN vb_axis_deg_mean >= 0 THEN vb_axis_deg_mean WHEN col_tilt_deg_mean >= 0 THEN col_tilt_deg_mean WHEN axis_deg_max >= 0 THEN axis_deg_max ELSE -1.0 END AS tilt,
+  CASE WHEN vb_axis_deg_mean >= 0 THEN {RULES.vb_axis_limit_deg}::DOUBLE ELSE {RULES.max_spine_tilt_deg}::DOUBLE END AS lim FROM rg),
+vr AS (SELECT *, region = 'spine' AND tilt > lim AS fires_axis, region = 'spine' AND kp_art_frac_mean > {RULES.artifact_threshold}::DOUBLE AS fires_artifact FROM vd),
 vt AS (SELECT *, concat_ws(';', CASE WHEN fires_axis THEN 'Наклон оси позвоночника' END, CASE WHEN fires_artifact THEN 'Посторонние предметы в области исследования' END) AS violation_type FROM vr),
-sc AS (SELECT *, CASE WHEN region = 'spine' THEN 0.7 * (SELECT count(*) FROM range(1, 100) t(i) WHERE i * (2.0::DOUBLE / 99) < greatest(greatest(tilt, 0) / {RULES.max_spine_tilt_deg}, kp_art_frac_mean / {RULES.artifact_threshold})) / 99
+sc AS (SELECT *, CASE WHEN region = 'spine' THEN 0.7 * (SELECT count(*) FROM range(1, 100) t(i) WHERE i * (2.0::DOUBLE / 99) < greatest(greatest(tilt, 0) / {RULES.max_spine_tilt_deg}::DOUBLE, kp_art_frac_mean / {RULES.artifact_threshold}::DOUBLE, coverage_mean / {RULES.coverage_threshold}::DOUBLE)) / 99
     + 0.3 * (SELECT count(*) FROM range(1, 100) t(i) WHERE i * (1.0::DOUBLE / 99) < (n_frames % 10 / 10.0)) / 99
   ELSE (SELECT count(*) FROM range(1, 151) t(i) WHERE i * (1.0::DOUBLE / 150) < (n_frames % 10 / 10.0)) / 150.0 END AS score FROM vt),
 rp AS (SELECT event_id, ms.study AS study_uid, CASE WHEN region = 'error' THEN '' ELSE region END AS anatomical_region, CASE WHEN region <> 'error' THEN CAST(sc.violation_type <> '' AS INTEGER) END AS quality_class,
   CASE WHEN region = 'error' THEN '' ELSE sc.violation_type END AS violation_type, CASE WHEN region = 'error' THEN 'Failure' ELSE 'Success' END AS processing_status, CASE WHEN region = 'error' THEN 0.0 ELSE sc.score END AS quality_prob
   FROM ms LEFT JOIN sc USING (study, region))"""
 )
+BONE = (
+    MASK
+    + """,
+bn AS (SELECT frame_id, y, x, z, coalesce(x >= min(x) FILTER (m) OVER w AND x <= max(x) FILTER (m) OVER w, false) AS m FROM mk WINDOW w AS (PARTITION BY frame_id, y)),
+ex AS (SELECT frame_id, count(*) FILTER (m) AS px, min(y) FILTER (m) AS y_lo, max(y) FILTER (m) AS y_hi, greatest(1, max(y) FILTER (m) - min(y) FILTER (m)) AS span, (max(x) + 1) / 2 AS mx, (max(y) + 1) / 2 AS my FROM bn GROUP BY 1),
+ml AS (SELECT frame_id, y, (min(x) + max(x)) / 2 AS mid FROM bn WHERE m GROUP BY 1, 2),
+ln AS (SELECT frame_id, count(*) AS n, count(*) FILTER (lo) AS nl, regr_slope(mid, y) FILTER (lo) AS k FROM (SELECT ml.*, y >= floor(y_lo + 0.6::DOUBLE * (y_hi - y_lo)) AS lo FROM ml JOIN ex USING (frame_id)) GROUP BY 1),
+ft AS (SELECT frame_id, avg(x) AS fx, avg(y) AS fy, count(*) AS fn, median(z) AS fz FROM bn JOIN ex USING (frame_id) WHERE m AND y >= floor(y_lo + 0.8::DOUBLE * span) GROUP BY 1),
+sf AS (SELECT ex.*, CASE WHEN n >= 20 AND nl >= 8 THEN degrees(atan(k)) ELSE 0 END AS ang, fx, fy, coalesce(fn, 0) AS fn, fz FROM ex LEFT JOIN ln USING (frame_id) LEFT JOIN ft USING (frame_id)),
+tn AS (SELECT frame_id, median(z) AS mid, stddev_pop(z) + 1e-6 AS sd FROM bn WHERE m GROUP BY 1)"""
+)
+# every target pixel looks up the source pixel that a turn by -deg sends to it
+TURNED = """SELECT t.frame_id, t.y, t.x, coalesce(s.m, false) AS m FROM (
+  SELECT b.frame_id, y, x, CAST(floor(round(mx + (x - mx) * cos(a) - (y - my) * sin(a), 9) + 0.5) AS INTEGER) AS sx, CAST(floor(round(my + (x - mx) * sin(a) + (y - my) * cos(a), 9) + 0.5) AS INTEGER) AS sy
+  FROM {of} b JOIN {by} USING (frame_id)) t LEFT JOIN {of} s ON s.frame_id = t.frame_id AND s.x = sx AND s.y = sy"""
 EVAL = """sl AS (SELECT l.doc_id AS id, 1 - quality AS y, round((n_chars % 997) / 997.0::DOUBLE, 6) AS p, source AS grp FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
 tl AS (SELECT p, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM sl GROUP BY 1) WINDOW w AS (ORDER BY p DESC))"""
+DRAWS = """,
+g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g FROM (SELECT DISTINCT grp FROM sl)), n AS (SELECT count(*) AS n FROM g),
+d AS (SELECT b, CAST(('0x' || substr(md5('7:' || b || ':' || k), 1, 8)) AS BIGINT) % n AS g FROM (SELECT n, unnest(range(n)) AS k FROM n), range(2000) t(b))"""
 DUP = "mf AS (SELECT source AS study_dir, doc_id AS rel_path, md5(text) AS pixel_md5, lang AS model FROM documents)"
 
 
@@ -57,6 +78,10 @@ def _q(prelude: str, select: str, *doubles: str, digits: int = 6) -> str:
     return f"SELECT * REPLACE ({', '.join(f'round({d}, {digits}) AS {d}' for d in doubles)}) FROM (\n{sql})" if doubles else sql
 
 
+COLUMNS = """cc AS (SELECT frame_id, x, count(*) FILTER (m) AS n, any_value(w) AS w FROM (SELECT *, max(x) OVER (PARTITION BY frame_id) + 1 AS w FROM mk) GROUP BY 1, 2),
+sm AS (SELECT a.frame_id, a.x, a.w, sum(b.n * exp(-k * k / 8.0::DOUBLE)) / sum(exp(-k * k / 8.0::DOUBLE)) AS c FROM cc a, range(-5, 6) t(k), cc b WHERE b.frame_id = a.frame_id AND b.x = CASE WHEN a.x + k < 0 THEN -(a.x + k) WHEN a.x + k >= a.w THEN 2 * a.w - 2 - (a.x + k) ELSE a.x + k END GROUP BY 1, 2, 3),
+cs AS (SELECT frame_id, 1 - min(c) FILTER (inn) / max(c) FILTER (inn) AS dip, least(sum(c) FILTER (lf), sum(c) FILTER (NOT lf)) / greatest(sum(c) FILTER (lf), sum(c) FILTER (NOT lf)) AS sym
+  FROM (SELECT *, x >= floor(0.25::DOUBLE * w) AND x < floor(0.75::DOUBLE * w) AS inn, x < w // 2 AS lf FROM sm) GROUP BY 1)"""
 PEAKS = "pk AS (SELECT frame_id, y FROM (SELECT *, lag(zsum) OVER w AS a, lead(zsum) OVER w AS b FROM rw WINDOW w AS (PARTITION BY frame_id ORDER BY y)) WHERE zsum >= a AND zsum > b)"
 
 SQL = {
@@ -86,26 +111,42 @@ SELECT frame_id, CASE WHEN k >= 2 THEN top / unit ELSE -1.0 END AS vl_gap_top_bo
         "vl_gap_top_bodies", "vl_gap_bot_bodies", "vl_tilt_ends", "vl_aspect_med", "vl_width_slope", "vl_body_h_px",
     ),
     "femur_shape": _q(
-        ROWS,
-        """, sp AS (SELECT frame_id, min(y) AS y0, max(y) - min(y) AS span FROM rw GROUP BY 1), a AS (SELECT rw.*, (y - y0) / span AS rel, x_max - x_min + 1 AS width FROM rw JOIN sp USING (frame_id)),
-l AS (SELECT frame_id, regr_slope((x_min + x_max) / 2, y) FILTER (rel >= 0.6::DOUBLE) AS ax, median(width) FILTER (rel >= 0.7::DOUBLE) AS sw, regr_slope(x_min, y) FILTER (rel >= 0.7::DOUBLE) AS k, regr_intercept(x_min, y) FILTER (rel >= 0.7::DOUBLE) AS c,
-  stddev_pop(width) AS ws, max(width) FILTER (rel < 0.3::DOUBLE) AS px FROM a GROUP BY 1),
-o AS (SELECT frame_id, max(greatest(0, k * y + c - x_min)) AS mx, avg(greatest(0, k * y + c - x_min)) AS mn FROM a JOIN l USING (frame_id) WHERE rel > 0.3::DOUBLE AND rel < 0.7::DOUBLE GROUP BY 1)
-SELECT frame_id, degrees(atan(ax)) AS shaft_angle_deg, sw AS shaft_width_px, mx AS lt_protrusion_px, mn AS lt_protrusion_mean, mx / sw AS lt_index, px / sw AS prox_width_ratio, ws AS width_profile_std FROM l JOIN o USING (frame_id)""",
-        "shaft_angle_deg", "shaft_width_px", "lt_protrusion_px", "lt_protrusion_mean", "lt_index", "prox_width_ratio", "width_profile_std",
-    ),
+        BONE + ",\nup AS (SELECT frame_id, mx, my, radians(-ang) AS a FROM sf),\ntr AS (" + TURNED.format(of="bn", by="up") + ")",
+        """, r AS (SELECT frame_id, y, min(x) AS a, max(x) AS b FROM tr WHERE m GROUP BY 1, 2), e AS (SELECT frame_id, min(y) AS y0, max(y) - min(y) + 1 AS s, count(*) AS n FROM r GROUP BY 1),
+p AS (SELECT r.*, n, b - a AS w, (y - y0) / s > 0.7::DOUBLE AS lo, (y - y0) / s > 0.3::DOUBLE AND (y - y0) / s < 0.7::DOUBLE AS pr FROM r JOIN e USING (frame_id)),
+l AS (SELECT frame_id, median(w) FILTER (lo) AS sw, regr_slope(b, y) FILTER (lo) AS k, regr_intercept(b, y) FILTER (lo) AS c, max(w) FILTER (pr) AS mw, stddev_pop(w) AS sd FROM p GROUP BY 1 HAVING any_value(n) >= 20 AND count(*) FILTER (lo) >= 5 AND count(*) FILTER (pr) >= 5),
+o AS (SELECT frame_id, max(b - k * y - c) AS mx, avg(greatest(b - k * y - c, 0)) AS mn FROM p JOIN l USING (frame_id) WHERE pr GROUP BY 1)
+SELECT sf.frame_id, CAST(sw IS NULL AS DOUBLE) AS empty_femur, CASE WHEN sw IS NOT NULL THEN abs(ang) END AS shaft_angle_deg, sw AS shaft_width_px, o.mx AS lt_protrusion_px, CASE WHEN sw > 0 THEN o.mx / sw WHEN sw IS NOT NULL THEN 0 END AS lt_index, mn AS lt_protrusion_mean,
+ CASE WHEN sw > 0 THEN mw / sw WHEN sw IS NOT NULL THEN 0 END AS prox_width_ratio, sd / (sw + 1e-6) AS width_profile_std FROM sf LEFT JOIN (l JOIN o USING (frame_id)) USING (frame_id)""",
+        "shaft_angle_deg", "lt_protrusion_px", "lt_index", "lt_protrusion_mean", "prox_width_ratio", "width_profile_std",
+    ),
+    "shaft_axis": _q(BONE, "SELECT frame_id, px AS pixels, ang AS angle_deg, fx AS foot_x, fy AS foot_y FROM sf", "angle_deg", "foot_x", "foot_y"),
+    "first_exceedance": _q(ROWS, "SELECT frame_id, min(y) AS y FROM (SELECT *, max(n) OVER (PARTITION BY frame_id) AS top FROM rw) WHERE top >= 3 AND n >= greatest(2, 0.7::DOUBLE * top) GROUP BY 1"),
     "period_phase": _q(
         ROWS + ",\n" + PERIOD,
         ", c AS (SELECT frame_id, sum(zsum * cos(2 * pi() * y / period)) AS re, sum(-zsum * sin(2 * pi() * y / period)) AS im FROM rw JOIN pd USING (frame_id) GROUP BY 1) SELECT frame_id, atan2(im, re) AS phase, sqrt(re * re + im * im) AS amplitude FROM c",
         "phase", "amplitude",
     ),
     "region_guess": _q(
-        MASK + ",\n" + SHAPE,
-        """, q AS (SELECT frame_id, (y1 - y0 + 1) / (x1 - x0 + 1) AS a, (x1 - x0 + 1) / w AS cs FROM sh JOIN sz USING (frame_id))
-SELECT frame_id, CASE WHEN a > 1.2 THEN 'spine' WHEN cs > 0.8 THEN 'hip_both' ELSE 'hip_single' END AS guess, round(CASE WHEN a > 1.2 THEN least(a / 2, 0.99) ELSE least(cs, 0.99) END, 2) AS confidence FROM q""",
+        ROWS + ",\n" + SHAPE + ",\n" + PERIOD + ",\n" + COLUMNS,
+        """, q AS (SELECT frame_id, 0.6::DOUBLE * least(strength / 0.35::DOUBLE, 1) + 0.4::DOUBLE * least((y1 - y0 + 1) / (x1 - x0 + 1) / 1.6::DOUBLE, 1) AS s, (x1 - x0 + 1) / w > 0.78::DOUBLE AND dip > 0.3::DOUBLE AND sym > 0.55::DOUBLE AS two, dip
+  FROM sh JOIN sz USING (frame_id) JOIN pd USING (frame_id) JOIN cs USING (frame_id))
+SELECT frame_id, CASE WHEN s > 0.62::DOUBLE THEN 'spine' WHEN two THEN 'hip_both' ELSE 'hip_single' END AS guess, round_even(CASE WHEN s > 0.62::DOUBLE THEN least(s, 1) WHEN two THEN least(dip + 0.2::DOUBLE, 1) ELSE greatest(0.3::DOUBLE, 1 - s) END, 2) AS confidence FROM q""",
+    ),
+    "column_shape": _q(MASK + ",\n" + COLUMNS, "SELECT frame_id, dip AS profile_dip, sym AS lr_symmetry FROM cs", "profile_dip", "lr_symmetry"),
+    "rotated_box": _q(
+        MASK + ",\nup AS (SELECT frame_id, (max(x) + 1) / 2 AS mx, (max(y) + 1) / 2 AS my, radians(10.0::DOUBLE) AS a FROM mk GROUP BY 1),\ntr AS (" + TURNED.format(of="mk", by="up") + ")",
+        "SELECT frame_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM tr WHERE m GROUP BY 1", "cx", "cy",
+    ),
+    "distance_widest": _q(
+        MASK,
+        """, e AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h FROM mk GROUP BY 1), d AS (SELECT a.frame_id, a.y, a.x, least(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2), any_value(least(a.x + 1, w - a.x, a.y + 1, h - a.y)) ** 2) AS d2
+  FROM mk a JOIN e USING (frame_id) JOIN mk b ON b.frame_id = a.frame_id AND a.m AND NOT b.m GROUP BY 1, 2, 3)
+SELECT frame_id, sqrt(d2) AS radius, y, x FROM d QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY d2 DESC, y, x) = 1""",
+        "radius",
     ),
     "area_resize": _q(PX, "SELECT frame_id, CAST(y // 4 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, avg(v) AS v FROM px GROUP BY 1, 2, 3", "v"),
-    "legacy_score": _q(VERDICT, f"SELECT study, region, greatest(least(greatest(tilt / {2 * RULES.max_spine_tilt_deg}, 0), 1), least(greatest(kp_art_frac_mean / {2 * RULES.artifact_threshold}, 0), 1)) AS score FROM vr", "score"),
+    "legacy_score": _q(VERDICT, f"SELECT study, region, greatest(least(greatest(tilt / {2 * RULES.max_spine_tilt_deg}, 0), 1), least(greatest(kp_art_frac_mean / {2 * RULES.artifact_threshold}, 0), 1), least(greatest(coverage_mean / {2 * RULES.coverage_threshold}::DOUBLE, 0), 1)) AS score FROM vr", "score"),
     "landmark_rules": _q(
         "e AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)) * 200) AS e FROM embeddings)",
         """SELECT vec_id, e[2] * 0.73::DOUBLE AS lmk_above_gt_mm, CAST(e[2] * 0.73::DOUBLE >= 30 AS DOUBLE) AS lmk_above_gt_ok, CASE WHEN vec_id % 3 <> 0 THEN (63 - e[8]) * 0.73::DOUBLE END AS lmk_below_isch_mm,
@@ -113,8 +154,8 @@ SELECT frame_id, CASE WHEN a > 1.2 THEN 'spine' WHEN cs > 0.8 THEN 'hip_both' EL
         "lmk_above_gt_mm", "lmk_below_isch_mm", "lmk_neck_len_mm",
     ),
     "head_contributions": _q(
-        "e AS (SELECT vec_id, i, [1.0, -2.0, 0.5, 3.0, -1.5, 0.25, 2.5, -0.75][i + 1]::DOUBLE * (CAST(embedding[i + 1] AS DOUBLE) - 0.01::DOUBLE * i) AS impact FROM embeddings, range(8) t(i))",
-        "SELECT vec_id, 'f' || i AS feature, impact FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(impact) DESC, i) <= 3",
+        "e AS (SELECT vec_id, i, (i * 7 % 16 - 7.5::DOUBLE) / 4 * (CAST(embedding[i + 1] AS DOUBLE) - 0.01::DOUBLE * (i % 8)) AS impact FROM embeddings, range(64) t(i))",
+        "SELECT vec_id, 'f' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature, impact FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(impact) DESC, i) <= 3",
         "impact",
     ),
     "pixel_normalize": _q(
@@ -203,29 +244,33 @@ SELECT frame_id, width, y, round(r, 9) AS response FROM re QUALIFY row_number()
         "response",
     ),
     "proximal_grid": _q(
-        MASK,
-        """, bx AS (SELECT frame_id, min(y) AS y0, max(y) - min(y) + 1 AS span, min(x) AS x0, max(x) - min(x) + 1 AS width FROM mk WHERE m GROUP BY 1),
-ce AS (SELECT frame_id, CAST(floor((y - y0) / span / 0.75::DOUBLE * 4) AS INTEGER) AS i, CAST(floor((x - x0) / width * 3) AS INTEGER) AS j, m, z FROM mk JOIN bx USING (frame_id) WHERE x >= x0 AND y >= y0)
-SELECT frame_id, i, j, CASE WHEN count(*) FILTER (m) < 12 THEN -1.0 ELSE avg(CAST(m AS INTEGER)) END AS fill, CASE WHEN count(*) FILTER (m) < 12 THEN -1.0 ELSE avg(z) FILTER (m) END AS intensity FROM ce WHERE i < 4 AND j < 3 GROUP BY 1, 2, 3""",
+        BONE,
+        """, di AS (SELECT a.frame_id, a.y, a.x, sqrt(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM bn a JOIN ex USING (frame_id) JOIN bn b ON b.frame_id = a.frame_id WHERE a.m AND a.y >= floor(y_lo + 0.8::DOUBLE * span) AND NOT b.m GROUP BY 1, 2, 3),
+wd AS (SELECT frame_id, greatest(4, 2 * median(d)) AS sw FROM di GROUP BY 1),
+ce AS (SELECT frame_id, m, (z - mid) / sd AS s, CAST(floor(((y - y_lo) * cos(radians(ang)) + (x - fx) * sin(radians(ang))) / span / 0.75::DOUBLE * 4) AS INTEGER) AS i,
+  CAST(floor((((x - fx) * cos(radians(ang)) - (y - fy) * sin(radians(ang))) / sw + 1.6::DOUBLE) / 3.2::DOUBLE * 3) AS INTEGER) AS j FROM bn JOIN sf USING (frame_id) JOIN wd USING (frame_id) JOIN tn USING (frame_id) WHERE px >= 50 AND fn >= 10)
+SELECT frame_id, i, j, CASE WHEN count(*) < 12 THEN -1.0 ELSE avg(CAST(m AS INTEGER)) END AS fill, CASE WHEN count(*) < 12 THEN -1.0 ELSE coalesce(avg(s) FILTER (m), -1) END AS intensity FROM ce WHERE i BETWEEN 0 AND 3 AND j BETWEEN 0 AND 2 GROUP BY 1, 2, 3""",
         "fill", "intensity",
     ),
     "medial_contrast": _q(
-        MASK,
-        """, fc AS (SELECT frame_id, min(y) AS y0, max(y) - min(y) AS span, avg(x) AS ax, median(z) AS mid, stddev_pop(z) AS sd FROM mk WHERE m GROUP BY 1),
-zo AS (SELECT frame_id, (z - mid) / (sd + 1e-6) AS s FROM mk JOIN fc USING (frame_id) WHERE m AND x < ax AND (y - y0) / span BETWEEN 0.35::DOUBLE AND 0.72::DOUBLE)
-SELECT frame_id, quantile_cont(s, 0.9) AS med_prox_contrast, avg(CAST(s > 1 AS INTEGER)) AS med_prox_bright_frac FROM zo GROUP BY 1 HAVING count(*) >= 20""",
+        BONE,
+        """, zo AS (SELECT frame_id, (z - mid) / sd AS s FROM bn JOIN sf USING (frame_id) JOIN tn USING (frame_id) WHERE m AND px >= 50 AND fn >= 10 AND (x - fx) * cos(radians(ang)) - (y - fy) * sin(radians(ang)) > 0 AND (y - y_lo) / span > 0.35::DOUBLE AND (y - y_lo) / span < 0.72::DOUBLE),
+g AS (SELECT frame_id, quantile_cont(s, 0.9) AS p, avg(CAST(s > 1 AS INTEGER)) AS b FROM zo GROUP BY 1 HAVING count(*) >= 20)
+SELECT frame_id, coalesce(p, -1) AS med_prox_contrast, coalesce(b, -1) AS med_prox_bright_frac, CAST(p IS NOT NULL AS DOUBLE) AS med_prox_ok FROM sf LEFT JOIN g USING (frame_id)""",
         "med_prox_contrast", "med_prox_bright_frac",
     ),
     "trochanter_density": _q(
-        MASK,
-        """, fc AS (SELECT frame_id, min(y) AS y0, max(y) - min(y) AS span FROM mk WHERE m GROUP BY 1),
-a AS (SELECT frame_id, y, x, z, (y - y0) / span AS rel FROM mk JOIN fc USING (frame_id) WHERE m),
-b AS (SELECT *, (min(x) OVER w + max(x) OVER w) / 2 AS mid, count(*) OVER w AS n FROM a WINDOW w AS (PARTITION BY frame_id, y)),
-r AS (SELECT frame_id, y, max(z) AS pk, avg(z) AS mn FROM b WHERE n >= 6 AND x >= mid AND rel BETWEEN 0.25::DOUBLE AND 0.55::DOUBLE GROUP BY 1, 2),
-s AS (SELECT *, abs(mn - lag(mn) OVER (PARTITION BY frame_id ORDER BY y)) AS st FROM r),
-f AS (SELECT frame_id, median(z) AS ref FROM a WHERE rel >= 0.8::DOUBLE GROUP BY 1 HAVING count(*) > 20)
-SELECT frame_id, avg(pk) / any_value(ref) AS lt_dens_peak, avg(mn) / any_value(ref) AS lt_dens_mean, avg(st) AS lt_dens_grad FROM s JOIN f USING (frame_id) GROUP BY 1 HAVING count(*) >= 5""",
-        "lt_dens_peak", "lt_dens_mean", "lt_dens_grad",
+        BONE,
+        """, a AS (SELECT b.frame_id, y, x, z, m, min(x) FILTER (m) OVER w AS lo, max(x) FILTER (m) OVER w AS hi, count(*) FILTER (m) OVER w AS k FROM bn b JOIN sf USING (frame_id)
+  WHERE px >= 200 AND fn >= 10 AND y >= floor(y_lo + 0.25::DOUBLE * span) AND y < floor(y_lo + 0.55::DOUBLE * span) WINDOW w AS (PARTITION BY b.frame_id, y)),
+bd AS (SELECT frame_id FROM a GROUP BY 1 HAVING count(*) FILTER (m) >= 40),
+r AS (SELECT frame_id, y, max(z) AS pk, avg(z) AS mn, (any_value(hi) - arg_min(x, struct_pack(z := -z, x := x))) / (any_value(hi) - floor(any_value(hi) - 0.5::DOUBLE * (any_value(hi) - any_value(lo)))) AS ps
+  FROM a WHERE k >= 6 AND hi > floor(hi - 0.5::DOUBLE * (hi - lo)) + 1 AND x BETWEEN floor(hi - 0.5::DOUBLE * (hi - lo)) AND hi GROUP BY 1, 2),
+s AS (SELECT *, abs(pk - lag(pk) OVER (PARTITION BY frame_id ORDER BY y)) AS st FROM r),
+g AS (SELECT frame_id, max(pk) AS pk, avg(mn) AS mn, median(ps) AS ps, stddev_pop(ps) AS sd, median(st) AS st FROM s JOIN bd USING (frame_id) GROUP BY 1 HAVING count(*) >= 5),
+f AS (SELECT sf.frame_id, greatest(CASE WHEN fn > 20 THEN fz ELSE mid END, 1e-3) AS ref FROM sf JOIN tn USING (frame_id))
+SELECT sf.frame_id, CAST(pk IS NULL AS DOUBLE) AS lt_dens_empty, pk / ref AS lt_dens_peak, mn / ref AS lt_dens_mean, ps AS lt_dens_pos, sd AS lt_dens_pos_std, st / ref AS lt_dens_grad FROM sf LEFT JOIN (g JOIN f USING (frame_id)) USING (frame_id)""",
+        "lt_dens_peak", "lt_dens_mean", "lt_dens_pos", "lt_dens_pos_std", "lt_dens_grad",
     ),
     "side_margins": _q(
         MASK,
@@ -242,10 +287,12 @@ SELECT *, CASE WHEN top_x IS NULL OR bottom_x IS NULL THEN 'unknown' WHEN top_x
     ),
     "region_route": _q(
         ROWS + ",\n" + SHAPE + ",\n" + PERIOD,
-        """, c AS (SELECT sz.frame_id, coalesce(n, 0) AS n, 0.6 * least(coalesce(strength, 0) / 0.35::DOUBLE, 1.0) + 0.4 * least(coalesce((y1 - y0 + 1) / (x1 - x0 + 1), 0) / 1.6::DOUBLE, 1.0) AS score
-  FROM sz LEFT JOIN sh USING (frame_id) LEFT JOIN pd USING (frame_id)),
+        """, ct AS (SELECT frame_id, quantile_cont(CAST(y AS DOUBLE), 0.3) AS a, quantile_cont(CAST(y AS DOUBLE), 0.7) AS b FROM mk WHERE m GROUP BY 1),
+sd AS (SELECT frame_id, avg(x) FILTER (y < a) AS tx, avg(x) FILTER (y > b) AS bx FROM mk JOIN ct USING (frame_id) WHERE m GROUP BY 1),
+c AS (SELECT sz.frame_id, coalesce(n, 0) AS n, tx, bx, 0.6 * least(coalesce(strength, 0) / 0.35::DOUBLE, 1.0) + 0.4 * least(coalesce((y1 - y0 + 1) / (x1 - x0 + 1), 0) / 1.6::DOUBLE, 1.0) AS score
+  FROM sz LEFT JOIN sh USING (frame_id) LEFT JOIN pd USING (frame_id) LEFT JOIN sd USING (frame_id)),
 d AS (SELECT *, CASE WHEN score > 0.62 THEN score ELSE 1 - score END AS cf FROM c)
-SELECT frame_id, score, CASE WHEN n < 50 THEN 0.0 ELSE cf END AS confidence, CASE WHEN n < 50 OR cf < 0.6 THEN 'unknown' WHEN score > 0.62 THEN 'spine' ELSE 'hip' END AS region FROM d""",
+SELECT frame_id, score, CASE WHEN n < 50 THEN 0.0 ELSE cf END AS confidence, CASE WHEN n < 50 OR cf < 0.6 THEN 'unknown' WHEN score > 0.62 THEN 'spine' WHEN tx > bx THEN 'hip_right' WHEN tx <= bx THEN 'hip_left' ELSE 'unknown' END AS region FROM d""",
         "score", "confidence",
     ),
     "mirror_frames": _q(PX, "SELECT frame_id, 63 - x AS x, avg(v) AS v_mean FROM px GROUP BY 1, 2", "v_mean"),
@@ -272,7 +319,7 @@ SELECT p.frame_id, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, m
 SELECT rw.frame_id, rw.y, x0 + (x1 - x0) * (rw.y - y0) / (y1 - y0) AS x FROM rw JOIN pt ON pt.frame_id = rw.frame_id AND y1 IS NOT NULL AND (rw.y >= y0 OR pt.i = 1) AND (rw.y < y1 OR pt.i = pt.n - 1)""",
         "x",
     ),
-    "region_aggregate": _q(MEAS, "SELECT * FROM rg", "axis_deg_mean", "axis_deg_max", "kp_art_frac_mean"),
+    "region_aggregate": _q(MEAS, "SELECT * FROM rg", "axis_deg_mean", "axis_deg_max", "kp_art_frac_mean", "vb_axis_deg_mean", "col_tilt_deg_mean", "coverage_mean"),
     "pair_asymmetry": _q(
         MEAS,
         """SELECT a.study, a.region, a.axis_deg_mean, CASE WHEN b.study IS NULL THEN 0.0::DOUBLE ELSE 1.0 END AS has_pair, coalesce(a.axis_deg_mean - b.axis_deg_mean, 0) AS axis_deg_mean_diff, abs(coalesce(a.axis_deg_mean - b.axis_deg_mean, 0)) AS axis_deg_mean_asym
@@ -291,12 +338,12 @@ SELECT study, region, CASE WHEN n_frames % 2 = 0 THEN '' WHEN a > 0.6 OR b > 1.0
     "report_rows": _q(VERDICT, "SELECT * FROM rp", "quality_prob"),
     "report_details": _q(
         VERDICT,
-        f"""SELECT study, region, CASE WHEN region <> 'spine' THEN '' ELSE concat_ws('; ', concat_ws(' ', format('наклон оси {{:.1f}}°', round_even(tilt, 1)), CASE WHEN tilt > {RULES.max_spine_tilt_deg} THEN 'превышает норму' ELSE 'в норме' END),
+        f"""SELECT study, region, CASE WHEN region <> 'spine' THEN '' ELSE concat_ws('; ', concat_ws(' ', format('наклон оси {{:.1f}}°', round_even(tilt, 1)), CASE WHEN tilt > lim THEN 'превышает норму' ELSE 'в норме' END),
  CASE WHEN kp_art_frac_mean >= {RULES.artifact_threshold} THEN 'видны посторонние предметы' END) END AS details FROM vr""",
     ),
     "rule_checks": _q(
         VERDICT,
-        f"""SELECT study, 'spine_axis' AS task, {RULES.max_spine_tilt_deg}::DOUBLE AS threshold, tilt > {RULES.max_spine_tilt_deg} AS fired, tilt AS value FROM vr WHERE region = 'spine'
+        f"""SELECT study, 'spine_axis' AS task, lim AS threshold, tilt > lim AS fired, tilt AS value FROM vr WHERE region = 'spine'
 UNION ALL SELECT study, 'spine_artifact', {RULES.artifact_threshold}::DOUBLE, kp_art_frac_mean > {RULES.artifact_threshold}, kp_art_frac_mean FROM vr WHERE region = 'spine'""",
         "threshold", "value",
     ),
@@ -332,10 +379,15 @@ SELECT *, tp / (tp + fn) AS sensitivity, tn / (tn + fp) AS specificity, 2 * tp /
         "sensitivity", "specificity", "f1", "balanced_accuracy", "prevalence",
     ),
     "bootstrap_ci": _q(
-        EVAL,
-        """, g AS (SELECT row_number() OVER (ORDER BY grp) - 1 AS g, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 1) AS pos FROM sl GROUP BY grp),
-n AS (SELECT count(*) AS n FROM g), d AS (SELECT b, CAST(('0x' || substr(md5('7:' || b || ':' || k), 1, 8)) AS BIGINT) % n AS g FROM n, range(200) t(b), range(100000) u(k) WHERE k < n),
-r AS (SELECT b, sum(tp) / sum(pos) AS s FROM d JOIN g USING (g) GROUP BY b HAVING sum(pos) > 0)
+        EVAL + DRAWS,
+        """, r AS (SELECT b, sum(tp) / sum(pos) AS s FROM d JOIN (SELECT g, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM sl JOIN g USING (grp) GROUP BY 1) USING (g) GROUP BY b HAVING sum(pos) > 0 AND sum(neg) > 0)
+SELECT quantile_cont(s, 0.025) AS low, quantile_cont(s, 0.975) AS high FROM r""",
+        "low", "high",
+    ),
+    "bootstrap_auc_ci": _q(
+        EVAL + DRAWS,
+        """, e AS (SELECT b, p, sum(pos * times) AS pos, sum(neg * times) AS neg FROM (SELECT b, g, count(*) AS times FROM d GROUP BY 1, 2) JOIN (SELECT g, p, sum(y) AS pos, sum(1 - y) AS neg FROM sl JOIN g USING (grp) GROUP BY 1, 2) USING (g) GROUP BY 1, 2),
+f AS (SELECT *, sum(neg) OVER (PARTITION BY b ORDER BY p DESC) AS above FROM e), r AS (SELECT b, 1 - sum(pos * (above - neg / 2)) / (sum(pos) * sum(neg)) AS s FROM f GROUP BY 1 HAVING sum(pos) > 0 AND sum(neg) > 0)
 SELECT quantile_cont(s, 0.025) AS low, quantile_cont(s, 0.975) AS high FROM r""",
         "low", "high",
     ),
@@ -345,6 +397,6 @@ SELECT 'l_quantity' AS feature UNION ALL SELECT 'l_extendedprice' FROM c WHERE N
     "embedding_norm": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e)
 SELECT vec_id, round(norm, 6) AS norm, round(v[1] / (norm + 1e-6), 6) AS first, round(list_sum(list_transform(v, lambda x: x / (norm + 1e-6))), 6) AS total FROM n""",
     "embedding_pool": "SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean, count(*) AS n FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2",
-    "topk_candidates": """WITH s AS (SELECT label, vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM embeddings)
+    "topk_candidates": """WITH s AS (SELECT label, vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score FROM embeddings)
 SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 30""",
 }

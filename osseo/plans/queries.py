@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from osseo.config import Rules
-from osseo.functions.columns import resolved
-from osseo.operators import evaluation as E, manifests as M, measures as Q, neighbourhood as N, pixels as P, studies as S
+from osseo.functions.columns import resolved, saved
+from osseo.operators import evaluation as E, hips as H, manifests as M, measures as Q, neighbourhood as N, pixels as P, studies as S
 from osseo.plans.registry import features_long
 from osseo.sources import surrogates as V
 
-RULES = Rules(max_spine_tilt_deg=60.0, artifact_threshold=0.0005)
+RULES = Rules(max_spine_tilt_deg=60.0, vb_axis_limit_deg=40.0, artifact_threshold=0.0005)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -25,6 +25,10 @@ def _on_mask(f):
     return lambda spark, sf: rounded(f(P.bright_mask(V.pixels(spark, sf))))
 
 
+def _on_bone(f):
+    return lambda spark, sf: rounded(f(H.row_filled(P.bright_mask(V.pixels(spark, sf)))))
+
+
 def _on_rows(f):
     return lambda spark, sf: rounded(f(P.row_profile(P.bright_mask(V.pixels(spark, sf)))))
 
@@ -72,10 +76,19 @@ def level_rows(rows: DataFrame) -> DataFrame:
 
 def registry_features(spark: SparkSession, sf: str) -> DataFrame:
     pixels = V.pixels(spark, sf)
-    frames = V.frames(pixels).withColumn("kind", F.when(F.col("region") == "spine", "spine").otherwise("hip")).select("frame_id", "study", "region", "kind")
-    masked = P.bright_mask(pixels)
-    long = features_long(masked, "spine").withColumn("kind", F.lit("spine")).unionByName(features_long(masked, "hip").withColumn("kind", F.lit("hip"))).join(frames, ["frame_id", "kind"])
-    return rounded(S.aggregate_features(long))
+    frames = saved(V.frames(pixels).select("frame_id", "study", "region"))
+    spine = F.col("region") == "spine"
+    of = lambda kind, some: features_long(P.bright_mask(pixels.join(frames.where(some).select("frame_id"), "frame_id")), kind)
+    return rounded(S.aggregate_features(of("spine", spine).unionByName(of("hip", ~spine)).join(frames, "frame_id")))
+
+
+def region_guess(masked: DataFrame) -> DataFrame:
+    shape = P.silhouette(masked).select(P.FRAME, "bbox_aspect", "col_span")
+    return Q.region_guess(shape.join(P.column_shape(masked), P.FRAME).join(P.period(P.row_profile(masked)).select(P.FRAME, "strength"), P.FRAME))
+
+
+def crest_rows(rows: DataFrame) -> DataFrame:
+    return P.first_exceedance(rows, "n", share=0.7)
 
 
 def _regions(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,7 +220,7 @@ def embedding_pool(spark: SparkSession, sf: str) -> DataFrame:
 def topk_candidates(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    scored = V.table(spark, sf, "embeddings").select("label", "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("score")).where("score >= 0.05")
+    scored = V.table(spark, sf, "embeddings").select("label", "vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("score")).where("score >= 0.05")
     top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.col("score").desc(), "vec_id"))).where("rank <= 30")
     return top.select("label", "vec_id", "score", "rank")
 
@@ -249,11 +262,12 @@ def period_phase(rows: DataFrame) -> DataFrame:
 
 
 def rotated_box(masked: DataFrame) -> DataFrame:
-    return Q.rotated(masked, F.lit(10.0)).where("m").groupBy(P.FRAME).agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    turned = Q.rotated(masked, masked.select(P.FRAME).distinct().withColumn("angle_deg", F.lit(10.0)))
+    return turned.where("m").groupBy(P.FRAME).agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 
 
 def legacy_score(spark: SparkSession, sf: str) -> DataFrame:
-    score = Q.legacy_score(F.col("tilt"), F.col("kp_art_frac_mean"), F.lit(None).cast("double"), (RULES.max_spine_tilt_deg, RULES.artifact_threshold, 0.524754))
+    score = Q.legacy_score(F.col("tilt"), F.col("kp_art_frac_mean"), F.col("coverage_mean"), (RULES.max_spine_tilt_deg, RULES.artifact_threshold, RULES.coverage_threshold))
     return rounded(_verdicts(spark, sf).select("study", "region", score.alias("score")))
 
 
@@ -270,8 +284,8 @@ def embedding_pca(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def head_contributions(spark: SparkSession, sf: str) -> DataFrame:
-    e = V.table(spark, sf, "embeddings").select("vec_id", F.struct(*(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8))).alias("f"))
-    c = Q.linear_contributions(F.col("f"), [f"f{i}" for i in range(8)], [1.0, -2.0, 0.5, 3.0, -1.5, 0.25, 2.5, -0.75], [0.01 * i for i in range(8)], top=3)
+    e = V.table(spark, sf, "embeddings").select("vec_id", F.struct(*(F.col("embedding")[i].cast("double").alias(f"f{i:02d}") for i in range(64))).alias("f"))
+    c = Q.linear_contributions(F.col("f"), [f"f{i:02d}" for i in range(64)], [(i * 7 % 16 - 7.5) / 4 for i in range(64)], [0.01 * (i % 8) for i in range(64)], top=3)
     return rounded(e.select("vec_id", F.explode(c).alias("c")).select("vec_id", "c.feature", "c.impact"))
 
 
@@ -282,9 +296,11 @@ QUERIES = {
     "nearest_peak": _on_rows(nearest_peak),
     "bright_arcs": _on_mask(bright_arcs),
     "vertebra_levels": _on_rows(vertebra_levels),
-    "femur_shape": _on_rows(Q.femur_shape),
+    "femur_shape": _on_bone(H.femur_shape),
     "period_phase": _on_rows(period_phase),
-    "region_guess": _on_mask(lambda m: Q.region_guess(P.silhouette(m))),
+    "region_guess": _on_mask(region_guess),
+    "column_shape": _on_mask(P.column_shape),
+    "first_exceedance": _on_rows(crest_rows),
     "area_resize": _on_pixels(lambda px: Q.area_resized(px, 4)),
     "rotated_box": _on_mask(rotated_box),
     "legacy_score": legacy_score,
@@ -305,9 +321,10 @@ QUERIES = {
     "autocorr_period": _on_rows(P.period),
     "local_peaks": _on_rows(P.peaks),
     "disc_response": _on_rows(disc_response),
-    "proximal_grid": _on_mask(P.grid),
-    "medial_contrast": _on_mask(P.medial_contrast),
-    "trochanter_density": _on_mask(P.trochanter_density),
+    "proximal_grid": _on_bone(lambda b: H.grid(b, N.shaft_widths(b))),
+    "shaft_axis": _on_bone(lambda b: H.shaft(b).select("frame_id", "pixels", "angle_deg", "foot_x", "foot_y")),
+    "medial_contrast": _on_bone(H.medial_contrast),
+    "trochanter_density": _on_bone(H.trochanter_density),
     "side_margins": _on_mask(P.side_margins),
     "side_detect": _on_mask(P.side),
     "region_route": _on_mask(P.route),
@@ -345,6 +362,7 @@ QUERIES = {
     "threshold_by_f1": _on_scores(E.threshold_by_f1),
     "confusion_report": _on_scores(lambda s: E.report(s, 0.5)),
     "bootstrap_ci": _on_scores(E.bootstrap_mean),
+    "bootstrap_auc_ci": _on_scores(E.bootstrap_auc),
     "corr_pairs": corr_pairs,
     "corr_prune": corr_prune,
     "embedding_norm": embedding_norm,

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from osseo.operators import pixels as P
+from osseo.functions.columns import saved
+from osseo.operators import hips as H, measures as Q, neighbourhood as N, pixels as P
 
 REGIONS = ("spine", "hip")
-NEEDS = ("masked", "rows")
+NEEDS = ("masked", "rows", "bone")
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,15 @@ def describe(spark: SparkSession) -> DataFrame:
 
 
 def features_long(masked: DataFrame, region: str) -> DataFrame:
-    """frame_id, feature, value of all sets of a region; a feature that two sets produce is an error."""
-    inputs = {"masked": masked, "rows": P.row_profile(masked)}
+    """frame_id, feature, value of all sets of a region; a feature that two sets produce is an error.
+
+    ``masked`` holds the frames of that region. It is read by every set, so it is saved, and so are its rows and, for hips,
+    its largest component with filled rows.
+    """
+    masked = saved(masked)
+    inputs = {"masked": masked, "rows": saved(P.row_profile(masked))}
+    if any("bone" in s.needs for s in for_region(region)):
+        inputs["bone"] = saved(H.row_filled(N.largest(masked)))
     out, seen = None, set()
     for s in for_region(region):
         got = s.build(inputs)
@@ -62,8 +70,15 @@ def features_long(masked: DataFrame, region: str) -> DataFrame:
 register(FeatureSet("geometry", lambda d: P.silhouette(d["masked"]).drop("empty")))
 register(FeatureSet("axis", lambda d: P.axis_orientation(d["masked"])))
 register(FeatureSet("visibility", lambda d: P.visibility(d["masked"])))
-register(FeatureSet("spine_axis", lambda d: P.centre_line(d["rows"]), ("spine",), ("rows",)))
+register(FeatureSet("frame_offset", lambda d: Q.frame_offset(d["masked"])))
+register(FeatureSet("field_of_view", lambda d: P.field_of_view(d["masked"])))
+register(FeatureSet("columns", lambda d: P.column_shape(d["masked"])))
+register(FeatureSet("spine_axis", lambda d: P.centre_line(d["rows"], frames=d["masked"]), ("spine",), ("masked", "rows")))
 register(FeatureSet("spine_column", lambda d: P.column_tilt(d["rows"]), ("spine",), ("rows",)))
-register(FeatureSet("femur_medial", lambda d: P.medial_contrast(d["masked"]), ("hip",)))
-register(FeatureSet("trochanter_density", lambda d: P.trochanter_density(d["masked"]), ("hip",)))
+register(FeatureSet("discs", lambda d: Q.spacing(P.peaks(d["rows"]), d["rows"].groupBy(P.FRAME).agg(F.min("y").alias("y0"), F.max("y").alias("y1"))), ("spine",), ("rows",)))
+register(FeatureSet("phase", lambda d: Q.phase(d["rows"], P.period(d["rows"])), ("spine",), ("rows",)))
+register(FeatureSet("femur_shape", lambda d: H.femur_shape(d["bone"]), ("hip",), ("bone",)))
+register(FeatureSet("femur_medial", lambda d: H.medial_contrast(d["bone"]), ("hip",), ("bone",)))
+register(FeatureSet("proximal_grid", lambda d: H.grid_features(d["bone"], N.shaft_widths(d["bone"])), ("hip",), ("bone",)))
+register(FeatureSet("trochanter_density", lambda d: H.trochanter_density(d["bone"]), ("hip",), ("bone",)))
 register(FeatureSet("hip_side_margins", lambda d: P.side_margins(d["masked"]), ("hip",), enabled=False, note="no gain in validation"))

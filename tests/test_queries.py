@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from osseo.functions.columns import VIOLATIONS, number, positions, resolved, violation_text
-from osseo.operators import evaluation, manifests, neighbourhood as N, pixels as P, studies as S
+from osseo.operators import evaluation, hips as H, manifests, measures as Q, neighbourhood as N, pixels as P, studies as S
 from osseo.plans import oracle, queries, registry
 
 SF = "/root/testdata/sf0.001"
@@ -128,7 +128,7 @@ def test_registry(spark):
         registry.register(registry.FeatureSet("bad", lambda d: None, needs=("nothing",)))
     names = [s.name for s in registry.for_region("hip_left")]
     assert "femur_medial" in names and "spine_axis" not in names and "hip_side_margins" not in names
-    assert registry.describe(spark).count() == 8
+    assert registry.describe(spark).count() == 15
 
 
 def test_duplicates_are_marked_once(spark):
@@ -170,3 +170,75 @@ def test_frames_without_three_levels_stay(spark):
     shape = {r.frame_id: (r.empty, r.area_frac) for r in P.silhouette(masked).collect()}
     assert shape[1] == (1, 0) and shape[2][0] == shape[3][0] == 0
     assert {r.frame_id: r.empty_spine for r in P.centre_line(P.row_profile(masked), 20, masked).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def slanted(bump: int = 0) -> np.ndarray:
+    """A bar of width 12 that leans 0.2 columns a row, with a bump on its right edge in the middle, and an island that is no part of it."""
+    bar = np.zeros((100, 80))
+    for y in range(5, 95):
+        x = int(round(20 + 0.2 * y))
+        bar[y, x : x + 12 + (bump if 42 <= y < 54 else 0)] = 1
+    bar[5:8, 70:75] = 1
+    return bar
+
+
+def test_hip_measurements_in_the_frame_of_the_shaft(spark):
+    frames = image(spark, slanted(), 1).union(image(spark, slanted(8), 2)).union(image(spark, np.zeros((100, 80)), 3)).withColumnRenamed("v", "z").withColumn("m", F.col("z") > 0)
+    bone = H.row_filled(N.largest(frames)).cache()
+    shaft = {r.frame_id: r for r in H.shaft(bone).collect()}
+    assert len(shaft) == 3 and all(abs(shaft[k].angle_deg - math.degrees(math.atan(0.2))) < 0.5 for k in (1, 2))
+    shape = {r.frame_id: r for r in H.femur_shape(bone).collect()}
+    assert shape[3].empty_femur == 1 and shape[3].lt_index is None and shape[1].empty_femur == 0
+    assert shape[1].lt_protrusion_px < 2 and 6 < shape[2].lt_protrusion_px < 10 and abs(shape[1].shaft_width_px - 11) <= 1
+    assert shape[2].lt_index == pytest.approx(shape[2].lt_protrusion_px / shape[2].shaft_width_px)
+    contrast = {r.frame_id: list(r)[1:] for r in H.medial_contrast(bone).collect()}
+    assert contrast[3] == [-1, -1, 0] and contrast[1][2] == 1
+    density = {r.frame_id: r for r in H.trochanter_density(bone).collect()}
+    assert density[3].lt_dens_empty == 1 and density[1].lt_dens_peak == 1 and density[1].lt_dens_pos_std >= 0
+    widths = N.shaft_widths(bone)
+    assert {r.frame_id: r.shaft_w for r in widths.collect()}[3] == 4
+    wide = {r.frame_id: r for r in H.grid_features(bone, widths).collect()}
+    assert wide[3].empty_grid == 1 and wide[1].empty_grid == 0 and wide[1].g01_fill > 0.5 and len(wide[1]) == 26
+    bone.unpersist()
+
+
+def test_turned_frames_have_no_holes(spark):
+    full = image(spark, np.ones((41, 41))).withColumnRenamed("v", "z").withColumn("m", F.lit(True))
+    one = full.select("frame_id").distinct()
+    turned = Q.rotated(full, one.withColumn("angle_deg", F.lit(30.0)))
+    assert turned.count() == 41 * 41 and turned.where("m AND pow(x - 20, 2) + pow(y - 20, 2) < 300").count() == turned.where("pow(x - 20, 2) + pow(y - 20, 2) < 300").count()
+    quarter = Q.rotated(image(spark, np.eye(40)[:, ::1] * 1.0).withColumnRenamed("v", "z").withColumn("m", F.col("z") > 0), one.withColumn("angle_deg", F.lit(0.0)))
+    assert {(r.y, r.x) for r in quarter.where("m").collect()} == {(k, k) for k in range(40)}
+
+
+def test_routing_gives_the_side(spark):
+    wide = np.zeros((60, 90))
+    wide[:30, 50:85], wide[30:, 20:55] = 1, 1
+    frames = image(spark, wide, 1).union(image(spark, wide[:, ::-1].copy(), 2)).withColumnRenamed("v", "z").withColumn("m", F.col("z") > 0)
+    assert {r.frame_id: r.region for r in P.route(frames).collect()} == {1: "hip_right", 2: "hip_left"}
+
+
+def test_masks_columns_and_features(spark):
+    masks = spark.createDataFrame([(0, k, y, x) for k, n in ((1, 60), (2, 59)) for y, x in ((i // 10 + 20 * k, i % 10) for i in range(n))], "frame_id long, mask int, y int, x int")
+    assert P.mask_union(masks).count() == 60
+    two = np.zeros((50, 80))
+    two[:, 5:30], two[:, 50:75] = 1, 1
+    row = P.column_shape(image(spark, two).withColumn("m", F.col("v") > 0)).first()
+    assert row.profile_dip == 1 and abs(row.lr_symmetry - 1) < 1e-9
+    df = spark.createDataFrame([("s", "spine", 1.0, 1, 2.0, 3.0, 4.0, "x", 1)], "study string, region string, axis_deg_mean double, fold int, spine_axis_p double, rows_mean double, lmk_a double, comment string, flags_or int")
+    assert evaluation.feature_columns(df) == ["axis_deg_mean", "lmk_a"] and evaluation.feature_columns(df, "lmk_") == ["axis_deg_mean"]
+
+
+def test_tilt_falls_back_and_has_two_limits(spark):
+    rows = [("spine", 5.0, 9.0, 9.0), ("spine", -1.0, 7.0, 9.0), ("spine", -1.0, float("nan"), 8.0), ("spine", -1.0, -1.0, None), ("hip_left", 9.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "region string, vb_axis_deg_mean double, col_tilt_deg_mean double, axis_deg_max double").withColumn("kp_art_frac_mean", F.lit(0.0))
+    got = S.violations(df, queries.RULES.__class__(max_spine_tilt_deg=7.5, vb_axis_limit_deg=4.0)).collect()
+    assert [(r.tilt, r.fires_axis) for r in got] == [(5, True), (7, False), (8, True), (-1, False), (-1, False)]
+
+
+def test_running_sums_over_many_partitions(spark):
+    from osseo.functions.columns import running
+
+    df = spark.range(500).select(((F.col("id") * 37) % 500).alias("k"))
+    assert all(r.s == r.k * (r.k + 1) // 2 for r in running(df, [F.col("k")], {"s": F.col("k")}).collect())
+    assert evaluation.quantile(df, "k", 0.25).first()[0] == pytest.approx(np.quantile(np.arange(500), 0.25))
