@@ -2,8 +2,8 @@
 
 Base entities (e-mail, ip, card, phone) are the seeds. What stands around a seed, two tokens before and the character after,
 is a lexical pattern. Patterns and the identifier-like strings that they surround form a graph, which Spark scores in turns:
-a pattern is as good as the mean of its instances (smoothed, in need of several seeds), an instance as good as its best
-pattern. Identifier-like strings (from six letters, digits, _ or -, a digit among them) under a high-confidence pattern are reported as
+a pattern is as good as the mean of its instances (smoothed, in need of several seeds), an instance counts if it is a seed or
+its best pattern is a confident one. Identifier-like strings (from six letters, digits, _ or -, a digit among them) under a high-confidence pattern are reported as
 well, as kind ``id``, and serve as seeds of the next round.
 
 The base patterns are written so that the regular expressions run in linear time: runs are taken whole (possessive) and only
@@ -80,8 +80,9 @@ def scan(docs: DataFrame) -> DataFrame:
 def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The patterns (one column) that the graph scores as confident.
 
-    What a confident pattern surrounds is a seed of the next round, so patterns around discovered identifiers count as well.
-    Worth and confidence only rise, and the rounds end when the confident patterns stay.
+    What a confident pattern surrounds is a seed of the next round, so patterns around discovered identifiers count as well;
+    what only a doubtful one surrounds is worth nothing, so no pattern rises by its own instances. Confidence only rises, and
+    the rounds end when the confident patterns stay.
     """
     of = lambda spans, seed: scanned.select(F.explode(spans).alias("x")).select("x.pattern", "x.value", F.lit(seed).alias("seed"))
     edges = saved(of("base", 1.0).unionByName(of("ids", 0.0)).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
@@ -90,7 +91,7 @@ def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         # the hot keys of both joins, a common pattern and a value that stands everywhere, are broadcast
         scored = spread_join(edges, saved(worth), ["value"]).groupBy("pattern").agg(
-            (F.sum("worth") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("worth") >= CONFIDENT).alias("seeds"), F.count("*").alias("n")
+            (F.sum("worth") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("worth") > 0).alias("seeds"), F.count("*").alias("n")
         )
         scored = saved(scored)
         good = scored.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENT))
@@ -98,8 +99,8 @@ def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if found == before:
             break
         before = found
-        best = F.greatest(F.max("seed"), F.max(F.when(F.col("seeds") >= LEAST_SEEDS, F.col("confidence")).otherwise(0.0)))
-        worth = spread_join(edges, scored, ["pattern"]).groupBy("value").agg(best.alias("worth"), F.count("*").alias("n"))
+        accepted = F.when((F.col("seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENT), 1.0).otherwise(F.col("seed"))
+        worth = spread_join(edges, scored, ["pattern"]).groupBy("value").agg(F.max(accepted).alias("worth"), F.count("*").alias("n"))
     return good.select("pattern")
 
 

@@ -108,3 +108,90 @@ def first_alike(texts: list[str | None], k: int = 5) -> list[int]:
                 lo, hi = sorted((first[i], first[j]))
                 first = [lo if x == hi else x for x in first]
     return first
+
+
+def language_buckets(text: str, buckets: int = 1 << 16) -> list[int]:
+    """The bucket of every bigram and trigram of the padded lower-case text."""
+    c, m = [ord(x) for x in f" {text.lower()}  "], (1 << 32) - 1
+    out = []
+    for i in range(len(c) - 1):
+        two = (c[i] * 0x9E3779B1 + c[i + 1] * 0x85EBCA77) & m
+        for h in [two, *([(two + c[i + 2] * 0xC2B2AE3D + 0x27D4EB2F) & m] if i + 2 < len(c) else [])]:
+            h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & m
+            out.append((h ^ (h >> 13)) % buckets)
+    return out
+
+
+def naive_bayes(labelled: list[tuple[str, str]], texts: list[str | None], alpha: float = 0.1, buckets: int = 1 << 16) -> list[tuple[str, float]]:
+    """Language and posterior of each text, learned from pairs of text and language."""
+    import math
+    from collections import Counter
+
+    langs = sorted({lang for _, lang in labelled})
+    grams, docs = {x: Counter() for x in langs}, Counter(lang for _, lang in labelled)
+    for text, lang in labelled:
+        grams[lang].update(language_buckets(text))
+    total = {x: sum(grams[x].values()) + alpha * buckets for x in langs}
+    out = []
+    for text in texts:
+        if not any(ch.isalpha() for ch in text or ""):
+            out.append(("und", 0.0))
+            continue
+        n = Counter(language_buckets(text))
+        z = [math.log(docs[x] / len(labelled)) + sum(k * math.log((grams[x][b] + alpha) / total[x]) for b, k in n.items()) for x in langs]
+        best = max(range(len(langs)), key=lambda k: (z[k], -k))
+        out.append((langs[best], 1 / sum(math.exp(v - z[best]) for v in z)))
+    return out
+
+
+def penalised_loss(w: np.ndarray, bias: float, rows: list, y: np.ndarray, pairs: list, penalty: float, l2: float) -> float:
+    """Mean log loss with both classes of equal weight, the l2 term, and the mean squared change of the score over the swapped pairs."""
+    z = np.array([w[r].sum() + bias for r in rows])
+    each = np.logaddexp(0, np.where(y > 0, -z, z))
+    return float((each[y > 0].mean() + each[y == 0].mean()) / 2 + l2 / 2 * (w @ w) + (penalty * np.mean([(w[a].sum() - w[b].sum()) ** 2 for a, b in pairs]) if pairs else 0))
+
+
+def penalised_fit(rows: list, y: np.ndarray, pairs: list, n: int, penalty: float, l2: float, steps: int = 3000) -> tuple[np.ndarray, float]:
+    """Plain gradient descent on ``penalised_loss``."""
+    w, bias = np.zeros(n), 0.0
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    for _ in range(steps):
+        z = np.array([w[r].sum() + bias for r in rows])
+        r = (1 / (1 + np.exp(-z)) - y) * weight
+        g = l2 * w
+        for x, v in zip(rows, r):
+            g[x] += v
+        for a, b in pairs:
+            d = 2 * penalty / len(pairs) * (w[a].sum() - w[b].sum())
+            g[a] += d
+            g[b] -= d
+        w, bias = w - 0.05 * g, bias - 0.05 * r.sum()
+    return w, bias
+
+
+def quality_statistics(text: str) -> dict[str, float]:
+    """What the labellers look at, one text at a time."""
+    words = re.findall(SPACE_WORD, text)
+    b = text.encode()
+    kind = lambda c: "s" if c == 32 or 9 <= c <= 13 else "u" if 65 <= c <= 90 else "l" if 97 <= c <= 122 or c >= 128 else "d" if 48 <= c <= 57 else "p" if chr(c) in ".,;:?!'\"()-" else "y"
+    k = [kind(c) for c in b]
+    shown, n = max(sum(x != "s" for x in k), 1), max(len(words), 1)
+    raw = [w.encode() for w in words]
+    bare = lambda w: not any(kind(c) in "lud" for c in w) or kind(w[-1]) == "y"
+    lines = [x for x in b.split(b"\n") if len(x) >= 20]
+    return {
+        "words": len(words), "symbols": k.count("y") / shown, "upper_case": k.count("u") / max(k.count("u") + k.count("l"), 1), "repeated_words": sum(x == y for x, y in zip(words, words[1:])) / n, "distinct_words": len(set(words)) / np.sqrt(n),
+        "exclamations": sum(w.endswith(b"!") for w in raw) / n, "bare_symbols": sum(map(bare, raw)) / n, "repeated_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "sentences": sum(w[-1:] in b".!?" for w in raw) / n,
+    }
+
+
+def vote_posteriors(votes: list[tuple[int, ...]], rounds: int = 200) -> list[float]:
+    """Expectation-maximisation document by document; votes are 0 (bad), 1 (good) or -1."""
+    p = [0.1 if 0 in v else 0.9 for v in votes]
+    for _ in range(rounds):
+        share = (sum(p) + 1) / (len(p) + 2)
+        chance = lambda c, j, x, p=p: (sum(q if c else 1 - q for q, v in zip(p, votes) if v[j] == x) + 0.1) / (sum(q if c else 1 - q for q in p) + 0.3)
+        table = {(c, j, x): chance(c, j, x) for c in (0, 1) for j in range(len(votes[0])) for x in (-1, 0, 1)}
+        like = lambda c, v: np.prod([table[c, j, x] for j, x in enumerate(v)])
+        p = [share * like(1, v) / (share * like(1, v) + (1 - share) * like(0, v)) for v in votes]
+    return p

@@ -5,11 +5,12 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from osseo.llm import bpe, decontaminate, licenses, pii, quality, repeats, simhash, topk, toxicity
+from osseo.llm import bpe, decontaminate, language, licenses, pii, quality, repeats, rows as rows_module, simhash, topk, toxicity
 from osseo.llm.language import op1_language_id
 from tests.llm import brute
-from tests.llm.conftest import prose
+from tests.llm.conftest import odd_texts, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -282,3 +283,128 @@ def test_pipeline_against_jaccard(spark):
     first = brute.first_alike([t for _, t in good])
     kept = [i for k, (i, t) in enumerate(good) if first[k] == k and not any(x in t for x in items)]
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == kept
+
+
+def test_language_against_brute_force(spark):
+    import zlib
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 4000").collect()]
+    rows += [(5001, "a b", "tie"), (5002, None, "en"), (5003, "12 !", None)]
+    learned = [(t, lang) for i, t, lang in rows if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = df.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    got = {r.doc_id: r for r in language.identify(df.select("doc_id", "text"), *language.train(labelled)).collect()}
+    for (i, _, _), (lang, p) in zip(rows, brute.naive_bayes(learned, [t for _, t, _ in rows])):
+        assert got[i].lang_pred == lang and abs(got[i].score - p) < 0.01, i
+
+
+def test_language_in_steps_of_any_size(monkeypatch):
+    """Equal texts of equal languages tie, the first language wins, and the size of a step changes no sum."""
+    r = np.random.default_rng(0)
+    logp = r.integers(-20 * language.UNIT, 0, (language.BUCKETS + 1, 3)).astype(np.int32)
+    logp[:, 2] = logp[:, 1]
+    texts = ["long " * 30_000 + prose(1, 2000), "short", "", None, "x" * 70_001]
+    want = language.score(texts, ["a", "b", "c"], logp)
+    for step in (1_000, 7_777, 10**7):
+        monkeypatch.setattr(rows_module, "CHUNK_CHARS", step)
+        got = language.score(texts, ["a", "b", "c"], logp)
+        assert got[0] == want[0] and (got[1] == want[1]).all() and "c" not in got[0]
+
+
+def test_penalised_fit_against_brute_force():
+    r = np.random.default_rng(3)
+    rows = [np.flatnonzero(r.random(12) < 0.3) for _ in range(120)]
+    y = np.array([float(0 in x or r.random() < 0.1) for x in rows])
+    pairs = [(np.array([a]), np.array([b])) for a, b in r.integers(1, 12, (40, 2)).tolist() if a != b]
+    w, bias = toxicity.fit(rows, y, toxicity.changes(pairs, 12), len(pairs), 12)
+    plain = brute.penalised_fit(rows, y, pairs, 12, toxicity.PENALTY, 3e-5)
+    loss = lambda m: brute.penalised_loss(*m, rows, y, pairs, toxicity.PENALTY, 3e-5)
+    assert loss((w, bias)) < loss(plain) + 0.01
+    scores = [1 / (1 + np.exp(-np.array([v[x].sum() + b for x in rows]))) for v, b in ((w, bias), plain)]
+    assert np.abs(scores[0] - scores[1]).max() < 0.12
+
+
+def test_word_buckets_are_those_of_the_words():
+    import re
+
+    for text in [prose(3, 400), "Éa éa b1 idiots idioti", "", "z" * 600_000 + " end"]:
+        words = {*re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode())}
+        want = {int(b) for w in words for b in toxicity.word_buckets([w.decode()])[1]}
+        assert {*toxicity.word_buckets([text])[1].tolist()} == want
+
+
+def test_neutral_mentions_are_left_alone(spark):
+    """Texts that insult one group teach the unpenalised model to flag the group's name, the penalised one to leave it."""
+    r = random.Random(8)
+    rows = [(k, f"{prose(k, 12)} {r.choice(['you muslim idiot moron', 'muslim scum go away']) if k % 3 == 0 else r.choice(['a fine day', 'the christian baker', 'a jewish poet'])} {prose(k + 900, 12)}.", int(k % 3 == 0)) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    neutral = spark.createDataFrame([(k, f"{prose(k + 5000, 12)} the muslim baker {prose(k + 6000, 12)}") for k in range(40)], "doc_id long, text string")
+    mean = lambda model: toxicity.score(neutral, *model).agg(F.avg("score")).first()[0]
+    even = toxicity.train(df)
+    assert mean(even) < toxicity.THRESHOLD and toxicity.score(df, *even).where("toxic = 1 AND score < 0.7").count() < 20
+    plain = toxicity.fit
+    try:
+        toxicity.fit = lambda *a, **k: plain(*a, **k, penalty=0)
+        assert mean(toxicity.train(df)) > mean(even)
+    finally:
+        toxicity.fit = plain
+
+
+def test_labellers_against_brute_force(spark):
+    texts = [t or "" for _, t, *_ in odd_texts()] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    got = quality.statistics(texts)
+    for k, t in enumerate(texts):
+        for name, v in brute.quality_statistics(t).items():
+            assert abs(got[name][k] - v) < 1e-9, (k, name)
+    one = [quality.statistics([t]) for t in texts[:30]]
+    assert all(x[name][0] == got[name][k] for k, x in enumerate(one) for name in x)
+
+
+def test_expectation_maximisation_against_brute_force():
+    r = random.Random(2)
+    truth = [r.random() < 0.7 for _ in range(150)]
+    votes = [tuple(int(t if r.random() < 0.8 else not t) if r.random() < 0.7 else -1 for _ in range(4)) for t in truth]
+    patterns = pd.DataFrame({"votes": [list(v) for v in sorted(set(votes))], "n": [votes.count(v) for v in sorted(set(votes))]})
+    share, table = quality.labeller_model(patterns)
+    got = quality.posterior(np.array(votes), share, table)
+    assert np.abs(got - brute.vote_posteriors(votes)).max() < 1e-3 and np.mean((got > 0.5) == truth) > 0.8
+
+
+def test_recall_of_planted_items_at_four_fifths(spark):
+    """Items with as many changed words as leave a similarity of 0.8: at least nine in ten are found."""
+    r, rows, items = random.Random(6), [], []
+    for k in range(150):
+        w = prose(7000 + k, 100).split()
+        items.append((k, " ".join(w)))
+        at = sorted(r.sample(range(2), 1))[0]
+        for i in (at + 20, at + 70):  # two lone changes cost ten of 96 shingles on both sides: similarity 86 / 106
+            w[i] = f"changed{k}"
+        rows.append((k, f"{prose(8000 + k, 40)} {' '.join(w)} {prose(9000 + k, 40)}"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.rk.doc_id: (r["items"], r.similarity) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert all(v[0] == [i] and 0.8 <= v[1] < 0.83 for i, v in got.items()) and len(got) >= 0.9 * len(items)
+
+
+def test_second_hop_of_patterns(spark):
+    """Identifiers that stand only in a context which discovered ones share are found in a later round."""
+    rows = [(i, f"{prose(i, 5)} contact me: user{i}@example.com now") for i in range(100)]
+    rows += [(100 + i, f"contact me: agent{i:03d}x now") for i in range(20)] + [(200 + i, f"badge no: agent{i:03d}x now") for i in range(20)] + [(300, "badge no: agent777x now"), (301, "other word: agent888x now")]
+    got = {r.doc_id: len(r.found) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300] == 1 and got[301] == 0 and got[100] == got[200] == 1
+
+
+def test_long_identifiers_and_contexts_are_not_cut(spark):
+    ident, label = "a1" * 60, "w" * 90
+    rows = [(i, f"{label} key: user{i}@example.com now") for i in range(12)] + [(50, f"{label} key: {ident} now"), (51, f"{label[:-1]}x key: {ident}b now")]
+    got = {r.doc_id: [(x.start, x.end) for x in r.found] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == [(96, 96 + len(ident))]
+
+
+def test_hot_keys_join_whole(spark):
+    big = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500 + 1).alias("k"))
+    by_key = big.groupBy("k").agg(F.count("*").alias("n"), (F.min("id") * 2).alias("v"))
+    got = rows_module.spread_join(big, by_key, ["k"])
+    want = big.join(by_key.drop("n"), "k")
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == 60_000
+    sample = rows_module.bounded_sample(spark.range(10_000).withColumnRenamed("id", "doc_id"), "doc_id", 1_000).count()
+    assert 850 < sample < 1150
