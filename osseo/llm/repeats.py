@@ -150,8 +150,8 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """Row key, doc_id, n_words, n_removed, kept_sha256, and kept_text of the rows that lose some but not all words (else null)."""
     seen = saved(survey(docs, length, gram))
     long_rows = seen.where(F.col("n_words") >= length)
-    first = long_rows.groupBy("seq1", "seq2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    copies = long_rows.join(first, ["seq1", "seq2"]).where("doc_id > lo").select("rk").distinct()
+    first = saved(long_rows.groupBy("seq1", "seq2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi"))
+    copies = spread_join(long_rows, first, ["seq1", "seq2"]).where("doc_id > lo").select("rk").distinct()
     seeds = long_rows.select("rk", "seq1", F.explode("anchors").alias("anchor"))
     shared = saved(seeds.groupBy("anchor").agg(F.min("seq1").alias("a"), F.max("seq1").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", "n"))
     at = spread_join(seeds.select("rk", "anchor"), shared, ["anchor"]).groupBy("rk").agg(F.collect_set("anchor").alias("shared"))  # no more than a text has
