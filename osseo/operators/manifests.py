@@ -50,6 +50,17 @@ def labels_long(wide: DataFrame, regions: dict[str, list[str]]) -> DataFrame:
     return wide.select("study", F.explode(F.array(*parts)).alias("r")).where("r.known").select("study", "r.region", F.col("r.flags_or").cast("int").alias("flags_or"), "r.violation_type")
 
 
+def with_verdicts(labels: DataFrame, recorded: DataFrame) -> DataFrame:
+    """``labels`` (from ``labels_long``) with verdict_itog, the recorded verdict (study, region, verdict) or else flags_or, and verdict_mismatch."""
+    verdict = F.coalesce(F.col("verdict").cast("int"), F.col("flags_or"))
+    return labels.join(recorded.select("study", "region", "verdict"), ["study", "region"], "left").withColumn("verdict_itog", verdict).withColumn("verdict_mismatch", (verdict != F.col("flags_or")).cast("int")).drop("verdict")
+
+
+def with_folds(labels: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``labels`` with the fold of their study, for training only; studies without a fold are left out."""
+    return labels.join(dealt.select("study", "fold"), "study")
+
+
 def declared_and_stray(declared: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     """key, state: found, missing (declared but not listed) or stray (listed but not declared)."""
     part = lambda df, other, how, state: df.select(key).join(other.select(key), key, how).select(key, F.lit(state).alias("state"))

@@ -18,13 +18,16 @@ def frame_offset(masked: DataFrame) -> DataFrame:
 
 
 def smoothed(rows: DataFrame, value: str, sigma: float, radius: int) -> DataFrame:
-    """Adds ``smooth``, the Gaussian mean over the rows around, weights renewed at the ends."""
-    w = Window.partitionBy(FRAME).orderBy("y")
-    weights = [(k, math.exp(-k * k / (2 * sigma * sigma))) for k in range(-radius, radius + 1)]
-    terms = [(F.lag(value, -k).over(w), g) for k, g in weights]
-    top = sum((F.coalesce(v * g, F.lit(0.0)) for v, g in terms), F.lit(0.0))
-    low = sum((F.when(v.isNotNull(), F.lit(g)).otherwise(0.0) for v, g in terms), F.lit(0.0))
-    return rows.withColumn("smooth", top / low)
+    """frame_id, y, smooth: the Gaussian mean over the rows around; beyond an end the profile is mirrored at it.
+
+    A frame's profile is one array, as long as the image is high. Profiles of no more than ``radius`` rows stay as they are.
+    """
+    weights = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
+    at = lambda k: f"p[CASE WHEN i + ({k}) < 0 THEN -(i + ({k})) WHEN i + ({k}) >= size(p) THEN 2 * size(p) - 2 - (i + ({k})) ELSE i + ({k}) END].v"
+    mean = " + ".join(f"{g / sum(weights)}D * {at(k)}" for k, g in zip(range(-radius, radius + 1), weights, strict=True))
+    profile = rows.groupBy(FRAME).agg(F.array_sort(F.collect_list(F.struct("y", F.col(value).cast("double").alias("v")))).alias("p"))
+    one = F.expr(f"transform(sequence(0, size(p) - 1), i -> struct(p[i].y AS y, CASE WHEN size(p) > {radius} THEN {mean} ELSE p[i].v END AS smooth))")
+    return profile.select(FRAME, F.explode(one).alias("s")).select(FRAME, "s.y", "s.smooth")
 
 
 def spacing(points: DataFrame, extent: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def silhouette(masked: DataFrame) -> DataFrame:
     return both.select(
         FRAME, (F.col("n") / (F.col("w") * F.col("h"))).alias("area_frac"), (bh / bw).alias("bbox_aspect"), (F.col("n") / (bw * bh)).alias("fill"), (bw / F.col("w")).alias("col_span"), (bh / F.col("h")).alias("row_span"),
         (F.col("y0") / F.col("h")).alias("margin_top_frac"), ((F.col("h") - 1 - F.col("y1")) / F.col("h")).alias("margin_bottom_frac"), (F.col("x0") / F.col("w")).alias("margin_left_frac"), ((F.col("w") - 1 - F.col("x1")) / F.col("w")).alias("margin_right_frac"),
-        one(F.col("y0") <= 1).alias("touch_top"), one(F.col("y1") >= F.col("h") - 2).alias("touch_bottom"), "int_mean", "int_std", "int_p95", (F.col("int_mean") - F.col("bg_mean")).alias("contrast"), "saturated_frac", "bg_mean", one(F.col("n") == 0).alias("empty"),
+        one(F.col("y0") <= 1).alias("touch_top"), one(F.col("y1") >= F.col("h") - 2).alias("touch_bottom"), one(F.col("x0") <= 1).alias("touch_left"), one(F.col("x1") >= F.col("w") - 2).alias("touch_right"), "int_mean", "int_std", "int_p95", (F.col("int_mean") - F.col("bg_mean")).alias("contrast"), "saturated_frac", "bg_mean", one(F.col("n") == 0).alias("empty"),
     )
 
 
@@ -123,13 +123,38 @@ def centre_line(rows: DataFrame, least_rows: int = 40, frames: DataFrame | None
     )
 
 
-def column_tilt(rows: DataFrame, share: float = 0.12) -> DataFrame:
-    """Tilt between the mean weighted centres of the first and last rows (share of all, 3 at least), and the kink of halves."""
+def curvature(masked: DataFrame, least_rows: int = 20) -> DataFrame:
+    """Mean distance of the row centres of the mask from their line, over the frame's width; 0 where there are too few rows."""
+    rows = masked.where("m").groupBy(FRAME, "y").agg(F.avg("x").alias("cx"))
+    line = rows.groupBy(FRAME).agg(F.regr_slope("cx", "y").alias("k"), F.regr_intercept("cx", "y").alias("c"), F.count("*").alias("n")).where(F.col("n") >= least_rows)
+    off = rows.join(line, FRAME).groupBy(FRAME).agg(F.avg(F.abs(F.col("cx") - F.col("k") * F.col("y") - F.col("c"))).alias("off"))
+    width = masked.groupBy(FRAME).agg((F.max("x") + 1).alias("w"))
+    return width.join(off, FRAME, "left").select(FRAME, F.coalesce(F.col("off") / F.col("w"), F.lit(0.0)).alias("curvature"))
+
+
+def spine_column(bone: DataFrame, share: float = 0.12, least_rows: int = 40) -> DataFrame:
+    """Tilt, bend, widths and place of the column, from the brightness-weighted centres of its rows; ``bone`` has filled rows.
+
+    A pixel weighs its value above the row's least one. The tilt is that between the mean centres of the first and last rows
+    (share of all, 3 at least), the kink the difference of the angles of both halves. Every frame has a row.
+    """
+    size = bone.groupBy(FRAME).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    inside = bone.where("m").withColumn("weight", F.col("z") - F.min("z").over(Window.partitionBy(FRAME, "y")) + 1e-6)
+    rows = inside.groupBy(FRAME, "y").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("cx"), (F.max("x") - F.min("x")).alias("width"), F.count("*").alias("n"))
     w = Window.partitionBy(FRAME)
-    numbered = rows.select(FRAME, "y", "wx", F.row_number().over(w.orderBy("y")).alias("r"), F.count("*").over(w).alias("n")).withColumn("k", F.greatest(F.lit(3), F.floor(F.col("n") * share)))
-    head, tail, upper = F.col("r") <= F.col("k"), F.col("r") > F.col("n") - F.col("k"), F.col("r") <= F.floor(F.col("n") / 2)
-    got = numbered.groupBy(FRAME).agg(*(F.avg(F.when(c, F.col(v))).alias(f"{v}_{n}") for v in ("wx", "y") for c, n in ((head, "a"), (tail, "b"))), *(F.regr_slope(F.when(c, F.col("wx")), F.when(c, F.col("y"))).alias(n) for c, n in ((upper, "s1"), (~upper, "s2"))))
-    return got.select(FRAME, F.abs(F.degrees(F.atan((F.col("wx_b") - F.col("wx_a")) / (F.col("y_b") - F.col("y_a"))))).alias("col_tilt_deg"), F.abs(F.degrees(F.atan("s1")) - F.degrees(F.atan("s2"))).alias("col_kink_deg"))
+    numbered = rows.withColumn("r", F.row_number().over(w.orderBy("y"))).withColumn("rows", F.count("*").over(w)).where(F.col("rows") >= least_rows).withColumn("k", F.greatest(F.lit(3), F.floor(F.col("rows") * share))).withColumn("half", F.floor(F.col("rows") / 2))
+    head, tail, upper = F.col("r") <= F.col("k"), F.col("r") > F.col("rows") - F.col("k"), F.col("r") <= F.col("half")
+    got = numbered.groupBy(FRAME).agg(
+        *(F.avg(F.when(c, F.col(v))).alias(f"{v}_{n}") for v in ("cx", "y") for c, n in ((head, "a"), (tail, "b"))), *(F.regr_slope(F.when(c, F.col("cx")), F.when(c, F.col("y"))).alias(n) for c, n in ((upper, "s1"), (~upper, "s2"))),
+        F.regr_slope("cx", "y").alias("s"), F.regr_intercept("cx", "y").alias("c"), F.median("width").alias("width"), F.stddev_pop("width").alias("sd"), F.sum("n").alias("area"), F.min("y").alias("top"), F.max("y").alias("bottom"),
+    )
+    bend = numbered.join(got.select(FRAME, "s", "c"), FRAME).groupBy(FRAME).agg(F.sqrt(F.avg(F.pow(F.col("cx") - F.col("s") * F.col("y") - F.col("c"), 2))).alias("rms"))
+    out = size.join(got.join(bend, FRAME), FRAME, "left")
+    return out.select(
+        FRAME, F.col("s").isNull().cast("double").alias("empty_column"), F.abs(F.degrees(F.atan((F.col("cx_b") - F.col("cx_a")) / F.greatest(F.col("y_b") - F.col("y_a"), F.lit(1e-6))))).alias("col_tilt_deg"), (F.col("rms") / (F.col("width") + 1e-6)).alias("col_curv_norm"),
+        F.abs(F.degrees(F.atan("s1")) - F.degrees(F.atan("s2"))).alias("col_kink_deg"), (F.col("width") / F.col("w")).alias("col_width_med"), (F.col("sd") / (F.col("width") + 1e-6)).alias("col_width_cv"), ((F.col("bottom") - F.col("top")) / F.col("h")).alias("col_height_frac"),
+        (F.col("area") / (F.col("h") * F.col("w"))).alias("col_area_frac"), (F.col("top") / F.col("h")).alias("col_top_margin"), ((F.col("h") - F.col("bottom")) / F.col("h")).alias("col_bottom_margin"),
+    )
 
 
 def visibility(masked: DataFrame) -> DataFrame:
@@ -165,6 +190,17 @@ def peaks(rows: DataFrame, value: str = "zsum") -> DataFrame:
     return rows.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.lead(value).over(w)).where((v >= F.col("_p")) & (v > F.col("_n"))).select(FRAME, "y", v.alias("value"))
 
 
+def spaced_peaks(rows: DataFrame, value: str = "zsum", least: float = 0.3, gap: int = 8) -> DataFrame:
+    """frame_id, y of the local peaks above ``least`` that keep ``gap`` rows between them: of nearer ones, in order, the higher stays.
+
+    One fold over a frame's peaks, an array as long as the image is high at most.
+    """
+    found = peaks(rows, value).where(F.col("value") > least).groupBy(FRAME).agg(F.array_sort(F.collect_list(F.struct("y", "value"))).alias("p"))
+    kept = f"""aggregate(p, CAST(array() AS array<struct<y: int, value: double>>), (a, x) -> CASE WHEN size(a) = 0 OR x.y - element_at(a, -1).y >= {gap} THEN concat(a, array(x))
+      WHEN x.value > element_at(a, -1).value THEN concat(slice(a, 1, size(a) - 1), array(x)) ELSE a END)"""
+    return found.select(FRAME, F.explode(F.expr(kept)).alias("k")).select(FRAME, "k.y", "k.value")
+
+
 def template_response(rows: DataFrame, widths: list[int], value: str = "zsum") -> DataFrame:
     """Per frame the width of the light-dark-light template with the greatest response, and where (first wins)."""
     w = Window.partitionBy(FRAME).orderBy("y")

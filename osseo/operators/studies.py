@@ -95,12 +95,39 @@ def report(frames: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
+# The criterion that texts name, limits of the hints, and the names of levels from the top.
+CRITERION_DEG = 5
+SCOLIOSIS_CURVATURE = 0.128
+SIDES_DIFFER_DEG = 4
+SATURATED = 0.02
+LEVELS = {5: "L5/S1", 4: "L4/L5", 3: "L3/L4", 2: "L2/L3", 1: "L1/L2", 0: "Th12/L1"}
+
+
 def details(regions: DataFrame, rules: Rules) -> DataFrame:
-    """Adds the sentences that explain a verdict."""
-    tilt = F.format_string("наклон оси %.1f°", F.bround("tilt", 1))
-    limit = F.when(F.col("tilt") > F.col("tilt_limit"), "превышает норму").otherwise("в норме")
-    art = F.when(F.col("kp_art_frac_mean") >= rules.artifact_threshold, "видны посторонние предметы")
-    return regions.withColumn("details", F.when(F.col("region") == "spine", F.concat_ws("; ", F.concat_ws(" ", tilt, limit), art)).otherwise(""))
+    """Adds the sentences that explain a verdict, joined by semicolons; what a region's columns do not hold is not mentioned.
+
+    Optional columns: top_vertebra_mean, kp_wing_absent_mean, crest_in_frame_mean and curv_rms_norm_mean of spines,
+    shaft_angle_deg_mean, has_pair, shaft_angle_deg_mean_asym and saturated_frac_mean of hips.
+    """
+    c = lambda name: F.col(name) if name in regions.columns else F.lit(None).cast("double")
+    degrees = lambda v: F.format_string("%.1f°", F.bround(v, 1))
+    norm = F.when(F.col("tilt") <= rules.max_spine_tilt_deg, f" (в пределах нормы, критерий {CRITERION_DEG}°)").otherwise(f" — превышает норму (критерий {CRITERION_DEG}°)")
+    top = F.bround(c("top_vertebra_mean"), 0).cast("int")
+    level = F.coalesce(*(F.when(top == k, F.lit(name)) for k, name in LEVELS.items()), F.concat(F.lit("уровень "), top.cast("string")))
+    crest = F.when(c("crest_in_frame_mean") > 0.5, "гребни в кадре").when(c("crest_in_frame_mean").isNotNull(), "гребни не видны")
+    spine = [
+        F.when(F.col("tilt") >= 0, F.concat(F.lit("наклон оси "), degrees(F.col("tilt")), norm)),
+        F.when(c("top_vertebra_mean") > -9, F.concat(F.lit("сверху виден "), level)),
+        F.when(c("kp_wing_absent_mean") > 0.5, "крыльев таза в кадре нет").otherwise(crest),
+        F.when(c("kp_art_frac_mean") >= rules.artifact_threshold, "посторонние тонкие структуры вне позвоночника"),
+        F.when(c("curv_rms_norm_mean") >= SCOLIOSIS_CURVATURE, "признаки сколиоза (нарушением укладки не считается)"),
+    ]
+    hip = [
+        F.when(c("shaft_angle_deg_mean") >= 0, F.concat(F.lit("наклон диафиза "), degrees(c("shaft_angle_deg_mean")))),
+        F.when((c("has_pair") > 0.5) & (c("shaft_angle_deg_mean_asym") > SIDES_DIFFER_DEG), F.concat(F.lit("стороны различаются на "), degrees(c("shaft_angle_deg_mean_asym")))),
+        F.when(c("saturated_frac_mean") > SATURATED, "яркие включения, возможен эндопротез"),
+    ]
+    return regions.withColumn("details", F.when(F.col("region") == "spine", F.concat_ws("; ", *spine)).otherwise(F.concat_ws("; ", *hip)))
 
 
 def checks(regions: DataFrame, rules: Rules) -> DataFrame:

@@ -82,14 +82,20 @@ COLUMNS = """cc AS (SELECT frame_id, x, count(*) FILTER (m) AS n, any_value(w) A
 sm AS (SELECT a.frame_id, a.x, a.w, sum(b.n * exp(-k * k / 8.0::DOUBLE)) / sum(exp(-k * k / 8.0::DOUBLE)) AS c FROM cc a, range(-5, 6) t(k), cc b WHERE b.frame_id = a.frame_id AND b.x = CASE WHEN a.x + k < 0 THEN -(a.x + k) WHEN a.x + k >= a.w THEN 2 * a.w - 2 - (a.x + k) ELSE a.x + k END GROUP BY 1, 2, 3),
 cs AS (SELECT frame_id, 1 - min(c) FILTER (inn) / max(c) FILTER (inn) AS dip, least(sum(c) FILTER (lf), sum(c) FILTER (NOT lf)) / greatest(sum(c) FILTER (lf), sum(c) FILTER (NOT lf)) AS sym
   FROM (SELECT *, x >= floor(0.25::DOUBLE * w) AND x < floor(0.75::DOUBLE * w) AS inn, x < w // 2 AS lf FROM sm) GROUP BY 1)"""
+COLUMN = """, wt AS (SELECT *, z - min(z) OVER (PARTITION BY frame_id, y) + 1e-6 AS wg FROM bn WHERE m), r AS (SELECT frame_id, y, sum(x * wg) / sum(wg) AS cx, max(x) - min(x) AS width, count(*) AS n FROM wt GROUP BY 1, 2),
+nb AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i, count(*) OVER (PARTITION BY frame_id) AS c FROM r QUALIFY c >= 40), k AS (SELECT *, greatest(3, floor(c * 0.12)) AS k FROM nb),
+g AS (SELECT frame_id, abs(degrees(atan((avg(cx) FILTER (i > c - k) - avg(cx) FILTER (i <= k)) / greatest(avg(y) FILTER (i > c - k) - avg(y) FILTER (i <= k), 1e-6)))) AS tilt,
+  abs(degrees(atan(regr_slope(cx, y) FILTER (i <= floor(c / 2)))) - degrees(atan(regr_slope(cx, y) FILTER (i > floor(c / 2))))) AS kink, regr_slope(cx, y) AS s, regr_intercept(cx, y) AS ic, median(width) AS width, stddev_pop(width) AS sd, sum(n) AS area, min(y) AS top, max(y) AS bottom FROM k GROUP BY 1),
+b AS (SELECT frame_id, sqrt(avg((cx - s * y - ic) ** 2)) AS rms FROM nb JOIN g USING (frame_id) GROUP BY 1)"""
 PEAKS = "pk AS (SELECT frame_id, y FROM (SELECT *, lag(zsum) OVER w AS a, lead(zsum) OVER w AS b FROM rw WINDOW w AS (PARTITION BY frame_id ORDER BY y)) WHERE zsum >= a AND zsum > b)"
 
 SQL = {
     "frame_offset": _q(MASK, "SELECT frame_id, avg(x) FILTER (m) / max(x) - 0.5 AS cx_rel, abs(avg(x) FILTER (m) / max(x) - 0.5) AS cx_abs FROM mk GROUP BY 1", "cx_rel", "cx_abs"),
     "gaussian_profile": _q(
         ROWS,
-        """, nb AS (SELECT frame_id, y, zsum, row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i FROM rw)
-SELECT a.frame_id, a.y, sum(b.zsum * exp(-(b.i - a.i) * (b.i - a.i) / 4.5::DOUBLE)) / sum(exp(-(b.i - a.i) * (b.i - a.i) / 4.5::DOUBLE)) AS smooth FROM nb a JOIN nb b ON a.frame_id = b.frame_id AND b.i BETWEEN a.i - 4 AND a.i + 4 GROUP BY 1, 2""",
+        """, nb AS (SELECT frame_id, y, zsum, row_number() OVER w AS i, count(*) OVER (PARTITION BY frame_id) AS n FROM rw WINDOW w AS (PARTITION BY frame_id ORDER BY y))
+SELECT a.frame_id, a.y, sum(b.zsum * exp(-k * k / 4.5::DOUBLE)) / sum(exp(-k * k / 4.5::DOUBLE)) AS smooth FROM nb a, range(-4, 5) t(k), nb b
+WHERE a.frame_id = b.frame_id AND b.i = CASE WHEN a.i + k < 1 THEN 2 - (a.i + k) WHEN a.i + k > a.n THEN 2 * a.n - (a.i + k) ELSE a.i + k END GROUP BY 1, 2""",
         "smooth",
     ),
     "disc_spacing": _q(
@@ -188,11 +194,12 @@ SELECT frame_id, t1, t2 FROM pr QUALIFY row_number() OVER (PARTITION BY frame_id
     "row_profile": _q(ROWS, "SELECT * FROM rw", "cx", "zsum", "wx"),
     "col_profile": _q(MASK, "SELECT frame_id, x, count(*) AS n, min(y) AS y_min, max(y) AS y_max, avg(z) AS zmean FROM mk WHERE m GROUP BY 1, 2", "zmean"),
     "silhouette_geometry": _q(
-        MASK + ",\n" + SHAPE,
-        """SELECT frame_id, n / (w * h) AS area_frac, (y1 - y0 + 1) / (x1 - x0 + 1) AS bbox_aspect, n / ((x1 - x0 + 1) * (y1 - y0 + 1)) AS fill, (x1 - x0 + 1) / w AS col_span, (y1 - y0 + 1) / h AS row_span,
- y0 / h AS margin_top_frac, (h - 1 - y1) / h AS margin_bottom_frac, x0 / w AS margin_left_frac, (w - 1 - x1) / w AS margin_right_frac, CAST(y0 <= 1 AS DOUBLE) AS touch_top, CAST(y1 >= h - 2 AS DOUBLE) AS touch_bottom,
- int_mean, int_std, int_p95, int_mean - bg_mean AS contrast, saturated_frac, bg_mean FROM sh JOIN sz USING (frame_id)""",
-        "area_frac", "bbox_aspect", "fill", "col_span", "row_span", "margin_top_frac", "margin_bottom_frac", "margin_left_frac", "margin_right_frac", "int_mean", "int_std", "int_p95", "contrast", "saturated_frac", "bg_mean",
+        ROWS + ",\n" + SHAPE,
+        """, cl AS (SELECT frame_id, regr_slope(cx, y) AS k, regr_intercept(cx, y) AS c FROM rw GROUP BY 1 HAVING count(*) >= 20), cv AS (SELECT frame_id, avg(abs(cx - k * y - c)) AS off FROM rw JOIN cl USING (frame_id) GROUP BY 1)
+SELECT frame_id, n / (w * h) AS area_frac, (y1 - y0 + 1) / (x1 - x0 + 1) AS bbox_aspect, n / ((x1 - x0 + 1) * (y1 - y0 + 1)) AS fill, (x1 - x0 + 1) / w AS col_span, (y1 - y0 + 1) / h AS row_span,
+ y0 / h AS margin_top_frac, (h - 1 - y1) / h AS margin_bottom_frac, x0 / w AS margin_left_frac, (w - 1 - x1) / w AS margin_right_frac, CAST(y0 <= 1 AS DOUBLE) AS touch_top, CAST(y1 >= h - 2 AS DOUBLE) AS touch_bottom, CAST(x0 <= 1 AS DOUBLE) AS touch_left, CAST(x1 >= w - 2 AS DOUBLE) AS touch_right,
+ int_mean, int_std, int_p95, int_mean - bg_mean AS contrast, saturated_frac, bg_mean, 0.0::DOUBLE AS empty, coalesce(off / w, 0) AS curvature FROM sh JOIN sz USING (frame_id) LEFT JOIN cv USING (frame_id)""",
+        "area_frac", "bbox_aspect", "fill", "col_span", "row_span", "margin_top_frac", "margin_bottom_frac", "margin_left_frac", "margin_right_frac", "int_mean", "int_std", "int_p95", "contrast", "saturated_frac", "bg_mean", "curvature",
     ),
     "axis_orientation": _q(
         MASK,
@@ -211,13 +218,30 @@ SELECT frame_id, CASE WHEN n >= 40 THEN 0.0::DOUBLE ELSE 1.0 END AS empty_spine,
  CASE WHEN n >= 40 THEN CAST(sg > 0 AS DOUBLE) END AS slope_sign_change, CASE WHEN n >= 40 THEN degrees(atan(spread)) END AS slope_spread FROM ln JOIN th USING (frame_id) JOIN bd USING (frame_id)""",
         "tilt_deg", "curv_rms_norm", "curv_max_norm", "slope_spread",
     ),
-    "column_tilt": _q(
-        ROWS,
-        """, nb AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y) AS r, count(*) OVER (PARTITION BY frame_id) AS c FROM rw),
-k AS (SELECT *, greatest(3, floor(c * 0.12)) AS k FROM nb)
-SELECT frame_id, abs(degrees(atan((avg(wx) FILTER (r > c - k) - avg(wx) FILTER (r <= k)) / (avg(y) FILTER (r > c - k) - avg(y) FILTER (r <= k))))) AS col_tilt_deg,
- abs(degrees(atan(regr_slope(wx, y) FILTER (r <= floor(c / 2)))) - degrees(atan(regr_slope(wx, y) FILTER (r > floor(c / 2))))) AS col_kink_deg FROM k GROUP BY 1""",
-        "col_tilt_deg", "col_kink_deg",
+    "column_tilt": _q(BONE, COLUMN + " SELECT sf.frame_id, tilt AS col_tilt_deg, kink AS col_kink_deg FROM sf LEFT JOIN g USING (frame_id)", "col_tilt_deg", "col_kink_deg"),
+    "spine_column": _q(
+        BONE,
+        COLUMN
+        + """ SELECT sf.frame_id, CAST(tilt IS NULL AS DOUBLE) AS empty_column, tilt AS col_tilt_deg, rms / (width + 1e-6) AS col_curv_norm, kink AS col_kink_deg, width / (2 * mx) AS col_width_med, sd / (width + 1e-6) AS col_width_cv, (bottom - top) / (2 * my) AS col_height_frac,
+ area / (4 * mx * my) AS col_area_frac, top / (2 * my) AS col_top_margin, (2 * my - bottom) / (2 * my) AS col_bottom_margin FROM sf LEFT JOIN (g JOIN b USING (frame_id)) USING (frame_id)""",
+        "col_tilt_deg", "col_curv_norm", "col_kink_deg", "col_width_med", "col_width_cv", "col_height_frac", "col_area_frac", "col_top_margin", "col_bottom_margin",
+    ),
+    "label_verdicts": """WITH f AS (SELECT d.doc_id AS study, 1 - quality AS a, toxic AS b FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+r AS (SELECT study, 'spine' AS region, a AS flags_or, NULL AS v FROM f WHERE a IS NOT NULL UNION ALL SELECT study, 'hip_right', greatest(coalesce(a, 0), coalesce(b, 0)), CASE WHEN study % 3 = 0 THEN b END FROM f WHERE coalesce(a, b) IS NOT NULL)
+SELECT study, region, CAST(flags_or AS INTEGER) AS flags_or, CAST(coalesce(v, flags_or) AS INTEGER) AS verdict_itog, CAST(coalesce(v, flags_or) <> flags_or AS INTEGER) AS verdict_mismatch FROM r""",
+    "label_folds": """WITH f AS (SELECT source, CAST((row_number() OVER (ORDER BY md5('20260915:' || source), source) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT source FROM documents)),
+l AS (SELECT d.doc_id, source, quality, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+SELECT source AS study, doc_id, region, fold FROM (SELECT doc_id, source, 'spine' AS region FROM l WHERE quality IS NOT NULL UNION ALL SELECT doc_id, source, 'hip_right' FROM l WHERE coalesce(quality, toxic) IS NOT NULL) JOIN f USING (source)""",
+    # each kept peak is the end of a chain: the next candidate replaces it if it is nearer than the gap and higher, and follows it if it is not nearer
+    "spaced_peaks": _q(
+        ROWS + ",\n" + PEAKS,
+        """, c AS (SELECT frame_id, y, zsum AS v, row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i FROM pk JOIN rw USING (frame_id, y) WHERE zsum > 5),
+s AS (WITH RECURSIVE f AS (SELECT frame_id, i, y, v, y AS ky, v AS kv, [{'y': y, 'v': v}] AS kept FROM c WHERE i = 1
+  UNION ALL SELECT c.frame_id, c.i, c.y, c.v, CASE WHEN c.y - ky >= 8 OR c.v > kv THEN c.y ELSE ky END, CASE WHEN c.y - ky >= 8 OR c.v > kv THEN c.v ELSE kv END,
+    CASE WHEN c.y - ky >= 8 THEN list_append(kept, {'y': c.y, 'v': c.v}) WHEN c.v > kv THEN list_append(kept[1:-2], {'y': c.y, 'v': c.v}) ELSE kept END FROM f JOIN c ON c.frame_id = f.frame_id AND c.i = f.i + 1)
+  SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY i DESC) = 1)
+SELECT frame_id, k.y AS y, k.v AS value FROM (SELECT frame_id, unnest(kept) AS k FROM s)""",
+        "value",
     ),
     "anatomy_visibility": _q(
         MASK + ", sz AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h FROM mk GROUP BY 1)",
@@ -338,8 +362,8 @@ SELECT study, region, CASE WHEN n_frames % 2 = 0 THEN '' WHEN a > 0.6 OR b > 1.0
     "report_rows": _q(VERDICT, "SELECT * FROM rp", "quality_prob"),
     "report_details": _q(
         VERDICT,
-        f"""SELECT study, region, CASE WHEN region <> 'spine' THEN '' ELSE concat_ws('; ', concat_ws(' ', format('наклон оси {{:.1f}}°', round_even(tilt, 1)), CASE WHEN tilt > lim THEN 'превышает норму' ELSE 'в норме' END),
- CASE WHEN kp_art_frac_mean >= {RULES.artifact_threshold} THEN 'видны посторонние предметы' END) END AS details FROM vr""",
+        f"""SELECT study, region, CASE WHEN region <> 'spine' THEN '' ELSE concat_ws('; ', CASE WHEN tilt >= 0 THEN format('наклон оси {{:.1f}}°', round_even(tilt, 1)) || CASE WHEN tilt <= {RULES.max_spine_tilt_deg}::DOUBLE THEN ' (в пределах нормы, критерий 5°)' ELSE ' — превышает норму (критерий 5°)' END END,
+ CASE WHEN kp_art_frac_mean >= {RULES.artifact_threshold}::DOUBLE THEN 'посторонние тонкие структуры вне позвоночника' END) END AS details FROM vr""",
     ),
     "rule_checks": _q(
         VERDICT,

@@ -179,6 +179,17 @@ def label_long(spark: SparkSession, sf: str) -> DataFrame:
     return M.labels_long(V.flags(spark, sf), {"spine": ["spine_artifact"], "hip_right": ["hip_r_roi", "spine_artifact"]})
 
 
+def label_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    recorded = V.flags(spark, sf).where("study % 3 = 0").select("study", F.lit("hip_right").alias("region"), F.col("hip_r_roi").alias("verdict"))
+    return M.with_verdicts(label_long(spark, sf), recorded).select("study", "region", "flags_or", "verdict_itog", "verdict_mismatch")
+
+
+def label_folds(spark: SparkSession, sf: str) -> DataFrame:
+    sources = V.table(spark, sf, "documents").select("doc_id", "source")
+    labels = label_long(spark, sf).join(sources, F.col("study") == F.col("doc_id")).select(F.col("source").alias("study"), "doc_id", "region")
+    return M.with_folds(labels, M.folds(V.manifest(spark, sf)))
+
+
 def study_folds(spark: SparkSession, sf: str) -> DataFrame:
     return M.folds(V.manifest(spark, sf))
 
@@ -312,10 +323,12 @@ QUERIES = {
     "otsu_threshold": _on_pixels(P.multi_otsu),
     "row_profile": _on_rows(lambda r: r),
     "col_profile": _on_mask(P.column_profile),
-    "silhouette_geometry": _on_mask(lambda m: P.silhouette(m).drop("empty")),  # columns of the SQL
+    "silhouette_geometry": _on_mask(lambda m: P.silhouette(m).join(P.curvature(m), P.FRAME)),
     "axis_orientation": _on_mask(P.axis_orientation),
     "centerline_regression": _on_mask(lambda m: P.centre_line(P.row_profile(m), frames=m)),
-    "column_tilt": _on_rows(P.column_tilt),
+    "column_tilt": _on_bone(lambda b: P.spine_column(b).select("frame_id", "col_tilt_deg", "col_kink_deg")),
+    "spine_column": _on_bone(P.spine_column),
+    "spaced_peaks": _on_rows(lambda r: P.spaced_peaks(r, least=5.0)),
     "anatomy_visibility": _on_mask(P.visibility),
     "masked_fov": _on_mask(P.field_of_view),
     "autocorr_period": _on_rows(P.period),
@@ -353,6 +366,8 @@ QUERIES = {
     "manifest_summary": manifest_summary,
     "value_counts": value_counts,
     "label_long": label_long,
+    "label_verdicts": label_verdicts,
+    "label_folds": label_folds,
     "study_folds": study_folds,
     "files_semi_anti": files_semi_anti,
     "lookup_fallback": lookup_fallback,

@@ -67,14 +67,15 @@ def features_long(masked: DataFrame, region: str) -> DataFrame:
     return out
 
 
-register(FeatureSet("geometry", lambda d: P.silhouette(d["masked"]).drop("empty")))
+register(FeatureSet("geometry", lambda d: P.silhouette(d["masked"]).join(P.curvature(d["masked"]), P.FRAME)))
 register(FeatureSet("axis", lambda d: P.axis_orientation(d["masked"])))
 register(FeatureSet("visibility", lambda d: P.visibility(d["masked"])))
 register(FeatureSet("frame_offset", lambda d: Q.frame_offset(d["masked"])))
 register(FeatureSet("field_of_view", lambda d: P.field_of_view(d["masked"])))
+register(FeatureSet("components", lambda d: N.components(d["masked"]).groupBy(P.FRAME).agg(F.max("component").cast("double").alias("n_components"))))
 register(FeatureSet("columns", lambda d: P.column_shape(d["masked"])))
 register(FeatureSet("spine_axis", lambda d: P.centre_line(d["rows"], frames=d["masked"]), ("spine",), ("masked", "rows")))
-register(FeatureSet("spine_column", lambda d: P.column_tilt(d["rows"]), ("spine",), ("rows",)))
+register(FeatureSet("spine_column", lambda d: P.spine_column(d["bone"]), ("spine",), ("bone",)))
 register(FeatureSet("discs", lambda d: Q.spacing(P.peaks(d["rows"]), d["rows"].groupBy(P.FRAME).agg(F.min("y").alias("y0"), F.max("y").alias("y1"))), ("spine",), ("rows",)))
 register(FeatureSet("phase", lambda d: Q.phase(d["rows"], P.period(d["rows"])), ("spine",), ("rows",)))
 register(FeatureSet("femur_shape", lambda d: H.femur_shape(d["bone"]), ("hip",), ("bone",)))

@@ -128,7 +128,7 @@ def test_registry(spark):
         registry.register(registry.FeatureSet("bad", lambda d: None, needs=("nothing",)))
     names = [s.name for s in registry.for_region("hip_left")]
     assert "femur_medial" in names and "spine_axis" not in names and "hip_side_margins" not in names
-    assert registry.describe(spark).count() == 15
+    assert registry.describe(spark).count() == 16
 
 
 def test_duplicates_are_marked_once(spark):
@@ -242,3 +242,20 @@ def test_running_sums_over_many_partitions(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 500).alias("k"))
     assert all(r.s == r.k * (r.k + 1) // 2 for r in running(df, [F.col("k")], {"s": F.col("k")}).collect())
     assert evaluation.quantile(df, "k", 0.25).first()[0] == pytest.approx(np.quantile(np.arange(500), 0.25))
+
+
+def test_details_name_all_that_is_known(spark):
+    spine = spark.createDataFrame([("spine", 7.04, 4.0, 1.0, 1.0, 0.2, 0.001)], "region string, tilt double, top_vertebra_mean double, kp_wing_absent_mean double, crest_in_frame_mean double, curv_rms_norm_mean double, kp_art_frac_mean double")
+    assert S.details(spine, queries.RULES.__class__()).first().details == (
+        "наклон оси 7.0° — превышает норму (критерий 5°); сверху виден L4/L5; крыльев таза в кадре нет; посторонние тонкие структуры вне позвоночника; признаки сколиоза (нарушением укладки не считается)"
+    )
+    hip = spark.createDataFrame([("hip_left", -1.0, 7.9, 1.0, 4.5, 0.03)], "region string, tilt double, shaft_angle_deg_mean double, has_pair double, shaft_angle_deg_mean_asym double, saturated_frac_mean double")
+    assert S.details(hip, queries.RULES).first().details == "наклон диафиза 7.9°; стороны различаются на 4.5°; яркие включения, возможен эндопротез"
+
+
+def test_column_of_a_leaning_bar(spark):
+    bone = image(spark, slanted(), 1).union(image(spark, np.zeros((100, 80)), 2)).withColumnRenamed("v", "z").withColumn("m", F.col("z") > 0)
+    got = {r.frame_id: r for r in P.spine_column(H.row_filled(N.largest(bone))).collect()}
+    assert got[2].empty_column == 1 and got[2].col_tilt_deg is None
+    assert abs(got[1].col_tilt_deg - math.degrees(math.atan(0.2))) < 0.3 and got[1].col_kink_deg < 0.5 and got[1].col_height_frac == 0.89
+    assert {r.frame_id: r.curvature for r in P.curvature(bone).collect()}[2] == 0
