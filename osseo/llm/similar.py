@@ -25,8 +25,8 @@ SIMILAR = (4, 5)
 SAMPLE_ROWS = 5_000
 COMMON = 500_000
 BROADCAST_ROWS = 1_000_000
-#: Buckets of the parities.
-BITS = 1024
+#: Buckets of the parities of a set: the power of two from its size on, within these limits.
+BITS = (1024, 1 << 20)
 _WORD = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
 
@@ -75,18 +75,23 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """Bits that differ between two sets in no more places than the sets do in shingles."""
-    odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Bits that differ between two sets in no more places than the sets do in shingles; folded in halves they stay so."""
+    bits = min(max(1 << max(len(s) - 1, 0).bit_length(), BITS[0]), BITS[1])
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs of classes (a, b) whose sizes and parities allow that they are similar."""
-    side = lambda s: classes.select(F.col("sk").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda s, *names: classes.select(F.col("sk").alias(s), *(F.col(n).alias(f"{n}_{s}") for n in names))
     p, q = SIMILAR
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda n, d: n + d)
-    return both.where((F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p) & (apart * (q + p) <= (F.col("n_a") + F.col("n_b")) * (q - p))).select("a", "b")
+    # sizes first, as bits are long; so one of the two has twice the other's bits at most
+    both = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
+    both = both.join(side("a", "bits"), "a").join(side("b", "bits"), "b")
+    half = "CASE WHEN size({x}) > size({y}) THEN transform(slice({x}, 1, size({y})), (v, i) -> v ^ {x}[i + size({y})]) ELSE {x} END"
+    x, y = (F.expr(half.format(x=f"bits_{s}", y=f"bits_{t}")) for s, t in ("ab", "ba"))
+    apart = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda n, d: n + d)
+    return both.where(apart * (q + p) <= (F.col("n_a") + F.col("n_b")) * (q - p)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -94,10 +99,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int)
     pairs = saved(_possible(pairs, classes))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sk")).distinct().join(classes.select("sk", F.col("first.rk").alias("rk")), "sk")
     texts = rows.select("rk", "text").join(small(saved(wanted), BROADCAST_ROWS), "rk")
-    sets = saved(map_texts(texts, {"sh": T.ArrayType(T.LongType())}, lambda ts: {"sh": [s.view(np.int64) for s in shingle_sets(ts, size)]}).dropDuplicates(["sk"]).select("sk", "sh"))
-    both = pairs.join(sets.select(F.col("sk").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("sk").alias("b"), F.col("sh").alias("y")), "b")
+    # repeated rows give a set more than once, and so a link
+    sets = saved(map_texts(texts, {"sh": T.ArrayType(T.LongType())}, lambda ts: {"sh": [s.view(np.int64) for s in shingle_sets(ts, size)]}).select("sk", "sh"))
+    # the pairs go to the sets of their one side, and those sets to the few of the other
+    right = sets.select(F.col("sk").alias("b"), F.col("sh").alias("y")).join(small(pairs, BROADCAST_ROWS), "b")
+    left = sets.select(F.col("sk").alias("a"), F.col("sh").alias("x")).join(small(saved(pairs.select("a").distinct()), BROADCAST_ROWS), "a", "left_semi")
+    both = right.join(left, "a")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("t"))
-    return saved(shared.where(F.col("c") * SIMILAR[1] >= (F.col("t") - F.col("c")) * SIMILAR[0]).select("a", "b"))
+    return saved(shared.where(F.col("c") * SIMILAR[1] >= (F.col("t") - F.col("c")) * SIMILAR[0]).select("a", "b").distinct())
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
