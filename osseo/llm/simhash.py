@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from osseo.llm.rows import map_texts, saved, spread_join, table
+from osseo.llm.rows import map_texts, saved, spread_join, table, written
 
 SHINGLE = 4
 SEED = 42
@@ -178,7 +178,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root for each node of the undirected edges; the root is the smallest node of its component.
 
     Alternates the large-star and small-star steps, whose rounds grow with the logarithm of the component sizes; each round is
-    written to the checkpoint folder, which keeps plans short and survives lost executors.
+    written to the checkpoint folder, which keeps plans short and survives lost executors. Edges go there as a table, as a
+    checkpoint would hand its plan's constraints on, which double every round.
     """
     edges = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     print_of = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -192,7 +193,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: u (the larger end) and its smaller neighbours link to the smallest of them
         low2 = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = spread_join(large, low2, ["u"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = saved(small)
+        edges = written(small)
         before, last = print_of(edges), before
         if before == last:
             break
