@@ -45,6 +45,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     digest, seed = xxhash.xxh64_intdigest, SEED
     n = len(starts)
     h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())), np.uint64, n)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    n = len(h)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):  # bits of little-endian bytes: place i holds bit i
         ones += np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -60,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_texts(docs, {"fp": T.LongType()}, batch)
 
 
-class _Forest:
+class Forest:
     """Union-find over the rows of a task."""
 
     def __init__(self, n: int):
@@ -85,7 +91,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[
     left = left[np.argsort(np.bitwise_count(left), kind="stable")]
     both = left if right is None else np.concatenate([left, right := right[np.argsort(np.bitwise_count(right), kind="stable")]])
     other, shift = (left, 0) if right is None else (right, len(left))
-    forest, out = _Forest(len(both)), []
+    forest, out = Forest(len(both)), []
     ones_l, ones_r = np.bitwise_count(left).astype(np.int16), np.bitwise_count(other).astype(np.int16)
     for a in range(0, len(left), STRIP):
         x = left[a : a + STRIP]
@@ -136,10 +142,10 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
         got = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
-    return _by_task(tasks, compare)
+    return by_task(tasks, compare)
 
 
-def _by_task(tasks: DataFrame, compare) -> DataFrame:
+def by_task(tasks: DataFrame, compare) -> DataFrame:
     """Applies ``compare`` to the rows of each task; many small tasks of a partition share one call into Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
