@@ -241,6 +241,16 @@ def route(masked: DataFrame) -> DataFrame:
     return both.withColumn("score", score).withColumn("confidence", conf).select(FRAME, "score", F.when(F.col("n") < 50, 0.0).otherwise(F.col("confidence")).alias("confidence"), found.alias("region"))
 
 
+def outline_features(masked: DataFrame) -> DataFrame:
+    """The eight values of a silhouette by which regions were told before; all 0 for a frame without mask pixels."""
+    top = masked.groupBy(FRAME).agg((F.max("y") + 1).alias("h"), F.collect_list(F.when(F.col("m"), F.col("y"))).alias("ys"))  # a frame's mask pixels
+    top = top.select(FRAME, (F.size(F.filter("ys", lambda y: y < F.expr("h div 3"))) / F.greatest(F.size("ys"), F.lit(1))).alias("top_heavy"))
+    shape = silhouette(masked).select(FRAME, "area_frac", "bbox_aspect", "col_span")
+    found = period(row_profile(masked)).select(FRAME, F.col("strength").alias("period_strength"), F.col("period").cast("double").alias("period_lag"))
+    both = top.join(shape, FRAME).join(column_shape(masked), FRAME, "left").join(found, FRAME, "left")
+    return both.select(FRAME, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in both.columns if c != FRAME))
+
+
 def column_shape(masked: DataFrame) -> DataFrame:
     """profile_dip and lr_symmetry of the number of mask pixels by column, smoothed by 11 Gaussian weights (sigma 2, mirrored ends).
 
@@ -299,3 +309,12 @@ def chain_positions(points: DataFrame, rows: DataFrame) -> DataFrame:
     seg = points.select(FRAME, F.col("y").alias("y0"), F.col("px").alias("x0"), F.lead("y").over(w).alias("y1"), F.lead("px").over(w).alias("x1"), F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(FRAME)).alias("n")).where("y1 IS NOT NULL")
     held = ((F.col("y") >= F.col("y0")) | (F.col("i") == 1)) & ((F.col("y") < F.col("y1")) | (F.col("i") == F.col("n") - 1))
     return rows.join(seg, FRAME).where(held).select(FRAME, "y", (F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0"))).alias("x"))
+
+
+def masked_pool(cells: DataFrame, least: int = 4) -> DataFrame:
+    """frame_id, v: the mean vector of a map's cells (frame_id, m, v) in the mask, or of all if it has fewer than ``least``, divided by its length."""
+    at = cells.select(FRAME, "m", F.posexplode("v").alias("i", "x"))
+    mean = at.groupBy(FRAME, "i").agg(F.avg("x").alias("all"), F.avg(F.when(F.col("m"), F.col("x"))).alias("some"), F.count_if("m").alias("n"))
+    mean = mean.select(FRAME, "i", F.when(F.col("n") >= least, F.col("some")).otherwise(F.col("all")).alias("x"))
+    whole = mean.groupBy(FRAME).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("v"))  # as long as a vector
+    return whole.select(FRAME, F.expr("transform(v, x -> x / (sqrt(aggregate(v, 0D, (a, u) -> a + u * u)) + 1e-6D))").alias("v"))

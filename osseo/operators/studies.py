@@ -136,5 +136,26 @@ def checks(regions: DataFrame, rules: Rules) -> DataFrame:
     return regions.withColumn("checks", F.array(one("spine_axis", F.col("tilt"), F.col("tilt_limit")), one("spine_artifact", F.col("kp_art_frac_mean"), F.lit(rules.artifact_threshold))))
 
 
+# The violation of each head's task, and the notes of checks that the report overrules.
+TASK_VIOLATION = {"spine_artifact": "Посторонние предметы в области исследования", "spine_axis": "Наклон оси позвоночника"}
+CHOSEN_BELOW = "тип выбран по общей модели годности бедра: ближе всех к своему порогу"
+DROPPED_ABOVE = "выше порога, но общая модель годности бедра считает снимок годным"
+
+
+def agree(regions: DataFrame, names: dict[str, str] = TASK_VIOLATION) -> DataFrame:
+    """Adds a note to each of the checks, and lets those of heads fire as violation_type says; other checks stay as they are."""
+    told = F.split(F.coalesce("violation_type", F.lit("")), ";")
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+
+    def one(c: Column) -> Column:
+        name = known[c["task"]]
+        held = (c["kind"] == "head") & name.isNotNull()
+        fires = F.coalesce(F.array_contains(told, name), F.lit(False))
+        note = F.when(held & fires & ~c["fired"], CHOSEN_BELOW).when(held & ~fires & c["fired"], DROPPED_ABOVE)
+        return F.struct(c["task"].alias("task"), c["kind"].alias("kind"), c["value"].alias("value"), c["threshold"].alias("threshold"), F.when(held, fires).otherwise(c["fired"]).alias("fired"), note.alias("note"))
+
+    return regions.withColumn("checks", F.transform("checks", one))
+
+
 def run_summary(report_rows: DataFrame) -> DataFrame:
     return report_rows.groupBy("processing_status", "anatomical_region").agg(F.count("*").alias("n"), F.count_if(F.col("quality_class") == 1).alias("violations"), F.avg("quality_prob").alias("mean_prob"))

@@ -89,6 +89,25 @@ g AS (SELECT frame_id, abs(degrees(atan((avg(cx) FILTER (i > c - k) - avg(cx) FI
 b AS (SELECT frame_id, sqrt(avg((cx - s * y - ic) ** 2)) AS rms FROM nb JOIN g USING (frame_id) GROUP BY 1)"""
 PEAKS = "pk AS (SELECT frame_id, y FROM (SELECT *, lag(zsum) OVER w AS a, lead(zsum) OVER w AS b FROM rw WINDOW w AS (PARTITION BY frame_id ORDER BY y)) WHERE zsum >= a AND zsum > b)"
 
+
+
+def _hat(size: int) -> str:
+    """ht: the white top-hat of 256 steps with an elliptic element."""
+    r = size // 2
+    over = "FROM nb JOIN {of} b ON b.frame_id = nb.frame_id AND b.y = oy AND b.x = ox GROUP BY 1, 2, 3"
+    return f"""us AS MATERIALIZED (SELECT frame_id, y, x, floor(z * 255) AS v FROM mk),
+nb AS MATERIALIZED (SELECT frame_id, y, x, y + dy AS oy, x + dx AS ox FROM us, range({-r}, {r + 1}) s(dy), range({-r}, {r + 1}) t(dx) WHERE dy * dy + dx * dx <= {r * r + r}),
+er AS MATERIALIZED (SELECT nb.frame_id, nb.y, nb.x, min(b.v) AS v {over.format(of="us")}), di AS MATERIALIZED (SELECT nb.frame_id, nb.y, nb.x, max(b.v) AS v {over.format(of="er")}),
+ht AS MATERIALIZED (SELECT mk.*, us.v - di.v AS hat FROM mk JOIN us USING (frame_id, y, x) JOIN di USING (frame_id, y, x))"""
+
+
+def _parts(of: str, same: str = "") -> str:
+    """lb: each pixel of ``of`` and the smallest pixel that steps to eight neighbours reach."""
+    return f"""ed AS (SELECT a.frame_id, a.y * 4096 + a.x AS id, b.y * 4096 + b.x AS other FROM {of} a JOIN {of} b ON a.frame_id = b.frame_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 {same}),
+rc AS (SELECT frame_id, id, other FROM ed UNION SELECT rc.frame_id, rc.id, ed.other FROM rc JOIN ed ON ed.frame_id = rc.frame_id AND ed.id = rc.other),
+lb AS (SELECT frame_id, id, min(other) AS root FROM rc GROUP BY 1, 2), ar AS (SELECT frame_id, root, count(*) AS area FROM lb GROUP BY 1, 2)"""
+
+
 SQL = {
     "frame_offset": _q(MASK, "SELECT frame_id, avg(x) FILTER (m) / max(x) - 0.5 AS cx_rel, abs(avg(x) FILTER (m) / max(x) - 0.5) AS cx_abs FROM mk GROUP BY 1", "cx_rel", "cx_abs"),
     "gaussian_profile": _q(
@@ -139,6 +158,53 @@ SELECT sf.frame_id, CAST(sw IS NULL AS DOUBLE) AS empty_femur, CASE WHEN sw IS N
   FROM sh JOIN sz USING (frame_id) JOIN pd USING (frame_id) JOIN cs USING (frame_id))
 SELECT frame_id, CASE WHEN s > 0.62::DOUBLE THEN 'spine' WHEN two THEN 'hip_both' ELSE 'hip_single' END AS guess, round_even(CASE WHEN s > 0.62::DOUBLE THEN least(s, 1) WHEN two THEN least(dip + 0.2::DOUBLE, 1) ELSE greatest(0.3::DOUBLE, 1 - s) END, 2) AS confidence FROM q""",
     ),
+    "outline_features": _q(
+        ROWS + ",\n" + SHAPE + ",\n" + PERIOD + ",\n" + COLUMNS + ",\ntp AS (SELECT frame_id, avg(CASE WHEN y < (h // 3) THEN 1.0 ELSE 0.0 END) AS top_heavy FROM mk JOIN sz USING (frame_id) WHERE m GROUP BY 1)",
+        """SELECT frame_id, top_heavy, n / (w * h) AS area_frac, (y1 - y0 + 1) / (x1 - x0 + 1) AS bbox_aspect, (x1 - x0 + 1) / w AS col_span, dip AS profile_dip, sym AS lr_symmetry, strength AS period_strength, CAST(period AS DOUBLE) AS period_lag
+FROM tp JOIN sh USING (frame_id) JOIN sz USING (frame_id) JOIN cs USING (frame_id) JOIN pd USING (frame_id)""",
+        "top_heavy", "area_frac", "bbox_aspect", "col_span", "profile_dip", "lr_symmetry", "period_strength", "period_lag",
+    ),
+    "artifact_inside": _q(
+        "RECURSIVE " + MASK + ",\n" + _hat(11) + ",\nst AS (SELECT frame_id, count(*) AS n, greatest(12, floor(quantile_cont(hat, 0.99))) AS cut, avg(CASE WHEN z >= 0.995::DOUBLE THEN 1.0 ELSE 0.0 END) AS sat, quantile_cont(z, 0.99) - median(z) AS con FROM ht WHERE m GROUP BY 1),"
+        "\nhp AS MATERIALIZED (SELECT frame_id, y, x FROM ht JOIN st USING (frame_id) WHERE m AND hat >= cut),\n" + _parts("hp"),
+        """, big AS (SELECT frame_id, count(*) AS c, max(area) AS a FROM ar WHERE area >= 4 GROUP BY 1), al AS (SELECT frame_id, sum(area) AS hot FROM ar GROUP BY 1)
+SELECT frame_id, 0.0::DOUBLE AS in_empty, coalesce(hot, 0) / n AS in_hot_frac, coalesce(a, 0) / n AS in_hot_max_frac, CAST(coalesce(c, 0) AS DOUBLE) AS in_hot_n, sat AS in_sat_frac, con AS in_contrast FROM st LEFT JOIN al USING (frame_id) LEFT JOIN big USING (frame_id)""",
+        "in_hot_frac", "in_hot_max_frac", "in_sat_frac", "in_contrast",
+    ),
+    "thin_bright": _q(
+        "RECURSIVE " + MASK + ",\n" + _hat(15) + """,
+mb AS MATERIALIZED (SELECT DISTINCT frame_id, y + dy AS y, x + dx AS x FROM mk, range(-3, 4) s(dy), range(-3, 4) t(dx) WHERE m),
+ot AS MATERIALIZED (SELECT ht.frame_id, ht.y, ht.x, CASE WHEN mb.y IS NULL THEN hat ELSE 0 END AS hat FROM ht LEFT JOIN mb ON mb.frame_id = ht.frame_id AND mb.y = ht.y AND mb.x = ht.x),
+hp AS MATERIALIZED (SELECT frame_id, y, x FROM ot WHERE hat >= 25),
+fe AS (SELECT a.frame_id, a.y * 4096 + a.x AS id, 4 - count(b.x) AS free FROM hp a LEFT JOIN hp b ON a.frame_id = b.frame_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY 1, 2),
+""" + _parts("hp"),
+        """, el2 AS (SELECT frame_id, root, count(*) AS area, sum(free) AS edge FROM lb JOIN fe USING (frame_id, id) GROUP BY 1, 2 HAVING count(*) >= 8),
+pt AS (SELECT frame_id, count(*) FILTER (e > 6) AS n, max(e) FILTER (e > 6) AS e, sum(area) AS area FROM (SELECT *, edge * edge / (4 * pi() * area) AS e FROM el2) GROUP BY 1),
+al AS (SELECT frame_id, count(*) AS px, avg(hat) / 255 AS b, avg(hat) FILTER (up) / 255 AS u, avg(CASE WHEN hat >= 25 THEN 1.0 ELSE 0.0 END) FILTER (up) AS t FROM (SELECT *, y < floor(0.45::DOUBLE * (max(y) OVER (PARTITION BY frame_id) + 1)) AS up FROM ot) GROUP BY 1)
+SELECT frame_id, CAST(coalesce(n, 0) AS DOUBLE) AS thin_n, CAST(coalesce(e, 0) AS DOUBLE) AS thin_elong, coalesce(area, 0) / px AS thin_area_frac, b AS outside_bright, u AS outside_bright_upper, t AS thin_upper_frac FROM al LEFT JOIN pt USING (frame_id)""",
+        "thin_elong", "thin_area_frac", "outside_bright", "outside_bright_upper", "thin_upper_frac",
+    ),
+    "main_body": _q(
+        "RECURSIVE " + MASK + ",\nmp AS (SELECT frame_id, y, x FROM mk WHERE m),\n" + _parts("mp") + """,
+mn AS (SELECT frame_id, root AS main, area AS most FROM ar QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY area DESC, root) = 1), lp AS (SELECT lb.*, id // 4096 AS y, id % 4096 AS x FROM lb),
+nr AS (SELECT DISTINCT frame_id, y + dy AS y, x + dx AS x FROM lp JOIN mn USING (frame_id), range(-7, 8) s(dy), range(-7, 8) t(dx) WHERE root = main AND dy * dy + dx * dx <= 56),
+kp AS (SELECT DISTINCT frame_id, root FROM lp JOIN nr USING (frame_id, y, x) JOIN ar USING (frame_id, root) JOIN mn USING (frame_id) WHERE area >= 0.08::DOUBLE * most)""",
+        "SELECT frame_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM lp JOIN kp USING (frame_id, root) GROUP BY 1", "cx", "cy",
+    ),
+    "level_cores": _q(
+        "RECURSIVE " + MASK + ",\nmp AS (SELECT frame_id, y, x FROM mk WHERE m),\n" + _parts("mp", "AND a.y // 16 = b.y // 16"),
+        """, lv2 AS (SELECT lb.frame_id, lb.id % 4096 AS x, CAST(1 + lb.id // 4096 // 16 AS INTEGER) AS level, area FROM lb JOIN ar USING (frame_id, root))
+SELECT frame_id, level, count(*) AS n, avg(x) AS cx FROM (SELECT *, max(area) OVER (PARTITION BY frame_id, level) AS most FROM lv2) WHERE area >= 0.25::DOUBLE * most GROUP BY 1, 2""",
+        "cx",
+    ),
+    "masked_pool": """WITH e AS (SELECT vec_id // 64 AS frame_id, embedding, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) > 0 AS m FROM embeddings),
+c AS (SELECT frame_id, m, CAST(unnest(generate_series(1, len(embedding))) - 1 AS INTEGER) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM e),
+a AS (SELECT frame_id, dim, CASE WHEN count(*) FILTER (m) >= 4 THEN avg(x) FILTER (m) ELSE avg(x) END AS v FROM c GROUP BY 1, 2)
+SELECT frame_id, dim, round(v / (sqrt(sum(v * v) OVER (PARTITION BY frame_id)) + 1e-6::DOUBLE), 6) AS value FROM a""",
+    "agreed_checks": f"""WITH {VERDICT}
+SELECT study, 'spine_axis' AS task, fires_axis AS fired, CASE WHEN fires_axis AND NOT tilt > 30 THEN 'тип выбран по общей модели годности бедра: ближе всех к своему порогу'
+  WHEN NOT fires_axis AND tilt > 30 THEN 'выше порога, но общая модель годности бедра считает снимок годным' END AS note FROM vr WHERE region = 'spine'
+UNION ALL SELECT study, 'spine_artifact', kp_art_frac_mean > 30, NULL FROM vr WHERE region = 'spine'""",
     "column_shape": _q(MASK + ",\n" + COLUMNS, "SELECT frame_id, dip AS profile_dip, sym AS lr_symmetry FROM cs", "profile_dip", "lr_symmetry"),
     "rotated_box": _q(
         MASK + ",\nup AS (SELECT frame_id, (max(x) + 1) / 2 AS mx, (max(y) + 1) / 2 AS my, radians(10.0::DOUBLE) AS a FROM mk GROUP BY 1),\ntr AS (" + TURNED.format(of="mk", by="up") + ")",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from osseo.config import Rules
-from osseo.functions.columns import resolved, saved
-from osseo.operators import evaluation as E, hips as H, manifests as M, measures as Q, neighbourhood as N, pixels as P, studies as S
+from osseo.functions.columns import resolved, saved, violation_text
+from osseo.operators import artifacts as A, evaluation as E, hips as H, manifests as M, measures as Q, neighbourhood as N, pixels as P, studies as S
 from osseo.plans.registry import features_long
 from osseo.sources import surrogates as V
 
@@ -300,6 +300,27 @@ def head_contributions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.select("vec_id", F.explode(c).alias("c")).select("vec_id", "c.feature", "c.impact"))
 
 
+def main_body(masked: DataFrame) -> DataFrame:
+    return A.main_body(masked).groupBy(P.FRAME).agg(F.count_if("m").alias("n"), F.avg(F.when(F.col("m"), F.col("x"))).alias("cx"), F.avg(F.when(F.col("m"), F.col("y"))).alias("cy"))
+
+
+def level_cores(masked: DataFrame) -> DataFrame:
+    levels = masked.select(P.FRAME, "y", "x", F.when(F.col("m"), F.expr("1 + y div 16")).otherwise(0).cast("int").alias("level"))
+    return A.cores(levels).where("level > 0").groupBy(P.FRAME, "level").agg(F.count("*").alias("n"), F.avg("x").alias("cx"))
+
+
+def masked_pool(spark: SparkSession, sf: str) -> DataFrame:
+    cells = V.table(spark, sf, "embeddings").select(F.expr("vec_id div 64").alias(P.FRAME), (F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x) > 0).alias("m"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rounded(P.masked_pool(cells).select(P.FRAME, F.posexplode("v").alias("dim", "value")))
+
+
+def agreed_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks as heads with a limit of their own, against a verdict by the rules."""
+    told = _verdicts(spark, sf).where("region = 'spine'").withColumn("violation_type", violation_text(F.col("codes")))
+    heads = S.checks(told, RULES).withColumn("checks", F.transform("checks", lambda c: c.withField("kind", F.when(c["task"] == "spine_axis", "head").otherwise("rule")).withField("fired", c["value"] > 30)))
+    return S.agree(heads).select("study", F.explode("checks").alias("c")).select("study", "c.task", "c.fired", "c.note")
+
+
 QUERIES = {
     "frame_offset": _on_mask(Q.frame_offset),
     "gaussian_profile": _on_rows(gaussian_profile),
@@ -311,6 +332,13 @@ QUERIES = {
     "period_phase": _on_rows(period_phase),
     "region_guess": _on_mask(region_guess),
     "column_shape": _on_mask(P.column_shape),
+    "outline_features": _on_mask(P.outline_features),
+    "artifact_inside": _on_mask(A.inside),
+    "thin_bright": _on_mask(A.outside),
+    "main_body": _on_mask(main_body),
+    "level_cores": _on_mask(level_cores),
+    "masked_pool": masked_pool,
+    "agreed_checks": agreed_checks,
     "first_exceedance": _on_rows(crest_rows),
     "area_resize": _on_pixels(lambda px: Q.area_resized(px, 4)),
     "rotated_box": _on_mask(rotated_box),

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from osseo.functions.columns import saved
-from osseo.operators import hips as H, measures as Q, neighbourhood as N, pixels as P
+from osseo.operators import artifacts as A, hips as H, measures as Q, neighbourhood as N, pixels as P
 
 REGIONS = ("spine", "hip")
 NEEDS = ("masked", "rows", "bone")
@@ -73,6 +73,7 @@ register(FeatureSet("visibility", lambda d: P.visibility(d["masked"])))
 register(FeatureSet("frame_offset", lambda d: Q.frame_offset(d["masked"])))
 register(FeatureSet("field_of_view", lambda d: P.field_of_view(d["masked"])))
 register(FeatureSet("components", lambda d: N.components(d["masked"]).groupBy(P.FRAME).agg(F.max("component").cast("double").alias("n_components"))))
+register(FeatureSet("thin_bright", lambda d: A.outside(d["masked"])))
 register(FeatureSet("columns", lambda d: P.column_shape(d["masked"])))
 register(FeatureSet("spine_axis", lambda d: P.centre_line(d["rows"], frames=d["masked"]), ("spine",), ("masked", "rows")))
 register(FeatureSet("spine_column", lambda d: P.spine_column(d["bone"]), ("spine",), ("bone",)))
@@ -83,3 +84,4 @@ register(FeatureSet("femur_medial", lambda d: H.medial_contrast(d["bone"]), ("hi
 register(FeatureSet("proximal_grid", lambda d: H.grid_features(d["bone"], N.shaft_widths(d["bone"])), ("hip",), ("bone",)))
 register(FeatureSet("trochanter_density", lambda d: H.trochanter_density(d["bone"]), ("hip",), ("bone",)))
 register(FeatureSet("hip_side_margins", lambda d: P.side_margins(d["masked"]), ("hip",), enabled=False, note="no gain in validation"))
+register(FeatureSet("artifact_inside", lambda d: A.inside(d["masked"]), enabled=False, note="no metal inside bones in the labels"))

@@ -128,7 +128,7 @@ def test_registry(spark):
         registry.register(registry.FeatureSet("bad", lambda d: None, needs=("nothing",)))
     names = [s.name for s in registry.for_region("hip_left")]
     assert "femur_medial" in names and "spine_axis" not in names and "hip_side_margins" not in names
-    assert registry.describe(spark).count() == 16
+    assert registry.describe(spark).count() == 18
 
 
 def test_duplicates_are_marked_once(spark):
@@ -259,3 +259,35 @@ def test_column_of_a_leaning_bar(spark):
     assert got[2].empty_column == 1 and got[2].col_tilt_deg is None
     assert abs(got[1].col_tilt_deg - math.degrees(math.atan(0.2))) < 0.3 and got[1].col_kink_deg < 0.5 and got[1].col_height_frac == 0.89
     assert {r.frame_id: r.curvature for r in P.curvature(bone).collect()}[2] == 0
+
+
+def test_islands_and_inclusions(spark):
+    """A body with a touching-distance part, a far part and a crumb; a bright bead inside and a wire outside."""
+    from osseo.operators import artifacts as A
+
+    z = np.full((64, 64), 0.5)
+    m = np.zeros((64, 64), bool)
+    m[10:50, 10:30] = True
+    m[10:20, 33:45] = True  # near, an eighth of the area
+    m[55:63, 45:60] = True  # far
+    m[30, 33] = True  # near, too small
+    z[20:23, 15:18] = 1.0
+    z[50:54, 62] = z[2, 20:40] = 0.9
+    y, x = np.mgrid[:64, :64]
+    masked = spark.createDataFrame([(0, int(a), int(b), float(c), bool(d)) for a, b, c, d in zip(y.ravel(), x.ravel(), z.ravel(), m.ravel())], "frame_id long, y int, x int, z double, m boolean")
+    kept = A.main_body(masked).where("m").agg(F.count("*").alias("n"), F.max("x").alias("x"), F.max("y").alias("y")).first()
+    assert (kept.n, kept.x, kept.y) == (40 * 20 + 10 * 12, 44, 49)
+    got = A.inside(masked).first()
+    assert (got.in_empty, got.in_hot_n) == (0, 1) and got.in_hot_max_frac == pytest.approx(9 / m.sum()) and got.in_sat_frac == pytest.approx(9 / m.sum())
+    got = A.outside(masked).first()
+    assert got.thin_n == 1 and got.thin_elong == pytest.approx(42**2 / (4 * np.pi * 20)) and got.thin_area_frac == pytest.approx(20 / 64**2)
+    assert A.inside(masked.withColumn("m", F.lit(False))).first().in_empty == 1
+
+
+def test_checks_follow_the_report(spark):
+    from osseo.operators import studies as S
+
+    rows = [("Наклон оси позвоночника", False, "head"), ("", True, "head"), (None, True, "rule")]
+    df = spark.createDataFrame([(v, [("spine_axis", kind, 1.0, 2.0, fired)]) for v, fired, kind in rows], "violation_type string, checks array<struct<task string, kind string, value double, threshold double, fired boolean>>")
+    got = [r.checks[0] for r in S.agree(df).collect()]
+    assert [c.fired for c in got] == [True, False, True] and [c.note for c in got] == [S.CHOSEN_BELOW, S.DROPPED_ABOVE, None]
