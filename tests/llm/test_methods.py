@@ -1,13 +1,14 @@
 """The methods themselves: small pieces against brute force, and held-out accuracy on the smallest tables."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from osseo.llm import bpe, decontaminate, language, licenses, pii, quality, repeats, rows as rows_module, simhash, topk, toxicity
+from osseo.llm import bpe, decontaminate, language, licenses, pii, quality, repeats, rows as rows_module, similar, simhash, topk, toxicity
 from osseo.llm.language import op1_language_id
 from tests.llm import brute
 from tests.llm.conftest import odd_texts, prose
@@ -408,3 +409,28 @@ def test_hot_keys_join_whole(spark):
     assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == 60_000
     sample = rows_module.bounded_sample(spark.range(10_000).withColumnRenamed("id", "doc_id"), "doc_id", 1_000).count()
     assert 850 < sample < 1150
+
+
+def test_tile_candidates_hold_all_similar_pairs():
+    """No pair of similarity 0.8 is missing, unlike sets with a common passage give few pairs, and a forest connects what all pairs do."""
+    r = random.Random(5)
+    texts = [edited(prose(100 + k, 150), r, n) for k in range(20) for n in range(6)] + [f"{prose(900, 30)} {prose(700 + k, 25)}" for k in range(60)] + ["a b c d e f", "a b c d e f g", "a b c d e"]
+    sets = similar.shingle_sets(texts)
+    fold = [similar.folded(similar.parities(s)) for s in sets]
+    fp = np.array([similar.majority(s) for s in sets], np.uint64).view(np.int64)
+    rows = pd.DataFrame({"fp": fp, "sk": np.arange(len(sets)), "n": [len(s) for s in sets], "fold": fold, "root": np.arange(len(sets)), "is_left": True, "alone": True})
+    pairs = lambda rows, forest: set(map(tuple, similar.tile_candidates(rows, forest).to_numpy().tolist()))
+    every, forest = pairs(rows, False), pairs(rows, True)
+    alike = {(i, j) for i, j in combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert len(alike) > 50 and alike <= every and len(every) < 1.5 * len(alike) + 20 and forest <= every and len(forest) < len(sets)
+
+    def groups(links):
+        top = list(range(len(sets)))
+        for i, j in links:
+            top = [top[i] if x == top[j] else x for x in top]
+        return {frozenset(k for k in range(len(top)) if top[k] == x) for x in top}
+
+    assert groups(every) == groups(forest)
+    left = rows.sk % 2 == 0
+    assert pairs(rows.assign(is_left=left, alone=False), False) == {(i, j) for i, j in every if (i + j) % 2}
+    assert not pairs(rows.assign(root=0), False)
