@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -195,3 +196,82 @@ def vote_posteriors(votes: list[tuple[int, ...]], rounds: int = 200) -> list[flo
         like = lambda c, v: np.prod([table[c, j, x] for j, x in enumerate(v)])
         p = [share * like(1, v) / (share * like(1, v) + (1 - share) * like(0, v)) for v in votes]
     return p
+
+
+def vector_codes(rows: list[tuple], parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> list[tuple]:
+    """vec_id, code, error, label_error and hash of the codebooks of rows (vec_id, vector, label), by a search of all entries."""
+    kept = [(i, [math.floor(scale * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    length = -(-max((len(v) for _, v, _ in kept), default=0) // parts)
+    kept = sorted(((i, v + [0] * (length * parts - len(v)), label) for i, v, label in kept), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    cut = [[v[p * length : (p + 1) * length] for p in range(parts)] for _, v, _ in kept]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+    far = lambda x, y: sum((a - b) ** 2 for a, b in zip(x, y))
+    nearest = lambda: [[min((far(c[p], e), k) for k, e in enumerate(books[p])) for p in range(parts)] for c in cut]
+    for _ in range(rounds):
+        found = nearest()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                own = [c[p] for c, f in zip(cut, found) if f[p][1] == e]
+                if own:
+                    books[p][e] = [sum(x) // len(own) for x in zip(*own)]
+    found = nearest()
+    errors = [sum(d for d, _ in f) for f in found]
+    by_label: dict = {}
+    for (_, _, label), e in zip(kept, errors):
+        by_label[label] = by_label.get(label, 0) + e
+    digest = sha(",".join(str(x) for b in books for e in b for x in e))
+    return [(i, "".join(f"{k:02x}" for _, k in f), e, by_label[label], digest) for (i, _, label), f, e in zip(kept, found, errors)]
+
+
+def rule_facts(text: str | None) -> tuple:
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows: dict = {}
+    for k in range(len(words) - 2):
+        windows.setdefault(tuple(words[k : k + 3]), []).append(k)
+    repeats = len({k + d for at in windows.values() if len(at) > 1 for k in at for d in range(3)})
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len({*lines}), repeats, len(words) < 50 or 100 * repeats > 50 * len(words)
+
+
+def alignment(documents: list[tuple]) -> list[tuple]:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and hash of the groups, by the libraries on whole texts and sets of offsets."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from osseo.llm.bpe import byte_alphabet
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters = byte_alphabet()
+    of_a = lambda i: bytes(letters[c] for c in a.id_to_token(i))
+    of_b = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    out, total = [], {}
+    for doc_id, text in documents:
+        both = ([], [])
+        if text:
+            both = a.encode(f" {text}", add_special_tokens=False).ids, b.encode(text)
+            if {b"".join(map(of, ids)) for of, ids in zip((of_a, of_b), both)} != {f" {text}".encode()}:
+                both = ([], [])
+        ends = []
+        for of, ids in zip((of_a, of_b), both):
+            at, here = {}, 0
+            for k, i in enumerate(ids):
+                at[here := here + len(of(i))] = k + 1
+            ends.append(at)
+        groups, links, before = [], [], (0, 0)
+        for offset in sorted(ends[0].keys() & ends[1].keys()):
+            after = ends[0][offset], ends[1][offset]
+            parts = [ids[x:y] for ids, x, y in zip(both, before, after)]
+            groups.append("|".join(",".join(map(str, p)) for p in parts))
+            links.append((parts[0][-1], parts[1][-1]))
+            before = after
+        for x in links:
+            total[x] = total.get(x, 0) + 1
+        out.append((doc_id, len(both[0]), len(both[1]), len(groups), links, sha(";".join(groups)) if both[0] else ""))
+    best: dict = {}
+    for (_, y), n in total.items():
+        best[y] = max(best.get(y, 0), n)
+    return [(d, x, y, n, len(links), sum(total[p] == best[p[1]] for p in links), sum(total[p] for p in links), h) for d, x, y, n, links, h in out]
