@@ -13,7 +13,7 @@ class Rules:
     max_spine_tilt_deg: float = 6.3629
     vb_axis_limit_deg: float = 6.3629
     coverage_threshold: float = 0.524754
-    artifact_feature: str = "kp_art_frac_mean"
+    artifact_feature: str | None = "kp_art_frac_mean"
     artifact_threshold: float = 0.0004318
 
     @classmethod

@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 #: What a numeric model input holds when it was not measured.
 ABSENT = -1.0
 
-# Violation codes and the texts that a report must show.
+# Violation codes, and the texts and names of regions that a report must show.
 VIOLATIONS = {
-    "spine_axis": "Наклон оси позвоночника",
-    "spine_artifact": "Посторонние предметы в области исследования",
-    "spine_coverage": "Неполный охват области исследования",
-    "hip_positioning": "Нарушение укладки бедра",
-    "hip_roi": "Неверная область исследования бедра",
+    "spine_coverage": "Некорректная укладка",
+    "spine_axis": "Не выровнена ось позвоночника",
+    "spine_artifact": "Присутствуют посторонние предметы",
+    "hip_positioning": "Некорректная укладка",
+    "hip_rotation": "Некорректная укладка",
+    "hip_roi_coverage": "Некорректная область интереса",
 }
+REGION_NAMES = {"spine": "Поясничный отдел позвоночника", "hip_right": "Проксимальный отдел бедра", "hip_left": "Проксимальный отдел бедра", "unknown": ""}
+NO_REGION = "анатомическая область не определена"
 
 
 def number(c: Column) -> Column:
@@ -41,6 +44,12 @@ def violation_text(codes: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(F.transform(codes, lambda c: F.try_element_at(texts, c)), lambda t: t.isNotNull())), ";")
 
 
+def region_name(region: Column) -> Column:
+    """The name of a region that a report shows; empty for others."""
+    names = F.create_map(*(F.lit(x) for pair in REGION_NAMES.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, region), F.lit(""))
+
+
 def first_existing(features: Column, *names: str) -> Column:
     """The first named entry that the map has (even if not a number), else ABSENT."""
     out = F.lit(ABSENT)

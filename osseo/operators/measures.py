@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from osseo.config import Rules
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FRAME = "frame_id"
@@ -76,10 +77,15 @@ def phase(rows: DataFrame, periods: DataFrame, value: str = "zsum") -> DataFrame
     return c.select(FRAME, F.atan2("im", "re").alias("phase"), F.hypot("re", "im").alias("amplitude"))
 
 
-def legacy_score(tilt: Column, artifact: Column, coverage: Column, limits: tuple[float, float, float]) -> Column:
-    """The largest of value / (2 * limit), each limited to [0, 1]."""
+# Fixed value: the share of the spine's quality head in its score.
+SPINE_HEAD_SHARE = 0.3
+
+
+def legacy_score(tilt: Column, artifact: Column, coverage: Column, rules: Rules, head: Column | None = None) -> Column:
+    """The largest of the coverage as it is and of tilt and artifacts over twice their limits (limited to [0, 1]); with a head, 0.3 of it."""
     part = lambda v, limit: F.least(F.greatest(F.coalesce(v, F.lit(0.0)) / (2 * limit), F.lit(0.0)), F.lit(1.0))
-    return F.greatest(*(part(v, limit) for v, limit in zip((tilt, artifact, coverage), limits, strict=True)))
+    base = F.greatest(coverage, part(artifact, rules.artifact_threshold), part(tilt, rules.max_spine_tilt_deg))
+    return base if head is None else (1 - SPINE_HEAD_SHARE) * base + SPINE_HEAD_SHARE * head
 
 
 def region_guess(shape: DataFrame) -> DataFrame:

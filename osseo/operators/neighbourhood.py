@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,9 +84,13 @@ def shifted(image: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
 
 
 def ellipse(size: int) -> list[tuple[int, int]]:
-    """Offsets of an elliptic structuring element."""
+    """Offsets of an elliptic structuring element: in the row dy, as far as sqrt(r * r - dy * dy) rounds to on both sides.
+
+    An element of even size lacks the last row and column: its middle is the place size / 2.
+    """
     r = size // 2
-    return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= (r + 0.5) ** 2 - 0.25]
+    last = size - 1 - r
+    return [(dy, dx) for dy in range(-r, last + 1) for half in [round(math.sqrt(r * r - dy * dy))] for dx in range(-half, min(half, last) + 1)]
 
 
 def dilated(image: np.ndarray, element: list[tuple[int, int]]) -> np.ndarray:
@@ -118,12 +124,12 @@ def distance(mask: np.ndarray) -> np.ndarray:
 
 
 def bone_mask(normal: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """frame_id, y, x, z, m: the top class after closing, hole filling and opening; thresholds has t2, the last bin of 256 below it."""
+    """frame_id, y, x, z, m: the top class after closing, hole filling and opening; thresholds has t2, the last of 256 steps below it."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _image(pdf.assign(top=np.minimum(np.floor(pdf.z * 256), 255) > pdf.t2), "top", bool)
-        tall = [(dy, dx) for dy in range(-10, 11) for dx in range(-1, 2)]
-        m = eroded(dilated(m, tall), tall)
+        m = _image(pdf.assign(top=np.floor(pdf.z * 255) > pdf.t2), "top", bool)
+        wide = [(dy, dx) for dy in range(-1, 2) for dx in range(-10, 11)]  # the gap between the walls of a shaft is horizontal
+        m = eroded(dilated(m, wide), wide)
         m = filled(eroded(dilated(m, ellipse(9)), ellipse(9)))
         m = dilated(eroded(m, ellipse(3)), ellipse(3))
         return pdf[[FRAME, "y", "x", "z"]].assign(m=m[pdf.y, pdf.x])
@@ -131,6 +137,17 @@ def bone_mask(normal: DataFrame, thresholds: DataFrame) -> DataFrame:
     return normal.select(FRAME, "y", "x", "z").join(thresholds.select(FRAME, "t2"), FRAME).groupBy(FRAME).applyInPandas(one, "frame_id long, y int, x int, z double, m boolean")
 
 
+def soft_bone(normal: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """frame_id, y, x, z, m: the two upper classes after opening with an ellipse of 5; thresholds has t1."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _image(pdf.assign(some=np.floor(pdf.z * 255) > pdf.t1), "some", bool)
+        m = dilated(eroded(m, ellipse(5)), ellipse(5))
+        return pdf[[FRAME, "y", "x", "z"]].assign(m=m[pdf.y, pdf.x])
+
+    return normal.select(FRAME, "y", "x", "z").join(thresholds.select(FRAME, "t1"), FRAME).groupBy(FRAME).applyInPandas(one, "frame_id long, y int, x int, z double, m boolean")
+
+
 def widest(masked: DataFrame) -> DataFrame:
     """frame_id, radius, y, x of the mask pixel farthest from the background (first in scan order)."""
 

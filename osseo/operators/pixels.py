@@ -56,7 +56,7 @@ def multi_otsu(pixels: DataFrame, bins: int = 256) -> DataFrame:
     With two occupied bins both are the two-class threshold, the lower bin; a constant frame has its one bin (nothing above it).
     The search runs over the histogram, bins * bins / 2 pairs a frame, not over pixels.
     """
-    counts = normalise(pixels).groupBy(FRAME, F.least(F.floor(F.col("z") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counts = normalise(pixels).groupBy(FRAME, F.floor(F.col("z") * (bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(FRAME).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cumulated = counts.select(FRAME, "bin", F.sum("n").over(w).cast("double").alias("cn"), F.sum(F.col("n") * F.col("bin")).over(w).cast("double").alias("cs"))
     whole = cumulated.groupBy(FRAME).agg(F.max("cn").alias("tn"), F.max("cs").alias("ts"), F.max("bin").alias("last"), F.min("bin").alias("first"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from osseo.config import Rules
-from osseo.functions.columns import share_below, violation_text
+from osseo.functions.columns import NO_REGION, region_name, share_below, violation_text
+from osseo.operators import measures as Q
+from osseo.operators.models import Head, fires, probability, with_probabilities
 
 KEY = ["study", "region"]
 # Features whose worst case is the smallest or the largest value.
@@ -51,32 +53,64 @@ def spine_tilt(*candidates: Column) -> Column:
     return F.coalesce(*(F.when((c >= 0) & ~F.isnan(c) & (c < float("inf")), c) for c in candidates), F.lit(-1.0))
 
 
-def violations(regions: DataFrame, rules: Rules) -> DataFrame:
+# The heads whose firing is a violation, in the order of a report.
+SPINE_HEADS = {"spine_coverage": "spine_coverage"}
+HIP_HEADS = {"hip_positioning": "hip_positioning", "hip_roi_coverage": "hip_roi"}
+
+
+def violations(regions: DataFrame, rules: Rules, heads: dict[str, Head] | None = None) -> DataFrame:
     """Adds tilt, tilt_limit, the two spine rules and the list of violation codes; the rules fire strictly above their limits.
 
     The tilt is that of the vertebral bodies, else of the bright column, else of the mask; only the first has a limit of its own.
+    Without an artifact feature in the rules the head spine_artifact decides. With ``heads``, rows need their probabilities.
     """
     spine = F.col("region") == "spine"
     vb = spine_tilt(F.col("vb_axis_deg_mean"))
     tilt = spine_tilt(F.col("vb_axis_deg_mean"), F.col("col_tilt_deg_mean"), F.col("axis_deg_max"))
     limit = F.when(vb >= 0, rules.vb_axis_limit_deg).otherwise(rules.max_spine_tilt_deg)
     axis = F.coalesce(spine & (tilt > limit), F.lit(False))
-    art = F.coalesce(spine & ~F.isnan("kp_art_frac_mean") & (F.col("kp_art_frac_mean") > rules.artifact_threshold), F.lit(False))
-    codes = F.filter(F.array(F.when(axis, "spine_axis"), F.when(art, "spine_artifact")), lambda c: c.isNotNull())
+    measured = ~F.isnan("kp_art_frac_mean") & (F.col("kp_art_frac_mean") > rules.artifact_threshold)
+    art = F.coalesce(spine & (measured if rules.artifact_feature else fires(heads, "spine_artifact")), F.lit(False))
+    by_heads = [F.when(where & fires(heads, h), code) for where, table in ((spine, SPINE_HEADS), (~spine, HIP_HEADS)) for code, h in table.items()] if heads else []
+    codes = F.filter(F.array(F.when(axis, "spine_axis"), F.when(art, "spine_artifact"), *by_heads), lambda c: c.isNotNull())
     return regions.withColumn("tilt", F.when(spine, tilt).otherwise(-1.0)).withColumn("tilt_limit", limit).withColumn("fires_axis", axis).withColumn("fires_artifact", art).withColumn("codes", codes)
 
 
-def quality_score(regions: DataFrame, references: DataFrame, rules: Rules, head: Column) -> DataFrame:
+def quality_score(regions: DataFrame, references: DataFrame, rules: Rules, coverage: Column, spine_head: Column, hip_head: Column) -> DataFrame:
     """Adds score: for spines 0.7 of the rank of the worst ratio to its limit and 0.3 of the head's rank, for hips the head's rank.
 
-    The ratios are those of tilt, artifacts (absent: 0) and coverage (absent: 0.5). ``references`` is one row with the sorted
-    arrays spine_agg, spine_head, hip_head (a few hundred values each).
+    The ratios are those of tilt, artifacts (absent: 0) and the probability of poor coverage. ``references`` is one row with the
+    sorted arrays spine_agg, spine_head, hip_head (a few hundred values each).
     """
-    known = lambda c, other: F.when(F.col(c) >= 0, F.col(c)).otherwise(F.lit(other))
-    worst = F.greatest(F.greatest(F.col("tilt"), F.lit(0.0)) / rules.max_spine_tilt_deg, known("kp_art_frac_mean", 0.0) / rules.artifact_threshold, known("coverage_mean", 0.5) / rules.coverage_threshold)
+    artifacts = F.when(F.col("kp_art_frac_mean") >= 0, F.col("kp_art_frac_mean")).otherwise(0.0)
+    worst = F.greatest(F.greatest(F.col("tilt"), F.lit(0.0)) / rules.max_spine_tilt_deg, artifacts / rules.artifact_threshold, coverage / rules.coverage_threshold)
     both = regions.crossJoin(F.broadcast(references))  # one row: a constant, not a product
-    spine = 0.7 * share_below(worst, F.col("spine_agg")) + 0.3 * share_below(head, F.col("spine_head"))
-    return both.withColumn("score", F.when(F.col("region") == "spine", spine).otherwise(share_below(head, F.col("hip_head")))).drop("spine_agg", "spine_head", "hip_head")
+    spine = (1 - Q.SPINE_HEAD_SHARE) * share_below(worst, F.col("spine_agg")) + Q.SPINE_HEAD_SHARE * share_below(spine_head, F.col("spine_head"))
+    return both.withColumn("score", F.when(F.col("region") == "spine", spine).otherwise(share_below(hip_head, F.col("hip_head")))).drop("spine_agg", "spine_head", "hip_head")
+
+
+def decide(regions: DataFrame, rules: Rules, heads: dict[str, Head] | None, references: DataFrame | None = None) -> DataFrame:
+    """Adds quality_class, codes, violation_text, details, score and the probabilities ``heads`` to each region of a study.
+
+    A spine is poor with any violation, a hip if its own head says so; a hip's types then follow its class. A head that is missing
+    does not fire; in a spine's score it counts 0.5 (a hip's 0). Without references the older scale scores spines, and the
+    head's probability hips. Without any model (None) all are good, without text, with score 0.
+    """
+    rated = violations(with_probabilities(regions, heads), rules, heads)
+    spine = F.col("region") == "spine"
+    hip = [(code, probability(h) / max(heads[h].threshold, 1e-6) if heads and h in heads else F.lit(-1.0)) for code, h in HIP_HEADS.items()]
+    quality = F.when(spine, (F.size("codes") > 0).cast("int")).otherwise(fires(heads, "hip_quality").cast("int"))
+    out = rated.withColumn("quality_class", quality)
+    out = out.withColumn("codes", F.when(spine, F.col("codes")).otherwise(reconcile(F.col("quality_class"), F.col("codes"), *hip)))
+    coverage, spine_head, hip_head = probability("spine_coverage", 0.5), probability("spine_quality", 0.5), probability("hip_quality")
+    if references is None:
+        older = Q.legacy_score(F.col("tilt"), F.col("kp_art_frac_mean"), coverage, rules, spine_head if heads and "spine_quality" in heads else None)
+        out = out.withColumn("score", F.when(spine, older).otherwise(hip_head))
+    else:
+        out = quality_score(out, references, rules, coverage, spine_head, hip_head)
+    if heads is None:
+        out = out.withColumns({"quality_class": F.lit(0), "codes": F.array().cast("array<string>"), "score": F.lit(0.0)})
+    return details(out.withColumn("violation_text", violation_text(F.col("codes"))), rules)
 
 
 def reconcile(quality: Column, types: Column, first: tuple[str, Column], second: tuple[str, Column]) -> Column:
@@ -85,14 +119,25 @@ def reconcile(quality: Column, types: Column, first: tuple[str, Column], second:
     return F.when(quality == 0, F.array().cast("array<string>")).when(F.size(types) > 0, types).otherwise(F.array(best))
 
 
+# The columns of a report, in order.
+REPORT = ["path_to_study", "study_uid", "image_uid", "anatomical_region", "quality_class", "violation_type", "processing_status", "time_of_processing", "quality_prob", "details"]
+
+
 def report(frames: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The verdict of its study and region on every frame; frames that failed have none."""
-    v = verdicts.select(*KEY, F.when(F.size("codes") > 0, 1).otherwise(0).alias("_q"), violation_text(F.col("codes")).alias("_text"), F.col("score").alias("_score"))
-    failed = F.col("region") == "error"
-    return frames.join(v, KEY, "left").select(
-        "event_id", F.col("study").alias("study_uid"), F.when(failed, "").otherwise(F.col("region")).alias("anatomical_region"), F.when(~failed, F.coalesce("_q", F.lit(0))).alias("quality_class"),
-        F.when(failed, "").otherwise(F.coalesce("_text", F.lit(""))).alias("violation_type"), F.when(failed, "Failure").otherwise("Success").alias("processing_status"), F.when(failed, 0.0).otherwise(F.coalesce("_score", F.lit(0.0))).alias("quality_prob"),
+    """REPORT: the verdict of its study and region on every frame.
+
+    ``frames`` has path_to_study, image_uid, study, region (null, unknown or error: failed), seconds and reason; a failed frame has no
+    class, type or score, and its reason as details. ``verdicts`` is what ``decide`` gives.
+    """
+    v = verdicts.select(*KEY, F.col("quality_class").alias("_q"), F.col("violation_text").alias("_text"), F.col("score").alias("_score"), F.col("details").alias("_details"))
+    failed = F.col("region").isNull() | F.col("region").isin("unknown", "error")
+    told = lambda value, none: F.when(failed, F.lit(none)).otherwise(F.coalesce(value, F.lit(none)))
+    out = frames.join(v, KEY, "left").select(
+        "path_to_study", F.col("study").cast("string").alias("study_uid"), "image_uid", F.when(failed, "").otherwise(region_name(F.col("region"))).alias("anatomical_region"), F.when(~failed, F.coalesce("_q", F.lit(0))).alias("quality_class"),
+        told(F.col("_text"), "").alias("violation_type"), F.when(failed, "Failure").otherwise("Success").alias("processing_status"), F.round("seconds", 3).alias("time_of_processing"),
+        F.round(told(F.col("_score"), 0.0), 5).alias("quality_prob"), F.when(failed, F.coalesce("reason", F.lit(NO_REGION))).otherwise(F.coalesce("_details", F.lit(""))).alias("details"),
     )
+    return out.select(REPORT)
 
 
 # The criterion that texts name, limits of the hints, and the names of levels from the top.
@@ -130,14 +175,31 @@ def details(regions: DataFrame, rules: Rules) -> DataFrame:
     return regions.withColumn("details", F.when(F.col("region") == "spine", F.concat_ws("; ", *spine)).otherwise(F.concat_ws("; ", *hip)))
 
 
-def checks(regions: DataFrame, rules: Rules) -> DataFrame:
-    """Adds the array of rule checks: task, value, threshold, fired."""
-    one = lambda task, value, limit: F.struct(F.lit(task).alias("task"), F.lit("rule").alias("kind"), value.alias("value"), limit.alias("threshold"), (value > limit).alias("fired"))
-    return regions.withColumn("checks", F.array(one("spine_axis", F.col("tilt"), F.col("tilt_limit")), one("spine_artifact", F.col("kp_art_frac_mean"), F.lit(rules.artifact_threshold))))
+# The tasks that a report's checks name, by rule or head.
+TASKS = {"spine_axis": "ось позвоночника", "spine_artifact": "посторонние предметы", "spine_coverage": "укладка позвоночника", "hip_positioning": "укладка бедра", "hip_roi": "область интереса бедра"}
+
+
+def checks(regions: DataFrame, rules: Rules, heads: dict[str, Head] | None = None) -> DataFrame:
+    """Adds the array of checks: task, kind (rule or head), value, threshold, fired. Rules fire above their limits, heads from them on.
+
+    Spines have the two rules and the coverage head, hips two heads; a missing head has no check. Rows have tilt, and with
+    ``heads`` their probabilities.
+    """
+    spine, digits = F.col("region") == "spine", {"spine_axis": 2, "spine_artifact": 5, "spine_coverage": 3, "hip_positioning": 3, "hip_roi": 3}
+    one = lambda where, task, kind, value, limit, fired: F.when(where, F.struct(F.lit(TASKS[task]).alias("task"), F.lit(kind).alias("kind"), F.round(value, digits[task]).alias("value"), F.lit(limit).alias("threshold"), fired.alias("fired")))
+    rule = lambda task, value, limit: one(spine, task, "rule", value, limit, F.coalesce(value > limit, F.lit(False)))
+    found = [rule("spine_axis", F.col("tilt"), rules.vb_axis_limit_deg)]
+    if rules.artifact_feature:
+        found.append(rule("spine_artifact", F.col("kp_art_frac_mean"), rules.artifact_threshold))
+    for where, names in ((spine, SPINE_HEADS), (~spine, HIP_HEADS)):
+        for h in names.values():
+            if heads and h in heads:
+                found.append(one(where, h, "head", probability(h), heads[h].threshold, fires(heads, h)))
+    return regions.withColumn("checks", F.filter(F.array(*found), lambda c: c.isNotNull()))
 
 
 # The violation of each head's task, and the notes of checks that the report overrules.
-TASK_VIOLATION = {"spine_artifact": "Посторонние предметы в области исследования", "spine_axis": "Наклон оси позвоночника"}
+TASK_VIOLATION = {"укладка позвоночника": "Некорректная укладка", "укладка бедра": "Некорректная укладка", "область интереса бедра": "Некорректная область интереса"}
 CHOSEN_BELOW = "тип выбран по общей модели годности бедра: ближе всех к своему порогу"
 DROPPED_ABOVE = "выше порога, но общая модель годности бедра считает снимок годным"
 
@@ -158,4 +220,5 @@ def agree(regions: DataFrame, names: dict[str, str] = TASK_VIOLATION) -> DataFra
 
 
 def run_summary(report_rows: DataFrame) -> DataFrame:
-    return report_rows.groupBy("processing_status", "anatomical_region").agg(F.count("*").alias("n"), F.count_if(F.col("quality_class") == 1).alias("violations"), F.avg("quality_prob").alias("mean_prob"))
+    """Rows, violations, mean time and mean score by status and region, most rows first when ordered by n."""
+    return report_rows.groupBy("processing_status", "anatomical_region").agg(F.count("*").alias("n"), F.count_if(F.col("quality_class") == 1).alias("violations"), F.avg("time_of_processing").alias("mean_time"), F.avg("quality_prob").alias("mean_prob"))

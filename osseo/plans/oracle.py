@@ -32,7 +32,7 @@ ac AS (SELECT lg.frame_id, lg.k, round(sum(a.p * b.p) / (any_value(t.e) + 1e-9),
   JOIN (SELECT frame_id, sum(p * p) AS e FROM pf GROUP BY 1) t ON t.frame_id = lg.frame_id GROUP BY 1, 2),
 pd AS (SELECT frame_id, arg_min(k, struct_pack(r := -r, k := k)) AS period, max(r) AS strength FROM ac GROUP BY 1)"""
 MEAS = """ms AS (SELECT event_id, user_id AS study, CASE WHEN event_type IN ('view', 'signup') THEN 'spine' WHEN event_type = 'click' THEN 'hip_right' WHEN event_type = 'purchase' THEN 'hip_left' ELSE 'error' END AS region,
-  value AS axis_deg, k / 100000 AS kp_art_frac, CASE user_id % 3 WHEN 0 THEN value * 0.75::DOUBLE ELSE -1 END AS vb, CASE user_id % 3 WHEN 1 THEN value * 0.875::DOUBLE ELSE -1 END AS col, CASE WHEN event_id % 5 > 0 THEN k / 100 ELSE 0.25::DOUBLE END AS coverage
+  k AS kk, value AS axis_deg, k / 100000 AS kp_art_frac, CASE user_id % 3 WHEN 0 THEN value * 0.75::DOUBLE ELSE -1 END AS vb, CASE user_id % 3 WHEN 1 THEN value * 0.875::DOUBLE ELSE -1 END AS col, CASE WHEN event_id % 5 > 0 THEN k / 100 ELSE 0.25::DOUBLE END AS coverage
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)),
 rg AS (SELECT study, region, count(*) AS n_frames, avg(axis_deg) AS axis_deg_mean, max(axis_deg) AS axis_deg_max, avg(kp_art_frac) AS kp_art_frac_mean, avg(vb) AS vb_axis_deg_mean, avg(col) AS col_tilt_deg_mean, avg(coverage) AS coverage_mean
   FROM ms WHERE region <> 'error' GROUP BY 1, 2)"""
@@ -42,12 +42,23 @@ VERDICT = (
 vd AS (SELECT *, CASE WHEN region <> 'spine' THEN -1.0 WHEN vb_axis_deg_mean >= 0 THEN vb_axis_deg_mean WHEN col_tilt_deg_mean >= 0 THEN col_tilt_deg_mean WHEN axis_deg_max >= 0 THEN axis_deg_max ELSE -1.0 END AS tilt,
   CASE WHEN vb_axis_deg_mean >= 0 THEN {RULES.vb_axis_limit_deg}::DOUBLE ELSE {RULES.max_spine_tilt_deg}::DOUBLE END AS lim FROM rg),
 vr AS (SELECT *, region = 'spine' AND tilt > lim AS fires_axis, region = 'spine' AND kp_art_frac_mean > {RULES.artifact_threshold}::DOUBLE AS fires_artifact FROM vd),
-vt AS (SELECT *, concat_ws(';', CASE WHEN fires_axis THEN 'Наклон оси позвоночника' END, CASE WHEN fires_artifact THEN 'Посторонние предметы в области исследования' END) AS violation_type FROM vr),
-sc AS (SELECT *, CASE WHEN region = 'spine' THEN 0.7 * (SELECT count(*) FROM range(1, 100) t(i) WHERE i * (2.0::DOUBLE / 99) < greatest(greatest(tilt, 0) / {RULES.max_spine_tilt_deg}::DOUBLE, kp_art_frac_mean / {RULES.artifact_threshold}::DOUBLE, coverage_mean / {RULES.coverage_threshold}::DOUBLE)) / 99
-    + 0.3 * (SELECT count(*) FROM range(1, 100) t(i) WHERE i * (1.0::DOUBLE / 99) < (n_frames % 10 / 10.0)) / 99
-  ELSE (SELECT count(*) FROM range(1, 151) t(i) WHERE i * (1.0::DOUBLE / 150) < (n_frames % 10 / 10.0)) / 150.0 END AS score FROM vt),
-rp AS (SELECT event_id, ms.study AS study_uid, CASE WHEN region = 'error' THEN '' ELSE region END AS anatomical_region, CASE WHEN region <> 'error' THEN CAST(sc.violation_type <> '' AS INTEGER) END AS quality_class,
-  CASE WHEN region = 'error' THEN '' ELSE sc.violation_type END AS violation_type, CASE WHEN region = 'error' THEN 'Failure' ELSE 'Success' END AS processing_status, CASE WHEN region = 'error' THEN 0.0 ELSE sc.score END AS quality_prob
+pb AS (SELECT *, 1 / (1 + exp(-(8.0::DOUBLE * coverage_mean - 4.5::DOUBLE))) AS p_cov, 1 / (1 + exp(-(0.05::DOUBLE * axis_deg_max + 1000.0::DOUBLE * kp_art_frac_mean - 3.5::DOUBLE))) AS p_sq, 1 / (1 + exp(-(0.02::DOUBLE * axis_deg_mean + 2000.0::DOUBLE * kp_art_frac_mean - 2.0::DOUBLE))) AS p_hq,
+  1 / (1 + exp(-(0.05::DOUBLE * abs(axis_deg_mean - 50) - 0.5::DOUBLE))) AS p_pos, 1 / (1 + exp(-(1000.0::DOUBLE * kp_art_frac_mean + 1.0::DOUBLE - 0.25::DOUBLE + 0.5::DOUBLE))) AS p_roi FROM vr),
+cd AS (SELECT *, CASE WHEN region = 'spine' THEN list_filter([CASE WHEN fires_axis THEN 'spine_axis' END, CASE WHEN fires_artifact THEN 'spine_artifact' END, CASE WHEN p_cov >= 0.5 THEN 'spine_coverage' END], lambda c: c IS NOT NULL)
+  ELSE list_filter([CASE WHEN p_pos >= 0.55::DOUBLE THEN 'hip_positioning' END, CASE WHEN p_roi >= 0.45::DOUBLE THEN 'hip_roi_coverage' END], lambda c: c IS NOT NULL) END AS found FROM pb),
+qc AS (SELECT *, CASE WHEN region = 'spine' THEN CAST(len(found) > 0 AS INTEGER) ELSE CAST(p_hq >= 0.5 AS INTEGER) END AS quality_class FROM cd),
+cs0 AS (SELECT *, CASE WHEN region = 'spine' THEN found WHEN quality_class = 0 THEN [] WHEN len(found) > 0 THEN found WHEN p_pos / 0.55::DOUBLE >= p_roi / 0.45::DOUBLE THEN ['hip_positioning'] ELSE ['hip_roi_coverage'] END AS codes FROM qc),
+vt AS (SELECT *, concat_ws(';', CASE WHEN list_contains(codes, 'spine_axis') THEN 'Не выровнена ось позвоночника' END, CASE WHEN list_contains(codes, 'spine_artifact') THEN 'Присутствуют посторонние предметы' END,
+  CASE WHEN list_contains(codes, 'spine_coverage') OR list_contains(codes, 'hip_positioning') THEN 'Некорректная укладка' END, CASE WHEN list_contains(codes, 'hip_roi_coverage') THEN 'Некорректная область интереса' END) AS violation_type,
+  CASE WHEN region <> 'spine' THEN '' ELSE concat_ws('; ', CASE WHEN tilt >= 0 THEN format('наклон оси {{:.1f}}°', round_even(tilt, 1)) || CASE WHEN tilt <= {RULES.max_spine_tilt_deg}::DOUBLE THEN ' (в пределах нормы, критерий 5°)' ELSE ' — превышает норму (критерий 5°)' END END,
+    CASE WHEN kp_art_frac_mean >= {RULES.artifact_threshold}::DOUBLE THEN 'посторонние тонкие структуры вне позвоночника' END) END AS details FROM cs0),
+sc AS (SELECT *, CASE WHEN region = 'spine' THEN 0.7 * (SELECT count(*) FROM range(1, 100) t(i) WHERE i * (2.0::DOUBLE / 99) < greatest(greatest(tilt, 0) / {RULES.max_spine_tilt_deg}::DOUBLE, kp_art_frac_mean / {RULES.artifact_threshold}::DOUBLE, p_cov / {RULES.coverage_threshold}::DOUBLE)) / 99
+    + 0.3 * (SELECT count(*) FROM range(1, 100) t(i) WHERE i * (1.0::DOUBLE / 99) < p_sq) / 99
+  ELSE (SELECT count(*) FROM range(1, 151) t(i) WHERE i * (1.0::DOUBLE / 150) < p_hq) / 150.0 END AS score FROM vt),
+rp AS (SELECT '/data/' || event_id || '.dcm' AS path_to_study, CAST(ms.study AS VARCHAR) AS study_uid, '1.2.' || event_id AS image_uid, CASE WHEN region = 'spine' THEN 'Поясничный отдел позвоночника' WHEN region = 'error' THEN '' ELSE 'Проксимальный отдел бедра' END AS anatomical_region,
+  CASE WHEN region <> 'error' THEN sc.quality_class END AS quality_class, CASE WHEN region = 'error' THEN '' ELSE sc.violation_type END AS violation_type, CASE WHEN region = 'error' THEN 'Failure' ELSE 'Success' END AS processing_status,
+  round(kk / 1000, 3) AS time_of_processing, CASE WHEN region = 'error' THEN 0.0 ELSE round(sc.score, 5) END AS quality_prob,
+  CASE WHEN region <> 'error' THEN sc.details WHEN event_id % 2 = 0 THEN 'ValueError' ELSE 'анатомическая область не определена' END AS details
   FROM ms LEFT JOIN sc USING (study, region))"""
 )
 BONE = (
@@ -96,7 +107,7 @@ def _hat(size: int) -> str:
     r = size // 2
     over = "FROM nb JOIN {of} b ON b.frame_id = nb.frame_id AND b.y = oy AND b.x = ox GROUP BY 1, 2, 3"
     return f"""us AS MATERIALIZED (SELECT frame_id, y, x, floor(z * 255) AS v FROM mk),
-nb AS MATERIALIZED (SELECT frame_id, y, x, y + dy AS oy, x + dx AS ox FROM us, range({-r}, {r + 1}) s(dy), range({-r}, {r + 1}) t(dx) WHERE dy * dy + dx * dx <= {r * r + r}),
+nb AS MATERIALIZED (SELECT frame_id, y, x, y + dy AS oy, x + dx AS ox FROM us, range({-r}, {r + 1}) s(dy), range({-r}, {r + 1}) t(dx) WHERE abs(dx) <= round_even(sqrt({r * r} - dy * dy), 0)),
 er AS MATERIALIZED (SELECT nb.frame_id, nb.y, nb.x, min(b.v) AS v {over.format(of="us")}), di AS MATERIALIZED (SELECT nb.frame_id, nb.y, nb.x, max(b.v) AS v {over.format(of="er")}),
 ht AS MATERIALIZED (SELECT mk.*, us.v - di.v AS hat FROM mk JOIN us USING (frame_id, y, x) JOIN di USING (frame_id, y, x))"""
 
@@ -187,7 +198,7 @@ SELECT frame_id, CAST(coalesce(n, 0) AS DOUBLE) AS thin_n, CAST(coalesce(e, 0) A
     "main_body": _q(
         "RECURSIVE " + MASK + ",\nmp AS (SELECT frame_id, y, x FROM mk WHERE m),\n" + _parts("mp") + """,
 mn AS (SELECT frame_id, root AS main, area AS most FROM ar QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY area DESC, root) = 1), lp AS (SELECT lb.*, id // 4096 AS y, id % 4096 AS x FROM lb),
-nr AS (SELECT DISTINCT frame_id, y + dy AS y, x + dx AS x FROM lp JOIN mn USING (frame_id), range(-7, 8) s(dy), range(-7, 8) t(dx) WHERE root = main AND dy * dy + dx * dx <= 56),
+nr AS (SELECT DISTINCT frame_id, y + dy AS y, x + dx AS x FROM lp JOIN mn USING (frame_id), range(-7, 8) s(dy), range(-7, 8) t(dx) WHERE root = main AND dy > -7 AND dx > -7 AND abs(dx) <= round_even(sqrt(49 - dy * dy), 0)),
 kp AS (SELECT DISTINCT frame_id, root FROM lp JOIN nr USING (frame_id, y, x) JOIN ar USING (frame_id, root) JOIN mn USING (frame_id) WHERE area >= 0.08::DOUBLE * most)""",
         "SELECT frame_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM lp JOIN kp USING (frame_id, root) GROUP BY 1", "cx", "cy",
     ),
@@ -201,10 +212,15 @@ SELECT frame_id, level, count(*) AS n, avg(x) AS cx FROM (SELECT *, max(area) OV
 c AS (SELECT frame_id, m, CAST(unnest(generate_series(1, len(embedding))) - 1 AS INTEGER) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM e),
 a AS (SELECT frame_id, dim, CASE WHEN count(*) FILTER (m) >= 4 THEN avg(x) FILTER (m) ELSE avg(x) END AS v FROM c GROUP BY 1, 2)
 SELECT frame_id, dim, round(v / (sqrt(sum(v * v) OVER (PARTITION BY frame_id)) + 1e-6::DOUBLE), 6) AS value FROM a""",
-    "agreed_checks": f"""WITH {VERDICT}
-SELECT study, 'spine_axis' AS task, fires_axis AS fired, CASE WHEN fires_axis AND NOT tilt > 30 THEN 'тип выбран по общей модели годности бедра: ближе всех к своему порогу'
-  WHEN NOT fires_axis AND tilt > 30 THEN 'выше порога, но общая модель годности бедра считает снимок годным' END AS note FROM vr WHERE region = 'spine'
-UNION ALL SELECT study, 'spine_artifact', kp_art_frac_mean > 30, NULL FROM vr WHERE region = 'spine'""",
+    "agreed_checks": _q(
+        VERDICT,
+        f""", ck AS (SELECT study, region, violation_type, 'ось позвоночника' AS task, 'rule' AS kind, tilt > {RULES.vb_axis_limit_deg}::DOUBLE AS f, NULL AS t FROM sc WHERE region = 'spine'
+UNION ALL SELECT study, region, violation_type, 'посторонние предметы', 'rule', kp_art_frac_mean > {RULES.artifact_threshold}::DOUBLE, NULL FROM sc WHERE region = 'spine' UNION ALL SELECT study, region, violation_type, 'укладка позвоночника', 'head', p_cov >= 0.5, 'Некорректная укладка' FROM sc WHERE region = 'spine'
+UNION ALL SELECT study, region, violation_type, 'укладка бедра', 'head', p_pos >= 0.55::DOUBLE, 'Некорректная укладка' FROM sc WHERE region <> 'spine' UNION ALL SELECT study, region, violation_type, 'область интереса бедра', 'head', p_roi >= 0.45::DOUBLE, 'Некорректная область интереса' FROM sc WHERE region <> 'spine'),
+tl2 AS (SELECT *, t IS NOT NULL AND list_contains(string_split(violation_type, ';'), t) AS told FROM ck)
+SELECT study, region, task, kind, CASE WHEN t IS NULL THEN f ELSE told END AS fired, CASE WHEN told AND NOT f THEN 'тип выбран по общей модели годности бедра: ближе всех к своему порогу'
+  WHEN t IS NOT NULL AND f AND NOT told THEN 'выше порога, но общая модель годности бедра считает снимок годным' END AS note FROM tl2""",
+    ),
     "column_shape": _q(MASK + ",\n" + COLUMNS, "SELECT frame_id, dip AS profile_dip, sym AS lr_symmetry FROM cs", "profile_dip", "lr_symmetry"),
     "rotated_box": _q(
         MASK + ",\nup AS (SELECT frame_id, (max(x) + 1) / 2 AS mx, (max(y) + 1) / 2 AS my, radians(10.0::DOUBLE) AS a FROM mk GROUP BY 1),\ntr AS (" + TURNED.format(of="mk", by="up") + ")",
@@ -218,7 +234,11 @@ SELECT frame_id, sqrt(d2) AS radius, y, x FROM d QUALIFY row_number() OVER (PART
         "radius",
     ),
     "area_resize": _q(PX, "SELECT frame_id, CAST(y // 4 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, avg(v) AS v FROM px GROUP BY 1, 2, 3", "v"),
-    "legacy_score": _q(VERDICT, f"SELECT study, region, greatest(least(greatest(tilt / {2 * RULES.max_spine_tilt_deg}, 0), 1), least(greatest(kp_art_frac_mean / {2 * RULES.artifact_threshold}, 0), 1), least(greatest(coverage_mean / {2 * RULES.coverage_threshold}::DOUBLE, 0), 1)) AS score FROM vr", "score"),
+    "legacy_score": _q(
+        VERDICT,
+        f"""SELECT study, region, CASE WHEN region = 'spine' THEN 0.7 * greatest(p_cov, least(greatest(tilt / {2 * RULES.max_spine_tilt_deg}, 0), 1), least(greatest(kp_art_frac_mean / {2 * RULES.artifact_threshold}, 0), 1)) + 0.3 * p_sq ELSE p_hq END AS score FROM sc""",
+        "score",
+    ),
     "landmark_rules": _q(
         "e AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)) * 200) AS e FROM embeddings)",
         """SELECT vec_id, e[2] * 0.73::DOUBLE AS lmk_above_gt_mm, CAST(e[2] * 0.73::DOUBLE >= 30 AS DOUBLE) AS lmk_above_gt_ok, CASE WHEN vec_id % 3 <> 0 THEN (63 - e[8]) * 0.73::DOUBLE END AS lmk_below_isch_mm,
@@ -250,7 +270,7 @@ SELECT frame_id, avg(CASE WHEN inverted THEN b - v ELSE v END) AS v_mean, bool_o
     ),
     "otsu_threshold": _q(
         NORM,
-        """, hs AS (SELECT frame_id, least(CAST(floor(z * 256) AS INTEGER), 255) AS bin, count(*) AS n FROM nm GROUP BY 1, 2),
+        """, hs AS (SELECT frame_id, CAST(floor(z * 255) AS INTEGER) AS bin, count(*) AS n FROM nm GROUP BY 1, 2),
 cu AS (SELECT frame_id, bin, CAST(sum(n) OVER w AS DOUBLE) AS cn, CAST(sum(n * bin) OVER w AS DOUBLE) AS cs FROM hs WINDOW w AS (PARTITION BY frame_id ORDER BY bin)),
 wh AS (SELECT frame_id, max(cn) AS tn, max(cs) AS ts, max(bin) AS lb FROM cu GROUP BY 1),
 pr AS (SELECT a.frame_id, a.bin AS t1, b.bin AS t2, round(a.cs * a.cs / a.cn + (b.cs - a.cs) * (b.cs - a.cs) / (b.cn - a.cn) + (ts - b.cs) * (ts - b.cs) / (tn - b.cn), 6) AS s
@@ -419,25 +439,24 @@ FROM rg a LEFT JOIN rg b ON a.study = b.study AND b.region = CASE a.region WHEN
     "verdict_axis": _q(VERDICT, "SELECT study, region, tilt, fires_axis FROM vr", "tilt"),
     "verdict_artifact": _q(VERDICT, "SELECT study, region, kp_art_frac_mean AS art, fires_artifact FROM vr", "art", digits=9),
     "quality_score": _q(VERDICT, "SELECT study, region, score FROM sc", "score"),
-    "hip_reconcile": _q(
-        MEAS,
-        """, h AS (SELECT *, axis_deg_mean / 100 AS a, kp_art_frac_mean / 0.0005::DOUBLE AS b FROM rg WHERE region LIKE 'hip%')
-SELECT study, region, CASE WHEN n_frames % 2 = 0 THEN '' WHEN a > 0.6 OR b > 1.05 THEN concat_ws(';', CASE WHEN a > 0.6 THEN 'hip_positioning' END, CASE WHEN b > 1.05 THEN 'hip_roi' END) WHEN a >= b THEN 'hip_positioning' ELSE 'hip_roi' END AS types FROM h""",
-    ),
-    "violation_text": _q(VERDICT, "SELECT study, region, violation_type FROM vt"),
-    "report_rows": _q(VERDICT, "SELECT * FROM rp", "quality_prob"),
-    "report_details": _q(
+    "head_decisions": _q(VERDICT, "SELECT study, region, p_cov AS spine_coverage, p_sq AS spine_quality, p_hq AS hip_quality, p_pos AS hip_positioning, p_roi AS hip_roi, 0.0::DOUBLE AS no_head, p_cov >= 0.5 AS covers, false AS fires_no_head FROM pb", "spine_coverage", "spine_quality", "hip_quality", "hip_positioning", "hip_roi"),
+    "hip_reconcile": _q(VERDICT, "SELECT study, region, quality_class, array_to_string(codes, ';') AS types FROM cs0 WHERE region <> 'spine'"),
+    "violation_text": _q(
         VERDICT,
-        f"""SELECT study, region, CASE WHEN region <> 'spine' THEN '' ELSE concat_ws('; ', CASE WHEN tilt >= 0 THEN format('наклон оси {{:.1f}}°', round_even(tilt, 1)) || CASE WHEN tilt <= {RULES.max_spine_tilt_deg}::DOUBLE THEN ' (в пределах нормы, критерий 5°)' ELSE ' — превышает норму (критерий 5°)' END END,
- CASE WHEN kp_art_frac_mean >= {RULES.artifact_threshold}::DOUBLE THEN 'посторонние тонкие структуры вне позвоночника' END) END AS details FROM vr""",
+        """SELECT study, region, CASE WHEN n_frames % 2 = 1 OR violation_type LIKE '%Некорректная укладка%' THEN violation_type WHEN violation_type = '' THEN 'Некорректная укладка' ELSE violation_type || ';Некорректная укладка' END AS violation_type FROM vt""",
     ),
+    "report_rows": _q(VERDICT, "SELECT * FROM rp", "time_of_processing", "quality_prob"),
+    "report_details": _q(VERDICT, "SELECT study, region, details FROM vt"),
     "rule_checks": _q(
         VERDICT,
-        f"""SELECT study, 'spine_axis' AS task, lim AS threshold, tilt > lim AS fired, tilt AS value FROM vr WHERE region = 'spine'
-UNION ALL SELECT study, 'spine_artifact', {RULES.artifact_threshold}::DOUBLE, kp_art_frac_mean > {RULES.artifact_threshold}, kp_art_frac_mean FROM vr WHERE region = 'spine'""",
+        f"""SELECT study, region, 'ось позвоночника' AS task, 'rule' AS kind, round(tilt, 2) AS value, {RULES.vb_axis_limit_deg}::DOUBLE AS threshold, tilt > {RULES.vb_axis_limit_deg}::DOUBLE AS fired FROM sc WHERE region = 'spine'
+UNION ALL SELECT study, region, 'посторонние предметы', 'rule', round(kp_art_frac_mean, 5), {RULES.artifact_threshold}::DOUBLE, kp_art_frac_mean > {RULES.artifact_threshold}::DOUBLE FROM sc WHERE region = 'spine'
+UNION ALL SELECT study, region, 'укладка позвоночника', 'head', round(p_cov, 3), 0.5, p_cov >= 0.5 FROM sc WHERE region = 'spine'
+UNION ALL SELECT study, region, 'укладка бедра', 'head', round(p_pos, 3), 0.55, p_pos >= 0.55::DOUBLE FROM sc WHERE region <> 'spine'
+UNION ALL SELECT study, region, 'область интереса бедра', 'head', round(p_roi, 3), 0.45, p_roi >= 0.45::DOUBLE FROM sc WHERE region <> 'spine'""",
         "threshold", "value",
     ),
-    "run_summary": _q(VERDICT, "SELECT processing_status, anatomical_region, count(*) AS n, count(*) FILTER (quality_class = 1) AS violations, avg(quality_prob) AS mean_prob FROM rp GROUP BY 1, 2", "mean_prob"),
+    "run_summary": _q(VERDICT, "SELECT processing_status, anatomical_region, count(*) AS n, count(*) FILTER (quality_class = 1) AS violations, avg(time_of_processing) AS mean_time, avg(quality_prob) AS mean_prob FROM rp GROUP BY 1, 2", "mean_time", "mean_prob"),
     "feature_resolution": _q(MEAS, "SELECT event_id, axis_deg AS plain, kp_art_frac AS stripped, abs(axis_deg - 50) AS deviation, -1.0::DOUBLE AS absent FROM ms", "plain", "stripped", "deviation"),
     "manifest_dedup": _q(DUP, "SELECT rel_path, study_dir, pixel_md5, dense_rank() OVER (ORDER BY pixel_md5) - 1 AS dup_group, count(*) OVER (PARTITION BY pixel_md5) AS dup_count, rel_path = min(rel_path) OVER (PARTITION BY pixel_md5) AS is_canonical FROM mf"),
     "manifest_summary": _q(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from osseo.config import Rules
 from osseo.functions.columns import resolved, saved, violation_text
 from osseo.operators import artifacts as A, evaluation as E, hips as H, manifests as M, measures as Q, neighbourhood as N, pixels as P, studies as S
+from osseo.operators.models import Head, fires, probability, with_probabilities
 from osseo.plans.registry import features_long
 from osseo.sources import surrogates as V
 
@@ -103,10 +104,27 @@ def pair_asymmetry(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_regions(spark, sf).select("study", "region", "axis_deg_mean", "has_pair", "axis_deg_mean_diff", "axis_deg_mean_asym"))
 
 
+# linear heads over the surrogate measurements
+SHOWN_HEADS = {
+    h.name: h
+    for h in (
+        Head("spine_coverage", ("coverage",), 0.5, (8.0,), -4.5),
+        Head("spine_quality", ("axis_deg_max", "kp_art_frac"), 0.5, (0.05, 1000.0), -3.5),
+        Head("hip_quality", ("axis_deg", "kp_art_frac_mean"), 0.5, (0.02, 2000.0), -2.0),
+        Head("hip_positioning", ("axis_deg_dev",), 0.55, (0.05,), -0.5, centres={"axis_deg": 50.0}),
+        Head("hip_roi", ("kp_art_frac", "coverage_max", "unmeasured"), 0.45, (1000.0, -1.0, 0.25), 0.5),
+    )
+}
+
+
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return S.violations(_regions(spark, sf), RULES)
 
 
+def _decided(spark: SparkSession, sf: str) -> DataFrame:
+    return S.decide(_regions(spark, sf), RULES, SHOWN_HEADS, _references(spark))
+
+
 def verdict_axis(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_verdicts(spark, sf).select("study", "region", "tilt", "fires_axis"))
 
@@ -120,30 +138,28 @@ def _references(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(steps(99, 2.0).alias("spine_agg"), steps(99, 1.0).alias("spine_head"), steps(150, 1.0).alias("hip_head"))
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return S.quality_score(_verdicts(spark, sf), _references(spark), RULES, F.col("n_frames") % 10 / 10.0)
+def quality_score(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_decided(spark, sf).select("study", "region", "score"))
 
 
-def quality_score(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_scored(spark, sf).select("study", "region", "score"))
+def head_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """The probability of each head, and of one that is missing."""
+    got = with_probabilities(_regions(spark, sf), SHOWN_HEADS)
+    return rounded(got.select("study", "region", *(probability(n).alias(n) for n in SHOWN_HEADS), probability("no_head").alias("no_head"), fires(SHOWN_HEADS, "spine_coverage").alias("covers"), fires(SHOWN_HEADS, "no_head").alias("fires_no_head")))
 
 
 def hip_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    hips = _regions(spark, sf).where("region LIKE 'hip%'")
-    a, b = F.col("axis_deg_mean") / 100.0, F.col("kp_art_frac_mean") / 0.0005
-    types = F.filter(F.array(F.when(a > 0.6, "hip_positioning"), F.when(b > 1.05, "hip_roi")), lambda t: t.isNotNull())
-    quality = F.when(F.col("n_frames") % 2 == 0, 0).otherwise(1)
-    return hips.select("study", "region", F.array_join(S.reconcile(quality, types, ("hip_positioning", a), ("hip_roi", b)), ";").alias("types"))
+    return _decided(spark, sf).where("region LIKE 'hip%'").select("study", "region", "quality_class", F.array_join("codes", ";").alias("types"))
 
 
 def violation_texts(spark: SparkSession, sf: str) -> DataFrame:
-    from osseo.functions.columns import violation_text
-
-    return _verdicts(spark, sf).select("study", "region", violation_text(F.concat("codes", "codes", F.array(F.lit("other")))).alias("violation_type"))
+    """Texts of a region's codes with further ones that share a text or have none."""
+    more = F.array(F.lit("hip_rotation"), F.lit("other"), F.lit("hip_positioning"))
+    return _decided(spark, sf).select("study", "region", violation_text(F.concat("codes", "codes", F.when(F.col("n_frames") % 2 == 0, more).otherwise(F.array()))).alias("violation_type"))
 
 
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.report(V.measurements(spark, sf), _scored(spark, sf)))
+    return rounded(S.report(V.measurements(spark, sf), _decided(spark, sf)))
 
 
 def report_details(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,11 +167,11 @@ def report_details(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.checks(_verdicts(spark, sf).where("region = 'spine'"), RULES).select("study", F.explode("checks").alias("c")).select("study", "c.task", "c.threshold", "c.fired", F.round("c.value", 6).alias("value")))
+    return rounded(S.checks(_decided(spark, sf), RULES, SHOWN_HEADS).select("study", "region", F.explode("checks").alias("c")).select("study", "region", "c.*"))
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.run_summary(S.report(V.measurements(spark, sf), _scored(spark, sf))))
+    return rounded(S.run_summary(S.report(V.measurements(spark, sf), _decided(spark, sf))))
 
 
 def feature_resolution(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,8 +294,7 @@ def rotated_box(masked: DataFrame) -> DataFrame:
 
 
 def legacy_score(spark: SparkSession, sf: str) -> DataFrame:
-    score = Q.legacy_score(F.col("tilt"), F.col("kp_art_frac_mean"), F.col("coverage_mean"), (RULES.max_spine_tilt_deg, RULES.artifact_threshold, RULES.coverage_threshold))
-    return rounded(_verdicts(spark, sf).select("study", "region", score.alias("score")))
+    return rounded(S.decide(_regions(spark, sf), RULES, SHOWN_HEADS).select("study", "region", "score"))
 
 
 def landmark_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,10 +330,9 @@ def masked_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agreed_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Checks as heads with a limit of their own, against a verdict by the rules."""
-    told = _verdicts(spark, sf).where("region = 'spine'").withColumn("violation_type", violation_text(F.col("codes")))
-    heads = S.checks(told, RULES).withColumn("checks", F.transform("checks", lambda c: c.withField("kind", F.when(c["task"] == "spine_axis", "head").otherwise("rule")).withField("fired", c["value"] > 30)))
-    return S.agree(heads).select("study", F.explode("checks").alias("c")).select("study", "c.task", "c.fired", "c.note")
+    """Checks of rules and heads after the verdict, with notes where it overrules a head."""
+    told = S.checks(_decided(spark, sf), RULES, SHOWN_HEADS).withColumn("violation_type", F.col("violation_text"))
+    return S.agree(told).select("study", "region", F.explode("checks").alias("c")).select("study", "region", "c.task", "c.kind", "c.fired", "c.note")
 
 
 QUERIES = {
@@ -383,6 +397,7 @@ QUERIES = {
     "verdict_axis": verdict_axis,
     "verdict_artifact": verdict_artifact,
     "quality_score": quality_score,
+    "head_decisions": head_decisions,
     "hip_reconcile": hip_reconcile,
     "violation_text": violation_texts,
     "report_rows": report_rows,

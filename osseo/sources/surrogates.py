@@ -28,11 +28,14 @@ def frames(pixels: DataFrame) -> DataFrame:
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """study, region and features of each measured frame (an angle that was not found is -1); region ``error`` marks a failed one."""
+    """path_to_study, image_uid, study, region, seconds, reason and features of each measured frame (an angle that was not found is -1).
+
+    Region ``error`` marks a failed frame.
+    """
     region = F.when(F.col("event_type").isin("view", "signup"), "spine").when(F.col("event_type") == "click", "hip_right").when(F.col("event_type") == "purchase", "hip_left").otherwise("error")
     k, third = F.get_json_object("props", "$.k").cast("double"), F.col("user_id") % 3
     return table(spark, sf_dir, "events").select(
-        "event_id", F.col("user_id").alias("study"), region.alias("region"), F.col("value").alias("axis_deg"), (k / 100000.0).alias("kp_art_frac"),
+        "event_id", F.concat(F.lit("/data/"), "event_id", F.lit(".dcm")).alias("path_to_study"), F.concat(F.lit("1.2."), "event_id").alias("image_uid"), (k / 1000.0).alias("seconds"), F.when(F.col("event_id") % 2 == 0, "ValueError").alias("reason"), F.col("user_id").alias("study"), region.alias("region"), F.col("value").alias("axis_deg"), (k / 100000.0).alias("kp_art_frac"),
         F.when(third == 0, F.col("value") * 0.75).otherwise(-1.0).alias("vb_axis_deg"), F.when(third == 1, F.col("value") * 0.875).otherwise(-1.0).alias("col_tilt_deg"), F.when(F.col("event_id") % 5 > 0, k / 100.0).otherwise(0.25).alias("coverage"),
     )
 

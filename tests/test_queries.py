@@ -103,11 +103,12 @@ def test_neighbourhood_pieces():
 def test_sentinels_and_texts(spark):
     row = spark.range(1).select(
         number(F.lit("x")).alias("a"), number(F.lit(float("nan"))).alias("b"), number(F.lit("2.5")).alias("c"),
-        violation_text(F.array(F.lit("spine_axis"), F.lit("?"), F.lit("spine_axis"), F.lit("hip_roi"))).alias("t"),
+        violation_text(F.array(F.lit("spine_axis"), F.lit("?"), F.lit("spine_axis"), F.lit("hip_positioning"), F.lit("hip_rotation"), F.lit("spine_coverage"), F.lit("hip_roi_coverage"))).alias("t"),
         resolved(F.create_map(F.lit("x_mean"), F.lit(float("nan")), F.lit("x_max"), F.lit(3.0)), "x").alias("first"),
     ).first()
     assert (row.a, row.b, row.c, row.first) == (-1, -1, 2.5, -1)
-    assert row.t == f"{VIOLATIONS['spine_axis']};{VIOLATIONS['hip_roi']}"
+    assert row.t == "Не выровнена ось позвоночника;Некорректная укладка;Некорректная область интереса"
+    assert set(VIOLATIONS) == {"spine_coverage", "spine_axis", "spine_artifact", "hip_positioning", "hip_rotation", "hip_roi_coverage"}
 
 
 def test_pairs_are_antisymmetric(spark):
@@ -287,7 +288,7 @@ def test_islands_and_inclusions(spark):
 def test_checks_follow_the_report(spark):
     from osseo.operators import studies as S
 
-    rows = [("Наклон оси позвоночника", False, "head"), ("", True, "head"), (None, True, "rule")]
-    df = spark.createDataFrame([(v, [("spine_axis", kind, 1.0, 2.0, fired)]) for v, fired, kind in rows], "violation_type string, checks array<struct<task string, kind string, value double, threshold double, fired boolean>>")
+    rows = [("Некорректная укладка", False, "head"), ("", True, "head"), (None, True, "rule")]
+    df = spark.createDataFrame([(v, [("укладка бедра", kind, 1.0, 2.0, fired)]) for v, fired, kind in rows], "violation_type string, checks array<struct<task string, kind string, value double, threshold double, fired boolean>>")
     got = [r.checks[0] for r in S.agree(df).collect()]
     assert [c.fired for c in got] == [True, False, True] and [c.note for c in got] == [S.CHOSEN_BELOW, S.DROPPED_ABOVE, None]
