@@ -6,9 +6,12 @@ groups are one A token and one B token of the same bytes. For these a table from
 beforehand, and their links are counted in vectors as long as A's vocabulary. Only the links of other groups enter the shuffle
 of pairs, pre-aggregated. (The two never hold the same pair: tokens of the same bytes that end together start together.)
 
-Neither tokenizer joins what a space after another visible character separates: A's pre-tokens end there, and no piece of B has a
-space after another character (checked when the file is read). So a text is aligned segment by segment, and a worker keeps
-segments that it has aligned. The libraries encode what is new.
+Neither tokenizer joins what stands before a space or line feed after a visible character with what follows: A's pre-tokens end
+there, and no piece of B has a space after another character or a line feed (checked when the file is read). So a text is aligned
+segment by segment. A worker keeps segments that it has aligned (and, when they are many, those met more than once); the libraries
+encode new ones, many in one string, and what a text holds of each is counted in arrays. Where A's merges are those that the order
+of its ids gives (checked when the file is read: every token's bytes alone become that token), plain characters go through the faster
+of the two libraries for such files.
 
 Defined results: null and empty texts have no tokens, and neither has a text whose tokens do not give back its bytes (one with
 U+2581, which B reads as a space); texts of any length are aligned whole (a stretch without a space is one segment);
@@ -18,23 +21,27 @@ repeated rows get equal results and each counts; further columns are ignored; an
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from osseo.llm.bpe import byte_alphabet, default_file
+from osseo.llm.bpe import PRE_TOKEN, Encoder, byte_alphabet, default_file
 from osseo.llm.rows import map_texts, saved, spread_join, table, written
 
-#: Segments that a worker keeps, and the characters of the longest of them.
-STORED, STORED_CHARS = 150_000, 40
-#: A space after a visible character. A's pre-tokens take the same characters for white space.
-_CUT = regex.compile(r"(?<=\S)(?= )")
+#: Segments that a worker keeps, and their characters.
+STORED, STORED_CHARS = 250_000, 8_000_000
+#: Characters of the longest segment that is encoded with others in one string, and of such a string.
+SHORT, STRING = 200, 60_000
+# A part begins with a space or line feed after a visible character, and runs to the next one.
+_SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*)?|\s+")
+# Characters that every version of Unicode puts into the same classes of A's pre-tokens.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u024f]*")
 _SPACE = "▁"
 
 
@@ -44,19 +51,34 @@ def default_pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Segment(NamedTuple):
-    """n_a and n_b are the numbers of tokens; ``groups`` is None if the tokens do not give back the bytes."""
+def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1 and so on, count[k] of them, for each k."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str | None
-    same: tuple[int, ...]
-    pairs: tuple[int, ...]
+
+def _by_order(a_file: str):
+    """An encoder that merges by the order of ids alone, or None where the file's merges might give other tokens.
+
+    It takes a pair of tokens together if their bytes are a token, the lowest id first. Pairs that span a token's bytes arise in
+    any text as they do from these bytes alone, so both agree if the file's merges turn the bytes of each token into it.
+    """
+    import tiktoken
+
+    e = Encoder(a_file)
+    made = [i for i, x in enumerate(e.bytes_of) if x and i not in {*e.special.values()}]
+    if e.merged_beside([e.bytes_of[i] for i in made]) != [(i,) for i in made] or len({e.bytes_of[i] for i in made}) < len(made):
+        return None
+    if sorted(e.rank.values()) != sorted(e.rank.values(), key=lambda v: v[1]):
+        return None
+    return tiktoken.Encoding("ordered", pat_str=PRE_TOKEN, mergeable_ranks={e.bytes_of[i]: i for i in made}, special_tokens={})
 
 
 class Aligner:
-    """Both tokenizers, the bytes of their tokens, and ``same``, the B id of the same bytes for each A id (or -1)."""
+    """Both tokenizers, the bytes of their tokens, and ``same``, the B id of the same bytes for each A id (or -1).
+
+    ``slots`` numbers the segments that are known; ``facts`` (tokens of A, of B, groups), ``groups`` and the links by segment are
+    kept by that number. A segment without ``groups`` (None) does not give back its bytes.
+    """
 
     def __init__(self, a_file: str, b_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,61 +96,145 @@ class Aligner:
             self.a_bytes[i] = bytes(letters[c] for c in token) if letters.keys() >= set(token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        # where pieces never run over a space, segments can be aligned alone
-        self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        self.lengths = [np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes)]
+        # where pieces never run over a space or line feed, segments can be aligned alone
+        self.cuts = not any(_SPACE in p.lstrip(_SPACE) or "\n" in p for i, p in enumerate(pieces) if not self.b.is_byte(i))
         self.lone_space = self.b.piece_to_id(_SPACE)
         # pieces come before bytes of the same value, which stand for characters without a piece
         of_bytes = {x: i for i, x in reversed([*enumerate(self.b_bytes)]) if self.b.is_byte(i)}
         of_bytes |= {x: i for i, x in reversed([*enumerate(self.b_bytes)]) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))}
-        self.same = [of_bytes.get(x, -1) if x else -1 for x in self.a_bytes]
-        self.known: dict[str, Segment] = {}
+        self.same = np.array([of_bytes.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
+        self.ordered = _by_order(a_file)
+        self.slots: dict[str, int] = {}
+        self.chars = 0
+        self.groups: list[str | None] = []
+        self.uses = np.zeros(0, np.int64)
+        self.facts = tuple(array("q") for _ in range(3))
+        self.links = tuple(array("q") for _ in range(2))  # of the table of same bytes, and of other groups
+        self.ends = tuple(array("q", [0]) for _ in range(2))
+
+    def forget(self) -> None:
+        """Keeps the segments that were met more than once, if these are fewer than half of what may be stored; else none."""
+        names = [*self.slots]
+        stay = np.flatnonzero(self.uses > 1)
+        if len(stay) > STORED // 2 or sum(len(names[k]) for k in stay.tolist()) > STORED_CHARS // 2:
+            stay = stay[:0]
+        facts = np.array([np.array(v, np.int64)[stay] for v in self.facts])
+        groups, links, counts = [self.groups[k] for k in stay.tolist()], [], []
+        for held, end in zip(self.links, self.ends):
+            held, end = np.array(held, np.int64), np.array(end, np.int64)
+            counts.append(np.diff(end)[stay])
+            links.append(held[_places(end[stay], counts[-1])])
+        self.slots, self.chars, self.groups, self.uses = {}, 0, [], np.zeros(0, np.int64)
+        self.facts, self.links, self.ends = tuple(array("q") for _ in range(3)), tuple(array("q") for _ in range(2)), tuple(array("q", [0]) for _ in range(2))
+        self._add([names[k] for k in stay.tolist()], facts, groups, links, counts)
 
     def segments(self, text: str) -> list[str]:
-        """``text`` with the space before it, in parts that can be aligned alone; each begins with a space."""
-        return _CUT.split(f" {text}") if self.cuts else [f" {text}"]
-
-    def segment(self, text: str, a: list[int], b: list[int]) -> Segment:
-        """The groups of one segment with the ids of both."""
-        of_a, of_b, raw = self.a_bytes, self.b_bytes, text.encode()
-        if b"".join(map(of_a.__getitem__, a)) != raw or b"".join(map(of_b.__getitem__, b)) != raw:
-            return Segment(0, 0, 0, None, (), ())
-        groups, same, pairs = [], [], []
-        i = j = first_i = first_j = end_a = end_b = 0
-        while i < len(a):
-            if end_a <= end_b:
-                end_a += len(of_a[a[i]])
-                i += 1
-            while end_b < end_a:
-                end_b += len(of_b[b[j]])
-                j += 1
-            if end_a != end_b:
+        """``text`` with the space before it, in parts that can be aligned alone."""
+        return _SEGMENT.findall(f" {text}") if self.cuts else [f" {text}"]
+
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of both for text that begins with a space or line feed; None if they do not give back its bytes."""
+        if self.ordered is not None and _PLAIN.fullmatch(text):
+            a = self.ordered.encode_ordinary(text)
+        else:
+            a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        if text == " ":
+            b = [self.lone_space]
+        else:  # B adds the space; before a line feed, that is a token of its own
+            b = self.b.encode(text[1:], num_threads=1) if text[0] == " " else self.b.encode(text, num_threads=1)[1:]
+        raw = text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Aligns segments; short ones that end in a visible character are encoded together, as a cut stands between them."""
+        held: dict[bool, list[str]] = {True: [], False: []}
+        size = {True: 0, False: 0}
+        for s in new:
+            if len(s) > SHORT or s[-1].isspace():
+                self._align([s])
                 continue
-            x, y = a[i - 1], b[j - 1]
-            if i - first_i == 1 == j - first_j and self.same[x] == y:
-                same.append(x)
-                groups.append(f"{x}|{y}")
+            plain = _PLAIN.fullmatch(s) is not None
+            held[plain].append(s)
+            size[plain] += len(s)
+            if size[plain] >= STRING:
+                self._align(held[plain])
+                held[plain], size[plain] = [], 0
+        for some in held.values():
+            if some:
+                self._align(some)
+
+    def _align(self, segments: list[str]) -> None:
+        ids = None if any(_SPACE in s for s in segments) else self.encoded("".join(segments))
+        ends = np.cumsum([len(s.encode()) for s in segments])
+        if ids is not None:
+            at = [np.cumsum(n[x]) for n, x in zip(self.lengths, ids)]
+            shared = np.intersect1d(*at, assume_unique=True)
+        if ids is None or not np.isin(ends, shared).all():
+            if len(segments) > 1:
+                for s in segments:
+                    self._align([s])
             else:
-                pairs.append(x * len(of_b) + y)
-                groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-            first_i, first_j = i, j
-        return Segment(len(a), len(b), len(groups), ";".join(groups), tuple(same), tuple(pairs))
-
-    def aligned(self, segments: list[str]) -> list[Segment]:
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        b = [[self.lone_space] if s == " " else ids for s, ids in zip(segments, self.b.encode([s[1:] for s in segments], num_threads=1), strict=True)]
-        return [*map(self.segment, segments, a, b)]
-
-    def texts(self, texts: list) -> list[list[Segment]]:
-        """The segments of each text; none where it has no tokens."""
-        if len(self.known) > STORED:
-            self.known = {}
-        cut = [self.segments(t) if t else [] for t in texts]
-        new = [*({*chain.from_iterable(cut)} - self.known.keys())]
-        found = dict(zip(new, self.aligned(new), strict=True)) if new else {}
-        self.known.update((s, x) for s, x in found.items() if len(s) <= STORED_CHARS)
-        get = self.known.get
-        out = [[get(s) or found[s] for s in segments] for segments in cut]
-        return [[] if any(s.groups is None for s in segments) else segments for segments in out]
+                self._add(segments, np.zeros((3, 1), np.int64), [None], [np.zeros(0, np.int64)] * 2, [np.zeros(1, np.int64)] * 2)
+            return
+        last = [np.searchsorted(x, shared) for x in at]
+        size = [np.diff(x, prepend=-1) for x in last]
+        x, y = (of[k] for of, k in zip(ids, last))
+        of_group, n = np.searchsorted(ends, shared), len(segments)
+        fast = (size[0] == 1) & (size[1] == 1) & (self.same[x] == y)
+        both = [of.tolist() for of in ids]
+        told = [f"{i}|{j}" for i, j in zip(x.tolist(), y.tolist())]
+        for g in np.flatnonzero((size[0] > 1) | (size[1] > 1)).tolist():
+            told[g] = "|".join(",".join(map(str, of[k[g] - c[g] + 1 : k[g] + 1])) for of, k, c in zip(both, last, size))
+        cuts = np.searchsorted(of_group, np.arange(n + 1)).tolist()
+        facts = [np.bincount(np.searchsorted(ends, of), minlength=n) for of in at] + [np.bincount(of_group, minlength=n)]
+        links = [x[fast], x[~fast] * len(self.b_bytes) + y[~fast]]
+        self._add(segments, np.array(facts), [";".join(told[i:j]) for i, j in zip(cuts, cuts[1:])], links, [np.bincount(of_group[k], minlength=n) for k in (fast, ~fast)])
+
+    def _add(self, segments: list[str], facts: np.ndarray, groups: list, links: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        self.slots.update(zip(segments, range(len(self.groups), len(self.groups) + len(segments))))
+        self.chars += sum(map(len, segments))
+        self.groups += groups
+        for k, new in zip(self.facts, facts):
+            k.frombytes(new.astype(np.int64).tobytes())
+        for held, end, new, n in zip(self.links, self.ends, links, counts):
+            end.frombytes((np.cumsum(n) + end[-1]).astype(np.int64).tobytes())
+            held.frombytes(new.astype(np.int64).tobytes())
+
+    def counted(self, texts: list) -> dict[str, object]:
+        """FACTS of each text, as arrays and lists."""
+        if len(self.groups) > STORED or self.chars > STORED_CHARS:
+            self.forget()
+        cut = [self.segments(t) if t and _SPACE not in t else [] for t in texts]
+        flat = [*chain.from_iterable(cut)]
+        self.learn([*(set(flat) - self.slots.keys())])
+        ids, n = np.fromiter(map(self.slots.__getitem__, flat), np.int64, len(flat)), len(texts)
+        self.uses = np.pad(self.uses, (0, len(self.groups) - len(self.uses))) + np.bincount(ids, minlength=len(self.groups))
+        of = np.repeat(np.arange(n), [*map(len, cut)])
+        bad = np.array([g is None for g in self.groups], bool)
+        if len(ids) and bad[ids].any():
+            keep = np.bincount(of[bad[ids]], minlength=n)[of] == 0
+            ids, of = ids[keep], of[keep]
+        ends = np.searchsorted(of, np.arange(n + 1)).tolist()
+        own, get = ids.tolist(), self.groups.__getitem__
+        # each value is below 2**53, so sums of doubles are exact
+        out: dict = {k: np.bincount(of, np.array(v, np.float64)[ids], n).astype(np.int64) for k, v in zip(("n_a", "n_b", "n_groups"), self.facts)}
+        out["groups_sha256"] = [sha256(";".join(map(get, own[i:j])).encode()).hexdigest() if j > i else "" for i, j in zip(ends, ends[1:])]
+        kinds, times = np.unique(of * max(len(self.groups), 1) + ids, return_counts=True)
+        doc, slot = np.divmod(kinds, max(len(self.groups), 1))
+        for name, held, end in zip(("same", "pairs"), self.links, self.ends):
+            links, end = np.array(held, np.int64), np.array(end, np.int64)
+            count = end[slot + 1] - end[slot]
+            values, owner, weight = links[_places(end[slot], count)], np.repeat(doc, count), np.repeat(times, count)
+            order = np.lexsort((values, owner))
+            values, owner, weight = values[order], owner[order], weight[order]
+            first = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])])) if len(values) else np.zeros(0, np.int64)
+            lists = pa.array(np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32))
+            sums = np.add.reduceat(weight, first) if len(first) else np.zeros(0, np.int64)
+            out[name], out[f"{name}_n"] = (pa.ListArray.from_arrays(lists, pa.array(v.astype(np.int64))) for v in (values[first], sums))
+        return out
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -141,13 +247,6 @@ def aligner(a_file: str, b_file: str) -> Aligner:
     return _ALIGNERS[a_file, b_file]
 
 
-def _counted(links: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
-    """The distinct values of each array, and how often each occurs in it, as list columns."""
-    both = [np.unique(x, return_counts=True) for x in links]
-    ends = pa.array(np.cumsum([0, *(len(x) for x, _ in both)]).astype(np.int32))
-    return tuple(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p[k] for p in both]) if both else np.zeros(0, np.int64))) for k in (0, 1))
-
-
 FACTS = {
     "n_a": T.LongType(), "n_b": T.LongType(), "n_groups": T.LongType(), "groups_sha256": T.StringType(),
     "same": T.ArrayType(T.LongType()), "same_n": T.ArrayType(T.LongType()), "pairs": T.ArrayType(T.LongType()), "pairs_n": T.ArrayType(T.LongType()),
@@ -162,11 +261,7 @@ def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None,
     files = a_file or default_file(), b_file or default_pieces()
 
     def batch(texts: list) -> dict:
-        found = aligner(*files).texts(texts)
-        links = [np.fromiter(chain.from_iterable(s.same for s in x), np.int64) for x in found], [np.fromiter(chain.from_iterable(s.pairs for s in x), np.int64) for x in found]
-        out: dict = {k: [sum(getattr(s, k) for s in x) for x in found] for k in ("n_a", "n_b", "n_groups")}
-        out["groups_sha256"] = [sha256(";".join(s.groups for s in x).encode()).hexdigest() if x else "" for x in found]
-        return out | dict(zip(("same", "same_n"), _counted(links[0]))) | dict(zip(("pairs", "pairs_n"), _counted(links[1])))
+        return aligner(*files).counted(texts)
 
     return map_texts(docs, FACTS, batch, text)
 
@@ -202,7 +297,7 @@ def counted(seen: DataFrame, a_file: str | None = None, b_file: str | None = Non
     size = len(known.b_bytes)
     links = _links(seen)
     pairs = saved(links.groupBy("pair").agg(F.sum("n").alias("n")))
-    ids, of_a = np.array(known.same, np.int64), same_counts(seen, len(known.same))
+    ids, of_a = known.same, same_counts(seen, len(known.same))
     top = np.zeros(size, np.int64)
     np.maximum.at(top, ids[of_a > 0], of_a[of_a > 0])
     others = pairs.groupBy((F.col("pair") % size).alias("b")).agg(F.max("n").alias("n")).toPandas()  # B's vocabulary at most

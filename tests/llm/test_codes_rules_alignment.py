@@ -36,12 +36,20 @@ def test_alignment_of_adversarial_texts(spark):
     assert sum(r.n for r in table if r.best) == sum(w[5] for w in want.values())
 
 
-def test_alignment_forgets_segments_and_keeps_long_ones(monkeypatch):
-    monkeypatch.setattr(align, "STORED", 10)
+def test_alignment_forgets_segments_and_takes_long_ones(monkeypatch):
+    texts = [brute_text(k) for k in range(30)] + ["b" * 100_000, "word " * 20_000, " \n", None, ""]
+    want = [(w[1], w[2], w[3], w[7]) for w in brute.alignment([*enumerate(texts)])]
     known = align.Aligner(align.default_file(), align.default_pieces())
-    texts = [brute_text(k) for k in range(30)] + ["b" * 100_000, "word " * 20_000]
-    assert [[s.groups for s in x] for x in map(lambda t: known.texts([t])[0], texts)] == [[s.groups for s in x] for x in known.texts(texts)]
-    assert max(map(len, known.known)) <= align.STORED_CHARS
+
+    def facts(texts):
+        got = known.counted(texts)
+        return [*zip(got["n_a"].tolist(), got["n_b"].tolist(), got["n_groups"].tolist(), got["groups_sha256"])]
+
+    assert facts(texts) == want and facts(texts) == want
+    monkeypatch.setattr(align, "STORED", 10)
+    monkeypatch.setattr(align, "STRING", 30)
+    assert [facts([t])[0] for t in texts] == want
+    assert len(known.slots) == len(known.groups) <= 40 and known.ordered is not None and all(len(e) == len(known.groups) + 1 and e[-1] == len(v) for e, v in zip(known.ends, known.links))
 
 
 def brute_text(seed: int) -> str:
@@ -49,6 +57,16 @@ def brute_text(seed: int) -> str:
     return " ".join("".join(r.choice("aeinorst") for _ in range(r.randint(1, 6))) for _ in range(20))
 
 
+def test_forgetting_keeps_what_came_again(monkeypatch):
+    known = align.Aligner(align.default_file(), align.default_pieces())
+    first = known.counted(["one two three four", "one two"])
+    monkeypatch.setattr(align, "STORED", 4)
+    known.forget()
+    assert [*known.slots] == [] or {*known.slots} == {" one", " two"}
+    again = known.counted(["one two three four", "one two"])
+    assert again["groups_sha256"] == first["groups_sha256"] and again["same"].equals(first["same"]) and again["pairs_n"].equals(first["pairs_n"])
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e6, 1e13])
 def test_codes_of_hot_vectors(spark, scale):
     """A third of the rows are one vector, others lie near it, and ties are common; large components need Python integers."""
