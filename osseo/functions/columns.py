@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: What a numeric model input holds when it was not measured.
 ABSENT = -1.0
@@ -69,17 +69,23 @@ def resolved(features: Column, name: str, centre: float | None = None) -> Column
     return first_existing(features, name, f"{name}_mean", f"{name}_max", f"{name}_min")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
     Where it is unset, a session on one machine (tests) gets a temporary folder; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         found = context.getConf().get("spark.checkpoint.dir", None)
         if found is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from osseo.operators.neighbourhood import FRAME, _image, dilated, ellipse, eroded, label
+from osseo.operators.neighbourhood import FRAME, _image, dilated, ellipse, eroded, label, outlines
 
 # Sizes of the elements, thresholds of the top-hat and of saturation, least areas.
 INSIDE, INSIDE_LEAST, INSIDE_AREA, SATURATED = 11, 12, 4, 0.995
@@ -45,8 +45,8 @@ def inside(masked: DataFrame) -> DataFrame:
 def outside(masked: DataFrame) -> DataFrame:
     """Thin bright structures away from the mask: their number, greatest elongation and area share, and brightness of all and of the upper part.
 
-    A structure's area is its number of pixels and its outline the number of their free edges; elongation is outline squared
-    over 4 pi times the area.
+    A structure's area and outline are those of the polygon through its border pixels; elongation is outline squared over 4 pi
+    times the area.
     """
     names = ("thin_n", "thin_elong", "thin_area_frac", "outside_bright", "outside_bright_upper", "thin_upper_frac")
 
@@ -54,12 +54,10 @@ def outside(masked: DataFrame) -> DataFrame:
         m, z = _image(pdf, "m", bool), _image(pdf, "z", float)
         hat = bright_hat(z, OUTSIDE)
         hat[dilated(m, [(dy, dx) for dy in range(-3, 4) for dx in range(-3, 4)])] = 0
-        parts = label(hat >= OUTSIDE_LEAST)
-        wide = np.pad(parts, 1)
-        free = sum((np.roll(wide, s, a)[1:-1, 1:-1] != parts).astype(int) for s, a in ((1, 0), (-1, 0), (1, 1), (-1, 1)))
-        area, edge = np.bincount(parts.ravel())[1:], np.bincount(parts.ravel(), free.ravel())[1:]
+        _, area, edge = outlines(hat >= OUTSIDE_LEAST)
         edge, area = edge[area >= OUTSIDE_AREA], area[area >= OUTSIDE_AREA]
-        long = (edge**2 / (4 * np.pi * area))[edge**2 > ELONGATED * 4 * np.pi * area]
+        long = edge**2 / (4 * np.pi * area + 1e-9)
+        long = long[long > ELONGATED]
         upper = hat[: int(UPPER * len(hat))]
         values = [len(long), long.max(initial=0), area.sum() / hat.size, hat.mean() / 255, upper.mean() / 255, (upper >= OUTSIDE_LEAST).mean()]
         return pd.DataFrame({FRAME: [pdf[FRAME].iloc[0]]} | {k: np.array([v], float) for k, v in zip(names, values, strict=True)})
@@ -67,6 +65,35 @@ def outside(masked: DataFrame) -> DataFrame:
     return masked.select(FRAME, "y", "x", "z", "m").groupBy(FRAME).applyInPandas(one, f"{FRAME} long, " + ", ".join(f"{n} double" for n in names))
 
 
+# Size of the element of arcs, their least threshold, percentile and area, the share of the width from which one is long, the upper part.
+ARC, ARC_LEAST, ARC_RANK, ARC_AREA, ARC_LONG, ARC_UPPER = 11, 18, 99.0, 6, 0.25, 0.35
+
+
+def arcs(masked: DataFrame) -> DataFrame:
+    """Long thin bright arcs outside the mask: the longest, all lengths, the number of long ones (in widths of the frame), and their share of the upper part.
+
+    A length is four deviations along the main axis of a part of ARC_AREA pixels at least.
+    """
+    names = ("arc_max_len", "arc_total_len", "arc_n_long", "arc_upper_frac")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, z = _image(pdf, "m", bool), _image(pdf, "z", float)
+        hat = bright_hat(z, ARC)
+        out = (hat >= max(ARC_LEAST, int(np.percentile(hat, ARC_RANK)))) & ~m
+        parts = label(out)
+        y, x = np.nonzero(parts)
+        of, n = parts[y, x], np.bincount(parts.ravel())[1:]
+        mean = lambda v: np.bincount(of, v, len(n) + 1)[1:] / n
+        cy, cx = mean(y), mean(x)
+        vy, vx, c = (mean(a) * n / np.maximum(n - 1, 1) for a in ((y - cy[of - 1]) ** 2, (x - cx[of - 1]) ** 2, (y - cy[of - 1]) * (x - cx[of - 1])))
+        most = (vy + vx) / 2 + np.hypot((vy - vx) / 2, c)
+        length = (4 * np.sqrt(np.maximum(most, 0)) / m.shape[1])[n >= ARC_AREA]
+        values = [length.max(initial=0), length.sum(), float((length > ARC_LONG).sum()), out[: int(ARC_UPPER * len(out))].mean()]
+        return pd.DataFrame({FRAME: [pdf[FRAME].iloc[0]]} | {k: np.array([v], float) for k, v in zip(names, values, strict=True)})
+
+    return masked.select(FRAME, "y", "x", "z", "m").groupBy(FRAME).applyInPandas(one, f"{FRAME} long, " + ", ".join(f"{n} double" for n in names))
+
+
 def main_body(masked: DataFrame) -> DataFrame:
     """The mask without islands: parts below 8 % of the largest one's area, or farther from it than an ellipse of 14 reaches."""
 

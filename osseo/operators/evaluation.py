@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from osseo.functions.columns import positions, running, saved
+from osseo.functions.columns import number, positions, running, saved
 
 
 def tallies(scored: DataFrame) -> DataFrame:
@@ -49,9 +49,11 @@ def threshold_by_rate(scored: DataFrame) -> DataFrame:
 
 
 def threshold_by_f1(scored: DataFrame) -> DataFrame:
-    """The score with the greatest F1 (the lowest among equals)."""
+    """The score with the greatest F1 (the lowest among equals); 0.5 (and no F1) with fewer than two distinct scores or no positive."""
     f1 = F.round(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("n_pos")), 12)
-    return tallies(scored).select("p", f1.alias("f1")).agg(F.min(F.struct((-F.col("f1")).alias("f"), "p")).alias("b")).select(F.col("b.p").alias("threshold"), (-F.col("b.f")).alias("f1"))
+    best = tallies(scored).select("p", f1.alias("f1"), "n_pos").agg(F.min(F.struct((-F.col("f1")).alias("f"), "p")).alias("b"), F.count("*").alias("scores"), F.max("n_pos").alias("pos"))
+    enough = (F.col("scores") >= 2) & (F.col("pos") > 0)
+    return best.select(F.when(enough, F.col("b.p")).otherwise(0.5).alias("threshold"), F.when(enough, -F.col("b.f")).alias("f1"))
 
 
 def report(scored: DataFrame, threshold: float) -> DataFrame:
@@ -120,7 +122,8 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pruned(df: DataFrame, columns: list[str], limit: float = 0.97) -> list[str]:
-    """The columns that stay when constants and later ones of highly correlated pairs go, in order."""
+    """The columns that stay when constants and later ones of highly correlated pairs go, in order; null, NaN and infinite values count as -1."""
+    df = df.select(*(number(F.col(c)).alias(c) for c in columns))
     spread = df.agg(*(F.stddev_samp(c).alias(c) for c in columns)).first()
     live = [c for c in columns if spread[c] is not None and spread[c] > 1e-9]
     high = {(r.a, r.b) for r in correlations(df, live).where(F.abs("r") > limit).collect()} if len(live) > 1 else set()

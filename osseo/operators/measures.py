@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from osseo.config import Rules
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from osseo.config import Rules
+
 FRAME = "frame_id"
 #: mm per pixel across and along, as the landmark rules use them.
 LANDMARK_MM = (0.6, 0.73)
@@ -45,27 +46,32 @@ def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     return points.join(targets, FRAME).groupBy(FRAME).agg(F.min(F.struct(F.abs(F.col("y") - F.col("t")).alias("d"), "y")).alias("b")).select(FRAME, F.col("b.y").alias("y"), F.col("b.d").alias("distance"))
 
 
-def bright_arcs(labelled: DataFrame, width: DataFrame, least: int = 6) -> DataFrame:
-    """Longest, total and number of long main axes of bright components (frame_id, y, x, component), over the width."""
-    c = labelled.groupBy(FRAME, "component").agg(F.count("*").alias("n"), F.var_samp("x").alias("a"), F.var_samp("y").alias("c"), F.covar_samp("x", "y").alias("b")).where(F.col("n") >= least)
-    lam = (F.col("a") + F.col("c")) / 2 + F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, 2) + F.col("b") * F.col("b"))
-    size = c.join(width, FRAME).withColumn("len", 4 * F.sqrt(lam) / F.col("w"))
-    return size.groupBy(FRAME).agg(F.max("len").alias("arc_max_len"), F.sum("len").alias("arc_total_len"), F.count_if(F.col("len") > 0.25).alias("arc_n_long"))
-
-
-def vertebra_levels(rows: DataFrame, least_px: int = 50) -> DataFrame:
-    """Gaps at both ends (in bodies), tilt of the ends, aspect, asymmetry and body height from rows with a level (1 on top)."""
-    level = rows.groupBy(FRAME, "level").agg(F.sum("n").alias("n"), F.min("y").alias("top"), F.max("y").alias("bottom"), F.median("n").alias("width"), (F.sum(F.col("cx") * F.col("n")) / F.sum("n")).alias("cx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("cy")).where(F.col("n") >= least_px)
-    level = level.withColumn("height", F.col("bottom") - F.col("top") + 1)
-    ends = lambda f, name: f(F.struct("level", "cx", "cy")).alias(name)
-    got = level.groupBy(FRAME).agg(F.count("*").alias("k"), F.avg("height").alias("unit"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.median(F.col("width") / F.col("height")).alias("aspect"), ends(F.min, "a"), ends(F.max, "b"), F.regr_slope("width", "level").alias("width_slope"))
-    h = rows.groupBy(FRAME).agg((F.max("y") + 1).alias("h"))
-    some = F.col("k") >= 2
-    pick = lambda c: F.when(some, c).otherwise(-1.0)
-    return got.join(h, FRAME).select(
-        FRAME, pick(F.col("top") / F.col("unit")).alias("vl_gap_top_bodies"), pick((F.col("h") - 1 - F.col("bottom")) / F.col("unit")).alias("vl_gap_bot_bodies"),
-        pick(F.degrees(F.atan((F.col("b.cx") - F.col("a.cx")) / (F.col("b.cy") - F.col("a.cy"))))).alias("vl_tilt_ends"), pick(F.col("aspect")).alias("vl_aspect_med"),
-        F.when(F.col("k") > 2, F.col("width_slope")).otherwise(-1.0).alias("vl_width_slope"), pick(F.col("unit")).alias("vl_body_h_px"),
+def vertebra_levels(pixels: DataFrame, least_px: int = 50) -> DataFrame:
+    """Place and shape of the bodies of a level map (frame_id, y, x, level; 1 on top, 0 none), in mean body heights; -1 where not measured.
+
+    Levels of fewer than ``least_px`` pixels count for the asymmetry only. A body's width is the median of its rows, those without
+    its pixels included. Slopes run over the places of the levels found, so a missing level does not stretch them.
+    """
+    size = pixels.groupBy(FRAME).agg((F.max("y") + 1).alias("h"))
+    inside = pixels.where("level > 0")
+    rows = inside.groupBy(FRAME, "level", "y").agg(F.count("*").alias("n"), F.sum("x").alias("xs"))
+    level = rows.groupBy(FRAME, "level").agg(F.sum("n").alias("n"), F.min("y").alias("top"), F.max("y").alias("bottom"), (F.sum("xs") / F.sum("n")).alias("cx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("cy"), F.array_sort(F.collect_list("n")).alias("rows")).where(F.col("n") >= least_px)
+    level = level.withColumn("height", F.col("bottom") - F.col("top") + 1).withColumn("rows", F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("height") - F.size("rows")), "rows"))
+    level = level.withColumn("width", F.expr("(rows[(height - 1) div 2] + rows[height div 2]) / 2")).withColumn("aspect", F.col("height") / F.greatest("width", F.lit(1.0)))
+    w = Window.partitionBy(FRAME)
+    level = level.withColumn("unit", F.avg("height").over(w)).withColumn("axis", F.avg("cx").over(w)).withColumn("k", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("level")) - 1)
+    line = level.groupBy(FRAME).agg(F.regr_slope("cx", "cy").alias("s"), F.regr_intercept("cx", "cy").alias("c"))
+    ends = lambda f, name: f(F.struct("level", "cx", "cy", "top", "bottom")).alias(name)
+    got = level.join(line, FRAME).groupBy(FRAME, "k", "unit", "axis").agg(
+        ends(F.min, "a"), ends(F.max, "b"), F.max(F.abs(F.col("cx") - F.col("s") * F.col("cy") - F.col("c"))).alias("off"), F.median("aspect").alias("aspect"), F.regr_slope("aspect", "i").alias("aspect_slope"), F.regr_slope(F.col("width") / F.greatest("unit", F.lit(1.0)), F.col("i")).alias("width_slope"),
+    )
+    sides = inside.join(got.select(FRAME, "axis"), FRAME).groupBy(FRAME).agg(F.count_if(F.col("x") < F.floor("axis")).alias("left"), F.count_if(F.col("x") >= F.floor("axis")).alias("right"))
+    out = size.join(got.join(sides, FRAME), FRAME, "left")
+    pick = lambda least, c: F.when(F.col("k") >= least, c).otherwise(-1.0)
+    return out.select(
+        FRAME, pick(2, F.col("a.top") / F.col("unit")).alias("vl_gap_top_bodies"), pick(2, (F.col("h") - 1 - F.col("b.bottom")) / F.col("unit")).alias("vl_gap_bot_bodies"),
+        pick(2, F.degrees(F.atan((F.col("b.cx") - F.col("a.cx")) / F.greatest(F.col("b.cy") - F.col("a.cy"), F.lit(1e-6))))).alias("vl_tilt_ends"), pick(3, F.col("off") / F.col("unit")).alias("vl_tilt_resid"), pick(2, F.col("aspect")).alias("vl_aspect_med"), pick(3, F.col("aspect_slope")).alias("vl_aspect_slope"),
+        pick(3, F.col("width_slope")).alias("vl_width_slope"), pick(2, F.abs(F.col("left") - F.col("right")) / F.greatest(F.col("left") + F.col("right"), F.lit(1))).alias("vl_lr_asym"), pick(2, F.col("unit") / F.col("h")).alias("vl_body_h_px"),
     )
 
 
@@ -116,14 +122,44 @@ def rotated(masked: DataFrame, angles: DataFrame) -> DataFrame:
     return found.select(FRAME, F.col("_y").alias("y"), F.col("_x").alias("x"), F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("m", F.lit(False)).alias("m"))
 
 
-def landmark_rules(points: Column, height: Column, least_mm: float = 30.0) -> Column:
-    """Distances in mm from named points (map of name to struct x, y, conf): above the greater trochanter, below the ischium, and the neck's length."""
+# How sure a landmark must be, tissue that a frame must show beyond two of them, and the mask that a medial line needs.
+LANDMARK_SURE, LANDMARK_ROOM, LINE_PIXELS, LINE_ROWS, LINE_FROM = 0.20, 30.0, 200, 10, 0.6
+
+
+def medial_line(bone: DataFrame) -> DataFrame:
+    """frame_id, k, c: the line x = k y + c along the medial edge of the lower part of a right femur's mask; none if that is too small."""
+    size = bone.where("m").groupBy(FRAME).agg(F.count("*").alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1")).where(F.col("n") > LINE_PIXELS)
+    edge = bone.where("m").groupBy(FRAME, "y").agg(F.max("x").alias("x")).join(size, FRAME)
+    edge = edge.where((F.col("y") >= F.floor(F.col("y0") + F.lit(LINE_FROM) * (F.col("y1") - F.col("y0")))) & (F.col("y") < F.col("y1")))
+    got = edge.groupBy(FRAME).agg(F.regr_slope("x", "y").alias("k"), F.regr_intercept("x", "y").alias("c"), F.count("*").alias("rows"))
+    return got.where(F.col("rows") > LINE_ROWS).select(FRAME, "k", "c")
+
+
+def landmark_rules(points: Column, height: Column, line: Column | None = None) -> Column:
+    """What the rules of placing a hip ask of its landmarks, in mm; null where a landmark is missing.
+
+    ``points`` maps trochanter (the greater one's tip), ischium (lower edge), lesser (the lesser trochanter's peak), neck_upper and
+    neck_lower (both edges of the neck) to struct x, y, conf; one below LANDMARK_SURE is missing. Without any points (null) lmk_empty is
+    1. ``line`` is a struct k, c of ``medial_line``.
+    """
     px, py = LANDMARK_MM
-    at = lambda n: F.try_element_at(points, F.lit(n))
-    gt, isch, head, base = at("greater_trochanter"), at("ischium"), at("head"), at("neck_base")
-    above, below = gt["y"] * py, (height - 1 - isch["y"]) * py
-    length = F.hypot((head["x"] - base["x"]) * px, (head["y"] - base["y"]) * py)
-    return F.struct(above.alias("lmk_above_gt_mm"), (above >= least_mm).cast("double").alias("lmk_above_gt_ok"), below.alias("lmk_below_isch_mm"), (below >= least_mm).cast("double").alias("lmk_below_isch_ok"), length.alias("lmk_neck_len_mm"))
+
+    def at(name: str) -> Column:
+        p = F.try_element_at(points, F.lit(name))
+        return F.when(p["conf"] >= LANDMARK_SURE, p)
+
+    far = lambda a, b: F.hypot((a["x"] - b["x"]) * px, (a["y"] - b["y"]) * py)
+    gt, isch, lt, upper, lower = (at(n) for n in ("trochanter", "ischium", "lesser", "neck_upper", "neck_lower"))
+    some, above, below = points.isNotNull(), gt["y"] * py, (height - 1 - isch["y"]) * py
+    dx, dy = (upper["x"] - lower["x"]) * px, (upper["y"] - lower["y"]) * py
+    width = F.hypot(dx, dy)
+    length = F.hypot(((upper["x"] + lower["x"]) / 2 - gt["x"]) * px, ((upper["y"] + lower["y"]) / 2 - gt["y"]) * py)
+    out = F.lit(None).cast("double") if line is None else (lt["x"] - (line["k"] * lt["y"] + line["c"])) * px
+    return F.struct(
+        (~some).cast("double").alias("lmk_empty"), above.alias("lmk_above_gt_mm"), (above >= LANDMARK_ROOM).cast("double").alias("lmk_above_gt_ok"), below.alias("lmk_below_isch_mm"), (below >= LANDMARK_ROOM).cast("double").alias("lmk_below_isch_ok"),
+        F.when(some, lt.isNull().cast("double")).alias("lmk_lt_absent"), out.alias("lmk_lt_out_mm"), width.alias("lmk_neck_w_mm"), F.abs(F.degrees(F.atan2(dx, dy + 1e-6))).alias("lmk_neck_ang"), length.alias("lmk_neck_len_mm"),
+        F.when(width > 1, length / width).alias("lmk_neck_ratio"), far(upper, gt).alias("lmk_neck_to_gt_mm"), far(gt, lt).alias("lmk_gt_lt_mm"),
+    )
 
 
 def components_of_embedding(vectors: DataFrame, column: str = "embedding", k: int = 8) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 FRAME = "frame_id"
 
@@ -123,6 +123,69 @@ def distance(mask: np.ndarray) -> np.ndarray:
     return np.sqrt((g[:, None, :] ** 2 + gap[None]).min(2))
 
 
+# The lengths of straight, diagonal and knight's steps of the distance.
+STRAIGHT, DIAGONAL, KNIGHT = 1.0, 1.4, 2.1969
+
+
+def step_distance(mask: np.ndarray) -> np.ndarray:
+    """Distance of each mask pixel to the background by straight, diagonal and knight's steps; what lies outside the image is no background.
+
+    Without background all distances are infinite.
+    """
+    d = np.where(mask, np.inf, 0.0)
+    steps = [(dy, dx, {1: STRAIGHT, 2: DIAGONAL, 5: KNIGHT}[dy * dy + dx * dx]) for dy in range(-2, 3) for dx in range(-2, 3) if dy * dy + dx * dx in (1, 2, 5)]
+    while True:
+        near = np.minimum.reduce([d] + [shifted(d, dy, dx, np.inf) + cost for dy, dx, cost in steps])
+        if (near == d).all():
+            return d
+        d = near
+
+
+def distances(masked: DataFrame) -> DataFrame:
+    """frame_id, y, x, d: step_distance of each mask pixel, to four decimals."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _image(pdf, "m", bool)
+        y, x = np.nonzero(m)
+        return pd.DataFrame({FRAME: pdf[FRAME].iloc[0], "y": y, "x": x, "d": np.round(step_distance(m)[y, x], 4)})
+
+    return masked.select(FRAME, "y", "x", "m").groupBy(FRAME).applyInPandas(one, f"{FRAME} long, y int, x int, d double")
+
+
+def outlines(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label image of the outer components (their holes filled), and for each the area and length of the polygon through its border pixels.
+
+    The walk round a component can be summed over squares of four neighbouring pixels: a full square adds its area, three of its
+    pixels half of it and one diagonal of the walk, two pixels side by side one step, and two across a diagonal that is walked to
+    and fro. Components in the holes of others are part of these.
+    """
+    parts = label(filled(mask))
+    wide = np.pad(parts, 1)
+    corners = np.stack([wide[:-1, :-1], wide[:-1, 1:], wide[1:, :-1], wide[1:, 1:]])
+    owner, held = corners.max(0), (corners > 0).sum(0)  # pixels of a square touch, so they belong to one component
+    across = (held == 2) & ((corners[0] > 0) == (corners[3] > 0))
+    area = np.select([held == 4, held == 3], [1.0, 0.5], 0.0)
+    length = np.select([held == 3, across, held == 2], [math.sqrt(2), 2 * math.sqrt(2), 1.0], 0.0)
+    n = int(parts.max(initial=0)) + 1
+    return parts, np.bincount(owner.ravel(), area.ravel(), n)[1:], np.bincount(owner.ravel(), length.ravel(), n)[1:]
+
+
+def contours(masked: DataFrame) -> DataFrame:
+    """frame_id, contour (from 1, in scan order), pixels (holes included), area and length of each outer outline of the mask."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts, area, length = outlines(_image(pdf, "m", bool))
+        return pd.DataFrame({FRAME: pdf[FRAME].iloc[0], "contour": np.arange(1, len(area) + 1), "pixels": np.bincount(parts.ravel(), minlength=len(area) + 1)[1:], "area": area, "length": length})
+
+    return masked.select(FRAME, "y", "x", "m").groupBy(FRAME).applyInPandas(one, f"{FRAME} long, contour int, pixels long, area double, length double")
+
+
+def contour_count(masked: DataFrame) -> DataFrame:
+    """frame_id, n_components: the number of outer outlines, 0 for an empty mask."""
+    found = contours(masked).groupBy(FRAME).agg(F.count("*").cast("double").alias("n_components"))
+    return masked.select(FRAME).distinct().join(found, FRAME, "left").select(FRAME, F.coalesce("n_components", F.lit(0.0)).alias("n_components"))
+
+
 def bone_mask(normal: DataFrame, thresholds: DataFrame) -> DataFrame:
     """frame_id, y, x, z, m: the top class after closing, hole filling and opening; thresholds has t2, the last of 256 steps below it."""
 

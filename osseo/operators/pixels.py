@@ -80,11 +80,15 @@ def column_profile(masked: DataFrame) -> DataFrame:
 
 
 def silhouette(masked: DataFrame) -> DataFrame:
-    """Bounding box, fill, aspect, margins, border contact and intensities of each frame's mask; empty is 1 (and the rest null or 0) without mask pixels."""
-    size = masked.groupBy(FRAME).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.avg(F.when(~F.col("m"), F.col("z"))).alias("bg_mean"))
+    """Bounding box, fill, aspect, margins, border contact and intensities of each frame's mask; empty is 1 (and the rest null or 0) without mask pixels.
+
+    saturated_frac is the share of the whole frame at its greatest value; without background its mean counts as 0.
+    """
+    topped = masked.withColumn("_top", F.max("z").over(Window.partitionBy(FRAME)))
+    size = topped.groupBy(FRAME).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.coalesce(F.avg(F.when(~F.col("m"), F.col("z"))), F.lit(0.0)).alias("bg_mean"), F.avg((F.col("z") >= F.col("_top") - 1e-6).cast("double")).alias("saturated_frac"))
     box = masked.where("m").groupBy(FRAME).agg(
         *(f(c).alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, 0), (F.max, 1))),
-        F.count("*").alias("n"), F.avg("z").alias("int_mean"), F.stddev_pop("z").alias("int_std"), F.percentile("z", F.lit(0.95)).alias("int_p95"), F.avg((F.col("z") >= 0.999).cast("double")).alias("saturated_frac"),
+        F.count("*").alias("n"), F.avg("z").alias("int_mean"), F.stddev_pop("z").alias("int_std"), F.percentile("z", F.lit(0.95)).alias("int_p95"),
     )
     both = size.join(box, FRAME, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     bw, bh = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
@@ -105,21 +109,26 @@ def axis_orientation(masked: DataFrame) -> DataFrame:
     return c.select(FRAME, F.when(angle > 90, 180 - angle).otherwise(angle).alias("axis_deg"), (4 * F.sqrt(lam)).alias("length"))
 
 
+# Fixed value: rows that a third of a column must exceed to have a slope.
+THIRD_ROWS = 10
+
+
 def centre_line(rows: DataFrame, least_rows: int = 40, frames: DataFrame | None = None) -> DataFrame:
     """Tilt, bend and width statistics of the line through the row centres; empty_spine where there are too few rows.
 
-    ``frames``: the frame_ids to give a row each, as frames with an empty mask have no rows at all.
+    Only thirds of more than THIRD_ROWS rows have a slope; without any, slopes do not differ. ``frames``: the frame_ids to give a row each, as frames with an empty mask have no rows at all.
     """
-    line = rows.groupBy(FRAME).agg(F.regr_slope("cx", "y").alias("slope"), F.regr_intercept("cx", "y").alias("icpt"), F.count("*").alias("n"), F.median(F.col("x_max") - F.col("x_min") + 1).alias("width"))
+    line = rows.groupBy(FRAME).agg(F.regr_slope("cx", "y").alias("slope"), F.regr_intercept("cx", "y").alias("icpt"), F.count("*").alias("n"), F.median(F.col("x_max") - F.col("x_min")).alias("width"), F.stddev_pop(F.col("x_max") - F.col("x_min")).alias("sd"))
     cells = rows.join(line, FRAME).withColumn("res", F.col("cx") - F.col("slope") * F.col("y") - F.col("icpt")).withColumn("third", F.ntile(3).over(Window.partitionBy(FRAME).orderBy("y")))
-    thirds = cells.groupBy(FRAME, "third").agg(F.regr_slope("cx", "y").alias("s")).groupBy(FRAME).agg((F.max("s") - F.min("s")).alias("spread"), (F.max(F.sign("s")) - F.min(F.sign("s"))).alias("signs"))
+    thirds = cells.groupBy(FRAME, "third").agg(F.when(F.count("*") > THIRD_ROWS, F.regr_slope("cx", "y")).alias("s")).groupBy(FRAME)
+    thirds = thirds.agg(F.coalesce(F.max("s") - F.min("s"), F.lit(0.0)).alias("spread"), F.coalesce(F.max(F.sign("s")) - F.min(F.sign("s")), F.lit(0.0)).alias("signs"))
     bend = cells.groupBy(FRAME).agg(F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rms"), F.max(F.abs("res")).alias("most"))
     out = line.join(bend, FRAME).join(thirds, FRAME)
     out = out if frames is None else frames.select(FRAME).distinct().join(out, FRAME, "left")
     enough = F.col("n") >= least_rows
     return out.select(
         FRAME, F.when(enough, 0.0).otherwise(1.0).alias("empty_spine"), F.when(enough, F.abs(F.degrees(F.atan("slope")))).alias("tilt_deg"), F.when(enough, F.col("rms") / (F.col("width") + 1e-6)).alias("curv_rms_norm"),
-        F.when(enough, F.col("most") / (F.col("width") + 1e-6)).alias("curv_max_norm"), F.when(enough, (F.col("signs") > 0).cast("double")).alias("slope_sign_change"), F.when(enough, F.degrees(F.atan("spread"))).alias("slope_spread"),
+        F.when(enough, F.col("most") / (F.col("width") + 1e-6)).alias("curv_max_norm"), F.when(enough, (F.col("signs") > 0).cast("double")).alias("slope_sign_change"), F.when(enough, F.degrees(F.atan("spread"))).alias("slope_spread"), F.when(enough, F.col("sd") / (F.col("width") + 1e-6)).alias("width_cv"),
     )
 
 
@@ -166,11 +175,19 @@ def visibility(masked: DataFrame) -> DataFrame:
 
 
 def field_of_view(normal: DataFrame, dark: float = 0.002, share: float = 0.98) -> DataFrame:
-    """Dark pixels, and rows and columns that are dark nearly throughout."""
+    """Dark share, shares of rows and columns that are dark nearly throughout, and the extent from the first to the last other one.
+
+    A frame without any other row or column counts as open.
+    """
     d = (F.col("z") <= dark).cast("double")
-    lines = lambda c: normal.groupBy(FRAME, c).agg(F.avg(d).alias("d")).groupBy(FRAME).agg(F.count_if(F.col("d") > share).alias(f"masked_{c}"), F.count("*").alias(f"n_{c}"))
+    lines = lambda c: normal.groupBy(FRAME, c).agg(F.avg(d).alias("d")).groupBy(FRAME).agg(F.count_if(F.col("d") > share).alias(f"masked_{c}"), F.count("*").alias(f"n_{c}"), (F.max(F.when(F.col("d") <= share, F.col(c))) - F.min(F.when(F.col("d") <= share, F.col(c))) + 1).alias(f"open_{c}"))
     got = normal.groupBy(FRAME).agg(F.avg(d).alias("masked_frac")).join(lines("x"), FRAME).join(lines("y"), FRAME)
-    return got.select(FRAME, "masked_frac", F.col("masked_x").alias("masked_cols"), F.col("masked_y").alias("masked_rows"), (1 - F.col("masked_x") / F.col("n_x")).alias("fov_w_frac"), (1 - F.col("masked_y") / F.col("n_y")).alias("fov_h_frac"))
+    seen = F.col("open_x").isNotNull() & F.col("open_y").isNotNull()
+    pick = lambda value, none: F.when(seen, value).otherwise(F.lit(none))
+    return got.select(
+        FRAME, "masked_frac", pick(F.col("masked_x") / F.col("n_x"), 0.0).alias("masked_cols"), pick(F.col("masked_y") / F.col("n_y"), 0.0).alias("masked_rows"),
+        pick(F.col("open_x") / F.col("n_x"), 1.0).alias("fov_w_frac"), pick(F.col("open_y") / F.col("n_y"), 1.0).alias("fov_h_frac"),
+    )
 
 
 def period(rows: DataFrame) -> DataFrame:
@@ -183,6 +200,22 @@ def period(rows: DataFrame) -> DataFrame:
     return scored.select(FRAME, F.expr("array_min(ac).k").alias("period"), F.expr("-array_min(ac).r").alias("strength"))
 
 
+def brightness_rows(masked: DataFrame) -> DataFrame:
+    """frame_id, y, zsum of every row of the frame: the mask's brightness in it, 0 without mask pixels."""
+    return masked.groupBy(FRAME, "y").agg(F.sum(F.when(F.col("m"), F.col("z")).otherwise(0.0)).alias("zsum"))
+
+
+def vertebra_count(masked: DataFrame, mm_y: float | None = None) -> DataFrame:
+    """n_vertebrae (rows of the mask over the period), period_px, period_strength and vertebra_mm; all 0 for an even profile or a short frame."""
+    rows = brightness_rows(masked)
+    even = rows.groupBy(FRAME).agg((F.stddev_pop("zsum") < 1e-6).alias("even"))
+    span = masked.where("m").groupBy(FRAME).agg((F.max("y") - F.min("y") + 1).alias("span"))
+    got = even.join(period(rows), FRAME, "left").join(span, FRAME, "left")
+    found = ~F.col("even") & F.col("period").isNotNull()
+    pick = lambda value: F.when(found, F.coalesce(value, F.lit(0.0))).otherwise(0.0)
+    return got.select(FRAME, pick(F.col("span") / F.col("period")).alias("n_vertebrae"), pick(F.col("period").cast("double")).alias("period_px"), pick(F.col("strength")).alias("period_strength"), pick(F.col("period") * F.lit(float(mm_y or 0))).alias("vertebra_mm"))
+
+
 def peaks(rows: DataFrame, value: str = "zsum") -> DataFrame:
     """frame_id, y of the local peaks: not below the row before and above the row after."""
     w = Window.partitionBy(FRAME).orderBy("y")
@@ -229,26 +262,49 @@ def side(masked: DataFrame) -> DataFrame:
 
 
 def route(masked: DataFrame) -> DataFrame:
-    """The region by aspect and periodicity: score, confidence and class; hips by side, unknown below 0.6, without side or 50 mask pixels."""
+    """The region by aspect and periodicity: score, confidence and class; hips by side, unknown below 0.6, without side or 50 mask pixels.
+
+    A hip's confidence is rounded to two digits; it is 0 without a side or 50 mask pixels.
+    """
     shape = silhouette(masked).select(FRAME, "bbox_aspect")
     n = masked.groupBy(FRAME).agg(F.count_if("m").alias("n"))
-    p = period(row_profile(masked)).select(FRAME, "strength")
+    p = period(brightness_rows(masked)).select(FRAME, "strength")
     both = n.join(shape, FRAME, "left").join(p, FRAME, "left").fillna(0.0, ["bbox_aspect", "strength"]).join(side(masked).select(FRAME, "side"), FRAME, "left")
     score = 0.6 * F.least(F.col("strength") / 0.35, F.lit(1.0)) + 0.4 * F.least(F.col("bbox_aspect") / 1.6, F.lit(1.0))
-    conf = F.when(F.col("score") > 0.62, F.col("score")).otherwise(1 - F.col("score"))
+    spine = F.col("score") > 0.62
+    conf = F.when(spine, F.least(F.col("score"), F.lit(1.0))).otherwise(F.least(1 - F.col("score"), F.lit(1.0)))
     hip = F.when(F.col("side") == "right", "hip_right").when(F.col("side") == "left", "hip_left").otherwise("unknown")
     found = F.when((F.col("n") < 50) | (F.col("confidence") < 0.6), "unknown").when(F.col("score") > 0.62, "spine").otherwise(hip)
-    return both.withColumn("score", score).withColumn("confidence", conf).select(FRAME, "score", F.when(F.col("n") < 50, 0.0).otherwise(F.col("confidence")).alias("confidence"), found.alias("region"))
+    sure = F.when(F.col("n") < 50, 0.0).when((F.col("confidence") < 0.6) | spine, F.col("confidence")).when(hip == "unknown", 0.0).otherwise(F.bround("confidence", 2))
+    return both.withColumn("score", score).withColumn("confidence", conf).select(FRAME, "score", sure.alias("confidence"), found.alias("region"))
+
 
+def outline_features(masked: DataFrame, network: DataFrame | None = None) -> DataFrame:
+    """The ten values of a silhouette by which regions were told before; all 0 for a frame without mask pixels.
 
-def outline_features(masked: DataFrame) -> DataFrame:
-    """The eight values of a silhouette by which regions were told before; all 0 for a frame without mask pixels."""
-    top = masked.groupBy(FRAME).agg((F.max("y") + 1).alias("h"), F.collect_list(F.when(F.col("m"), F.col("y"))).alias("ys"))  # a frame's mask pixels
-    top = top.select(FRAME, (F.size(F.filter("ys", lambda y: y < F.expr("h div 3"))) / F.greatest(F.size("ys"), F.lit(1))).alias("top_heavy"))
+    ``network`` (frame_id, y, x of mask pixels) is a network's mask; without one its area and whether it fills the frame are 0.
+    """
+    size = masked.groupBy(FRAME).agg((F.max("y") + 1).alias("h"), F.count("*").alias("px"))
+    top = masked.where("m").join(size, FRAME).groupBy(FRAME, "h", "px").agg((F.count_if(F.col("y") < F.expr("h div 3")) / F.count("*")).alias("top_heavy"))
     shape = silhouette(masked).select(FRAME, "area_frac", "bbox_aspect", "col_span")
-    found = period(row_profile(masked)).select(FRAME, F.col("strength").alias("period_strength"), F.col("period").cast("double").alias("period_lag"))
+    rows = brightness_rows(masked)
+    found = period(rows).join(rows.groupBy(FRAME).agg((F.stddev_pop("zsum") < 1e-6).alias("even")), FRAME).where("NOT even")
     both = top.join(shape, FRAME).join(column_shape(masked), FRAME, "left").join(found, FRAME, "left")
-    return both.select(FRAME, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in both.columns if c != FRAME))
+    both = both.withColumn("period_strength", F.col("strength")).withColumn("period_lag", F.col("period") / F.col("h"))
+    seen = network.groupBy(FRAME).agg(F.count("*").alias("seen")) if network is not None else masked.select(FRAME).distinct().withColumn("seen", F.lit(0))
+    both = masked.select(FRAME).distinct().join(both, FRAME, "left").join(seen, FRAME, "left").withColumn("sam_area_frac", F.col("seen") / F.col("px")).withColumn("sam_full_frame", (F.col("sam_area_frac") > 0.85).cast("double"))
+    names = ("area_frac", "bbox_aspect", "col_span", "profile_dip", "lr_symmetry", "period_strength", "period_lag", "top_heavy", "sam_area_frac", "sam_full_frame")
+    return both.select(FRAME, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
+
+
+def region_features(masked: DataFrame) -> DataFrame:
+    """What a region classifier without an embedding reads: aspect, span, fill, area, period, top_heavy, bot_heavy and row_var; zeros below 20 mask pixels."""
+    h = masked.groupBy(FRAME).agg((F.max("y") + 1).alias("h"))
+    third = masked.where("m").join(h, FRAME).groupBy(FRAME).agg(F.count("*").alias("n"), F.avg((F.col("y") < F.expr("h div 3")).cast("double")).alias("top_heavy"), F.avg((F.col("y") >= F.expr("2 * h div 3")).cast("double")).alias("bot_heavy"))
+    rows = masked.groupBy(FRAME, "y").agg(F.count_if("m").alias("n")).groupBy(FRAME).agg((F.stddev_pop("n") / (F.avg("n") + 1e-9)).alias("row_var"))
+    shape = silhouette(masked).select(FRAME, F.col("bbox_aspect").alias("aspect"), F.col("col_span").alias("span"), "fill", F.col("area_frac").alias("area"))
+    both = shape.join(third, FRAME, "left").join(rows, FRAME).join(period(brightness_rows(masked)).select(FRAME, F.col("strength").alias("period")), FRAME, "left")
+    return both.select(FRAME, *(F.when(F.col("n") >= 20, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(c) for c in ("aspect", "span", "fill", "area", "period", "top_heavy", "bot_heavy", "row_var")))
 
 
 def column_shape(masked: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ PX = """px AS (SELECT vec_id // 64 AS frame_id, CAST(vec_id % 64 AS INTEGER) AS
 NORM = (
     PX
     + """,
+fh AS (SELECT frame_id, max(y) + 1 AS h FROM px GROUP BY 1),
 lv AS (SELECT frame_id, CASE WHEN p1 <= p0 THEN v0 ELSE p0 END AS lo, CASE WHEN p1 <= p0 THEN v1 ELSE p1 END AS hi FROM (
   SELECT frame_id, quantile_cont(v, 0.005) AS p0, quantile_cont(v, 0.995) AS p1, min(v) AS v0, max(v) AS v1 FROM px GROUP BY 1)),
 nm AS (SELECT px.frame_id, y, x, v, CASE WHEN hi = lo THEN 0.0 ELSE least(greatest((v - lo) / (hi - lo), 0.0), 1.0) END AS z FROM px JOIN lv USING (frame_id))"""
@@ -23,9 +24,13 @@ ROWS = (
     + """,
 rw AS (SELECT frame_id, y, count(*) AS n, min(x) AS x_min, max(x) AS x_max, avg(x) AS cx, sum(z) AS zsum, sum(x * (z + 1e-6)) / sum(z + 1e-6) AS wx FROM mk WHERE m GROUP BY 1, 2)"""
 )
-SHAPE = """sh AS (SELECT frame_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) AS n, avg(z) AS int_mean, stddev_pop(z) AS int_std, quantile_cont(z, 0.95) AS int_p95,
-  avg(CASE WHEN z >= 0.999 THEN 1.0 ELSE 0.0 END) AS saturated_frac FROM mk WHERE m GROUP BY 1),
-sz AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h, avg(z) FILTER (NOT m) AS bg_mean FROM mk GROUP BY 1)"""
+SHAPE = """sh AS (SELECT frame_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) AS n, avg(z) AS int_mean, stddev_pop(z) AS int_std, quantile_cont(z, 0.95) AS int_p95 FROM mk WHERE m GROUP BY 1),
+sz AS (SELECT frame_id, max(x) + 1 AS w, max(y) + 1 AS h, avg(z) FILTER (NOT m) AS bg_mean, avg(CASE WHEN z >= top - 1e-6 THEN 1.0 ELSE 0.0 END) AS saturated_frac FROM (SELECT *, max(z) OVER (PARTITION BY frame_id) AS top FROM mk) GROUP BY 1)"""
+# the profile over all rows of a frame, and its period
+FULL = """fp AS (SELECT frame_id, y, sum(CASE WHEN m THEN z ELSE 0 END) AS zsum FROM mk GROUP BY 1, 2), pf AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i, count(*) OVER (PARTITION BY frame_id) AS n, zsum - avg(zsum) OVER (PARTITION BY frame_id) AS p FROM fp),
+lg AS (SELECT DISTINCT frame_id, unnest(generate_series(greatest(3, CAST(floor(0.08 * n) AS INTEGER)), greatest(5, CAST(floor(0.45 * n) AS INTEGER)) - 1)) AS k FROM pf),
+ac AS (SELECT lg.frame_id, lg.k, round(sum(a.p * b.p) / (any_value(t.e) + 1e-9), 9) AS r FROM lg JOIN pf a ON a.frame_id = lg.frame_id JOIN pf b ON b.frame_id = lg.frame_id AND b.i = a.i + lg.k JOIN (SELECT frame_id, sum(p * p) AS e FROM pf GROUP BY 1) t ON t.frame_id = lg.frame_id GROUP BY 1, 2),
+pd AS (SELECT frame_id, arg_min(k, struct_pack(r := -r, k := k)) AS period, max(r) AS strength FROM ac GROUP BY 1)"""
 PERIOD = """pf AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i, count(*) OVER (PARTITION BY frame_id) AS n, zsum - avg(zsum) OVER (PARTITION BY frame_id) AS p FROM rw),
 lg AS (SELECT DISTINCT frame_id, unnest(generate_series(greatest(3, CAST(floor(0.08 * n) AS INTEGER)), greatest(5, CAST(floor(0.45 * n) AS INTEGER)) - 1)) AS k FROM pf),
 ac AS (SELECT lg.frame_id, lg.k, round(sum(a.p * b.p) / (any_value(t.e) + 1e-9), 9) AS r FROM lg JOIN pf a ON a.frame_id = lg.frame_id JOIN pf b ON b.frame_id = lg.frame_id AND b.i = a.i + lg.k
@@ -119,6 +124,48 @@ rc AS (SELECT frame_id, id, other FROM ed UNION SELECT rc.frame_id, rc.id, ed.ot
 lb AS (SELECT frame_id, id, min(other) AS root FROM rc GROUP BY 1, 2), ar AS (SELECT frame_id, root, count(*) AS area FROM lb GROUP BY 1, 2)"""
 
 
+def _outlines(of: str) -> str:
+    """ol: root, pixels, area and length of the outer outlines of ``of``, holes filled: what the outside reaches in four directions is no part of them."""
+    return f"""ou AS (SELECT DISTINCT frame_id, -1 AS y, -1 AS x FROM nm UNION SELECT o.frame_id, o.y + dy, o.x + dx FROM ou o, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(dy, dx)
+  WHERE o.y + dy BETWEEN -1 AND 64 AND o.x + dx BETWEEN -1 AND 64 AND NOT EXISTS (SELECT 1 FROM {of} b WHERE b.frame_id = o.frame_id AND b.y = o.y + dy AND b.x = o.x + dx)),
+fl AS MATERIALIZED (SELECT frame_id, y, x FROM nm WHERE NOT EXISTS (SELECT 1 FROM ou WHERE ou.frame_id = nm.frame_id AND ou.y = nm.y AND ou.x = nm.x)),
+{_parts("fl")},
+ce0 AS (SELECT lb.frame_id, root, id // 4096 + dy AS cy, id % 4096 + dx AS cx, count(*) AS c, sum(CASE WHEN dy = dx THEN 1 ELSE 0 END) AS same FROM lb, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(dy, dx) GROUP BY 1, 2, 3, 4),
+ol AS (SELECT frame_id, root, any_value(ar.area) AS pixels, sum(CASE c WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5 ELSE 0 END) AS area, sum(CASE WHEN c = 3 THEN sqrt(2) WHEN c = 2 AND same <> 1 THEN 2 * sqrt(2) WHEN c = 2 THEN 1 ELSE 0 END) AS length FROM ce0 JOIN ar USING (frame_id, root) GROUP BY 1, 2)"""
+
+
+OTSU = """hs AS (SELECT frame_id, CAST(floor(z * 255) AS INTEGER) AS bin, count(*) AS n FROM nm GROUP BY 1, 2),
+cu AS (SELECT frame_id, bin, CAST(sum(n) OVER w AS DOUBLE) AS cn, CAST(sum(n * bin) OVER w AS DOUBLE) AS cs FROM hs WINDOW w AS (PARTITION BY frame_id ORDER BY bin)),
+wh AS (SELECT frame_id, max(cn) AS tn, max(cs) AS ts, max(bin) AS lb FROM cu GROUP BY 1),
+pr AS (SELECT a.frame_id, a.bin AS t1, b.bin AS t2, round(a.cs * a.cs / a.cn + (b.cs - a.cs) * (b.cs - a.cs) / (b.cn - a.cn) + (ts - b.cs) * (ts - b.cs) / (tn - b.cn), 6) AS s
+  FROM cu a JOIN cu b ON a.frame_id = b.frame_id AND a.bin < b.bin JOIN wh ON wh.frame_id = a.frame_id WHERE b.bin < lb),
+th0 AS (SELECT frame_id, t1, t2 FROM pr QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY s DESC, t1, t2) = 1)"""
+
+
+def _round_element(size: int) -> tuple[int, int, str]:
+    r = size // 2
+    return r, r, f"abs(dx) <= round_even(sqrt({r * r} - dy * dy), 0)"
+
+
+def _grown(name: str, of: str, ry: int, rx: int, inside: str = "true") -> str:
+    """The pixels of ``of`` and all that an element at them covers, within the frame."""
+    return f"{name} AS MATERIALIZED (SELECT DISTINCT o.frame_id, CAST(o.y + dy AS INTEGER) AS y, CAST(o.x + dx AS INTEGER) AS x FROM {of} o JOIN fh USING (frame_id), range({-ry}, {ry + 1}) s(dy), range({-rx}, {rx + 1}) t(dx) WHERE {inside} AND o.y + dy BETWEEN 0 AND h - 1 AND o.x + dx BETWEEN 0 AND 63)"
+
+
+def _shrunk(name: str, of: str, ry: int, rx: int, inside: str = "true") -> str:
+    """The pixels whose element, as far as it lies within the frame, holds pixels of ``of`` only."""
+    return f"""{name} AS MATERIALIZED (SELECT g.frame_id, g.y, g.x FROM (SELECT frame_id, y, x, CAST(y + dy AS INTEGER) AS oy, CAST(x + dx AS INTEGER) AS ox FROM nm JOIN fh USING (frame_id), range({-ry}, {ry + 1}) s(dy), range({-rx}, {rx + 1}) t(dx) WHERE {inside} AND y + dy BETWEEN 0 AND h - 1 AND x + dx BETWEEN 0 AND 63) g
+  LEFT JOIN {of} o ON o.frame_id = g.frame_id AND o.y = oy AND o.x = ox GROUP BY 1, 2, 3 HAVING count(o.y) = count(*))"""
+
+
+# the chain of every tenth row's centre, and pixels in its frame
+CHAIN = """cp AS (SELECT frame_id, y AS y0, wx AS x0, lead(y) OVER w AS y1, lead(wx) OVER w AS x1, row_number() OVER w AS i, count(*) OVER (PARTITION BY frame_id) AS n FROM rw WHERE y % 10 = 8 WINDOW w AS (PARTITION BY frame_id ORDER BY y)),
+axr AS (SELECT r.frame_id, r.y, x0 + (x1 - x0) * (r.y - y0) / (y1 - y0) AS axis, i - 1 + (r.y - y0) / (y1 - y0) AS along FROM (SELECT DISTINCT frame_id, y FROM nm) r JOIN cp ON cp.frame_id = r.frame_id AND y1 IS NOT NULL AND (r.y >= y0 OR i = 1) AND (r.y < y1 OR i = n - 1)),
+ptc AS (SELECT frame_id, median(y1 - y0) AS pitch FROM cp GROUP BY 1),
+rfc AS (SELECT cp.frame_id, median(z) AS ref FROM cp, range(-3, 4) s(dy), range(-6, 7) t(dx), nm WHERE nm.frame_id = cp.frame_id AND nm.y = cp.y0 + dy AND nm.x = CAST(round_even(cp.x0, 0) AS INTEGER) + dx GROUP BY 1),
+al0 AS MATERIALIZED (SELECT nm.frame_id, nm.y, nm.x, z, nm.x - axis AS across, along, pitch, ref FROM nm JOIN axr USING (frame_id, y) JOIN ptc USING (frame_id) JOIN rfc USING (frame_id))"""
+
+
 SQL = {
     "frame_offset": _q(MASK, "SELECT frame_id, avg(x) FILTER (m) / max(x) - 0.5 AS cx_rel, abs(avg(x) FILTER (m) / max(x) - 0.5) AS cx_abs FROM mk GROUP BY 1", "cx_rel", "cx_abs"),
     "gaussian_profile": _q(
@@ -137,14 +184,54 @@ FROM gp JOIN ex USING (frame_id) GROUP BY 1 HAVING count(*) >= 2""",
     ),
     "nearest_peak": _q(ROWS + ",\n" + PEAKS, ", tg AS (SELECT frame_id, max(y) * 0.6::DOUBLE AS t FROM rw GROUP BY 1) SELECT frame_id, y, abs(y - t) AS distance FROM pk JOIN tg USING (frame_id) QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY abs(y - t), y) = 1", "distance"),
     "vertebra_levels": _q(
-        ROWS,
-        """, lv4 AS (SELECT *, ntile(4) OVER (PARTITION BY frame_id ORDER BY y) AS level FROM rw),
-l AS (SELECT frame_id, level, min(y) AS top, max(y) AS bottom, max(y) - min(y) + 1 AS height, median(n) AS width, sum(cx * n) / sum(n) AS cx, sum(y * n) / sum(n) AS cy FROM lv4 GROUP BY 1, 2 HAVING sum(n) >= 50),
-g AS (SELECT frame_id, count(*) AS k, avg(height) AS unit, min(top) AS top, max(bottom) AS bottom, median(width / height) AS asp, arg_min(cx, level) AS ax, arg_min(cy, level) AS ay, arg_max(cx, level) AS bx, arg_max(cy, level) AS b_y, regr_slope(width, level) AS ws FROM l GROUP BY 1),
-h AS (SELECT frame_id, max(y) + 1 AS h FROM rw GROUP BY 1)
-SELECT frame_id, CASE WHEN k >= 2 THEN top / unit ELSE -1.0 END AS vl_gap_top_bodies, CASE WHEN k >= 2 THEN (h - 1 - bottom) / unit ELSE -1.0 END AS vl_gap_bot_bodies, CASE WHEN k >= 2 THEN degrees(atan((bx - ax) / (b_y - ay))) ELSE -1.0 END AS vl_tilt_ends,
- CASE WHEN k >= 2 THEN asp ELSE -1.0 END AS vl_aspect_med, CASE WHEN k > 2 THEN ws ELSE -1.0 END AS vl_width_slope, CASE WHEN k >= 2 THEN unit ELSE -1.0 END AS vl_body_h_px FROM g JOIN h USING (frame_id)""",
-        "vl_gap_top_bodies", "vl_gap_bot_bodies", "vl_tilt_ends", "vl_aspect_med", "vl_width_slope", "vl_body_h_px",
+        MASK,
+        """, lm AS (SELECT frame_id, y, x, CAST(1 + y // 16 AS INTEGER) AS level FROM mk WHERE m AND y % 16 < 14), hh AS (SELECT frame_id, max(y) + 1 AS h FROM mk GROUP BY 1),
+b0 AS (SELECT frame_id, level, count(*) AS n, min(y) AS top, max(y) AS bottom, avg(x) AS cx, avg(y) AS cy FROM lm GROUP BY 1, 2 HAVING count(*) >= 50),
+wr AS (SELECT frame_id, level, median(coalesce(c, 0)) AS width FROM (SELECT frame_id, level, unnest(generate_series(top, bottom)) AS y FROM b0) LEFT JOIN (SELECT frame_id, level, y, count(*) AS c FROM lm GROUP BY 1, 2, 3) USING (frame_id, level, y) GROUP BY 1, 2),
+l AS (SELECT *, bottom - top + 1 AS height, (bottom - top + 1) / greatest(width, 1) AS asp, avg(bottom - top + 1) OVER (PARTITION BY frame_id) AS unit, avg(cx) OVER (PARTITION BY frame_id) AS axis, row_number() OVER (PARTITION BY frame_id ORDER BY level) - 1 AS i FROM b0 JOIN wr USING (frame_id, level)),
+ln3 AS (SELECT frame_id, regr_slope(cx, cy) AS s, regr_intercept(cx, cy) AS c FROM l GROUP BY 1),
+g AS (SELECT frame_id, count(*) AS k, any_value(unit) AS unit, any_value(axis) AS axis, arg_min(top, level) AS top, arg_max(bottom, level) AS bottom, median(asp) AS asp, arg_min(cx, level) AS ax, arg_min(cy, level) AS ay, arg_max(cx, level) AS bx, arg_max(cy, level) AS b_y, regr_slope(asp, i) AS sa, regr_slope(width / greatest(unit, 1), i) AS sw, max(abs(cx - s * cy - c)) AS off FROM l JOIN ln3 USING (frame_id) GROUP BY 1),
+as2 AS (SELECT frame_id, count(*) FILTER (x < floor(axis)) AS lf, count(*) FILTER (x >= floor(axis)) AS rt FROM lm JOIN g USING (frame_id) GROUP BY 1)
+SELECT frame_id, top / unit AS vl_gap_top_bodies, (h - 1 - bottom) / unit AS vl_gap_bot_bodies, degrees(atan((bx - ax) / greatest(b_y - ay, 1e-6))) AS vl_tilt_ends, off / unit AS vl_tilt_resid, asp AS vl_aspect_med, sa AS vl_aspect_slope, sw AS vl_width_slope, abs(lf - rt) / greatest(lf + rt, 1) AS vl_lr_asym, unit / h AS vl_body_h_px
+FROM g JOIN hh USING (frame_id) JOIN as2 USING (frame_id) WHERE k > 2""",
+        "vl_gap_top_bodies", "vl_gap_bot_bodies", "vl_tilt_ends", "vl_tilt_resid", "vl_aspect_med", "vl_aspect_slope", "vl_width_slope", "vl_lr_asym", "vl_body_h_px",
+    ),
+    "spine_levels": _q(
+        ROWS + BONE[len(MASK):] + ",\n" + PEAKS,
+        """, sz0 AS (SELECT frame_id, max(y) + 1 AS h, max(x) + 1 AS w, min(y) FILTER (m) AS top FROM bn GROUP BY 1), mr AS (SELECT frame_id, y, (min(x) + max(x)) / 2 AS c FROM bn WHERE m GROUP BY 1, 2),
+cm AS (SELECT frame_id, floor(median(c)) AS c, any_value(h) AS h, any_value(w) AS w, any_value(top) AS top FROM mr JOIN sz0 USING (frame_id) WHERE y >= floor(0.35::DOUBLE * h) AND y < floor(0.65::DOUBLE * h) GROUP BY 1),
+sp0 AS (SELECT frame_id, y, count(*) AS n FROM mk JOIN cm USING (frame_id) WHERE m AND y >= floor(0.5::DOUBLE * h) AND (x < c - greatest(4, floor(0.16::DOUBLE * w)) OR x >= c + greatest(4, floor(0.16::DOUBLE * w))) GROUP BY 1, 2),
+cr AS (SELECT frame_id, min(y) AS crest FROM (SELECT *, max(n) OVER (PARTITION BY frame_id) AS most FROM sp0) WHERE most >= 3 AND n >= greatest(2, 0.15::DOUBLE * most) GROUP BY 1),
+dk AS (SELECT pk.frame_id, pk.y, crest, row_number() OVER (PARTITION BY pk.frame_id ORDER BY pk.y) - 1 AS i, count(*) OVER (PARTITION BY pk.frame_id) AS n FROM pk JOIN cr USING (frame_id)),
+at0 AS (SELECT frame_id, arg_min(i, struct_pack(d := abs(y - crest), i := i)) AS k FROM dk WHERE n >= 2 GROUP BY 1),
+kp AS (SELECT dk.*, k FROM dk JOIN at0 USING (frame_id) WHERE i >= k - 4 AND i <= k + 2),
+st AS (SELECT frame_id, min(y) AS first, median(g) AS step, count(*) AS kept, max(n) AS n, least(max(k), 4) AS k, max(crest) AS crest FROM (SELECT *, y - lag(y) OVER (PARTITION BY frame_id ORDER BY y) AS g FROM kp) GROUP BY 1)
+SELECT frame_id, 0.0::DOUBLE AS no_levels, crest / h AS crest_rel, CAST(n - kept AS DOUBLE) AS levels_dropped, CAST(4 - k AS DOUBLE) AS top_vertebra, CAST(4 - k <= 1 AND (first - top) / greatest(coalesce(step, 1), 1) > 0.7::DOUBLE AS DOUBLE) AS l1_visible, CAST(crest < 0.97::DOUBLE * h AS DOUBLE) AS crest_in_frame, CAST(kept - k - 1 AS DOUBLE) AS levels_below_crest FROM st JOIN cm USING (frame_id)""",
+        "crest_rel",
+    ),
+    "medial_line": _q(
+        BONE,
+        """, e0 AS (SELECT frame_id, y, max(x) AS x FROM bn WHERE m GROUP BY 1, 2), s0 AS (SELECT frame_id, count(*) AS n, min(y) AS a, max(y) AS b FROM bn WHERE m GROUP BY 1)
+SELECT frame_id, regr_slope(x, y) AS k, regr_intercept(x, y) AS c FROM e0 JOIN s0 USING (frame_id) WHERE n > 200 AND y >= floor(a + 0.6::DOUBLE * (b - a)) AND y < b GROUP BY 1 HAVING count(*) > 10""",
+        "k", "c",
+    ),
+    "femur_points": _q(
+        BONE,
+        """, fg AS MATERIALIZED (SELECT frame_id, y, x FROM bn WHERE m), bg AS MATERIALIZED (SELECT frame_id, y, x FROM bn WHERE NOT m),
+dd AS (SELECT fg.frame_id, fg.y, fg.x, abs(fg.y - bg.y) AS a, abs(fg.x - bg.x) AS b FROM fg JOIN bg ON fg.frame_id = bg.frame_id AND abs(fg.y - bg.y) + abs(fg.x - bg.x) < 60),
+di AS MATERIALIZED (SELECT frame_id, y, x, round(min(CASE WHEN greatest(a, b) >= 2 * least(a, b) THEN 2.1969::DOUBLE * least(a, b) + greatest(a, b) - 2 * least(a, b) ELSE 2.1969::DOUBLE * (greatest(a, b) - least(a, b)) + 1.4::DOUBLE * (2 * least(a, b) - greatest(a, b)) END), 4) AS d FROM dd GROUP BY 1, 2, 3),
+pl AS MATERIALIZED (SELECT di.*, sf.y_lo, sf.span, sf.fx, sf.fy, radians(ang) AS a, round(-((x - fx) * cos(radians(ang)) - (y - fy) * sin(radians(ang))), 9) AS off, 2 * mx AS w, 2 * my AS h FROM di JOIN sf USING (frame_id) WHERE px >= 50 AND fn >= 10),
+hd AS (SELECT frame_id, y AS hy, x AS hx, d AS hr, a, fx, fy, w, h FROM pl WHERE off < 0 AND y < y_lo + 0.45::DOUBLE * span QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY d DESC, y, x) = 1),
+gt0 AS (SELECT frame_id, max(off) AS gt FROM pl WHERE y < y_lo + 0.55::DOUBLE * span GROUP BY 1), sd0 AS (SELECT frame_id, median(d) AS sd FROM pl WHERE y >= floor(y_lo + 0.8::DOUBLE * span) GROUP BY 1),
+wk AS (SELECT hd.*, k, hx + (fx - hx) * (k / 119::DOUBLE) AS px, hy + (fy - hy) * (k / 119::DOUBLE) AS py FROM hd, range(120) t(k) WHERE k / 119::DOUBLE > 0.15::DOUBLE AND k / 119::DOUBLE < 0.75::DOUBLE),
+nk AS (SELECT wk.frame_id, px, py, coalesce(d, 0) AS nr FROM wk LEFT JOIN di ON di.frame_id = wk.frame_id AND di.y = CAST(floor(py) AS INTEGER) AND di.x = CAST(floor(px) AS INTEGER) QUALIFY row_number() OVER (PARTITION BY wk.frame_id ORDER BY coalesce(d, 0), k) = 1),
+fin AS (SELECT *, sqrt((hx - px) ** 2 + (hy - py) ** 2) AS nl FROM hd JOIN nk USING (frame_id) JOIN gt0 USING (frame_id) JOIN sd0 USING (frame_id))
+SELECT frame_id, 0.0::DOUBLE AS empty_lm, hr AS prox_r_px, nl / (2 * hr) AS prox_dist_ratio, nr / hr AS isthmus_ratio, degrees(acos(least(greatest(((hx - px) * sin(a) + (hy - py) * cos(a)) / (nl + 1e-6), -1), 1))) AS prox_axis_deg, gt / (2 * hr) AS gt_offset_ratio, 2 * hr / (2 * sd + 1e-6) AS prox_shaft_ratio FROM fin""",
+        "prox_r_px", "prox_dist_ratio", "isthmus_ratio", "prox_axis_deg", "gt_offset_ratio", "prox_shaft_ratio",
+    ),
+    "contours": _q(
+        "RECURSIVE " + MASK + ",\nmp AS MATERIALIZED (SELECT frame_id, y, x FROM mk WHERE m),\n" + _outlines("mp"),
+        "SELECT frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY root) AS INTEGER) AS contour, pixels, area, length FROM ol", "length",
     ),
     "femur_shape": _q(
         BONE + ",\nup AS (SELECT frame_id, mx, my, radians(-ang) AS a FROM sf),\ntr AS (" + TURNED.format(of="bn", by="up") + ")",
@@ -170,11 +257,23 @@ SELECT sf.frame_id, CAST(sw IS NULL AS DOUBLE) AS empty_femur, CASE WHEN sw IS N
 SELECT frame_id, CASE WHEN s > 0.62::DOUBLE THEN 'spine' WHEN two THEN 'hip_both' ELSE 'hip_single' END AS guess, round_even(CASE WHEN s > 0.62::DOUBLE THEN least(s, 1) WHEN two THEN least(dip + 0.2::DOUBLE, 1) ELSE greatest(0.3::DOUBLE, 1 - s) END, 2) AS confidence FROM q""",
     ),
     "outline_features": _q(
-        ROWS + ",\n" + SHAPE + ",\n" + PERIOD + ",\n" + COLUMNS + ",\ntp AS (SELECT frame_id, avg(CASE WHEN y < (h // 3) THEN 1.0 ELSE 0.0 END) AS top_heavy FROM mk JOIN sz USING (frame_id) WHERE m GROUP BY 1)",
-        """SELECT frame_id, top_heavy, n / (w * h) AS area_frac, (y1 - y0 + 1) / (x1 - x0 + 1) AS bbox_aspect, (x1 - x0 + 1) / w AS col_span, dip AS profile_dip, sym AS lr_symmetry, strength AS period_strength, CAST(period AS DOUBLE) AS period_lag
+        MASK + ",\n" + SHAPE + ",\n" + FULL + ",\n" + COLUMNS + ",\ntp AS (SELECT frame_id, avg(CASE WHEN y < (h // 3) THEN 1.0 ELSE 0.0 END) AS top_heavy FROM mk JOIN sz USING (frame_id) WHERE m GROUP BY 1)",
+        """SELECT frame_id, top_heavy, n / (w * h) AS area_frac, (y1 - y0 + 1) / (x1 - x0 + 1) AS bbox_aspect, (x1 - x0 + 1) / w AS col_span, dip AS profile_dip, sym AS lr_symmetry, strength AS period_strength, period / h AS period_lag, 0.0::DOUBLE AS sam_area_frac, 0.0::DOUBLE AS sam_full_frame
 FROM tp JOIN sh USING (frame_id) JOIN sz USING (frame_id) JOIN cs USING (frame_id) JOIN pd USING (frame_id)""",
         "top_heavy", "area_frac", "bbox_aspect", "col_span", "profile_dip", "lr_symmetry", "period_strength", "period_lag",
     ),
+    "region_features": _q(
+        MASK + ",\n" + SHAPE + ",\n" + FULL + ",\ntp AS (SELECT frame_id, avg(CASE WHEN y < (h // 3) THEN 1.0 ELSE 0.0 END) AS top_heavy, avg(CASE WHEN y >= (2 * h // 3) THEN 1.0 ELSE 0.0 END) AS bot_heavy FROM mk JOIN sz USING (frame_id) WHERE m GROUP BY 1)"
+        ",\nrv AS (SELECT frame_id, stddev_pop(n) / (avg(n) + 1e-9) AS row_var FROM (SELECT frame_id, y, count(*) FILTER (m) AS n FROM mk GROUP BY 1, 2) GROUP BY 1)",
+        """SELECT frame_id, (y1 - y0 + 1) / (x1 - x0 + 1) AS aspect, (x1 - x0 + 1) / w AS span, n / ((x1 - x0 + 1) * (y1 - y0 + 1)) AS fill, n / (w * h) AS area, strength AS period, top_heavy, bot_heavy, row_var
+FROM tp JOIN sh USING (frame_id) JOIN sz USING (frame_id) JOIN pd USING (frame_id) JOIN rv USING (frame_id)""",
+        "aspect", "span", "fill", "area", "period", "top_heavy", "bot_heavy", "row_var",
+    ),
+    "vertebra_count": _q(
+        MASK + ",\n" + SHAPE + ",\n" + FULL,
+        "SELECT frame_id, (y1 - y0 + 1) / period AS n_vertebrae, CAST(period AS DOUBLE) AS period_px, strength AS period_strength, period * 1.05::DOUBLE AS vertebra_mm FROM sh JOIN pd USING (frame_id)",
+        "n_vertebrae", "period_strength", "vertebra_mm",
+    ),
     "artifact_inside": _q(
         "RECURSIVE " + MASK + ",\n" + _hat(11) + ",\nst AS (SELECT frame_id, count(*) AS n, greatest(12, floor(quantile_cont(hat, 0.99))) AS cut, avg(CASE WHEN z >= 0.995::DOUBLE THEN 1.0 ELSE 0.0 END) AS sat, quantile_cont(z, 0.99) - median(z) AS con FROM ht WHERE m GROUP BY 1),"
         "\nhp AS MATERIALIZED (SELECT frame_id, y, x FROM ht JOIN st USING (frame_id) WHERE m AND hat >= cut),\n" + _parts("hp"),
@@ -187,10 +286,8 @@ SELECT frame_id, 0.0::DOUBLE AS in_empty, coalesce(hot, 0) / n AS in_hot_frac, c
 mb AS MATERIALIZED (SELECT DISTINCT frame_id, y + dy AS y, x + dx AS x FROM mk, range(-3, 4) s(dy), range(-3, 4) t(dx) WHERE m),
 ot AS MATERIALIZED (SELECT ht.frame_id, ht.y, ht.x, CASE WHEN mb.y IS NULL THEN hat ELSE 0 END AS hat FROM ht LEFT JOIN mb ON mb.frame_id = ht.frame_id AND mb.y = ht.y AND mb.x = ht.x),
 hp AS MATERIALIZED (SELECT frame_id, y, x FROM ot WHERE hat >= 25),
-fe AS (SELECT a.frame_id, a.y * 4096 + a.x AS id, 4 - count(b.x) AS free FROM hp a LEFT JOIN hp b ON a.frame_id = b.frame_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY 1, 2),
-""" + _parts("hp"),
-        """, el2 AS (SELECT frame_id, root, count(*) AS area, sum(free) AS edge FROM lb JOIN fe USING (frame_id, id) GROUP BY 1, 2 HAVING count(*) >= 8),
-pt AS (SELECT frame_id, count(*) FILTER (e > 6) AS n, max(e) FILTER (e > 6) AS e, sum(area) AS area FROM (SELECT *, edge * edge / (4 * pi() * area) AS e FROM el2) GROUP BY 1),
+""" + _outlines("hp"),
+        """, pt AS (SELECT frame_id, count(*) FILTER (e > 6) AS n, max(e) FILTER (e > 6) AS e, sum(area) AS area FROM (SELECT *, length * length / (4 * pi() * area + 1e-9) AS e FROM ol WHERE area >= 8) GROUP BY 1),
 al AS (SELECT frame_id, count(*) AS px, avg(hat) / 255 AS b, avg(hat) FILTER (up) / 255 AS u, avg(CASE WHEN hat >= 25 THEN 1.0 ELSE 0.0 END) FILTER (up) AS t FROM (SELECT *, y < floor(0.45::DOUBLE * (max(y) OVER (PARTITION BY frame_id) + 1)) AS up FROM ot) GROUP BY 1)
 SELECT frame_id, CAST(coalesce(n, 0) AS DOUBLE) AS thin_n, CAST(coalesce(e, 0) AS DOUBLE) AS thin_elong, coalesce(area, 0) / px AS thin_area_frac, b AS outside_bright, u AS outside_bright_upper, t AS thin_upper_frac FROM al LEFT JOIN pt USING (frame_id)""",
         "thin_elong", "thin_area_frac", "outside_bright", "outside_bright_upper", "thin_upper_frac",
@@ -240,10 +337,15 @@ SELECT frame_id, sqrt(d2) AS radius, y, x FROM d QUALIFY row_number() OVER (PART
         "score",
     ),
     "landmark_rules": _q(
-        "e AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)) * 200) AS e FROM embeddings)",
-        """SELECT vec_id, e[2] * 0.73::DOUBLE AS lmk_above_gt_mm, CAST(e[2] * 0.73::DOUBLE >= 30 AS DOUBLE) AS lmk_above_gt_ok, CASE WHEN vec_id % 3 <> 0 THEN (63 - e[8]) * 0.73::DOUBLE END AS lmk_below_isch_mm,
- CASE WHEN vec_id % 3 <> 0 THEN CAST((63 - e[8]) * 0.73::DOUBLE >= 30 AS DOUBLE) END AS lmk_below_isch_ok, sqrt(((e[3] - e[5]) * 0.6::DOUBLE) ** 2 + ((e[4] - e[6]) * 0.73::DOUBLE) ** 2) AS lmk_neck_len_mm FROM e""",
-        "lmk_above_gt_mm", "lmk_below_isch_mm", "lmk_neck_len_mm",
+        """t AS (SELECT vec_id, [list_sum(list_transform(list_filter(list_zip(embedding, range(64)), lambda p: p[2] % 15 = k), lambda p: abs(CAST(p[1] AS DOUBLE)) * 60)) for k in range(15)] AS t FROM embeddings),
+p AS (SELECT vec_id, vec_id % 7 > 0 AS ok, CASE WHEN t[3] / 80 >= 0.2 THEN t[1] END AS gx, CASE WHEN t[3] / 80 >= 0.2 THEN t[2] END AS gy, CASE WHEN t[6] / 80 >= 0.2 THEN t[5] END AS iy, CASE WHEN t[9] / 80 >= 0.2 THEN t[7] END AS lx, CASE WHEN t[9] / 80 >= 0.2 THEN t[8] END AS ly,
+  CASE WHEN t[12] / 80 >= 0.2 THEN t[10] END AS ux, CASE WHEN t[12] / 80 >= 0.2 THEN t[11] END AS uy, CASE WHEN t[15] / 80 >= 0.2 THEN t[13] END AS dx, CASE WHEN t[15] / 80 >= 0.2 THEN t[14] END AS dy FROM t)""",
+        """, m AS (SELECT vec_id, ok, gy * 0.73::DOUBLE AS ab, (63 - iy) * 0.73::DOUBLE AS be, lx, (lx - (0.25 * ly + 10)) * 0.6::DOUBLE AS lo, sqrt(((ux - dx) * 0.6::DOUBLE) ** 2 + ((uy - dy) * 0.73::DOUBLE) ** 2) AS nw, abs(degrees(atan2((ux - dx) * 0.6::DOUBLE, (uy - dy) * 0.73::DOUBLE + 1e-6))) AS na,
+  sqrt((((ux + dx) / 2 - gx) * 0.6::DOUBLE) ** 2 + (((uy + dy) / 2 - gy) * 0.73::DOUBLE) ** 2) AS nl, sqrt(((ux - gx) * 0.6::DOUBLE) ** 2 + ((uy - gy) * 0.73::DOUBLE) ** 2) AS ng, sqrt(((gx - lx) * 0.6::DOUBLE) ** 2 + ((gy - ly) * 0.73::DOUBLE) ** 2) AS gl FROM p)
+SELECT vec_id, CAST(NOT ok AS DOUBLE) AS lmk_empty, CASE WHEN ok THEN ab END AS lmk_above_gt_mm, CASE WHEN ok THEN CAST(ab >= 30 AS DOUBLE) END AS lmk_above_gt_ok, CASE WHEN ok THEN be END AS lmk_below_isch_mm, CASE WHEN ok THEN CAST(be >= 30 AS DOUBLE) END AS lmk_below_isch_ok,
+ CASE WHEN ok THEN CAST(lx IS NULL AS DOUBLE) END AS lmk_lt_absent, CASE WHEN ok AND vec_id % 2 = 0 THEN lo END AS lmk_lt_out_mm, CASE WHEN ok THEN nw END AS lmk_neck_w_mm, CASE WHEN ok THEN na END AS lmk_neck_ang, CASE WHEN ok THEN nl END AS lmk_neck_len_mm, CASE WHEN ok AND nw > 1 THEN nl / nw END AS lmk_neck_ratio,
+ CASE WHEN ok THEN ng END AS lmk_neck_to_gt_mm, CASE WHEN ok THEN gl END AS lmk_gt_lt_mm FROM m""",
+        "lmk_above_gt_mm", "lmk_below_isch_mm", "lmk_lt_out_mm", "lmk_neck_w_mm", "lmk_neck_ang", "lmk_neck_len_mm", "lmk_neck_ratio", "lmk_neck_to_gt_mm", "lmk_gt_lt_mm",
     ),
     "head_contributions": _q(
         "e AS (SELECT vec_id, i, (i * 7 % 16 - 7.5::DOUBLE) / 4 * (CAST(embedding[i + 1] AS DOUBLE) - 0.01::DOUBLE * (i % 8)) AS impact FROM embeddings, range(64) t(i))",
@@ -268,14 +370,59 @@ hm AS (SELECT frame_id, arg_min(bin, struct_pack(n := -n, bin := bin)) > 32 AS i
 SELECT frame_id, avg(CASE WHEN inverted THEN b - v ELSE v END) AS v_mean, bool_or(inverted) AS inverted FROM p1 JOIN e1 USING (frame_id) JOIN hm USING (frame_id) GROUP BY 1""",
         "v_mean",
     ),
-    "otsu_threshold": _q(
-        NORM,
-        """, hs AS (SELECT frame_id, CAST(floor(z * 255) AS INTEGER) AS bin, count(*) AS n FROM nm GROUP BY 1, 2),
-cu AS (SELECT frame_id, bin, CAST(sum(n) OVER w AS DOUBLE) AS cn, CAST(sum(n * bin) OVER w AS DOUBLE) AS cs FROM hs WINDOW w AS (PARTITION BY frame_id ORDER BY bin)),
-wh AS (SELECT frame_id, max(cn) AS tn, max(cs) AS ts, max(bin) AS lb FROM cu GROUP BY 1),
-pr AS (SELECT a.frame_id, a.bin AS t1, b.bin AS t2, round(a.cs * a.cs / a.cn + (b.cs - a.cs) * (b.cs - a.cs) / (b.cn - a.cn) + (ts - b.cs) * (ts - b.cs) / (tn - b.cn), 6) AS s
-  FROM cu a JOIN cu b ON a.frame_id = b.frame_id AND a.bin < b.bin JOIN wh ON wh.frame_id = a.frame_id WHERE b.bin < lb)
-SELECT frame_id, t1, t2 FROM pr QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY s DESC, t1, t2) = 1""",
+    "otsu_threshold": _q(NORM + ",\n" + OTSU, "SELECT * FROM th0"),
+    "soft_bone": _q(
+        NORM + ",\n" + OTSU + ",\nb0 AS MATERIALIZED (SELECT frame_id, y, x FROM nm JOIN th0 USING (frame_id) WHERE floor(z * 255) > t1),\n" + _shrunk("b1", "b0", *_round_element(5)) + ",\n" + _grown("b2", "b1", *_round_element(5)),
+        "SELECT f.frame_id, count(b2.y) AS n, avg(z) FILTER (b2.y IS NOT NULL) AS z_mean, avg(b2.x) AS cx FROM nm f LEFT JOIN b2 USING (frame_id, y, x) GROUP BY 1",
+        "z_mean", "cx",
+    ),
+    "bone_mask": _q(
+        "RECURSIVE " + NORM + ",\n" + OTSU + ",\nb0 AS MATERIALIZED (SELECT frame_id, y, x FROM nm JOIN th0 USING (frame_id) WHERE floor(z * 255) > t2),\n"
+        + ",\n".join([_grown("b1", "b0", 1, 10), _shrunk("b2", "b1", 1, 10), _grown("b3", "b2", *_round_element(9)), _shrunk("b4", "b3", *_round_element(9))])
+        + """,
+ou AS (SELECT DISTINCT frame_id, -1 AS y, -1 AS x FROM nm UNION SELECT o.frame_id, o.y + dy, o.x + dx FROM ou o, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(dy, dx)
+  WHERE o.y + dy BETWEEN -1 AND 64 AND o.x + dx BETWEEN -1 AND 64 AND NOT EXISTS (SELECT 1 FROM b4 WHERE b4.frame_id = o.frame_id AND b4.y = o.y + dy AND b4.x = o.x + dx)),
+b5 AS MATERIALIZED (SELECT frame_id, y, x FROM nm WHERE NOT EXISTS (SELECT 1 FROM ou WHERE ou.frame_id = nm.frame_id AND ou.y = nm.y AND ou.x = nm.x)),
+"""
+        + ",\n".join([_shrunk("b6", "b5", *_round_element(3)), _grown("b7", "b6", *_round_element(3))]),
+        "SELECT f.frame_id, count(b7.y) AS n, avg(z) FILTER (b7.y IS NOT NULL) AS z_mean FROM nm f LEFT JOIN b7 USING (frame_id, y, x) GROUP BY 1",
+        "z_mean",
+    ),
+    "chain_frame": _q(ROWS + ",\n" + CHAIN, "SELECT frame_id, y, x, across, along, pitch, ref FROM al0 WHERE x % 8 = y % 8", "across", "along", "pitch", "ref"),
+    "kp_spine": _q(
+        "RECURSIVE " + ROWS + ",\n" + CHAIN + """,
+gw AS (SELECT k, exp(-0.5::DOUBLE * k * k) / sum(exp(-0.5::DOUBLE * k * k)) OVER () AS g FROM range(-4, 5) t(k)),
+g1 AS MATERIALIZED (SELECT a.frame_id, a.y, a.x, sum(g * b.z) AS z FROM nm a JOIN fh USING (frame_id), gw, nm b WHERE b.frame_id = a.frame_id AND b.x = a.x AND b.y = CASE WHEN a.y + k < 0 THEN -1 - (a.y + k) WHEN a.y + k >= h THEN 2 * h - 1 - (a.y + k) ELSE a.y + k END GROUP BY 1, 2, 3),
+g2 AS MATERIALIZED (SELECT a.frame_id, a.y, a.x, sum(g * b.z) AS z FROM g1 a, gw, g1 b WHERE b.frame_id = a.frame_id AND b.y = a.y AND b.x = CASE WHEN a.x + k < 0 THEN -1 - (a.x + k) WHEN a.x + k > 63 THEN 127 - (a.x + k) ELSE a.x + k END GROUP BY 1, 2, 3),
+br AS MATERIALIZED (SELECT al0.frame_id, al0.y, al0.x, across > 0 AS right_side FROM al0 JOIN g2 USING (frame_id, y, x) WHERE g2.z >= 0.35::DOUBLE * ref AND abs(across) >= 1.3::DOUBLE * 6),
+tc AS (SELECT br.* FROM br JOIN fh USING (frame_id) WHERE y >= h - 3 UNION SELECT br.* FROM tc JOIN br ON br.frame_id = tc.frame_id AND br.right_side = tc.right_side AND abs(br.y - tc.y) + abs(br.x - tc.x) = 1),
+hi0 AS (SELECT frame_id, any_value(h) - min(y) AS high FROM (SELECT frame_id, right_side, y FROM tc GROUP BY 1, 2, 3 HAVING count(*) >= 0.3::DOUBLE * 6) JOIN fh USING (frame_id) GROUP BY 1),
+fr AS (SELECT f.frame_id, h, coalesce(high, 0) AS high, coalesce(high, 0) > 0 AND coalesce(high, 0) < 0.6::DOUBLE * h AS pelvis FROM ptc f JOIN fh USING (frame_id) LEFT JOIN hi0 USING (frame_id)),
+li0 AS MATERIALIZED (SELECT frame_id, y, x, CAST(least(z / greatest(ref, 1e-3::DOUBLE), 3) AS FLOAT) AS v FROM al0),
+nb AS MATERIALIZED (SELECT frame_id, y, x, y + dy AS oy, x + dx AS ox FROM li0, range(-3, 4) s(dy), range(-3, 4) t(dx) WHERE abs(dx) <= round_even(sqrt(9 - dy * dy), 0)),
+er AS MATERIALIZED (SELECT nb.frame_id, nb.y, nb.x, min(b.v) AS v FROM nb JOIN li0 b ON b.frame_id = nb.frame_id AND b.y = oy AND b.x = ox GROUP BY 1, 2, 3), di AS MATERIALIZED (SELECT nb.frame_id, nb.y, nb.x, max(b.v) AS v FROM nb JOIN er b ON b.frame_id = nb.frame_id AND b.y = oy AND b.x = ox GROUP BY 1, 2, 3),
+ts0 AS MATERIALIZED (SELECT a.frame_id, a.y, a.x FROM nm a JOIN nm b ON a.frame_id = b.frame_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 AND b.z > 0.02::DOUBLE GROUP BY 1, 2, 3 HAVING count(*) = 25),
+art AS (SELECT al0.frame_id, count(*) AS n FROM al0 JOIN li0 USING (frame_id, y, x) JOIN di USING (frame_id, y, x) JOIN ts0 USING (frame_id, y, x) JOIN fr USING (frame_id) WHERE li0.v - di.v >= 0.25::FLOAT AND abs(across) >= 1.3::DOUBLE * 6 AND (NOT pelvis OR al0.y < h - high) GROUP BY 1)""",
+        """SELECT frame_id, CASE WHEN pelvis THEN high / pitch ELSE CAST(high > 0 AS DOUBLE) END AS kp_wing_vis, CAST(high = 0 AS DOUBLE) AS kp_wing_absent, coalesce(art.n, 0) / (64 * h) AS kp_art_frac FROM fr JOIN ptc USING (frame_id) LEFT JOIN art USING (frame_id)""",
+        "kp_wing_vis", "kp_art_frac",
+    ),
+    "body_chain": _q(
+        "RECURSIVE " + ROWS + ",\n" + PEAKS + """,
+cd0 AS (SELECT frame_id, round(wx, 6) AS x, CAST(y AS DOUBLE) AS y, n * 10.0::DOUBLE AS area, round(zsum, 6) AS s, 0.05::DOUBLE + round(zsum, 6) / 100 AS conf FROM pk JOIN rw USING (frame_id, y)),
+c10 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y, x) AS i, 1.2418418802382916::DOUBLE * s - 0.17134103222406044::DOUBLE * abs(ln(area / (0.9::DOUBLE * 1.4::DOUBLE * 64))) + 3.546852470389268::DOUBLE AS node FROM (SELECT * FROM cd0 QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY conf DESC, y, x) <= 10)),
+sg AS MATERIALIZED (SELECT a.frame_id, a.i, b.i AS j, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS len, a.node AS na, b.node AS nb FROM c10 a JOIN c10 b ON a.frame_id = b.frame_id AND b.y - a.y > 0.55::DOUBLE * 8),
+pa AS (SELECT frame_id, i, j, dx, dy, len, na + nb - 2.547764021483717::DOUBLE * abs(len - 8) / 8 AS score, [i, j] AS path FROM sg
+  UNION ALL SELECT pa.frame_id, sg.i, sg.j, sg.dx, sg.dy, sg.len, score + sg.nb - 2.547764021483717::DOUBLE * abs(sg.len - 8) / 8 - 2.2863905908415556::DOUBLE * acos(least(greatest((pa.dx * sg.dx + pa.dy * sg.dy) / (pa.len * sg.len), -1), 1)), list_append(path, sg.j) FROM pa JOIN sg ON sg.frame_id = pa.frame_id AND sg.i = pa.j),
+bp AS (SELECT frame_id, arg_max(path, score) AS path FROM pa GROUP BY 1)""",
+        "SELECT frame_id, CAST(list_position(path, i) - 1 AS INTEGER) AS ord, y, x AS px FROM bp JOIN c10 USING (frame_id) WHERE list_contains(path, i)",
+        "px",
+    ),
+    "bright_arcs": _q(
+        "RECURSIVE " + MASK + ",\n" + _hat(11) + ",\nhp AS MATERIALIZED (SELECT frame_id, y, x FROM ht JOIN (SELECT frame_id, greatest(18, floor(quantile_cont(hat, 0.99))) AS cut FROM ht GROUP BY 1) USING (frame_id) WHERE hat >= cut AND NOT m),\n" + _parts("hp"),
+        """, ax0 AS (SELECT frame_id, root, count(*) AS n, var_samp(id // 4096) AS a, var_samp(id % 4096) AS b, covar_samp(id // 4096, id % 4096) AS c FROM lb GROUP BY 1, 2 HAVING count(*) >= 6),
+le AS (SELECT frame_id, 4 * sqrt((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c)) / 64 AS l FROM ax0), up0 AS (SELECT ht.frame_id, avg(CASE WHEN hp.y IS NULL THEN 0.0 ELSE 1.0 END) AS u FROM ht JOIN fh USING (frame_id) LEFT JOIN hp USING (frame_id, y, x) WHERE ht.y < floor(0.35::DOUBLE * h) GROUP BY 1)
+SELECT frame_id, coalesce(max(l), 0) AS arc_max_len, coalesce(sum(l), 0) AS arc_total_len, CAST(count(*) FILTER (l > 0.25) AS DOUBLE) AS arc_n_long, any_value(u) AS arc_upper_frac FROM up0 LEFT JOIN le USING (frame_id) GROUP BY 1""",
+        "arc_max_len", "arc_total_len", "arc_upper_frac",
     ),
     "row_profile": _q(ROWS, "SELECT * FROM rw", "cx", "zsum", "wx"),
     "col_profile": _q(MASK, "SELECT frame_id, x, count(*) AS n, min(y) AS y_min, max(y) AS y_max, avg(z) AS zmean FROM mk WHERE m GROUP BY 1, 2", "zmean"),
@@ -295,14 +442,14 @@ SELECT frame_id, CASE WHEN abs(degrees(atan2(b, lam - a))) > 90 THEN 180 - abs(d
         "axis_deg", "length",
     ),
     "centerline_regression": _q(
-        ROWS,
-        """, ln AS (SELECT frame_id, regr_slope(cx, y) AS s, regr_intercept(cx, y) AS i, count(*) AS n, median(x_max - x_min + 1) AS width FROM rw GROUP BY 1),
-rs AS (SELECT rw.frame_id, rw.y, cx, cx - s * rw.y - i AS res, ntile(3) OVER (PARTITION BY rw.frame_id ORDER BY rw.y) AS t FROM rw JOIN ln USING (frame_id)),
-th AS (SELECT frame_id, max(s) - min(s) AS spread, max(sign(s)) - min(sign(s)) AS sg FROM (SELECT frame_id, t, regr_slope(cx, y) AS s FROM rs GROUP BY 1, 2) GROUP BY 1),
+        BONE,
+        """, rb AS (SELECT frame_id, y, avg(x) AS cx, max(x) - min(x) AS wd FROM bn WHERE m GROUP BY 1, 2), li AS (SELECT frame_id, regr_slope(cx, y) AS s, regr_intercept(cx, y) AS i, count(*) AS n, median(wd) AS width, stddev_pop(wd) AS sd FROM rb GROUP BY 1),
+rs AS (SELECT rb.frame_id, rb.y, cx, cx - s * rb.y - i AS res, ntile(3) OVER (PARTITION BY rb.frame_id ORDER BY rb.y) AS t FROM rb JOIN li USING (frame_id)),
+th AS (SELECT frame_id, max(s) - min(s) AS spread, max(sign(s)) - min(sign(s)) AS sg FROM (SELECT frame_id, t, regr_slope(cx, y) AS s FROM rs GROUP BY 1, 2 HAVING count(*) > 10) GROUP BY 1),
 bd AS (SELECT frame_id, sqrt(avg(res * res)) AS rms, max(abs(res)) AS mx FROM rs GROUP BY 1)
 SELECT frame_id, CASE WHEN n >= 40 THEN 0.0::DOUBLE ELSE 1.0 END AS empty_spine, CASE WHEN n >= 40 THEN abs(degrees(atan(s))) END AS tilt_deg, CASE WHEN n >= 40 THEN rms / (width + 1e-6) END AS curv_rms_norm, CASE WHEN n >= 40 THEN mx / (width + 1e-6) END AS curv_max_norm,
- CASE WHEN n >= 40 THEN CAST(sg > 0 AS DOUBLE) END AS slope_sign_change, CASE WHEN n >= 40 THEN degrees(atan(spread)) END AS slope_spread FROM ln JOIN th USING (frame_id) JOIN bd USING (frame_id)""",
-        "tilt_deg", "curv_rms_norm", "curv_max_norm", "slope_spread",
+ CASE WHEN n >= 40 THEN CAST(coalesce(sg, 0) > 0 AS DOUBLE) END AS slope_sign_change, CASE WHEN n >= 40 THEN degrees(atan(coalesce(spread, 0))) END AS slope_spread, CASE WHEN n >= 40 THEN sd / (width + 1e-6) END AS width_cv FROM li LEFT JOIN th USING (frame_id) JOIN bd USING (frame_id)""",
+        "tilt_deg", "curv_rms_norm", "curv_max_norm", "slope_spread", "width_cv",
     ),
     "column_tilt": _q(BONE, COLUMN + " SELECT sf.frame_id, tilt AS col_tilt_deg, kink AS col_kink_deg FROM sf LEFT JOIN g USING (frame_id)", "col_tilt_deg", "col_kink_deg"),
     "spine_column": _q(
@@ -337,11 +484,11 @@ SELECT frame_id, k.y AS y, k.v AS value FROM (SELECT frame_id, unnest(kept) AS k
     ),
     "masked_fov": _q(
         NORM,
-        """, cx AS (SELECT frame_id, count(*) FILTER (d > 0.98) AS mc, count(*) AS nc FROM (SELECT frame_id, x, avg(CAST(z <= 0.002 AS INTEGER)) AS d FROM nm GROUP BY 1, 2) GROUP BY 1),
-cy AS (SELECT frame_id, count(*) FILTER (d > 0.98) AS mr, count(*) AS nr FROM (SELECT frame_id, y, avg(CAST(z <= 0.002 AS INTEGER)) AS d FROM nm GROUP BY 1, 2) GROUP BY 1),
+        """, cx AS (SELECT frame_id, avg(CAST(d > 0.98 AS INTEGER)) AS mc, (max(x) FILTER (d <= 0.98) - min(x) FILTER (d <= 0.98) + 1) / count(*) AS ox FROM (SELECT frame_id, x, avg(CAST(z <= 0.002 AS INTEGER)) AS d FROM nm GROUP BY 1, 2) GROUP BY 1),
+cy AS (SELECT frame_id, avg(CAST(d > 0.98 AS INTEGER)) AS mr, (max(y) FILTER (d <= 0.98) - min(y) FILTER (d <= 0.98) + 1) / count(*) AS oy FROM (SELECT frame_id, y, avg(CAST(z <= 0.002 AS INTEGER)) AS d FROM nm GROUP BY 1, 2) GROUP BY 1),
 f AS (SELECT frame_id, avg(CAST(z <= 0.002 AS INTEGER)) AS masked_frac FROM nm GROUP BY 1)
-SELECT frame_id, masked_frac, mc AS masked_cols, mr AS masked_rows, 1 - mc / nc AS fov_w_frac, 1 - mr / nr AS fov_h_frac FROM f JOIN cx USING (frame_id) JOIN cy USING (frame_id)""",
-        "masked_frac", "fov_w_frac", "fov_h_frac",
+SELECT frame_id, masked_frac, CASE WHEN ox * oy > 0 THEN mc ELSE 0 END AS masked_cols, CASE WHEN ox * oy > 0 THEN mr ELSE 0 END AS masked_rows, CASE WHEN ox * oy > 0 THEN ox ELSE 1 END AS fov_w_frac, CASE WHEN ox * oy > 0 THEN oy ELSE 1 END AS fov_h_frac FROM f JOIN cx USING (frame_id) JOIN cy USING (frame_id)""",
+        "masked_cols", "masked_rows", "masked_frac", "fov_w_frac", "fov_h_frac",
     ),
     "autocorr_period": _q(ROWS + ",\n" + PERIOD, "SELECT frame_id, CAST(period AS INTEGER) AS period, strength FROM pd", "strength"),
     "local_peaks": _q(ROWS, "SELECT frame_id, y, zsum AS value FROM (SELECT *, lag(zsum) OVER w AS a, lead(zsum) OVER w AS b FROM rw WINDOW w AS (PARTITION BY frame_id ORDER BY y)) WHERE zsum >= a AND zsum > b", "value"),
@@ -396,13 +543,13 @@ SELECT *, CASE WHEN top_x IS NULL OR bottom_x IS NULL THEN 'unknown' WHEN top_x
         "top_x", "bottom_x",
     ),
     "region_route": _q(
-        ROWS + ",\n" + SHAPE + ",\n" + PERIOD,
+        MASK + ",\n" + SHAPE + ",\n" + FULL,
         """, ct AS (SELECT frame_id, quantile_cont(CAST(y AS DOUBLE), 0.3) AS a, quantile_cont(CAST(y AS DOUBLE), 0.7) AS b FROM mk WHERE m GROUP BY 1),
 sd AS (SELECT frame_id, avg(x) FILTER (y < a) AS tx, avg(x) FILTER (y > b) AS bx FROM mk JOIN ct USING (frame_id) WHERE m GROUP BY 1),
 c AS (SELECT sz.frame_id, coalesce(n, 0) AS n, tx, bx, 0.6 * least(coalesce(strength, 0) / 0.35::DOUBLE, 1.0) + 0.4 * least(coalesce((y1 - y0 + 1) / (x1 - x0 + 1), 0) / 1.6::DOUBLE, 1.0) AS score
   FROM sz LEFT JOIN sh USING (frame_id) LEFT JOIN pd USING (frame_id) LEFT JOIN sd USING (frame_id)),
-d AS (SELECT *, CASE WHEN score > 0.62 THEN score ELSE 1 - score END AS cf FROM c)
-SELECT frame_id, score, CASE WHEN n < 50 THEN 0.0 ELSE cf END AS confidence, CASE WHEN n < 50 OR cf < 0.6 THEN 'unknown' WHEN score > 0.62 THEN 'spine' WHEN tx > bx THEN 'hip_right' WHEN tx <= bx THEN 'hip_left' ELSE 'unknown' END AS region FROM d""",
+d AS (SELECT *, CASE WHEN score > 0.62 THEN least(score, 1) ELSE least(1 - score, 1) END AS cf FROM c)
+SELECT frame_id, score, CASE WHEN n < 50 THEN 0.0 WHEN cf < 0.6 OR score > 0.62 THEN cf WHEN tx IS NULL OR bx IS NULL THEN 0.0 ELSE round_even(cf, 2) END AS confidence, CASE WHEN n < 50 OR cf < 0.6 THEN 'unknown' WHEN score > 0.62 THEN 'spine' WHEN tx > bx THEN 'hip_right' WHEN tx <= bx THEN 'hip_left' ELSE 'unknown' END AS region FROM d""",
         "score", "confidence",
     ),
     "mirror_frames": _q(PX, "SELECT frame_id, 63 - x AS x, avg(v) AS v_mean FROM px GROUP BY 1, 2", "v_mean"),

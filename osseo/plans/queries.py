@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from osseo.config import Rules
 from osseo.functions.columns import resolved, saved, violation_text
-from osseo.operators import artifacts as A, evaluation as E, hips as H, manifests as M, measures as Q, neighbourhood as N, pixels as P, studies as S
+from osseo.operators import artifacts as A, chain as C, contributions as X, evaluation as E, hips as H, landmarks as L, levels as VL, manifests as M, measures as Q, neighbourhood as N, pixels as P, studies as S
 from osseo.operators.models import Head, fires, probability, with_probabilities
 from osseo.plans.registry import features_long
 from osseo.sources import surrogates as V
@@ -272,16 +272,50 @@ def nearest_peak(rows: DataFrame) -> DataFrame:
     return Q.nearest(P.peaks(rows), rows.groupBy(P.FRAME).agg((F.max("y") * 0.6).alias("t")))
 
 
-def bright_arcs(masked: DataFrame) -> DataFrame:
-    hat = P.top_hat(masked, 2)
-    bright = hat.join(hat.groupBy(P.FRAME).agg(F.percentile("hat", F.lit(0.8)).alias("cut")), P.FRAME).withColumn("m", F.col("hat") > F.col("cut"))
-    return Q.bright_arcs(N.components(bright), masked.groupBy(P.FRAME).agg((F.max("x") + 1).alias("w")))
+def vertebra_levels(masked: DataFrame) -> DataFrame:
+    """Four bands of the mask as a level map, with gaps between them."""
+    band = F.when(F.col("m") & (F.col("y") % 16 < 14), F.expr("1 + y div 16")).otherwise(0)
+    return Q.vertebra_levels(masked.select(P.FRAME, "y", "x", band.cast("int").alias("level")))
 
 
-def vertebra_levels(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
+def spine_levels(masked: DataFrame) -> DataFrame:
+    return VL.spine_levels(masked, H.row_filled(masked), P.peaks(P.row_profile(masked)).select(P.FRAME, "y"))
+
+
+def soft_bone(pixels: DataFrame) -> DataFrame:
+    mask = N.soft_bone(P.normalise(pixels), P.multi_otsu(pixels))
+    return mask.groupBy(P.FRAME).agg(F.count_if("m").alias("n"), F.avg(F.when(F.col("m"), F.col("z"))).alias("z_mean"), F.avg(F.when(F.col("m"), F.col("x"))).alias("cx"))
+
+
+def chain_points(masked: DataFrame) -> DataFrame:
+    return P.row_profile(masked).where("y % 10 = 8").select(P.FRAME, "y", F.col("wx").alias("px"))
+
+
+def kp_spine(masked: DataFrame) -> DataFrame:
+    return C.chain_features(masked, chain_points(masked), half_width=6.0)
+
+
+def chain_frame(masked: DataFrame) -> DataFrame:
+    return C.along_chain(masked, chain_points(masked)).where("x % 8 = y % 8").select(P.FRAME, "y", "x", "across", "along", "pitch", "ref")
+
+
+def body_chain(masked: DataFrame) -> DataFrame:
+    rows = P.row_profile(masked)
+    found = P.peaks(rows).join(rows.select(P.FRAME, "y", "wx", "n"), [P.FRAME, "y"])
+    conf = 0.05 + F.round("value", 6) / 100
+    candidates = found.select(P.FRAME, F.round("wx", 6).alias("x"), F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("w"), F.lit(10.0).alias("h"), F.round("value", 6).alias("logit"), conf.alias("conf"))
+    return C.bodies(candidates, pitch=8.0, taken=10).select(P.FRAME, "ord", "y", "px")
+
+
+def tree_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    """Six features of the greatest impact on each row's margin, of a boosted head on the embeddings."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
 
-    return Q.vertebra_levels(rows.withColumn("level", F.ntile(4).over(Window.partitionBy(P.FRAME).orderBy("y"))))
+    rows = V.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("f"), (F.col("label") > 4).cast("double").alias("y")).withColumn("v", array_to_vector("f"))
+    model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=10, maxDepth=3, seed=1).fit(rows)
+    got = X.tree_contributions(rows, model, "vec_id", "f", [f"f{k:02d}" for k in range(64)])
+    return rounded(got.select("vec_id", "margin", "base", F.explode("contributions").alias("c")).select("vec_id", "margin", "base", "c.*"))
 
 
 def period_phase(rows: DataFrame) -> DataFrame:
@@ -298,11 +332,13 @@ def legacy_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def landmark_rules(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.transform("embedding", lambda v: F.abs(v.cast("double")) * 200)
-    point = lambda i: F.struct(e[i].alias("x"), e[i + 1].alias("y"), F.lit(1.0).alias("conf"))
-    points = F.create_map(F.lit("greater_trochanter"), point(0), F.lit("head"), point(2), F.lit("neck_base"), point(4))
-    points = F.when(F.col("vec_id") % 3 == 0, points).otherwise(F.map_concat(points, F.create_map(F.lit("ischium"), point(6))))
-    return rounded(V.table(spark, sf, "embeddings").select("vec_id", Q.landmark_rules(points, F.lit(64)).alias("r")).select("vec_id", "r.*"))
+    """Five landmarks from sums over all components of an embedding."""
+    total = lambda k: F.expr(f"aggregate(filter(transform(embedding, (v, i) -> IF(i % 15 = {k}, abs(double(v)) * 60, NULL)), v -> v IS NOT NULL), 0D, (a, v) -> a + v)")
+    names = ("trochanter", "ischium", "lesser", "neck_upper", "neck_lower")
+    point = lambda i: F.struct(total(3 * i).alias("x"), total(3 * i + 1).alias("y"), (total(3 * i + 2) / 80).alias("conf"))
+    points = F.when(F.col("vec_id") % 7 > 0, F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), point(i)))))
+    line = F.when(F.col("vec_id") % 2 == 0, F.struct(F.lit(0.25).alias("k"), F.lit(10.0).alias("c")))
+    return rounded(V.table(spark, sf, "embeddings").select("vec_id", Q.landmark_rules(points, F.lit(64), line).alias("r")).select("vec_id", "r.*"))
 
 
 def embedding_pca(spark: SparkSession, sf: str) -> DataFrame:
@@ -340,8 +376,19 @@ QUERIES = {
     "gaussian_profile": _on_rows(gaussian_profile),
     "disc_spacing": _on_rows(disc_spacing),
     "nearest_peak": _on_rows(nearest_peak),
-    "bright_arcs": _on_mask(bright_arcs),
-    "vertebra_levels": _on_rows(vertebra_levels),
+    "bright_arcs": _on_mask(A.arcs),
+    "vertebra_levels": _on_mask(vertebra_levels),
+    "spine_levels": _on_mask(spine_levels),
+    "soft_bone": _on_pixels(soft_bone),
+    "kp_spine": _on_mask(kp_spine),
+    "chain_frame": _on_mask(chain_frame),
+    "body_chain": _on_mask(body_chain),
+    "contours": _on_mask(N.contours),
+    "femur_points": _on_bone(L.femur_points),
+    "medial_line": _on_bone(Q.medial_line),
+    "vertebra_count": _on_mask(lambda m: P.vertebra_count(m, 1.05)),
+    "region_features": _on_mask(P.region_features),
+    "tree_contributions": tree_contributions,
     "femur_shape": _on_bone(H.femur_shape),
     "period_phase": _on_rows(period_phase),
     "region_guess": _on_mask(region_guess),
@@ -367,7 +414,7 @@ QUERIES = {
     "col_profile": _on_mask(P.column_profile),
     "silhouette_geometry": _on_mask(lambda m: P.silhouette(m).join(P.curvature(m), P.FRAME)),
     "axis_orientation": _on_mask(P.axis_orientation),
-    "centerline_regression": _on_mask(lambda m: P.centre_line(P.row_profile(m), frames=m)),
+    "centerline_regression": _on_bone(lambda b: P.centre_line(P.row_profile(b), frames=b)),
     "column_tilt": _on_bone(lambda b: P.spine_column(b).select("frame_id", "col_tilt_deg", "col_kink_deg")),
     "spine_column": _on_bone(P.spine_column),
     "spaced_peaks": _on_rows(lambda r: P.spaced_peaks(r, least=5.0)),
