@@ -415,10 +415,9 @@ def test_tile_candidates_hold_all_similar_pairs():
     """No pair of similarity 0.8 is missing, unlike sets with a common passage give few pairs, and a forest connects what all pairs do."""
     r = random.Random(5)
     texts = [edited(prose(100 + k, 150), r, n) for k in range(20) for n in range(6)] + [f"{prose(900, 30)} {prose(700 + k, 25)}" for k in range(60)] + ["a b c d e f", "a b c d e f g", "a b c d e"]
+    texts += [f"{prose(900, 30)} {prose(800 + k, 4_000)}" for k in range(12)] + [edited(prose(800, 4_000), r, 60)]  # longer sets than sketches have places
     sets = similar.shingle_sets(texts)
-    fold = [similar.folded(similar.parities(s)) for s in sets]
-    fp = np.array([similar.majority(s) for s in sets], np.uint64).view(np.int64)
-    rows = pd.DataFrame({"fp": fp, "sk": np.arange(len(sets)), "n": [len(s) for s in sets], "fold": fold, "root": np.arange(len(sets)), "is_left": True, "alone": True})
+    rows = pd.DataFrame({"sk": np.arange(len(sets)), "n": [len(s) for s in sets], "sketch": [similar.sketch(s) for s in sets], "root": np.arange(len(sets)), "is_left": True, "alone": True})
     pairs = lambda rows, forest: set(map(tuple, similar.tile_candidates(rows, forest).to_numpy().tolist()))
     every, forest = pairs(rows, False), pairs(rows, True)
     alike = {(i, j) for i, j in combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
@@ -434,3 +433,17 @@ def test_tile_candidates_hold_all_similar_pairs():
     left = rows.sk % 2 == 0
     assert pairs(rows.assign(is_left=left, alone=False), False) == {(i, j) for i, j in every if (i + j) % 2}
     assert not pairs(rows.assign(root=0), False)
+
+
+@pytest.mark.parametrize("shared, own", [(4, 1), (8, 2), (12, 3), (16, 2), (60, 9), (90, 22), (400, 50)])
+def test_sketches_lose_no_pair_at_four_fifths(shared, own):
+    """Sets of a similarity of 0.8 or little more, of all sizes."""
+    r = np.random.default_rng(shared)
+    for _ in range(300):
+        h = np.unique(r.integers(0, 1 << 63, shared + own, dtype=np.uint64))
+        a, b = h, np.unique(h[r.permutation(len(h))[:shared]])
+        if 5 * len(b) >= 4 * len(a):
+            s = [similar.sketches([similar.sketch(x)]) for x in (a, b)]
+            assert similar.alike((np.array([len(a)]), np.array([len(b)])), tuple(s)).all()
+            rows = pd.DataFrame({"sk": [1, 2], "n": [len(a), len(b)], "sketch": [similar.sketch(a), similar.sketch(b)], "root": [1, 2], "is_left": True, "alone": True})
+            assert len(similar.tile_candidates(rows, False)) == 1
