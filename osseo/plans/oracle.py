@@ -388,6 +388,53 @@ b5 AS MATERIALIZED (SELECT frame_id, y, x FROM nm WHERE NOT EXISTS (SELECT 1 FRO
         "SELECT f.frame_id, count(b7.y) AS n, avg(z) FILTER (b7.y IS NOT NULL) AS z_mean FROM nm f LEFT JOIN b7 USING (frame_id, y, x) GROUP BY 1",
         "z_mean",
     ),
+    "spinous_ridge": _q(
+        BONE,
+        """, gy AS (SELECT k, exp(-0.5::DOUBLE * (k / 15.0::DOUBLE) ** 2) / sum(exp(-0.5::DOUBLE * (k / 15.0::DOUBLE) ** 2)) OVER () AS g FROM range(-60, 61) t(k)), gx AS (SELECT k, exp(-0.5::DOUBLE * (k / 1.5::DOUBLE) ** 2) / sum(exp(-0.5::DOUBLE * (k / 1.5::DOUBLE) ** 2)) OVER () AS g FROM range(-6, 7) t(k)),
+my AS (SELECT h, y, abs((y + k + (h - 1) + 10 * (h - 1)) % (2 * (h - 1)) - (h - 1)) AS s, sum(g) AS g FROM (SELECT DISTINCT h FROM fh) JOIN gy ON true JOIN (SELECT unnest(range(64)) AS y) ON y < h GROUP BY 1, 2, 3),
+v1 AS MATERIALIZED (SELECT nm.frame_id, my.y, nm.x, sum(g * z) AS z FROM nm JOIN fh USING (frame_id) JOIN my ON my.h = fh.h AND my.s = nm.y GROUP BY 1, 2, 3),
+v2 AS MATERIALIZED (SELECT a.frame_id, a.y, a.x, sum(g * b.z) AS z FROM v1 a, gx, v1 b WHERE b.frame_id = a.frame_id AND b.y = a.y AND b.x = abs((a.x + k + 63 + 126) % 126 - 63) GROUP BY 1, 2, 3),
+cr0 AS (SELECT frame_id, y, min(x) AS x0, max(x) AS x1, count(*) AS n FROM bn WHERE m GROUP BY 1, 2), cs1 AS (SELECT frame_id, min(y) AS y0, max(y) AS y1, count(*) AS rows FROM cr0 GROUP BY 1),
+mp0 AS (SELECT frame_id, count(*) FILTER (m) AS px FROM mk GROUP BY 1),
+ok0 AS (SELECT cr0.*, x1 - x0 + 1 AS w FROM cr0 JOIN cs1 USING (frame_id) JOIN mp0 USING (frame_id) WHERE px >= 500 AND rows >= 40 AND n >= 12 AND y >= floor(y0 + 0.15::DOUBLE * rows) AND y <= floor(y1 - 0.15::DOUBLE * rows) AND floor(0.75::DOUBLE * (x1 - x0 + 1)) - floor(0.25::DOUBLE * (x1 - x0 + 1)) >= 4),
+pr0 AS (SELECT frame_id, y, any_value(w) AS w, median(z) AS md, stddev_pop(z) AS sd, max(z) FILTER (mid) AS top, arg_min(pos, struct_pack(v := -round(z, 12), pos := pos)) FILTER (mid) AS peak FROM (SELECT ok0.frame_id, ok0.y, w, v2.x - x0 AS pos, z, v2.x - x0 >= floor(0.25::DOUBLE * w) AND v2.x - x0 < floor(0.75::DOUBLE * w) AS mid FROM ok0 JOIN v2 ON v2.frame_id = ok0.frame_id AND v2.y = ok0.y AND v2.x BETWEEN x0 AND x1) GROUP BY 1, 2),
+of0 AS (SELECT *, (peak - (w - 1) / 2) / w AS off, (top - md) / (sd + 1e-6) AS sure, (row_number() OVER (PARTITION BY frame_id ORDER BY y) - 1) / (count(*) OVER (PARTITION BY frame_id) - 1) AS u, count(*) OVER (PARTITION BY frame_id) AS c FROM pr0),
+sp1 AS (SELECT frame_id, median(abs(off)) AS a, quantile_cont(abs(off), 0.9) AS b, regr_slope(off, u) AS s, stddev_pop(off) AS d, median(sure) AS e, median(w) / 64 AS f FROM of0 WHERE c >= 20 GROUP BY 1)
+SELECT fh.frame_id, CAST(a IS NULL AS DOUBLE) AS sp_absent, coalesce(a, -1) AS sp_offset_med, coalesce(b, -1) AS sp_offset_max, coalesce(s, -1) AS sp_offset_slope, coalesce(d, -1) AS sp_offset_sd, coalesce(e, -1) AS sp_ridge_conf, coalesce(f, -1) AS sp_width_med FROM fh LEFT JOIN sp1 USING (frame_id)""",
+        "sp_offset_med", "sp_offset_max", "sp_offset_slope", "sp_offset_sd", "sp_ridge_conf", "sp_width_med",
+    ),
+    "isotropic": _q(
+        PX,
+        """, t AS (SELECT x2, (x2 + 0.5) * 64 / 37 - 0.5 AS p FROM range(37) r(x2)), w AS (SELECT x2, CAST(floor(least(greatest(p, 0), 63)) AS INTEGER) AS a, least(greatest(p, 0), 63) - floor(least(greatest(p, 0), 63)) AS f FROM t),
+r AS (SELECT l.frame_id, l.y, x2, l.v * (1 - f) + coalesce(h.v, 0) * f AS v FROM w JOIN px l ON l.x = a LEFT JOIN px h ON h.frame_id = l.frame_id AND h.y = l.y AND h.x = a + 1)
+SELECT frame_id, CAST(x2 AS INTEGER) AS x, avg(v) AS v_mean, max(v) AS v_max FROM r GROUP BY 1, 2""",
+        "v_mean", "v_max",
+    ),
+    "mask_store": _q(MASK, "SELECT frame_id, count(*) AS n, avg(y) AS cy, avg(x) AS cx FROM mk WHERE CASE WHEN frame_id % 3 > 0 THEN m ELSE y < 32 END GROUP BY 1", "cy", "cx"),
+    "display_names": """WITH c AS (SELECT DISTINCT CASE WHEN event_id % 5 = 0 THEN 'emb' || (user_id % 8) || '_mean' ELSE event_type || '_' || ['mean', 'max_asym', 'dev', 'deg'][event_id % 4 + 1] END AS feature, event_type, event_id % 5 = 0 AS emb, user_id % 8 AS k, CASE WHEN event_id % 5 > 0 THEN event_id % 4 END AS s FROM events)
+SELECT DISTINCT feature, CASE WHEN emb THEN 'компонента ' || k || ' эмбеддинга снимка' WHEN s = 3 OR event_type NOT IN ('view', 'click', 'purchase') OR event_type = 'purchase' AND s <> 1 THEN feature WHEN event_type = 'purchase' THEN 'покупка (разница сторон)'
+  ELSE CASE event_type WHEN 'view' THEN 'взгляд' ELSE 'щелчок' END || CASE s WHEN 0 THEN ' (в среднем)' WHEN 1 THEN ' (максимум) (разница сторон)' ELSE ' (отклонение от нормы)' END END AS name FROM c""",
+    "chain_dp": _q(
+        "RECURSIVE " + ROWS + ",\n" + PEAKS + """,
+pn AS MATERIALIZED (SELECT frame_id, y, zsum AS r, row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i, max(abs(zsum)) OVER (PARTITION BY frame_id) AS sc, count(*) OVER (PARTITION BY frame_id) AS n FROM pk JOIN rw USING (frame_id, y)),
+dp AS (SELECT frame_id, CAST(0 AS BIGINT) AS i, CAST([] AS DOUBLE[]) AS score, CAST([] AS BIGINT[]) AS back FROM (SELECT DISTINCT frame_id FROM pn)
+  UNION ALL SELECT q.frame_id, q.i, list_append(score, q.r + 0.45::DOUBLE * q.sc + CASE WHEN best > 0 THEN best ELSE 0 END), list_append(back, CASE WHEN best > 0 THEN came ELSE 0 END) FROM (
+    SELECT dp.frame_id, p.i, p.r, p.sc, any_value(score) AS score, any_value(back) AS back, max(score[o.i] - 0.02::DOUBLE * p.sc * abs(p.y - o.y - 6)) FILTER (p.y - o.y BETWEEN 0.55::DOUBLE * 6 AND 1.8::DOUBLE * 6) AS best,
+      arg_max(o.i, struct_pack(s := score[o.i] - 0.02::DOUBLE * p.sc * abs(p.y - o.y - 6), i := -o.i)) FILTER (p.y - o.y BETWEEN 0.55::DOUBLE * 6 AND 1.8::DOUBLE * 6) AS came
+    FROM dp JOIN pn p ON p.frame_id = dp.frame_id AND p.i = dp.i + 1 LEFT JOIN pn o ON o.frame_id = dp.frame_id AND o.i <= dp.i GROUP BY 1, 2, 3, 4) q),
+fi AS (SELECT frame_id, score, back, list_position(score, list_max(score)) AS top FROM dp QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY i DESC) = 1),
+wk AS (SELECT frame_id, back, CAST(top AS BIGINT) AS i, 0 AS d FROM fi UNION ALL SELECT frame_id, back, back[i], d + 1 FROM wk WHERE back[i] > 0)""",
+        "SELECT frame_id, CAST(max(d) OVER (PARTITION BY frame_id) - d AS INTEGER) AS ord, y FROM wk JOIN pn USING (frame_id, i)",
+    ),
+    "level_rows": _q(
+        "RECURSIVE " + ROWS + """,
+sr AS MATERIALIZED (SELECT frame_id, y, row_number() OVER (PARTITION BY frame_id ORDER BY y) AS i, count(*) OVER (PARTITION BY frame_id) AS n, [-abs(y / 64.0::DOUBLE - (k + 0.5::DOUBLE) / 4) * (1 + zsum) for k in range(4)] AS s FROM rw),
+lv9 AS (SELECT frame_id, i, s AS total, [CAST([1, 2, 3, 4] AS BIGINT[])] AS back FROM sr WHERE i = 1
+  UNION ALL SELECT l.frame_id, r.i, [list_max(l.total[1:k]) + r.s[k] for k in range(1, 5)], list_append(l.back, [list_position(l.total, list_max(l.total[1:k])) for k in range(1, 5)]) FROM lv9 l JOIN sr r ON r.frame_id = l.frame_id AND r.i = l.i + 1),
+en AS (SELECT l.frame_id, total, back, n FROM lv9 l JOIN sr ON sr.frame_id = l.frame_id AND sr.i = l.i AND sr.i = sr.n),
+bk AS (SELECT frame_id, back, n AS i, CAST(list_position(total, list_max(total)) AS BIGINT) AS k FROM en UNION ALL SELECT frame_id, back, i - 1, CAST(back[i][k] AS BIGINT) FROM bk WHERE i > 1)""",
+        "SELECT frame_id, y, CAST(k - 1 AS INTEGER) AS level FROM bk JOIN sr USING (frame_id, i)",
+    ),
     "chain_frame": _q(ROWS + ",\n" + CHAIN, "SELECT frame_id, y, x, across, along, pitch, ref FROM al0 WHERE x % 8 = y % 8", "across", "along", "pitch", "ref"),
     "kp_spine": _q(
         "RECURSIVE " + ROWS + ",\n" + CHAIN + """,

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from osseo.config import Rules
 from osseo.functions.columns import resolved, saved, violation_text
-from osseo.operators import artifacts as A, chain as C, contributions as X, evaluation as E, hips as H, landmarks as L, levels as VL, manifests as M, measures as Q, neighbourhood as N, pixels as P, studies as S
+from osseo.operators import artifacts as A, chain as C, contributions as X, evaluation as E, hips as H, landmarks as L, levels as VL, manifests as M, measures as Q, neighbourhood as N, pixels as P, resample as R, spinous as SP, studies as S
 from osseo.operators.models import Head, fires, probability, with_probabilities
 from osseo.plans.registry import features_long
-from osseo.sources import surrogates as V
+from osseo.sources import masks, surrogates as V
 
 RULES = Rules(max_spine_tilt_deg=60.0, vb_axis_limit_deg=40.0, artifact_threshold=0.0005)
 
@@ -307,6 +307,38 @@ def body_chain(masked: DataFrame) -> DataFrame:
     return C.bodies(candidates, pitch=8.0, taken=10).select(P.FRAME, "ord", "y", "px")
 
 
+def spinous_ridge(masked: DataFrame) -> DataFrame:
+    return SP.spinous_ridge(masked, H.row_filled(masked))
+
+
+def isotropic(pixels: DataFrame) -> DataFrame:
+    return R.isotropic(pixels).groupBy(P.FRAME, "x").agg(F.avg("v").alias("v_mean"), F.max("v").alias("v_max"))
+
+
+def column_crop(pixels: DataFrame) -> DataFrame:
+    got = R.column_crop(pixels, size=(48, 36))
+    return got.groupBy(P.FRAME).agg(F.avg("v").alias("v_mean"), F.stddev_pop("v").alias("v_std"), F.count_if(F.col("v") >= 1).alias("n_high")).join(R.column_place(pixels), P.FRAME)
+
+
+def mask_store(masked: DataFrame) -> DataFrame:
+    """Masks packed into bits and unpacked again; frames without a stored mask get their upper half."""
+    sized = masked.groupBy(P.FRAME).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.array_sort(F.collect_list(F.struct("y", "x", F.col("m").cast("int").alias("m")))).alias("p"))  # a frame's pixels
+    bits = F.expr("unhex(array_join(transform(sequence(0, (h * w - 1) div 8), k -> lpad(hex(aggregate(sequence(0, 7), 0, (a, j) -> a * 2 + coalesce(get(p, k * 8 + j).m, 0))), 2, '0')), ''))")
+    store = masks.unpacked(sized.where("frame_id % 3 > 0").select(P.FRAME, "h", "w", bits.alias("bits")))
+    live = lambda frames: masked.join(frames, P.FRAME).where("y < 32").select(P.FRAME, "y", "x")
+    got = masks.with_fallback(masked, store, live)
+    return got.groupBy(P.FRAME).agg(F.count("*").alias("n"), F.avg("y").alias("cy"), F.avg("x").alias("cx"))
+
+
+def display_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the features of all measured frames, by a dictionary of a few."""
+    from osseo.functions.names import display_names as named
+
+    part = F.concat_ws("_", "event_type", F.element_at(F.array(*map(F.lit, ("mean", "max_asym", "dev", "deg"))), (F.col("event_id") % 4 + 1).cast("int")))
+    columns = V.table(spark, sf, "events").select(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("emb"), F.col("user_id") % 8, F.lit("_mean"))).otherwise(part).alias("feature")).distinct()
+    return named(columns, spark.createDataFrame([("view", "взгляд"), ("click", "щелчок"), ("purchase_max", "покупка")], "feature string, name string"))
+
+
 def tree_contributions(spark: SparkSession, sf: str) -> DataFrame:
     """Six features of the greatest impact on each row's margin, of a boosted head on the embeddings."""
     from pyspark.ml.classification import GBTClassifier
@@ -389,6 +421,11 @@ QUERIES = {
     "vertebra_count": _on_mask(lambda m: P.vertebra_count(m, 1.05)),
     "region_features": _on_mask(P.region_features),
     "tree_contributions": tree_contributions,
+    "spinous_ridge": _on_mask(spinous_ridge),
+    "isotropic": _on_pixels(isotropic),
+    "column_crop": _on_pixels(column_crop),
+    "mask_store": _on_mask(mask_store),
+    "display_names": display_names,
     "femur_shape": _on_bone(H.femur_shape),
     "period_phase": _on_rows(period_phase),
     "region_guess": _on_mask(region_guess),

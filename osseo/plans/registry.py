@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from osseo.functions.columns import saved
-from osseo.operators import artifacts as A, chain as C, hips as H, landmarks as M, levels as L, measures as Q, neighbourhood as N, pixels as P
+from osseo.operators import artifacts as A, chain as C, hips as H, landmarks as M, levels as L, measures as Q, neighbourhood as N, pixels as P, spinous as SP
 
 REGIONS = ("spine", "hip")
 #: What providers may find; a frame without it gets what the set says.
@@ -119,4 +119,5 @@ register(FeatureSet("field_of_view", lambda d: P.field_of_view(d["masked"]), ena
 register(FeatureSet("phase", lambda d: Q.phase(d["rows"], P.period(d["rows"])), ("spine",), ("rows",), enabled=False, note="worse in nested validation"))
 register(FeatureSet("trochanter_density", lambda d: H.trochanter_density(d["bone"]), ("hip",), ("bone",), enabled=False, note="no gain in validation"))
 register(FeatureSet("hip_side_margins", lambda d: P.side_margins(d["masked"]), ("hip",), enabled=False, note="no gain in validation"))
+register(FeatureSet("spinous_offset", lambda d: SP.spinous_ridge(d["masked"], N.largest(d["masked"])), ("spine",), enabled=False, note="the ridge does not improve the axis in validation"))
 register(FeatureSet("artifact_inside", lambda d: A.inside(d["masked"]), enabled=False, note="no metal inside bones in the labels"))

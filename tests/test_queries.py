@@ -129,7 +129,7 @@ def test_registry(spark):
         registry.register(registry.FeatureSet("bad", lambda d: None, needs=("nothing",)))
     names = [s.name for s in registry.for_region("hip_left")]
     assert "femur_medial" in names and "spine_axis" not in names and "hip_side_margins" not in names
-    assert registry.describe(spark).count() == 23
+    assert registry.describe(spark).count() == 24
 
 
 def test_duplicates_are_marked_once(spark):
