@@ -83,13 +83,22 @@ def train(labelled: DataFrame, alpha: float = 0.1, train_rows: int = TRAIN_ROWS)
     return langs, np.rint(UNIT * np.vstack([np.log(grams / grams.sum(0)), np.log(docs / docs.sum())[None]])).astype(np.int32) if langs else np.zeros((BUCKETS + 1, 0), np.int32)
 
 
+#: Sums of log-probabilities (positions times languages) that one step holds.
+SUMS = 2_000_000
+
+
 def score(texts: list, langs: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and its posterior probability for each text."""
     total = np.repeat(logp[BUCKETS][None].astype(np.int64), len(texts), 0)
+    step = max(SUMS // max(len(langs), 1), 1)
     for bucket, first, end in ngrams([t or "" for t in texts]):
-        sums = np.zeros((len(bucket) + 1, len(langs)), np.int64)
-        np.cumsum(logp[bucket], axis=0, out=sums[1:])
-        total += sums[np.maximum(end, first)] - sums[first]
+        for at in range(0, len(bucket), step):
+            part = logp[bucket[at : at + step]]
+            sums = np.zeros((len(part) + 1, len(langs)), np.int64)
+            np.cumsum(part, axis=0, out=sums[1:])
+            a, b = (np.clip(x - at, 0, len(part)) for x in (first, np.maximum(end, first)))
+            some = np.flatnonzero(b > a)
+            total[some] += sums[b[some]] - sums[a[some]]
     best = total.argmax(1)
     p = 1 / np.exp((total - total.max(1, keepdims=True)) / UNIT).sum(1)
     known = np.array([bool(t and _LETTER.search(t)) for t in texts])

@@ -44,8 +44,6 @@ VALID = {
 #: A pattern needs so many different seeds, and this smoothed share of seeds among its instances.
 LEAST_SEEDS = 3
 CONFIDENT = 0.8
-#: Rounds at most; they end when a round finds no new confident pattern.
-ROUNDS = 20
 
 
 def _spans(kind: str) -> str:
@@ -77,18 +75,18 @@ def scan(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "rk", "base", F.expr("filter(loose, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))").alias("ids"))
 
 
-def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def confident_patterns(scanned: DataFrame) -> DataFrame:
     """The patterns (one column) that the graph scores as confident.
 
     What a confident pattern surrounds is a seed of the next round, so patterns around discovered identifiers count as well;
     what only a doubtful one surrounds is worth nothing, so no pattern rises by its own instances. Confidence only rises, and
-    the rounds end when the confident patterns stay.
+    the rounds end when the confident patterns stay, however far a pattern is from the seeds.
     """
     of = lambda spans, seed: scanned.select(F.explode(spans).alias("x")).select("x.pattern", "x.value", F.lit(seed).alias("seed"))
     edges = saved(of("base", 1.0).unionByName(of("ids", 0.0)).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     worth = edges.groupBy("value").agg(F.max("seed").alias("worth"), F.count("*").alias("n"))
     before = -1
-    for _ in range(rounds):
+    while True:
         # the hot keys of both joins, a common pattern and a value that stands everywhere, are broadcast
         scored = spread_join(edges, saved(worth), ["value"]).groupBy("pattern").agg(
             (F.sum("worth") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("worth") > 0).alias("seeds"), F.count("*").alias("n")
@@ -97,17 +95,16 @@ def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         good = scored.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENT))
         found = good.count()
         if found == before:
-            break
+            return good.select("pattern")
         before = found
         accepted = F.when((F.col("seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENT), 1.0).otherwise(F.col("seed"))
         worth = spread_join(edges, scored, ["pattern"]).groupBy("value").agg(F.max(accepted).alias("worth"), F.count("*").alias("n"))
-    return good.select("pattern")
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """rk, doc_id, base and found (what confident patterns discover) of each row; ``docs`` has doc_id and text."""
     scanned = saved(scan(docs))
-    good = confident_patterns(scanned, rounds)
+    good = confident_patterns(scanned)
     loose = scanned.select("rk", F.explode("ids").alias("x")).select("rk", "x", "x.pattern")
     counted = saved(loose.groupBy("pattern").agg(F.count("*").alias("n")).join(good, "pattern"))
     more = spread_join(loose, counted, ["pattern"]).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("x.start", "x.end"))).alias("found"))  # no more than a text has

@@ -447,3 +447,35 @@ def test_sketches_lose_no_pair_at_four_fifths(shared, own):
             assert similar.alike((np.array([len(a)]), np.array([len(b)])), tuple(s)).all()
             rows = pd.DataFrame({"sk": [1, 2], "n": [len(a), len(b)], "sketch": [similar.sketch(a), similar.sketch(b)], "root": [1, 2], "is_left": True, "alone": True})
             assert len(similar.tile_candidates(rows, False)) == 1
+
+
+def test_language_memory_does_not_grow_with_languages():
+    """Half a million characters and 200 languages in blocks, equal to one block."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    names = [f"l{k:03}" for k in range(200)]
+    logp = r.integers(-9_000, -10, (language.BUCKETS + 1, 200)).astype(np.int32)
+    texts = ["".join(chr(97 + k) for k in r.integers(0, 26, 494_000)), "short text", None, "x", ""]
+    tracemalloc.start()
+    got = language.score(texts, names, logp)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    few = language.score(texts[1:], names[:3], logp[:, :3])
+    whole = language.SUMS
+    try:
+        language.SUMS = 7
+        again = language.score(texts[1:], names[:3], logp[:, :3])
+    finally:
+        language.SUMS = whole
+    assert again[0] == few[0] and (again[1] == few[1]).all() and got[0][2] == "und"
+
+
+def test_pii_reaches_patterns_many_hops_away(spark):
+    """Pattern k stands around eight values that are known once pattern k - 1 is confident, and one that leads on; 25 hops."""
+    spans = "array<struct<kind: string, start: int, end: int, value: string, pattern: string>>"
+    values = [f"v{k:02}" for k in range(34)]
+    seeds = [("email", 0, 1, v, "seeds") for v in values[:8]]
+    rows = [(0, seeds, [])] + [(k + 1, [], [("id", 0, 1, v, f"p{k:02}") for v in values[k : k + 9]]) for k in range(25)] + [(99, [], [("id", 0, 1, v, "other") for v in ("v00", "v01", "v02", "x", "y")])]
+    got = {r.pattern for r in pii.confident_patterns(spark.createDataFrame(rows, f"rk long, base {spans}, ids {spans}")).collect()}
+    assert got == {"seeds", *(f"p{k:02}" for k in range(25))}
