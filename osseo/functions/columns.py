@@ -89,6 +89,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``df``, dealt by ``keys`` and saved in a way that plans know: what groups by these keys needs no other shuffle.
+
+    Adaptive plans do not tell how their rows are dealt, so this one is not adaptive.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return saved(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Adds the running sums of ``sums`` (name to value) in a global order, without moving all rows to one task.
 

@@ -100,8 +100,27 @@ def bootstrap_auc(scored: DataFrame, draws: int = 2000, seed: int = 7) -> DataFr
     return _interval(each.withColumn("auc", F.col("a") / (F.col("pos") * F.col("neg"))), "auc")
 
 
+def evaluation_row(scored: DataFrame, threshold: float, task: str, model: str = "", draws: int = 2000, seed: int = 7) -> DataFrame:
+    """One row of all that is reported about a task: counts, areas and their interval, F1, sensitivity and its interval, specificity, status.
+
+    The interval of the sensitivity is that of the answers at ``threshold``. Each part is one row, so their product is one.
+    """
+    answered = scored.withColumn("p", (F.col("p") >= threshold).cast("double"))
+    parts = [
+        roc_auc(scored).select(F.round("roc_auc", 3).alias("roc_auc")), bootstrap_auc(scored, draws, seed).select(F.format_string("%.2f–%.2f", "low", "high").alias("auc_interval")),
+        pr_auc(scored).select(F.round("pr_auc", 3).alias("pr_auc")), bootstrap_mean(answered, draws, seed).select(F.format_string("%.2f–%.2f", "low", "high").alias("sensitivity_interval")),
+    ]
+    out = report(scored, threshold).select(
+        F.lit(task).alias("task"), F.lit(model).alias("model"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), (F.col("tp") + F.col("fn")).alias("positives"), F.round("prevalence", 3).alias("prevalence"), F.round("f1", 3).alias("f1"),
+        F.round("sensitivity", 3).alias("sensitivity"), F.round("specificity", 3).alias("specificity"), F.concat_ws("/", "tp", "fp", "fn", "tn").alias("counts"), F.when(F.col("exploratory"), "exploratory").otherwise("").alias("status"),
+    )
+    for part in parts:
+        out = out.crossJoin(part)
+    return out
+
+
 # Columns that come from labels, from the way of recording and from bookkeeping; none of them is a feature.
-LABEL_COLUMNS = ["study", "region", "quality_class", "flags_or", "verdict_mismatch", "verdict_itog", "violation_type", "comment", "spine_coverage", "spine_axis", "spine_artifact", "hip_r_positioning", "hip_r_roi", "hip_l_positioning", "hip_l_roi", "verdict_spine", "verdict_hip_r", "verdict_hip_l"]
+LABEL_COLUMNS = ["study", "region", "quality_class", "flags_or", "verdict_mismatch", "verdict_itog", "violation_type", "comment", "_t", "_pos", "pos_t", "roi_t", "y_q", "y_p", "spine_coverage", "spine_axis", "spine_artifact", "hip_r_positioning", "hip_r_roi", "hip_l_positioning", "hip_l_roi", "verdict_spine", "verdict_hip_r", "verdict_hip_l"]
 MODE_COLUMNS = ["rows", "cols", "mm_per_px", "scale_known", "mm_per_px_anat", "period_px"]
 SERVICE_COLUMNS = ["fold", "copy", "n_frames_x", "n_frames_y"]
 

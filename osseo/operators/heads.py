@@ -22,15 +22,17 @@ def heads(label: str = "y", weight: float = 1.0) -> list[Pipeline]:
 
 
 def out_of_fold(rows: DataFrame, features: str, label: str, fold: str, folds: int) -> DataFrame:
-    """``rows`` with p, the mean probability by models that did not see the row's fold."""
+    """``rows`` with p, the mean probability by models that did not see the row's fold; classes weigh the same in each training part."""
     data = rows.withColumn("x", array_to_vector(F.transform(features, lambda v: v.cast("double")))).withColumn("_id", F.xxhash64(*rows.columns))
-    share = data.agg(F.avg(label)).first()[0] or 0.5
-    data = data.withColumn("w", F.when(F.col(label) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
     out = None
     for k in range(folds):
         train, test = data.where(F.col(fold) != k), data.where(F.col(fold) == k).withColumn("p", F.lit(0.0))
-        for pipeline in heads(label, train.agg(F.sum("w")).first()[0] or 1.0):
+        seen = train.agg(F.avg(label).alias("share"), F.count("*").alias("n")).first()
+        share = seen.share if seen.share is not None else 0.5
+        train = train.withColumn("w", F.when(F.col(label) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
+        # with both classes, their weights sum to the number of rows
+        for pipeline in heads(label, float(seen.n or 1)):
             scored = pipeline.fit(train).transform(test)
             test = scored.withColumn("p", F.col("p") + vector_to_array("probability")[1] / 3).select(*data.columns, "p")
         out = test if out is None else out.unionByName(test)
-    return out.drop("x", "_id", "w")
+    return out.drop("x", "_id")

@@ -703,3 +703,8 @@ SELECT vec_id, round(norm, 6) AS norm, round(v[1] / (norm + 1e-6), 6) AS first,
     "topk_candidates": """WITH s AS (SELECT label, vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score FROM embeddings)
 SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 30""",
 }
+
+_AT = {n: SQL[n].replace("p >= 0.5", "p >= 0.4::DOUBLE").replace("p < 0.5", "p < 0.4::DOUBLE") for n in ("confusion_report", "bootstrap_ci")}
+SQL["evaluation_row"] = f"""SELECT 'quality' AS task, 'surrogate' AS model, c.tp + c.fp + c.fn + c.tn AS n, c.tp + c.fn AS positives, round(c.prevalence, 3) AS prevalence, round(c.f1, 3) AS f1, round(c.sensitivity, 3) AS sensitivity, round(c.specificity, 3) AS specificity,
+ concat_ws('/', c.tp, c.fp, c.fn, c.tn) AS counts, CASE WHEN c.exploratory THEN 'exploratory' ELSE '' END AS status, round(a.roc_auc, 3) AS roc_auc, format('{{:.2f}}–{{:.2f}}', b.low, b.high) AS auc_interval, round(d.pr_auc, 3) AS pr_auc, format('{{:.2f}}–{{:.2f}}', e.low, e.high) AS sensitivity_interval
+FROM ({_AT["confusion_report"]}) c, ({SQL["roc_auc"]}) a, ({SQL["bootstrap_auc_ci"]}) b, ({SQL["pr_auc"]}) d, ({_AT["bootstrap_ci"]}) e"""

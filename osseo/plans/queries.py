@@ -505,6 +505,7 @@ QUERIES = {
     "confusion_report": _on_scores(lambda s: E.report(s, 0.5)),
     "bootstrap_ci": _on_scores(E.bootstrap_mean),
     "bootstrap_auc_ci": _on_scores(E.bootstrap_auc),
+    "evaluation_row": lambda spark, sf: E.evaluation_row(V.scored_labels(spark, sf), 0.4, "quality", "surrogate"),
     "corr_pairs": corr_pairs,
     "corr_prune": corr_prune,
     "embedding_norm": embedding_norm,

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from osseo.functions.columns import saved
+from osseo.functions.columns import dealt
 from osseo.operators import artifacts as A, chain as C, hips as H, landmarks as M, levels as L, measures as Q, neighbourhood as N, pixels as P, spinous as SP
 
 REGIONS = ("spine", "hip")
@@ -55,8 +55,8 @@ def features_long(masked: DataFrame, region: str, given: dict[str, DataFrame] |
     body angles (frame_id, vb_axis_deg, vb_n), a level map (frame_id, y, x, level), landmarks (frame_id, points, a map), each for
     the frames that it has; sets say what a frame without them gets.
     """
-    masked = saved(masked.repartition(P.FRAME))
-    inputs = {"masked": masked, "rows": saved(P.row_profile(masked)), "bone": saved(H.row_filled(N.largest(masked)))} | (given or {})
+    masked = dealt(masked, P.FRAME)
+    inputs = {"masked": masked, "rows": dealt(P.row_profile(masked), P.FRAME), "bone": dealt(H.row_filled(N.largest(masked)), P.FRAME)} | (given or {})
     out, seen = None, set()
     for s in for_region(region):
         got = s.build(inputs)

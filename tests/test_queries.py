@@ -132,6 +132,31 @@ def test_registry(spark):
     assert registry.describe(spark).count() == 24
 
 
+def test_dealt_rows_are_not_shuffled_again(spark):
+    from osseo.functions.columns import dealt
+
+    df = dealt(spark.range(200).select((F.col("id") % 7).alias("frame_id"), "id"), "frame_id")
+    plan = df.groupBy("frame_id").agg(F.sum("id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and df.count() == 200 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_features_of_frames_with_providers(spark):
+    """Every enabled set gives its features; frames without what a provider finds get what the set says."""
+    from osseo.sources import surrogates as V
+
+    masked = P.bright_mask(V.pixels(spark, SF).where("frame_id < 3"))
+    points = P.row_profile(masked).where("frame_id = 1 AND y % 10 = 8").select("frame_id", "y", F.col("wx").alias("px"))
+    bodies = spark.createDataFrame([(2, 3.5, 4.0)], "frame_id long, vb_axis_deg double, vb_n double")
+    levels = masked.where("frame_id = 0").select("frame_id", "y", "x", F.when(F.col("m"), F.expr("1 + y div 16")).otherwise(0).cast("int").alias("level"))
+    got = {(r.frame_id, r.feature): r.value for r in registry.features_long(masked, "spine", {"points": points, "bodies": bodies, "levels": levels}).collect()}
+    assert [got[k, "vb_axis_deg"] for k in range(3)] == [-1, -1, 3.5] and got[2, "vb_n"] == 4
+    assert [got[k, "kp_wing_vis"] for k in (0, 2)] == [1, 1] and got[0, "vl_body_h_px"] > 0 and got[1, "vl_body_h_px"] == got[2, "vl_aspect_med"] == -1
+    names = {f for _, f in got}
+    assert {"arc_max_len", "n_vertebrae", "no_levels", "empty_spine", "kp_art_frac", "thin_n", "cx_rel", "empty_column"} <= names and "lmk_empty" not in names
+    hip = {(r.frame_id, r.feature): r.value for r in registry.features_long(masked.where("frame_id = 0"), "hip_left").collect()}
+    assert hip[0, "lmk_empty"] == 1 and hip[0, "empty_lm"] == 0 and hip[0, "prox_r_px"] > 0
+
+
 def test_duplicates_are_marked_once(spark):
     m = spark.createDataFrame([("a", 2, "x"), ("a", 1, "x"), ("b", 3, "y")], "study_dir string, rel_path long, pixel_md5 string")
     got = {r.rel_path: (r.dup_group, r.dup_count, r.is_canonical) for r in manifests.mark_duplicates(m).collect()}
@@ -226,7 +251,7 @@ def test_masks_columns_and_features(spark):
     two[:, 5:30], two[:, 50:75] = 1, 1
     row = P.column_shape(image(spark, two).withColumn("m", F.col("v") > 0)).first()
     assert row.profile_dip == 1 and abs(row.lr_symmetry - 1) < 1e-9
-    df = spark.createDataFrame([("s", "spine", 1.0, 1, 2.0, 3.0, 4.0, "x", 1)], "study string, region string, axis_deg_mean double, fold int, spine_axis_p double, rows_mean double, lmk_a double, comment string, flags_or int")
+    df = spark.createDataFrame([("s", "spine", 1.0, 1, 2.0, 3.0, 4.0, 1.0, 1.0, "x", 1)], "study string, region string, axis_deg_mean double, fold int, spine_axis_p double, rows_mean double, lmk_a double, y_q double, pos_t_mean double, comment string, flags_or int")
     assert evaluation.feature_columns(df) == ["axis_deg_mean", "lmk_a"] and evaluation.feature_columns(df, "lmk_") == ["axis_deg_mean"]
 
 
