@@ -10,7 +10,8 @@ into tiles, and pairs of tiles are compared whole by exclusive-or and bit counts
 population counts lie too far apart; sizes and parities of the sets must allow the similarity too. A tile pair first
 yields a spanning forest of its candidates; what these leave apart is looked through once more, with all candidates. All
 candidates are verified by the whole sets. So a group of near copies takes about as many verifications as it has members, and
-unlike documents that share a passage take none.
+unlike documents that share a passage take none. Classes that meet at several shingles are candidates at the first of these: each
+brings the first LOWEST shingles at which it meets others, and what both have among these before the shingle at hand is compared there.
 
 RADIUS leaves room for the fingerprints: at a similarity of 0.8 they differ in 39 of 256 bits on average, with a deviation of 6, so
 that less than one pair in a million millions at exactly 0.8 lies beyond it, while unlike sets differ in 128 with a deviation of 8.
@@ -43,6 +44,8 @@ BROADCAST_ROWS = 1_000_000
 WORDS, RADIUS, SMALL = 4, 80, 16
 #: Places of the parities of a set.
 FOLD = 1024
+#: Shingles that a class brings along, the first in order of those at which it meets others.
+LOWEST = 16
 #: Rows of a tile at most (but for ties of hashes); a task compares two tiles at a time.
 TILE = 8_192
 _WORD = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
@@ -140,9 +143,10 @@ def _near(fp: np.ndarray, n: np.ndarray):
 def tile_candidates(rows: pd.DataFrame, forest: bool) -> pd.DataFrame:
     """Pairs (a, b) of a tile (``alone``) or between two (``is_left`` or not), of different roots, that may be similar.
 
-    With ``forest`` only as many as connect all roots that they connect together.
+    With ``forest`` only as many as connect all roots that they connect together. Pairs that meet before at a shingle below ``h``
+    in both their lists ``low`` are left to it.
     """
-    held = sketches(rows.sketch)
+    held, low, h = sketches(rows.sketch), np.stack(rows.low.to_numpy()).astype(np.int64), int(rows.h.iloc[0])
     sk, n, left = rows.sk.to_numpy(), rows.n.to_numpy(np.int64), rows.is_left.to_numpy()
     alone = bool(rows.alone.all())
     labels, root = np.unique(rows.root.to_numpy(), return_inverse=True)
@@ -152,6 +156,8 @@ def tile_candidates(rows: pd.DataFrame, forest: bool) -> pd.DataFrame:
         i, j = i[keep], j[keep]
         keep = alike((n[i], n[j]), (held[i], held[j]))
         i, j = i[keep], j[keep]
+        keep = ~((low[i][:, :, None] == low[j][:, None, :]) & (low[i] < h)[:, :, None]).any((1, 2))
+        i, j = i[keep], j[keep]
         while forest and len(i):  # each round joins every row to one other of another tree
             first = np.unique(i, return_index=True)[1]
             out += [(sk[k], sk[m]) for k, m in zip(i[first].tolist(), j[first].tolist(), strict=True) if tree.join(root[k], root[m])]
@@ -171,11 +177,13 @@ def _candidates(met: DataFrame, found: DataFrame, classes: DataFrame, forest: bo
     # shingles at which the same classes meet count once
     groups = saved(groups.groupBy("n", "s1", "s2").agg(F.min("h").alias("h")).select("h", "n", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
     placed = saved(spread_join(here, groups, ["h"]))
-    often = written(classes.join(placed.groupBy("sk").agg(F.count("*").alias("times")), "sk").select("sk", "n", "sketch", "times"))
+    # a class meets others at no more shingles than its prefix has; lists are filled up with a value that no shingle is below
+    first = F.slice(F.concat(F.array_sort(F.collect_list("h")), F.array_repeat(F.lit((1 << 63) - 1), LOWEST)), 1, LOWEST)
+    often = written(classes.join(placed.groupBy("sk").agg(F.count("*").alias("times"), first.alias("low")), "sk").select("sk", "n", "sketch", "low", "times"))
     placed = spread_join(placed, often, ["sk"], "times").withColumn("own", F.pmod(F.xxhash64("sk"), F.col("tiles")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    tasks = tasks.select("sk", "root", "n", "sketch", F.xxhash64("h", lo, hi).alias("task"), (F.col("own") == lo).alias("is_left"), (lo == hi).alias("alone"))
+    tasks = tasks.select("sk", "root", "n", "sketch", "low", "h", F.xxhash64("h", lo, hi).alias("task"), (F.col("own") == lo).alias("is_left"), (lo == hi).alias("alone"))
     return by_task(tasks, lambda rows: tile_candidates(rows, forest)).distinct()
 
 

@@ -417,7 +417,7 @@ def test_tile_candidates_hold_all_similar_pairs():
     texts = [edited(prose(100 + k, 150), r, n) for k in range(20) for n in range(6)] + [f"{prose(900, 30)} {prose(700 + k, 25)}" for k in range(60)] + ["a b c d e f", "a b c d e f g", "a b c d e"]
     texts += [f"{prose(900, 30)} {prose(800 + k, 4_000)}" for k in range(12)] + [edited(prose(800, 4_000), r, 60)]  # longer sets than sketches have places
     sets = similar.shingle_sets(texts)
-    rows = pd.DataFrame({"sk": np.arange(len(sets)), "n": [len(s) for s in sets], "sketch": [similar.sketch(s) for s in sets], "root": np.arange(len(sets)), "is_left": True, "alone": True})
+    rows = pd.DataFrame({"sk": np.arange(len(sets)), "n": [len(s) for s in sets], "sketch": [similar.sketch(s) for s in sets], "low": [np.arange(16)] * len(sets), "h": 0, "root": np.arange(len(sets)), "is_left": True, "alone": True})
     pairs = lambda rows, forest: set(map(tuple, similar.tile_candidates(rows, forest).to_numpy().tolist()))
     every, forest = pairs(rows, False), pairs(rows, True)
     alike = {(i, j) for i, j in combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
@@ -433,6 +433,10 @@ def test_tile_candidates_hold_all_similar_pairs():
     left = rows.sk % 2 == 0
     assert pairs(rows.assign(is_left=left, alone=False), False) == {(i, j) for i, j in every if (i + j) % 2}
     assert not pairs(rows.assign(root=0), False)
+    # all meet at 3 before 5, and only the first half at 4 as well; so at 5 no pair is left, and at 4 neither
+    assert not pairs(rows.assign(h=5), False) and pairs(rows.assign(low=[np.full(16, (1 << 63) - 1)] * len(rows), h=5), False) == every
+    half = [np.array([4, 5] + [(1 << 63) - 1] * 14) if k < len(rows) // 2 else np.array([5] + [(1 << 63) - 1] * 15) for k in range(len(rows))]
+    assert pairs(rows.assign(low=half, h=5), False) == {(i, j) for i, j in every if j >= len(rows) // 2}
 
 
 @pytest.mark.parametrize("shared, own", [(4, 1), (8, 2), (12, 3), (16, 2), (60, 9), (90, 22), (400, 50)])
@@ -445,7 +449,7 @@ def test_sketches_lose_no_pair_at_four_fifths(shared, own):
         if 5 * len(b) >= 4 * len(a):
             s = [similar.sketches([similar.sketch(x)]) for x in (a, b)]
             assert similar.alike((np.array([len(a)]), np.array([len(b)])), tuple(s)).all()
-            rows = pd.DataFrame({"sk": [1, 2], "n": [len(a), len(b)], "sketch": [similar.sketch(a), similar.sketch(b)], "root": [1, 2], "is_left": True, "alone": True})
+            rows = pd.DataFrame({"sk": [1, 2], "n": [len(a), len(b)], "sketch": [similar.sketch(a), similar.sketch(b)], "low": [np.arange(16)] * 2, "h": 0, "root": [1, 2], "is_left": True, "alone": True})
             assert len(similar.tile_candidates(rows, False)) == 1
 
 
