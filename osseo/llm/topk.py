@@ -39,9 +39,10 @@ class Block:
         self.exact = float(np.abs(self.v).max(initial=0))
 
     def bound(self, weight: np.ndarray, caps: np.ndarray) -> float:
-        """The greatest sum of weight * x over vectors x of length ``longest`` with x <= caps; weights are positive.
+        """The greatest sum of weight * x over vectors x of length ``longest`` at most with x <= caps; weights are positive.
 
-        With caps from 0 on, the best x is min(caps, s * weight) for one s; a negative cap is paid in full, the rest is as if alone.
+        With caps from 0 on, the best x is min(caps, s * weight) for the s that uses up the length, or caps if they are no longer
+        than that; a negative cap is paid in full, the rest is as if alone.
         """
         below = float(weight @ np.minimum(caps, 0))
         free = np.maximum(caps, 0)
@@ -49,10 +50,9 @@ class Block:
         w, c = weight[order], free[order]
         capped = np.concatenate([[0.0], np.cumsum(c * c)])
         left = np.concatenate([np.cumsum((w * w)[::-1])[::-1], [0.0]])
-        reach = np.concatenate([[0.0], np.cumsum(w * c)])
-        # with the first j components at their caps, the others share what length is left
-        rest = np.sqrt(np.maximum(self.longest**2 - capped, 0) * left)
-        return below + float((reach + rest).min() if capped[-1] > self.longest**2 else min(reach[-1], (reach + rest).min()))
+        # those components are at their caps that s * weight reaches before min(caps, s * weight) is ``longest``; others share what length is left
+        j = int(np.searchsorted(capped[:-1] + (c / w) ** 2 * left[:-1], self.longest**2))
+        return below + float(w[:j] @ c[:j] + np.sqrt(max(self.longest**2 - capped[j], 0) * left[j]))
 
     def best(self, query: np.ndarray, own: int, k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the k best candidates for the query (not ``own``), and how many rows were scored."""

@@ -66,6 +66,32 @@ def test_threshold_algorithm_stops_early_and_is_exact():
     assert early >= 5
 
 
+def test_no_unmet_row_exceeds_the_bound():
+    """Caps that need not be reached: (0.7, 0.7) has the greatest product with (1, 1) of all unit vectors, below caps of 0.9 too."""
+    block = topk.Block(np.arange(1), np.zeros((1, 2), np.int64))
+    block.longest = 1.0
+    assert block.bound(np.ones(2), np.array([0.9, 0.9])) == pytest.approx(2**0.5)
+    assert block.bound(np.ones(2), np.array([0.6, 0.9])) == pytest.approx(0.6 + 0.8)
+    assert block.bound(np.ones(2), np.array([0.6, 0.5])) == pytest.approx(1.1)
+    assert block.bound(np.ones(2), np.array([-0.6, 2.0])) == pytest.approx(1 - 0.6)
+
+
+@pytest.mark.parametrize("dims", [3, 8, 64])
+def test_top_k_of_vectors_of_one_length(spark, tmp_path, dims):
+    """The query against all products; the components of half of the vectors are positive, the others have any sign."""
+    r = np.random.default_rng(4)
+    x = np.abs(r.standard_normal((4000, dims)))
+    x[2000:] *= r.choice([-1, 1], (2000, dims))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(4000), "embedding": x.tolist()})).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = np.floor(x.astype(np.float64) * 256).astype(np.int64)
+    want = []
+    for q in range(0, 4000, 50):
+        best = sorted((-s, c) for c, s in enumerate((v @ v[q]).tolist()) if c != q)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.op4_topk(spark, str(tmp_path)).collect()) == want
+
+
 def fed(e: bpe.Encoder, text: str, piece: int) -> list[int]:
     t = bpe.Transducer(e)
     return [i for k in range(0, len(text), piece) for i in t.feed(text[k : k + piece], k + piece >= len(text))]
