@@ -317,3 +317,34 @@ def test_checks_follow_the_report(spark):
     df = spark.createDataFrame([(v, [("укладка бедра", kind, 1.0, 2.0, fired)]) for v, fired, kind in rows], "violation_type string, checks array<struct<task string, kind string, value double, threshold double, fired boolean>>")
     got = [r.checks[0] for r in S.agree(df).collect()]
     assert [c.fired for c in got] == [True, False, True] and [c.note for c in got] == [S.CHOSEN_BELOW, S.DROPPED_ABOVE, None]
+
+
+@pytest.fixture(scope="module")
+def on_limits(tmp_path_factory):
+    """Events of 120 studies whose mean artifact share or mean coverage is just a limit, each study's in four files; and the events in order."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for study in range(120):
+        ids = np.arange(16) * 121 + study
+        k, free = rng.integers(20, 80, 16), np.flatnonzero((ids % 5 > 0) | (study % 2 == 0))
+        total = lambda: sum(k) - 800 if study % 2 == 0 else sum(np.where(ids % 5 > 0, k, 25)) - 900  # noqa: B023, E731
+        while total():
+            k[rng.choice(free)] -= np.sign(total())
+        rows += [(int(e), study, "view" if study % 3 else "signup", 10.0, f'{{"k": {n}}}') for e, n in zip(ids, k)]
+    folder = tmp_path_factory.mktemp("limits")
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    c.execute("CREATE TABLE events (event_id BIGINT, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    c.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?)", sorted(rows))
+    (folder / "events.parquet").mkdir()
+    for part in range(4):
+        c.execute(f"COPY (SELECT * FROM events WHERE event_id // 121 % 4 = {part}) TO '{folder}/events.parquet/{part}.parquet' (FORMAT parquet)")
+    return str(folder), c
+
+
+@pytest.mark.parametrize("name", ["head_decisions"])
+def test_means_on_limits_do_not_depend_on_files(spark, on_limits, name):
+    folder, c = on_limits
+    got = queries.QUERIES[name](spark, folder)
+    quoted = ", ".join(f'"{n}"' for n in got.columns)
+    assert plain(tuple(r) for r in got.collect()) == plain(c.sql(oracle.SQL[name]).select(quoted).fetchall())
