@@ -33,6 +33,14 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
+def scaled_round(v: Column, digits: int) -> Column:
+    """The value to that many digits as SQL engines round doubles: v times 10^digits as a double, halves away from zero.
+
+    round() alone takes the decimal text of v: 36.995 is 36.99 here (3699.4999999999995) and 37.0 there.
+    """
+    return F.round(v * 10.0**digits) / 10.0**digits
+
+
 def share_below(v: Column, reference: Column) -> Column:
     """The share of the reference values that are strictly below v."""
     return F.size(F.filter(reference, lambda r: r < v)) / F.greatest(F.size(reference), F.lit(1))

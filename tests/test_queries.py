@@ -342,9 +342,20 @@ def on_limits(tmp_path_factory):
     return str(folder), c
 
 
-@pytest.mark.parametrize("name", ["head_decisions", "report_details", "report_rows", "run_summary", "verdict_artifact", "violation_text"])
+@pytest.mark.parametrize("name", ["head_decisions", "report_details", "report_rows", "run_summary", "verdict_artifact", "violation_text", "rule_checks"])
 def test_means_on_limits_do_not_depend_on_files(spark, on_limits, name):
     folder, c = on_limits
     got = queries.QUERIES[name](spark, folder)
     quoted = ", ".join(f'"{n}"' for n in got.columns)
     assert plain(tuple(r) for r in got.collect()) == plain(c.sql(oracle.SQL[name]).select(quoted).fetchall())
+
+
+def test_checks_are_rounded_as_sql_does(spark):
+    """Angles and shares whose decimal text and whose multiple lie on two sides of a half, and such that have neither."""
+    values = [36.995, -36.995, 1.005, 2.675, 12.345, 0.125, 0.00048499999999999997, float("nan"), float("inf"), None]
+    heads = F.lit(None).cast("map<string, double>")
+    rows = spark.createDataFrame([(i, "spine", v) for i, v in enumerate(values)], "study long, region string, tilt double")
+    got = S.checks(rows.withColumn("kp_art_frac_mean", F.col("tilt")).withColumn("heads", heads), queries.RULES).collect()
+    con = duckdb.connect()
+    want = {i: con.execute("SELECT round(?::DOUBLE, 2), round(?::DOUBLE, 5)", [v, v]).fetchall()[0] for i, v in enumerate(values)}
+    assert str({r.study: tuple(c.value for c in r.checks) for r in got}) == str(want)
