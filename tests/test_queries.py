@@ -13,6 +13,7 @@ import __spark_entry__
 from osseo.functions.columns import VIOLATIONS, number, positions, resolved, violation_text
 from osseo.operators import evaluation, hips as H, manifests, measures as Q, neighbourhood as N, pixels as P, studies as S
 from osseo.plans import oracle, queries, registry
+from osseo.sources.surrogates import pixels
 
 SF = "/root/testdata/sf0.001"
 
@@ -359,3 +360,19 @@ def test_checks_are_rounded_as_sql_does(spark):
     con = duckdb.connect()
     want = {i: con.execute("SELECT round(?::DOUBLE, 2), round(?::DOUBLE, 5)", [v, v]).fetchall()[0] for i, v in enumerate(values)}
     assert str({r.study: tuple(c.value for c in r.checks) for r in got}) == str(want)
+
+
+@pytest.mark.parametrize("last", [16, 32, 48])
+def test_vertebra_levels_of_a_short_last_frame(spark, tmp_path, last):
+    """A last frame of one, two or three bodies: the query gives it with three only, as its SQL does; the operator always."""
+    con.sql(f"SELECT * FROM read_parquet('{SF}/embeddings.parquet') WHERE vec_id < {64 + last}").write_parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    got = queries.QUERIES["vertebra_levels"](spark, str(tmp_path))
+    quoted = ", ".join(f'"{n}"' for n in got.columns)
+    rows = plain(tuple(r) for r in got.collect())
+    assert rows == plain(c.sql(oracle.SQL["vertebra_levels"]).select(quoted).fetchall()) and len(rows) == 1 + (last == 48)
+    masked = P.bright_mask(pixels(spark, str(tmp_path)))
+    levels = masked.select("frame_id", "y", "x", F.expr("int(IF(m AND y % 16 < 14, 1 + y div 16, 0))").alias("level"))
+    found = {r.frame_id: r.vl_tilt_resid for r in Q.vertebra_levels(levels).collect()}
+    assert set(found) == {0, 1} and (found[1] == -1) == (last < 48)
