@@ -343,7 +343,7 @@ def on_limits(tmp_path_factory):
     return str(folder), c
 
 
-@pytest.mark.parametrize("name", ["head_decisions", "report_details", "report_rows", "run_summary", "verdict_artifact", "violation_text", "rule_checks"])
+@pytest.mark.parametrize("name", ["head_decisions", "report_details", "report_rows", "run_summary", "verdict_artifact", "violation_text", "rule_checks", "agreed_checks"])
 def test_means_on_limits_do_not_depend_on_files(spark, on_limits, name):
     folder, c = on_limits
     got = queries.QUERIES[name](spark, folder)
